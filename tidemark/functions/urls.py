@@ -32,6 +32,8 @@ ASSET_SUFFIXES = ["jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "pdf", "zip
 # Account / commerce words; a path *containing* one is skipped.
 ACCOUNT_WORDS = ["login", "signin", "signup", "register", "logout", "admin", "cart",
                  "checkout", "account", "password", "oauth"]
+# Schemes that require a host in a browser URL parser.
+SPECIAL_SCHEMES = ["http", "https", "ws", "wss", "ftp"]
 MAX_URL_LENGTH = 2048
 
 # scheme ':' ; '//' authority ; path ; '?' query ; '#' fragment
@@ -167,10 +169,15 @@ def ensure_scheme(url) -> Column:
 
 
 def display_domain(url) -> Column:
-    """Host name with the first ``www.`` (anywhere) removed; unparsable -> input."""
+    """Host name with the first ``www.`` (anywhere) removed; unparsable -> input.
+
+    Parsable = a scheme is present and, for the web schemes, a host too.
+    """
     u = _c(url)
-    host = url_hostname(u)
-    ok = url_scheme(u).rlike(r"^[a-z][a-z0-9+.\-]*$") & (host != "") & ~u.rlike(r"\s")
+    t = F.trim(u)
+    scheme = url_scheme(t)
+    host = url_hostname(t)
+    ok = (scheme != "") & (~scheme.isin(SPECIAL_SCHEMES) | (host != ""))
     return F.when(ok, F.regexp_replace(host, r"^(.*?)www\.", "$1")).otherwise(u)
 
 
@@ -204,45 +211,87 @@ def _resolve_dots(segments: Column) -> Column:
     return F.when(last.isin(".", ".."), F.concat(popped, F.array(F.lit("")))).otherwise(popped)
 
 
-def resolve_url(base, href) -> Column:
-    """Resolve ``href`` against ``base`` like ``urllib.parse.urljoin``."""
-    b, h = _c(base), _c(href)
-    bs, bn, bp, bpar, bq = url_scheme(b), url_netloc(b), url_path(b), url_params(b), url_query(b)
-    hs_raw = url_scheme(h)
-    hs = F.when(hs_raw == "", bs).otherwise(hs_raw)
-    hn, hp, hpar, hq, hf = url_netloc(h), url_path(h), url_params(h), url_query(h), url_fragment(h)
-
-    def unparse(scheme, netloc, path, params, query, frag):
-        p = F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
-        p = (F.when(netloc != "", F.concat(F.lit("//"), netloc,
-                                           F.when((p != "") & ~p.startswith("/"), F.lit("/")).otherwise(F.lit("")), p))
-             .when(p.startswith("//"), F.concat(F.lit("//"), p))
-             .when((scheme != "") & scheme.isin(NETLOC_SCHEMES) & ((p == "") | p.startswith("/")),
-                   F.concat(F.lit("//"), p))
-             .otherwise(p))
-        out = F.when(scheme != "", F.concat(scheme, F.lit(":"), p)).otherwise(p)
-        out = F.when(query != "", F.concat(out, F.lit("?"), query)).otherwise(out)
-        return F.when(frag != "", F.concat(out, F.lit("#"), frag)).otherwise(out)
-
+def resolve_links(df, base: str, href: str, out: str = "resolved"):
+    """Add ``out`` = ``href`` resolved against ``base`` like ``urljoin``.
+
+    A DataFrame step rather than one Column: the parts of both URLs are
+    computed once into struct columns and the resolution reads their
+    fields, which keeps the generated code small.
+    """
+    # flat columns (not a struct): each part is computed once, and Catalyst
+    # will not inline a non-trivial expression that is referenced many times
+    staged = df
+    for pre, src in (("_b", base), ("_h", href)):
+        u = F.col(src)
+        staged = (staged.withColumn(pre + "s", url_scheme(u)).withColumn(pre + "n", url_netloc(u))
+                  .withColumn(pre + "p", url_path(u)).withColumn(pre + "par", url_params(u))
+                  .withColumn(pre + "q", url_query(u)).withColumn(pre + "f", url_fragment(u)))
+    b, h = F.col(base), F.col(href)
+    bs, bn, bp, bpar, bq = F.col("_bs"), F.col("_bn"), F.col("_bp"), F.col("_bpar"), F.col("_bq")
+    hs = F.when(F.col("_hs") == "", bs).otherwise(F.col("_hs"))
+    hn, hp, hpar, hq, hf = F.col("_hn"), F.col("_hp"), F.col("_hpar"), F.col("_hq"), F.col("_hf")
+    staged = staged.withColumn("_hs2", hs)
+    hs = F.col("_hs2")
     netloc = F.when(hs.isin(NETLOC_SCHEMES) & (hn == ""), bn).otherwise(hn)
     base_dir = F.split(bp, "/")
     base_dir = F.when(F.element_at(base_dir, -1) != "", F.slice(base_dir, 1, F.size(base_dir) - 1)).otherwise(base_dir)
     rel = F.concat(base_dir, F.split(hp, "/"))
-    n = F.size(rel)
+    staged = staged.withColumn("_rel", rel)
+    rel, n = F.col("_rel"), F.size(F.col("_rel"))
     rel = F.when(n > 2, F.concat(F.slice(rel, 1, 1),
                                  F.filter(F.slice(rel, 2, F.greatest(n - 2, F.lit(1))), lambda x: x != ""),
                                  F.slice(rel, -1, 1))).otherwise(rel)
     segs = F.when(hp.startswith("/"), F.split(hp, "/")).otherwise(rel)
-    joined = F.array_join(_resolve_dots(segs), "/")
-    joined = F.when(joined == "", F.lit("/")).otherwise(joined)
+    staged = staged.withColumn("_segs", segs)
+    popped = F.aggregate(
+        F.col("_segs"), F.array().cast("array<string>"),
+        lambda acc, seg: F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(seg == ".", acc)
+        .otherwise(F.concat(acc, F.array(seg))))
+    staged = staged.withColumn("_pop", popped)
+    last = F.element_at(F.col("_segs"), -1)
+    dots = F.when(last.isin(".", ".."), F.concat(F.col("_pop"), F.array(F.lit("")))).otherwise(F.col("_pop"))
+    staged = staged.withColumn("_j0", F.array_join(dots, "/"))
+    staged = staged.withColumn("_joined", F.when(F.col("_j0") == "", F.lit("/")).otherwise(F.col("_j0")))
+    staged = staged.withColumn("_net", netloc)
+
+    def unparse(scheme, net, path, params, query, frag):
+        p = F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
+        p = (F.when(net != "", F.concat(F.lit("//"), net,
+                                        F.when((p != "") & ~p.startswith("/"), F.lit("/")).otherwise(F.lit("")), p))
+             .when(p.startswith("//"), F.concat(F.lit("//"), p))
+             .when((scheme != "") & scheme.isin(NETLOC_SCHEMES) & ((p == "") | p.startswith("/")),
+                   F.concat(F.lit("//"), p))
+             .otherwise(p))
+        o = F.when(scheme != "", F.concat(scheme, F.lit(":"), p)).otherwise(p)
+        o = F.when(query != "", F.concat(o, F.lit("?"), query)).otherwise(o)
+        return F.when(frag != "", F.concat(o, F.lit("#"), frag)).otherwise(o)
 
     no_path = (hp == "") & (hpar == "")
+    base_missing = b.isNull() | (b == "")
+    href_missing = h.isNull() | (h == "")
+    as_is = (hs != bs) | ~hs.isin(RELATIVE_SCHEMES)
+    with_net = hs.isin(NETLOC_SCHEMES) & (hn != "")
     result = (
-        F.when(b.isNull() | (b == ""), h)
-        .when(h.isNull() | (h == ""), b)
-        .when((hs != bs) | ~hs.isin(RELATIVE_SCHEMES), h)
-        .when(hs.isin(NETLOC_SCHEMES) & (hn != ""), unparse(hs, hn, hp, hpar, hq, hf))
-        .when(no_path, unparse(hs, netloc, bp, bpar, F.when(hq != "", hq).otherwise(bq), hf))
-        .otherwise(unparse(hs, netloc, joined, hpar, hq, hf))
+        F.when(base_missing, h)
+        .when(href_missing, b)
+        .when(as_is, h)
+        .when(with_net, unparse(hs, hn, hp, hpar, hq, hf))
+        .when(no_path, unparse(hs, F.col("_net"), bp, bpar, F.when(hq != "", hq).otherwise(bq), hf))
+        .otherwise(unparse(hs, F.col("_net"), F.col("_joined"), hpar, hq, hf))
     )
-    return result
+    # parts of the result, taken from the branch (no re-parsing of the result)
+    href_parts = (F.col("_hs"), hn, hp, hq)
+    base_parts = (bs, bn, bp, bq)
+    branches = [(base_missing, href_parts), (href_missing, base_parts), (as_is, href_parts),
+                (with_net, (hs, hn, hp, hq)),
+                (no_path, (hs, F.col("_net"), bp, F.when(hq != "", hq).otherwise(bq)))]
+    other = (hs, F.col("_net"), F.col("_joined"), hq)
+    for i, name in enumerate(("scheme", "netloc", "path", "query")):
+        expr = None
+        for cond, parts in branches:
+            expr = F.when(cond, parts[i]) if expr is None else expr.when(cond, parts[i])
+        staged = staged.withColumn(f"{out}_{name}", expr.otherwise(other[i]))
+    tmp = ["_bs", "_bn", "_bp", "_bpar", "_bq", "_bf", "_hs", "_hn", "_hp", "_hpar", "_hq", "_hf",
+           "_hs2", "_rel", "_segs", "_pop", "_j0", "_joined", "_net"]
+    return staged.withColumn(out, result).drop(*tmp)

@@ -35,6 +35,7 @@ def get_session(master: str | None = None, app: str = "tidemark") -> SparkSessio
     builder = (
         builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in _DEFAULTS.items():
