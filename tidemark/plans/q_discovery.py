@@ -1 +1,327 @@
-"""Query group (filled in below)."""
+"""Discovery queries (A2, C1-C10) over inputs derived from ``pages``."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import urls as U
+from ..operators import crawl as C
+from ..operators import extract as X
+from ..operators import robots as R
+from ..operators import sitemaps as SM
+from ..session import table
+from ..sources import derived as D
+from . import oracle as O
+from .registry import derive, derive_sql, lines_text, register
+
+AGENT = "tidebot"
+KEYS = ("site", "page_id")
+BASE_TS = "2024-01-01 00:00:00"
+AS_OF = "2024-01-01 03:00:00"
+
+
+# -- robots ---------------------------------------------------------------------
+def _robots(spark, sf) -> DataFrame:
+    return derive(spark, sf, "pages", D.ROBOTS).filter(F.col("body").isNotNull())
+
+
+_LB = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+_SM_RE = O.q(r"(?i)^sitemap:\s*(.+)$")
+_UA_RE = O.q(r"(?i)^user-agent:\s*(.+)$")
+_DIS_RE = O.q(r"(?i)^disallow:\s*(.*)$")
+_DEL_RE = O.q(r"(?i)^crawl-delay:\s*(\d+\.?\d*)$")
+_RULE = "applies AND NOT is_sm AND NOT is_agent"
+
+
+def robots_sql(where_body: str = "body IS NOT NULL") -> str:
+    return f"""
+rb AS (SELECT * FROM ({derive_sql('pages', D.ROBOTS)}) WHERE {where_body}),
+rl AS (SELECT site, page_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS raw
+       FROM (SELECT site, page_id, string_split_regex(body, {_LB}) AS ls FROM rb)),
+rs AS (SELECT site, page_id, pos, {O.py_strip('raw')} AS line FROM rl),
+rf AS (SELECT *, regexp_matches(line, {_SM_RE}) AS is_sm FROM rs WHERE line <> '' AND NOT starts_with(line, '#')),
+rk AS (SELECT *, NOT is_sm AND regexp_matches(line, {_UA_RE}) AS is_agent FROM rf),
+ra AS (SELECT *, coalesce(last_value(CASE WHEN is_agent THEN lower({O.py_strip(f"regexp_extract(line, {_UA_RE}, 1)")}) IN ('*', '{AGENT}') END
+                   IGNORE NULLS) OVER (PARTITION BY site, page_id ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS applies FROM rk),
+rr AS (SELECT site, page_id,
+  coalesce(array_to_string(list({O.py_strip(f"regexp_extract(line, {_SM_RE}, 1)")} ORDER BY pos) FILTER (WHERE is_sm), chr(10)), '') AS sitemap_urls,
+  arg_min(TRY_CAST(regexp_extract(line, {_DEL_RE}, 1) AS DOUBLE), pos)
+    FILTER (WHERE {_RULE} AND NOT regexp_matches(line, {_DIS_RE}) AND regexp_matches(line, {_DEL_RE})) AS crawl_delay,
+  coalesce(array_to_string(list({O.py_strip(f"regexp_extract(line, {_DIS_RE}, 1)")} ORDER BY pos)
+    FILTER (WHERE {_RULE} AND regexp_matches(line, {_DIS_RE}) AND {O.py_strip(f"regexp_extract(line, {_DIS_RE}, 1)")} <> ''), chr(10)), '') AS disallowed_paths
+  FROM ra GROUP BY site, page_id)"""
+
+
+@register("robots_rules", f"WITH {robots_sql()} SELECT * FROM rr")
+def q_robots_rules(spark, sf):
+    r = R.parse_robots(_robots(spark, sf), AGENT, KEYS)
+    return r.select(*KEYS, lines_text("sitemap_urls").alias("sitemap_urls"), "crawl_delay",
+                    lines_text("disallowed_paths").alias("disallowed_paths"))
+
+
+@register("robots_missing", f"""WITH {robots_sql()},
+k AS (SELECT {D.SITE} AS site, page_id FROM pages)
+SELECT k.site, k.page_id, coalesce(rr.sitemap_urls, '') AS sitemap_urls, rr.crawl_delay,
+       coalesce(rr.disallowed_paths, '') AS disallowed_paths
+FROM k LEFT JOIN rr USING (site, page_id)""")
+def q_robots_missing(spark, sf):
+    keys = derive(spark, sf, "pages", [("site", D.SITE), ("page_id", "page_id")])
+    r = R.robots_for(keys, _robots(spark, sf), AGENT, KEYS)
+    return r.select(*KEYS, lines_text("sitemap_urls").alias("sitemap_urls"), "crawl_delay",
+                    lines_text("disallowed_paths").alias("disallowed_paths"))
+
+
+# -- sitemaps ---------------------------------------------------------------------
+def _docs(spark, sf) -> DataFrame:
+    parts = [derive(spark, sf, "pages", D.sitemap_doc_exprs(k), D.SITEMAP_DOC_WHERE.get(k)) for k in D.SITEMAP_DOCS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _docs_sql() -> str:
+    return " UNION ALL ".join(derive_sql("pages", D.sitemap_doc_exprs(k), D.SITEMAP_DOC_WHERE.get(k))
+                              for k in D.SITEMAP_DOCS)
+
+
+def _xml_text(x: str) -> str:
+    t = f"regexp_replace({x}, '<!\\[CDATA\\[|\\]\\]>', '', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+        t = f"replace({t}, {O.q(ent)}, {O.q(ch)})"
+    return f"replace({t}, '&amp;', '&')"
+
+
+def sitemap_sql() -> str:
+    loc = f"regexp_extract(blk, {O.q(SM.LOC_RE)}, 1)"
+    pr = f"regexp_extract(blk, {O.q(SM.PRIORITY_RE)}, 1)"
+    return f"""
+docs AS ({_docs_sql()}),
+bodies AS (SELECT sitemap_url, regexp_matches(body, {O.q(SM.INDEX_RE)}) AS idx FROM docs),
+ub AS (SELECT sitemap_url, generate_subscripts(b, 1) - 1 AS pos, unnest(b) AS blk
+       FROM (SELECT sitemap_url, regexp_extract_all(body, {O.q(SM.URL_BLOCK_RE)}, 1) AS b
+             FROM docs WHERE NOT regexp_matches(body, {O.q(SM.INDEX_RE)}))),
+ue AS (SELECT sitemap_url, pos,
+         CASE WHEN regexp_matches(blk, {O.q(SM.LOC_RE)}) THEN {O.py_strip(_xml_text(loc))} END AS url,
+         TRY_CAST(CASE WHEN regexp_matches(blk, {O.q(SM.PRIORITY_RE)}) THEN {O.py_strip(_xml_text(pr))} END AS DOUBLE) AS priority
+       FROM ub),
+urls AS (SELECT sitemap_url, row_number() OVER (PARTITION BY sitemap_url ORDER BY pos) - 1 AS pos, url, priority
+         FROM ue WHERE starts_with(url, 'http://') OR starts_with(url, 'https://')),
+kb AS (SELECT sitemap_url AS parent_url, generate_subscripts(b, 1) - 1 AS child_pos, unnest(b) AS blk
+       FROM (SELECT sitemap_url, regexp_extract_all(body, {O.q(SM.SITEMAP_BLOCK_RE)}, 1) AS b
+             FROM docs WHERE regexp_matches(body, {O.q(SM.INDEX_RE)}))),
+kids AS (SELECT parent_url, child_pos, {O.py_strip(_xml_text(loc))} AS child_url FROM kb
+         WHERE regexp_matches(blk, {O.q(SM.LOC_RE)}) AND {_xml_text(loc)} <> '')"""
+
+
+def expand_sql(roots: str) -> str:
+    k = "site, page_id, cand_pos"
+    return f"""
+roots AS ({roots}),
+r0 AS (SELECT roots.*, bodies.idx FROM roots JOIN bodies USING (sitemap_url)),
+e0 AS (SELECT {k}, [pos] AS ord, url, priority FROM r0 JOIN urls USING (sitemap_url) WHERE NOT idx),
+c1 AS (SELECT {k}, child_pos AS p1, child_url AS u1 FROM r0 JOIN kids ON r0.sitemap_url = kids.parent_url WHERE r0.idx),
+c1b AS (SELECT c1.*, b.idx FROM c1 LEFT JOIN bodies b ON c1.u1 = b.sitemap_url),
+c2 AS (SELECT {k}, p1, child_pos AS p2, child_url AS u2 FROM c1b JOIN kids ON c1b.u1 = kids.parent_url WHERE c1b.idx),
+e2 AS (SELECT {k}, p1, p2, pos, url, priority FROM c2 JOIN urls ON c2.u2 = urls.sitemap_url),
+n2 AS (SELECT {k}, p1, p2, count(*) AS n FROM e2 GROUP BY ALL),
+kept2 AS (SELECT {k}, p1, p2 FROM (
+  SELECT c2.*, coalesce(sum(coalesce(n2.n, 0)) OVER (PARTITION BY c2.site, c2.page_id, c2.cand_pos, c2.p1 ORDER BY c2.p2
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM c2 LEFT JOIN n2 USING ({k}, p1, p2)) WHERE before < {SM.MAX_ENTRIES}),
+e2k AS (SELECT e2.* FROM e2 JOIN kept2 USING ({k}, p1, p2)),
+e1 AS (SELECT {k}, p1, pos, url, priority FROM c1b JOIN urls ON c1b.u1 = urls.sitemap_url WHERE NOT c1b.idx),
+n1 AS (SELECT {k}, p1, count(*) AS n FROM e1 GROUP BY ALL UNION ALL SELECT {k}, p1, count(*) AS n FROM e2k GROUP BY ALL),
+kept1 AS (SELECT {k}, p1 FROM (
+  SELECT c1.*, coalesce(sum(coalesce(n1.n, 0)) OVER (PARTITION BY c1.site, c1.page_id, c1.cand_pos ORDER BY c1.p1
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM c1 LEFT JOIN n1 USING ({k}, p1)) WHERE before < {SM.MAX_ENTRIES}),
+expanded AS (
+  SELECT * FROM e0
+  UNION ALL SELECT {k}, [p1, pos] AS ord, url, priority FROM e1 JOIN kept1 USING ({k}, p1)
+  UNION ALL SELECT {k}, [p1, p2, pos] AS ord, url, priority FROM e2k JOIN kept1 USING ({k}, p1))"""
+
+
+def _roots(spark, sf, cands) -> DataFrame:
+    parts = [derive(spark, sf, "pages", D.CANDIDATE_KEYS + c) for c in cands]
+    return reduce(DataFrame.unionByName, parts).withColumn("cand_pos", F.col("cand_pos").cast("int"))
+
+
+def _roots_sql(cands) -> str:
+    return " UNION ALL ".join(derive_sql("pages", D.CANDIDATE_KEYS + c) for c in cands)
+
+
+def _ord_text(c="ord"):
+    return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",")
+
+
+@register("sitemap_urls", f"WITH {sitemap_sql()} SELECT sitemap_url, pos, url, priority FROM urls")
+def q_sitemap_urls(spark, sf):
+    return SM.parse_urlsets(_docs(spark, sf)).select("sitemap_url", F.col("pos").cast("bigint").alias("pos"),
+                                                     "url", "priority")
+
+
+_INDEX_ROOT = [D.CANDIDATES[1]]
+
+
+@register("sitemap_index", f"""WITH {sitemap_sql()}, {expand_sql(_roots_sql(_INDEX_ROOT))}
+SELECT site, page_id, array_to_string(ord, ',') AS ord, url, priority FROM expanded""")
+def q_sitemap_index(spark, sf):
+    e = SM.expand_indexes(_docs(spark, sf), _roots(spark, sf, _INDEX_ROOT), KEYS)
+    return e.select(*KEYS, _ord_text().alias("ord"), "url", "priority")
+
+
+_FIRST_SQL = f"""WITH {sitemap_sql()}, {expand_sql(_roots_sql(D.CANDIDATES))},
+firstc AS (SELECT site, page_id, min(cand_pos) AS cand_pos FROM expanded GROUP BY ALL),
+chosen AS (SELECT e.*, r.sitemap_url AS source FROM expanded e JOIN firstc USING (site, page_id, cand_pos)
+           JOIN roots r USING (site, page_id, cand_pos)),
+allkeys AS (SELECT DISTINCT site, page_id FROM roots)"""
+
+
+@register("sitemap_source", _FIRST_SQL + """
+SELECT k.site, k.page_id, coalesce(c.source, 'sitemap') AS source, count(c.url) AS n_entries
+FROM allkeys k LEFT JOIN chosen c USING (site, page_id) GROUP BY ALL""")
+def q_sitemap_source(spark, sf):
+    docs = _docs(spark, sf)
+    cands = _roots(spark, sf, D.CANDIDATES)
+    fs = SM.first_source(SM.expand_indexes(docs, cands, KEYS), cands, KEYS)
+    return fs.groupBy(*KEYS, "source").agg(F.count("url").alias("n_entries"))
+
+
+_DEDUP_SQL = _FIRST_SQL + f""",
+dd AS (SELECT site, page_id, url, min(ord) AS ord, arg_max(priority, ord) AS priority FROM chosen GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY site, page_id ORDER BY ord) AS pos FROM dd)"""
+
+
+@register("sitemap_dedup", _DEDUP_SQL + f"""
+SELECT site, page_id, pos, url, priority FROM ranked WHERE pos <= {SM.MAX_ENTRIES}""")
+def q_sitemap_dedup(spark, sf):
+    return _dedup(spark, sf).select(*KEYS, F.col("pos").cast("bigint").alias("pos"), "url", "priority")
+
+
+def _dedup(spark, sf):
+    docs = _docs(spark, sf)
+    cands = _roots(spark, sf, D.CANDIDATES)
+    fs = SM.first_source(SM.expand_indexes(docs, cands, KEYS), cands, KEYS)
+    return SM.dedup_entries(fs, KEYS)
+
+
+# -- crawl -------------------------------------------------------------------------
+_NODES = [("site", D.SITE), ("page_id", "page_id")]
+
+
+def _graph(spark, sf):
+    nodes = derive(spark, sf, "pages", _NODES)
+    w = Window.partitionBy("site").orderBy("page_id")
+    nodes = nodes.withColumn("r", F.row_number().over(w))
+    links = reduce(DataFrame.unionByName, [D.apply(nodes, e) for e in D.LINK_EXPRS]) \
+        .withColumn("pos", F.col("pos").cast("int"))
+    n = nodes.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    seeds = n.select("site", F.concat(F.lit("https://"), F.col("site"), F.lit("/n/1")).alias("seed_url"),
+                     F.when(F.col("n") % 4 == 0, F.array(F.lit("/n/3"), F.lit("/n")))
+                     .otherwise(F.array(F.lit("/n/3"))).alias("disallowed"))
+    return seeds, links
+
+
+def _graph_sql() -> str:
+    links = " UNION ALL ".join(D.sql("nodes", e) for e in D.LINK_EXPRS)
+    return f"""
+nodes AS (SELECT site, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) AS r
+          FROM ({derive_sql('pages', _NODES)})),
+links AS ({links}),
+seeds AS (SELECT site, 'https://' || site || '/n/1' AS url, count(*) AS n FROM nodes GROUP BY site),
+dis AS (SELECT site, '/n/3' AS prefix FROM seeds UNION ALL SELECT site, '/n' FROM seeds WHERE n % 4 = 0)"""
+
+
+def _skip_sql(t: str) -> str:
+    path = O.u_path(f"{t}.url")
+    asset = O.q("(?i)[.](" + "|".join(U.ASSET_SUFFIXES) + ")$")
+    acct = O.q("(?i)(" + "|".join(U.ACCOUNT_WORDS) + ")")
+    return (f"({O.u_site(f'{t}.url')} <> {t}.site OR regexp_matches({path}, {asset}) OR regexp_matches({path}, {acct}) "
+            f"OR EXISTS (SELECT 1 FROM dis WHERE dis.site = {t}.site AND starts_with({path}, dis.prefix)))")
+
+
+def crawl_sql(max_urls: int = 50) -> str:
+    def level(prev_emit: str, visited: str, name: str, depth: int, offset: str) -> str:
+        return f"""
+{name}_c AS (SELECT e.site, e.rank AS parent_rank, l.pos, l.target AS url
+             FROM {prev_emit} e JOIN links l ON l.url = e.url),
+{name}_m AS (SELECT site, url, min((parent_rank, pos)) AS o FROM {name}_c c
+             WHERE NOT EXISTS (SELECT 1 FROM {visited} v WHERE v.site = c.site AND v.url = c.url) GROUP BY site, url),
+{name}_s AS (SELECT m.*, {_skip_sql('m')} AS skip FROM {name}_m m),
+{name}_e AS (SELECT site, url, {depth} AS depth, rank FROM (
+  SELECT s.site, s.url, row_number() OVER (PARTITION BY s.site ORDER BY s.o, s.url) + coalesce(p.n, 0) AS rank
+  FROM {name}_s s LEFT JOIN {offset} p USING (site) WHERE NOT s.skip) WHERE rank <= {max_urls})"""
+    return f"""{_graph_sql()},
+l0_s AS (SELECT s.site, s.url, {_skip_sql('s')} AS skip FROM seeds s),
+l0_e AS (SELECT site, url, 0 AS depth, 1 AS rank FROM l0_s WHERE NOT skip),
+cv1 AS (SELECT site, url FROM l0_s),
+cn1 AS (SELECT site, count(*) AS n FROM l0_e GROUP BY site),
+{level('l0_e', 'cv1', 'l1', 1, 'cn1')},
+cv2 AS (SELECT site, url FROM cv1 UNION ALL SELECT site, url FROM l1_s),
+cn2 AS (SELECT site, count(*) AS n FROM (SELECT site FROM l0_e UNION ALL SELECT site FROM l1_e) GROUP BY site),
+{level('l1_e', 'cv2', 'l2', 2, 'cn2')},
+crawled AS (SELECT * FROM l0_e UNION ALL SELECT * FROM l1_e UNION ALL SELECT * FROM l2_e)"""
+
+
+@register("crawl_bfs", f"WITH {crawl_sql()} SELECT site, CAST(rank AS INT) AS rank, url, depth FROM crawled")
+def q_crawl_bfs(spark, sf):
+    seeds, links = _graph(spark, sf)
+    out = C.crawl_links(seeds, links, max_depth=2, max_urls=50)
+    return out.select("site", F.col("rank").cast("int").alias("rank"), "url", F.col("depth").cast("int").alias("depth"))
+
+
+@register("discover", f"""WITH {_DEDUP_SQL.removeprefix('WITH ')}, {crawl_sql()},
+firstp AS (SELECT site, min(page_id) AS page_id FROM ({derive_sql('pages', _NODES)}) GROUP BY site),
+sm AS (SELECT r.site, r.pos AS rank, r.url, 0 AS depth, 'sitemap' AS source FROM ranked r JOIN firstp USING (site, page_id)
+       WHERE r.pos <= {SM.MAX_ENTRIES} AND page_id % 2 = 0),
+both_ AS (SELECT * FROM sm UNION ALL
+          SELECT site, rank, url, depth, 'crawl' AS source FROM crawled WHERE site NOT IN (SELECT site FROM sm))
+SELECT site, CAST(rank AS INT) AS rank, url, CAST(depth AS INT) AS depth, source FROM (
+  SELECT site, row_number() OVER (PARTITION BY site ORDER BY rank) AS rank, url, depth, source FROM both_)
+WHERE rank <= 50""")
+def q_discover(spark, sf):
+    dd = _dedup(spark, sf)
+    first = derive(spark, sf, "pages", _NODES).groupBy("site").agg(F.min("page_id").alias("page_id"))
+    entries = dd.join(first, ["site", "page_id"]).filter(F.col("page_id") % 2 == 0).select("site", "pos", "url")
+    seeds, links = _graph(spark, sf)
+    crawled = C.crawl_links(seeds, links, max_depth=2, max_urls=50)
+    out = C.discover(entries, crawled, 50)
+    return out.select("site", F.col("rank").cast("int").alias("rank"), "url",
+                      F.col("depth").cast("int").alias("depth"), "source")
+
+
+# -- C9 freshness --------------------------------------------------------------------
+_CACHE_VALUE = D.case("page_id", ["'{\"entries\": []}'", "'not json'", "NULL", "'{\"entries\": [1]}'"])
+
+
+@register("sitemap_fresh", f"""SELECT 'sitemap:' || url AS key,
+  ({_CACHE_VALUE}) IS NOT NULL AND TIMESTAMP '{BASE_TS}' + to_minutes(CAST(page_id AS BIGINT)) > TIMESTAMP '{AS_OF}' - INTERVAL {SM.CACHE_TTL_S} SECOND AS fresh
+FROM pages""")
+def q_sitemap_fresh(spark, sf):
+    p = derive(spark, sf, "pages", [("key", "'sitemap:' || url"), ("value", _CACHE_VALUE), ("page_id", "page_id")])
+    p = p.withColumn("parsed_at", F.lit(BASE_TS).cast("timestamp") + F.make_dt_interval(mins=F.col("page_id").cast("int")))
+    fresh, stale = SM.split_fresh(p, AS_OF)
+    return (fresh.select("key", F.lit(True).alias("fresh"))
+            .unionByName(stale.select("key", F.lit(False).alias("fresh"))))
+
+
+# -- C10 -------------------------------------------------------------------------------
+def _body_sql() -> str:
+    body = "substr(html, strpos(html, '<body'), CASE WHEN strpos(html, '</body>') > 0 THEN strpos(html, '</body>') - strpos(html, '<body') ELSE length(html) END)"
+    clean = f"regexp_replace(regexp_replace(regexp_replace({body}, '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+    return clean
+
+
+@register("csr_crawl", f"""SELECT page_id,
+  length({O.html_text(_body_sql())}) AS body_text_len,
+  len(regexp_extract_all({_body_sql()}, '<a\\s[^>]*href')) AS body_link_count,
+  len(regexp_extract_all({_body_sql()}, '<a\\s[^>]*href')) < 3 AND length({O.html_text(_body_sql())}) < 500 AS needs_render
+FROM pages WHERE strpos(html, '<body') > 0""")
+def q_csr_crawl(spark, sf):
+    pages = table(spark, sf, "pages")
+    ex = X.crawl_needs_render(X.extract_pages(pages.select("page_id", "url", "html")))
+    return ex.filter(F.col("has_body")).select("page_id", F.col("body_text_len").cast("bigint").alias("body_text_len"),
+                                               F.col("body_link_count").cast("bigint").alias("body_link_count"),
+                                               "needs_render")
