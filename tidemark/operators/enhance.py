@@ -51,24 +51,32 @@ def section_requests(pages: DataFrame, budget: int = SECTION_CONTENT_BUDGET) ->
 
 
 _ENTRY = T.MapType(T.StringType(), T.StringType())
-_REPLY = T.StructType([T.StructField("pages", T.ArrayType(_ENTRY))])
 
 
 def parse_section_replies(replies: DataFrame) -> DataFrame:
     """``replies(request_id, reply, error)`` -> one row per replied url.
 
-    Output: request_id, url, has_title, title, has_description, description,
-    plus ``failed`` per request (call error, unparsable reply, or a matched
-    entry with a present-but-null title/description is decided in F3/F4).
-    Duplicate urls: the last entry wins.
+    An empty reply reads as ``{}``.  A request fails when the call failed,
+    the reply is not a JSON object, or ``pages`` is JSON null.  Entries
+    without ``url`` are ignored; duplicate urls: the last entry wins.
+    Output: request_id, request_failed, url, has_title, r_title,
+    has_description, r_description (present-but-null fields are judged in F3/F4).
     """
-    parsed = replies.withColumn("_p", F.from_json(F.col("reply"), _REPLY))
-    ok = F.col("error").isNull() & F.col("_p").isNotNull() & F.col("reply").rlike(r"^\s*\{")
-    failed = parsed.select("request_id", (~ok).alias("request_failed"))
-    entries = (parsed.filter(ok)
-               .select("request_id", F.posexplode(F.coalesce(F.col("_p.pages"), F.array().cast(T.ArrayType(_ENTRY))))
+    rp = F.coalesce(F.nullif(F.col("reply"), F.lit("")), F.lit("{}"))
+    top = F.from_json(rp, T.MapType(T.StringType(), T.StringType()))
+    staged = replies.withColumn("_m", top).withColumn("_rp", rp)
+    is_obj = F.col("_m").isNotNull() & F.col("_rp").rlike(r"^\s*\{")
+    pages_null = F.map_contains_key(F.col("_m"), "pages") & F.col("_m")["pages"].isNull()
+    ok = F.col("error").isNull() & is_obj & ~F.coalesce(pages_null, F.lit(False))
+    staged = staged.withColumn("request_failed", ~F.coalesce(ok, F.lit(False)))
+    pages_txt = F.col("_m")["pages"]
+    arr = F.when(F.coalesce(pages_txt.rlike(r"^\s*\["), F.lit(False)),
+                 F.from_json(pages_txt, T.ArrayType(_ENTRY)))
+    failed = staged.select("request_id", "request_failed")
+    entries = (staged.filter(~F.col("request_failed"))
+               .select("request_id", F.posexplode(F.coalesce(arr, F.array().cast(T.ArrayType(_ENTRY))))
                        .alias("pos", "e"))
-               .filter(F.map_contains_key("e", "url") & F.col("e")["url"].isNotNull()))
+               .filter(F.col("e").isNotNull() & F.map_contains_key("e", "url") & F.col("e")["url"].isNotNull()))
     last = (entries.groupBy("request_id", F.col("e")["url"].alias("url"))
             .agg(F.max_by("e", "pos").alias("e")))
     out = last.select("request_id", "url",
@@ -138,7 +146,8 @@ def cleaned_from_replies(requests: DataFrame, replies: DataFrame | None) -> Data
 
 
 def attach_cleaned(enhanced: DataFrame, cleaned: DataFrame | None) -> DataFrame:
-    """content of enhanced pages = cleaned text by url (absent -> raw content)."""
+    """content of enhanced pages = cleaned text by url (no cleaned text -> NULL;
+    a failed cleaning call already fell back to the raw content)."""
     if cleaned is None:
         return enhanced
     return (enhanced.join(cleaned, ["site", "url"], "left")

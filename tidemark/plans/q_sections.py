@@ -1 +1,94 @@
-"""Query group (filled in below)."""
+"""Categorization and ordering queries (E1-E5, G1, G3) over derived section paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import assemble as G
+from ..operators import sections as E
+from ..sources import derived as D
+from . import oracle as O
+from .registry import derive, derive_sql, register
+
+# user-supplied rules replacing the defaults (E2 custom)
+CUSTOM_RULES = (
+    E.Rule("Docs", (r"/docs?(/|$)", r"/learn(/|$)"), 5),
+    E.Rule("Money", (r"/pricing(/|$)", r"/plans?(/|$)"), 7),
+    E.Rule("Legal", (r"/legal(/|$)", r"/privacy"), 1),
+)
+
+_SP = f"({derive_sql('pages', D.SECTION_PAGES)})"
+_PATH = f"lower({O.u_path('url')})"
+
+
+def pages(spark, sf):
+    p = derive(spark, sf, "pages", D.SECTION_PAGES)
+    w = Window.partitionBy("site").orderBy("page_id")
+    return p.withColumn("rank", F.row_number().over(w))
+
+
+@register("exclude_pages", f"SELECT page_id, url, regexp_matches({_PATH}, {O.q(O.EXCLUDE_SQL_RE)}) AS excluded FROM {_SP}")
+def q_exclude_pages(spark, sf):
+    return derive(spark, sf, "pages", D.SECTION_PAGES).select("page_id", "url", E.is_excluded(F.col("url")).alias("excluded"))
+
+
+@register("url_section", f"SELECT page_id, url, {O.rule_case(_PATH)} AS section FROM {_SP}")
+def q_url_section(spark, sf):
+    p = derive(spark, sf, "pages", D.SECTION_PAGES)
+    return E.with_section(p).select("page_id", "url", "section")
+
+
+@register("url_section_custom", f"SELECT page_id, url, {O.rule_case(_PATH, CUSTOM_RULES)} AS section FROM {_SP}")
+def q_url_section_custom(spark, sf):
+    p = derive(spark, sf, "pages", D.SECTION_PAGES)
+    return E.with_section(p, CUSTOM_RULES).select("page_id", "url", "section")
+
+
+_FIRST = f"regexp_extract({_PATH}, '^/*([^/]+)', 1)"
+
+
+@register("fallback_section", f"""SELECT page_id, {_PATH} AS path,
+  CASE WHEN {_FIRST} = '' THEN 'Pages' ELSE {O.py_title(f"translate({_FIRST}, '-_', '  ')")} END AS fallback FROM {_SP}""")
+def q_fallback_section(spark, sf):
+    p = derive(spark, sf, "pages", D.SECTION_PAGES)
+    path = E.lower_path(F.col("url"))
+    return p.select("page_id", path.alias("path"), E.fallback_section(path).alias("fallback"))
+
+
+_CAT_SQL = f"""WITH ex AS (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank,
+                           CAST(NULL AS VARCHAR) AS error FROM {_SP}),
+{O.categorized_sql()}"""
+
+
+@register("sections_final", _CAT_SQL + """
+SELECT site, page_id, section, moved, CASE WHEN moved THEN first_rank ELSE 0 END AS first_rank, rank FROM cat""")
+def q_sections_final(spark, sf):
+    c = E.categorize(pages(spark, sf))
+    return c.select("site", "page_id", "section", F.col("sec_order.moved").cast("boolean").alias("moved"),
+                    F.col("sec_order.first").cast("bigint").alias("first_rank"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("section_sizes", _CAT_SQL + " SELECT site, section, count(*) AS n_pages FROM cat GROUP BY ALL")
+def q_section_sizes(spark, sf):
+    return E.section_sizes(E.categorize(pages(spark, sf)))
+
+
+@register("section_order", _CAT_SQL + f"""
+SELECT site, section, CAST(dense_rank() OVER (PARTITION BY site ORDER BY {O.section_key_sql('section')}) AS INT) AS section_pos
+FROM (SELECT DISTINCT site, section FROM cat)""")
+def q_section_order(spark, sf):
+    c = E.categorize(pages(spark, sf)).select("site", "section").distinct()
+    w = Window.partitionBy("site").orderBy(G.section_sort_key("section"))
+    return c.withColumn("section_pos", F.dense_rank().over(w).cast("int"))
+
+
+@register("topk_section", _CAT_SQL + """
+SELECT site, section, page_id, pos FROM (
+  SELECT site, section, page_id, row_number() OVER (PARTITION BY site, section
+         ORDER BY moved, CASE WHEN moved THEN first_rank ELSE 0 END, rank) AS pos FROM cat) WHERE pos <= 5""")
+def q_topk_section(spark, sf):
+    c = E.categorize(pages(spark, sf))
+    top = G.top_per_section(c, 5)
+    w = Window.partitionBy("site", "section").orderBy("sec_order")
+    return top.withColumn("pos", F.row_number().over(w)).select("site", "section", "page_id", F.col("pos").cast("bigint"))
