@@ -1 +1,218 @@
-"""Query group (filled in below)."""
+"""Admission and progress-event queries (A5, I1-I7), batch and stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import admission as A
+from ..operators import jobs as J
+from ..operators import progress as P
+from ..sources import derived as D
+from ..sources import tables as TB
+from ..streaming import streams as ST
+from . import oracle as O
+from .q_jobs import JOBS_SQL, jobs
+from .registry import derive, derive_sql, register, ts_sql, ts_text
+
+LIMIT = 2          # low limit so the events table exercises rejections
+WINDOW_S = 86400   # one day, the product default window
+SESSION_GAP_S = 3600
+
+EVENTS_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+])
+_TERM = O.sql_list(J.TERMINAL_STATUSES)
+
+
+def progress(spark, sf):
+    return derive(spark, sf, "events", D.PROGRESS)
+
+
+def progress_stream(spark, sf):
+    raw = ST.file_stream(spark, sf, "events", EVENTS_SCHEMA)
+    return D.apply(raw, D.PROGRESS)
+
+
+_PROG = f"prog AS ({derive_sql('events', D.PROGRESS)})"
+_REQ = f"req0 AS ({derive_sql('events', D.REQUESTS)})"
+
+# -- I1 -----------------------------------------------------------------------------------
+RATE_SQL = f"""WITH RECURSIVE {_REQ},
+req AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS i FROM req0),
+r AS (
+  SELECT key, i, event_id, ts, [ts] AS state, true AS allowed, CAST({LIMIT} - 1 AS BIGINT) AS remaining,
+         CAST(NULL AS TIMESTAMP) AS reset_at
+  FROM req WHERE i = 1
+  UNION ALL
+  SELECT q.key, q.i, q.event_id, q.ts,
+    CASE WHEN len(f.s) < {LIMIT} THEN CASE WHEN list_contains(f.s, q.ts) THEN f.s ELSE list_append(f.s, q.ts) END ELSE f.s END,
+    len(f.s) < {LIMIT},
+    CAST(CASE WHEN len(f.s) < {LIMIT} THEN greatest(0, {LIMIT} - len(f.s) - 1) ELSE 0 END AS BIGINT),
+    CASE WHEN len(f.s) >= {LIMIT} THEN CASE WHEN len(f.s) > 0 THEN list_min(f.s) ELSE q.ts END + INTERVAL {WINDOW_S} SECOND END
+  FROM r JOIN req q ON q.key = r.key AND q.i = r.i + 1,
+       LATERAL (SELECT list_filter(r.state, lambda x: x > q.ts - INTERVAL {WINDOW_S} SECOND) AS s) f
+)
+SELECT event_id, key, {ts_sql('ts')} AS ts, allowed, remaining, {ts_sql('reset_at')} AS reset_at FROM r"""
+
+
+def _rate_out(df):
+    return df.select("event_id", "key", ts_text("ts").alias("ts"), "allowed",
+                     F.col("remaining").cast("bigint").alias("remaining"), ts_text("reset_at").alias("reset_at"))
+
+
+@register("rate_limit", RATE_SQL)
+def q_rate_limit(spark, sf):
+    req = derive(spark, sf, "events", D.REQUESTS)
+    return _rate_out(A.admit(req, limit=LIMIT, window_s=WINDOW_S, key="key", ts="ts", tie="event_id"))
+
+
+@register("rate_limit_stream", RATE_SQL)
+def q_rate_limit_stream(spark, sf):
+    raw = ST.file_stream(spark, sf, "events", EVENTS_SCHEMA)
+    req = D.apply(raw, D.REQUESTS)
+    out = ST.run_available_now(ST.admit_stream(req, LIMIT, WINDOW_S, key="key", tie="event_id"))
+    return _rate_out(out)
+
+
+# -- A5: progress messages as JSON text, parsed back (bad JSON dropped) ------------------------
+_MSG = ("CASE WHEN event_id % 13 = 0 THEN '{not json' ELSE '{\"job_id\": \"job-' || CAST(user_id AS STRING) || "
+        "'\", \"phase\": \"' || event_type || '\", \"message\": \"m' || CAST(event_id AS STRING) || "
+        "'\", \"completed\": ' || CAST(event_id % 50 AS STRING) || ', \"total\": 50}' END")
+
+
+@register("progress_parse", f"""SELECT json_extract_string(v, '$.job_id') AS job_id, json_extract_string(v, '$.phase') AS phase,
+  json_extract_string(v, '$.message') AS message, CAST(json_extract(v, '$.completed') AS INT) AS completed,
+  CAST(json_extract(v, '$.total') AS INT) AS total
+FROM (SELECT {_MSG} AS v FROM events) WHERE json_valid(v)""")
+def q_progress_parse(spark, sf):
+    raw = derive(spark, sf, "events", [("value", _MSG)])
+    return TB.parse_progress(raw).select("job_id", "phase", "message", "completed", "total")
+
+
+# -- I2 ---------------------------------------------------------------------------------------
+@register("latest_progress", f"""WITH {_PROG},
+m AS (SELECT max(ts) AS as_of FROM prog),
+l AS (SELECT job_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(phase, (ts, event_id)) AS phase,
+             max(ts) AS ts FROM prog GROUP BY job_id)
+SELECT job_id, event_id, phase, {ts_sql('ts')} AS ts, ts > (SELECT as_of FROM m) - INTERVAL {P.PROGRESS_TTL_S} SECOND AS live FROM l""")
+def q_latest_progress(spark, sf):
+    ev = progress(spark, sf)
+    as_of = ev.agg(F.max("ts")).first()[0]
+    lp = P.latest_progress(ev, as_of=F.lit(as_of))
+    return lp.select("job_id", "event_id", "phase", ts_text("ts").alias("ts"), "live")
+
+
+@register("latest_progress_stream", f"""WITH {_PROG}
+SELECT job_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(phase, (ts, event_id)) AS phase,
+       {ts_sql('max(ts)')} AS ts FROM prog GROUP BY job_id""")
+def q_latest_progress_stream(spark, sf):
+    out = ST.run_available_now(ST.latest_progress_stream(progress_stream(spark, sf)), mode="update")
+    return out.select("job_id", "event_id", "phase", ts_text("ts").alias("ts"))
+
+
+# -- I3 -----------------------------------------------------------------------------------------
+_ROUTE = f"""{_PROG},
+ft AS (SELECT job_id, min((ts, event_id)) FILTER (WHERE phase IN {_TERM}) AS ft FROM prog GROUP BY job_id),
+routed AS (SELECT p.*, CASE WHEN p.phase IN {_TERM} AND (p.ts, p.event_id) = f.ft THEN 'complete' ELSE 'progress' END AS kind
+           FROM prog p JOIN ft f USING (job_id) WHERE f.ft IS NULL OR (p.ts, p.event_id) <= f.ft)"""
+
+
+@register("event_route", f"""WITH {JOBS_SQL}, {_ROUTE}
+SELECT r.job_id, r.event_id, r.phase, {ts_sql('r.ts')} AS ts, r.kind,
+       CASE WHEN r.kind = 'complete' THEN j.status END AS job_status
+FROM routed r LEFT JOIN jobs j ON j.id = r.job_id""")
+def q_event_route(spark, sf):
+    r = P.route_events(progress(spark, sf), jobs(spark, sf))
+    return r.select("job_id", "event_id", "phase", ts_text("ts").alias("ts"), "kind", "job_status")
+
+
+@register("event_route_stream", f"WITH {_ROUTE} SELECT job_id, event_id, phase, {ts_sql('ts')} AS ts, kind FROM routed")
+def q_event_route_stream(spark, sf):
+    out = ST.run_available_now(ST.route_stream(progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))))
+    return out.select("job_id", "event_id", "phase", ts_text("ts").alias("ts"), "kind")
+
+
+# -- I4 -------------------------------------------------------------------------------------------
+_STALLS = f"""WITH {_PROG},
+n AS (SELECT job_id, ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next_ts FROM prog)
+SELECT job_id, {ts_sql('ts')} AS stall_start, {ts_sql('next_ts')} AS stall_end, epoch_us(next_ts) - epoch_us(ts) AS gap_us
+FROM n WHERE next_ts IS NOT NULL AND epoch_us(next_ts) - epoch_us(ts) > {P.STALL_GAP_S * 1000000}"""
+
+
+def _stall_out(df):
+    return df.select("job_id", ts_text("stall_start").alias("stall_start"), ts_text("stall_end").alias("stall_end"),
+                     F.col("gap_us").cast("bigint").alias("gap_us"))
+
+
+@register("stalls", _STALLS)
+def q_stalls(spark, sf):
+    return _stall_out(P.stalls(progress(spark, sf)))
+
+
+@register("stalls_stream", _STALLS)
+def q_stalls_stream(spark, sf):
+    ev = progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _stall_out(ST.run_available_now(ST.stall_stream(ev)))
+
+
+# -- I5 ---------------------------------------------------------------------------------------------
+@register("job_timeouts", f"""WITH {_PROG},
+a AS (SELECT job_id, min(ts) AS start_ts, min(ts) FILTER (WHERE phase IN {_TERM}) AS terminal_ts,
+             arg_min(phase, ts) FILTER (WHERE phase IN {_TERM}) AS terminal_phase FROM prog GROUP BY job_id),
+b AS (SELECT *, start_ts + INTERVAL {P.STREAM_TIMEOUT_S} SECOND AS deadline FROM a),
+c AS (SELECT *, terminal_ts IS NULL OR terminal_ts > deadline AS timed_out FROM b)
+SELECT job_id, {ts_sql('start_ts')} AS start_ts, {ts_sql('deadline')} AS deadline, {ts_sql('terminal_ts')} AS terminal_ts,
+  timed_out, CASE WHEN timed_out THEN 'failed' ELSE terminal_phase END AS status,
+  CASE WHEN timed_out THEN {O.q(P.TIMEOUT_ERROR)} END AS error_message FROM c""")
+def q_job_timeouts(spark, sf):
+    t = P.job_timeouts(progress(spark, sf))
+    return t.select("job_id", ts_text("start_ts").alias("start_ts"), ts_text("deadline").alias("deadline"),
+                    ts_text("terminal_ts").alias("terminal_ts"), "timed_out", "status", "error_message")
+
+
+@register("job_timeouts_stream")
+def q_job_timeouts_stream(spark, sf):
+    ev = progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ST.run_available_now(ST.timeout_stream(ev))
+    return out.select("job_id", ts_text("start_ts").alias("start_ts"), "timed_out", "status")
+
+
+# -- I6 ------------------------------------------------------------------------------------------------
+@register("reconcile", f"""WITH {JOBS_SQL}, {_PROG},
+l AS (SELECT job_id, arg_max(phase, (ts, event_id)) AS event_phase FROM prog GROUP BY job_id),
+j AS (SELECT coalesce(l.job_id, t.id) AS job_id, l.event_phase, t.status AS table_status
+      FROM l FULL OUTER JOIN jobs t ON t.id = l.job_id)
+SELECT job_id, event_phase, table_status,
+  CASE WHEN event_phase IN {_TERM} THEN event_phase WHEN table_status IN {_TERM} THEN table_status
+       ELSE coalesce(event_phase, table_status) END AS status,
+  CASE WHEN event_phase IN {_TERM} THEN 'event' WHEN table_status IN {_TERM} THEN 'table'
+       WHEN event_phase IS NOT NULL THEN 'event' ELSE 'table' END AS source FROM j""")
+def q_reconcile(spark, sf):
+    lp = P.latest_progress(progress(spark, sf))
+    return P.reconcile(lp, jobs(spark, sf))
+
+
+# -- I7 --------------------------------------------------------------------------------------------------
+@register("job_sessions", f"""WITH {_PROG},
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > {SESSION_GAP_S * 1000000}
+                     THEN 1 ELSE 0 END AS new FROM prog WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM g)
+SELECT job_id, session, {ts_sql('min(ts)')} AS session_start, {ts_sql('max(ts)')} AS session_end, count(*) AS n_events,
+       count(DISTINCT phase) AS n_phases, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us
+FROM s GROUP BY job_id, session""")
+def q_job_sessions(spark, sf):
+    s = P.job_sessions(progress(spark, sf), gap_s=SESSION_GAP_S)
+    return s.select("job_id", F.col("session").cast("bigint"), ts_text("session_start").alias("session_start"),
+                    ts_text("session_end").alias("session_end"), "n_events", "n_phases",
+                    F.col("duration_us").cast("bigint"))
+
+
+@register("job_sessions_stream")
+def q_job_sessions_stream(spark, sf):
+    ev = progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ST.run_available_now(ST.session_stream(ev, SESSION_GAP_S))
+    return out.select("job_id", ts_text("session_start").alias("session_start"),
+                      ts_text("session_end").alias("session_end"), "n_events", "duration_us")

@@ -182,3 +182,69 @@ def q_soft_404(spark, sf):
     t, de = (F.split_part(F.col("text"), F.lit("\n"), F.lit(i)) for i in (1, 2))
     return d.select("doc_id", PS.soft_404_hit(t, de).alias("http_hit"),
                     PS.soft_404_hit(t, de, F.col("text")).alias("rendered_hit"))
+
+
+# -- D13: re-render merge over fetches with CSR shells and blocked statuses -------------------
+_SHELL_FETCH = "'<html><head><title>App</title></head><body><div id=\"root\"></div></body></html>'"
+_FETCHES = [(a, f"CASE WHEN page_id % 9 = 5 THEN {_SHELL_FETCH} ELSE html END" if a == "html" else e)
+            for a, e in D.FETCHES]
+_RENDERED = [("url", "url"),
+             ("status", "CASE WHEN page_id % 4 = 1 THEN 0 ELSE 200 END"),
+             ("html", "CASE WHEN page_id % 4 = 2 THEN replace(html, '<title>', '<title>Not Found: ') ELSE html END"),
+             ("error", "CASE WHEN page_id % 4 = 1 THEN 'Timeout 30000ms exceeded' END")]
+
+
+def _http_rows(spark, sf):
+    c = PS.classify_fetch(derive(spark, sf, "pages", _FETCHES))
+    ex = X.with_content(X.with_csr(X.extract_pages(c.select("page_id", "url", "html"))))
+    ex = ex.join(c.select("page_id", "fetch_status", "error"), "page_id")
+    good = PS.flag_soft_404(ex.filter(F.col("error").isNull()), use_content=False)
+    bad = ex.filter(F.col("error").isNotNull()).withColumn("is_js_rendered", F.lit(False)) \
+        .withColumn("title", F.lit(None).cast("string")).withColumn("description", F.lit(None).cast("string")) \
+        .withColumn("content_text", F.lit(None).cast("string"))
+    cols = ["page_id", "url", "title", "description", "content_text", "is_js_rendered", "fetch_status", "error"]
+    return good.select(*cols).unionByName(bad.select(*cols))
+
+
+def _rendered_rows(spark, sf, need):
+    r = derive(spark, sf, "pages", _RENDERED).join(need.select("url"), "url", "left_semi")
+    ok = r.filter(F.col("error").isNull())
+    ex = X.with_content(X.extract_pages(ok.select("url", "html")))
+    ex = ex.join(ok.select("url", F.col("status").alias("fetch_status")), "url")
+    ex = ex.withColumn("error", F.lit(None).cast("string"))
+    ex = PS.flag_soft_404(ex, use_content=True)
+    failed = r.filter(F.col("error").isNotNull()).select(
+        "url", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"),
+        F.lit(None).cast("string").alias("content_text"), F.col("status").alias("fetch_status"), "error")
+    cols = ["url", "title", "description", "content_text", "fetch_status", "error"]
+    return ex.select(*cols).unionByName(failed.select(*cols))
+
+
+@register("rerender_merge")
+def q_rerender_merge(spark, sf):
+    http = _http_rows(spark, sf)
+    need = PS.needs_render(http)
+    merged = PS.merge_rendered(http, _rendered_rows(spark, sf, need))
+    return merged.select("page_id", "url", "fetch_status", "is_js_rendered", "error", "title")
+
+
+# -- A6: document sink, written to the shared checkpoint area and read back -----------------------
+@register("docs_sink")
+def q_docs_sink(spark, sf):
+    import os
+    import uuid
+
+    from ..operators import assemble as G
+    from ..operators import sections as E
+    from ..session import ensure_checkpoint_dir
+    from ..sources import tables as TB
+    from . import site_docs as SD
+
+    pages = table(spark, sf, "pages")
+    ex = SD.extracted_pages(pages)
+    docs = SD.index_documents(pages)
+    metrics = G.run_metrics(ex, E.categorize(ex), None, "default")
+    path = os.path.join(ensure_checkpoint_dir(spark), "sink", uuid.uuid4().hex)
+    TB.write_documents(docs, metrics, path)
+    back = spark.read.parquet(f"{path}/docs").join(spark.read.parquet(f"{path}/meta"), "site")
+    return back.select("site", F.length("doc").alias("doc_chars"), "meta")
