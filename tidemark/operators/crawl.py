@@ -57,6 +57,9 @@ def crawl_links(seeds: DataFrame, links: DataFrame, max_depth: int = DEFAULT_MAX
     target)`` keyed by the *normalized* page URL (a missing page has no
     links).  Output ``(site, rank, url, depth, source='crawl')``.
     """
+    if checkpoint:
+        # the link table is read once per level: materialize it once
+        links = cut_lineage(links.select("url", "pos", "target"))
     base = seeds.select("site", U.url_netloc(F.col("seed_url")).alias("base_netloc"),
                         F.coalesce(F.col("disallowed"), F.array().cast("array<string>")).alias("disallowed"))
     lvl = seeds.select("site", U.normalize_url(F.col("seed_url")).alias("url"))

@@ -62,33 +62,33 @@ EXTRACT_SCHEMA = T.StructType([
 # per-page rules (run inside the task)
 # ---------------------------------------------------------------------------
 
-def _meta(root, value: str, name_attr: str = "property"):
-    tag = root.find(lambda n: n.tag == "meta" and n.attrs.get(name_attr) == value)
+def _meta(idx, value: str, name_attr: str = "property"):
+    tag = next((m for m in idx.meta if m.attrs.get(name_attr) == value), None)
     if tag is None:
-        tag = root.find(lambda n: n.tag == "meta" and n.attrs.get("name") == value)
+        tag = next((m for m in idx.meta if m.attrs.get("name") == value), None)
     if tag is not None and tag.attrs.get("content"):
         return tag.attrs["content"].strip()
     return None
 
 
-def _title(root):
-    t = root.find(lambda n: n.tag == "title")
+def _title(idx):
+    t = idx.tag.get("title")
     if t is not None:
         s = t.single_string()
         if s:
             return s.strip()
-    h1 = root.find(lambda n: n.tag == "h1")
+    h1 = idx.tag.get("h1")
     return h1.text() if h1 is not None else None
 
 
-def _description(root):
-    d = _meta(root, "description", name_attr="name")
+def _description(idx):
+    d = _meta(idx, "description", name_attr="name")
     if d:
         return d[:MAX_DESCRIPTION_LENGTH]
-    d = _meta(root, "og:description")
+    d = _meta(idx, "og:description")
     if d:
         return d[:MAX_DESCRIPTION_LENGTH]
-    p = root.find(lambda n: n.tag == "p")
+    p = idx.tag.get("p")
     if p is not None:
         text = p.text()
         if len(text) > MIN_PARAGRAPH_TEXT:
@@ -113,28 +113,51 @@ def _is_noise(n) -> bool:
     return False
 
 
-def _drop_noise(node):
-    node.children = [c for c in node.children if isinstance(c, str) or not _is_noise(c)]
+def _drop_noise(node, removed: set):
+    kept = []
     for c in node.children:
+        if isinstance(c, str) or not _is_noise(c):
+            kept.append(c)
+        else:
+            removed.add(id(c))
+    node.children = kept
+    for c in kept:
         if isinstance(c, htmltree.Node):
-            _drop_noise(c)
+            _drop_noise(c, removed)
 
 
-def _candidate(root, kind, value):
-    if kind == "tag":
-        return root.find(lambda n: n.tag == value)
-    if kind == "role":
-        return root.find(lambda n: n.attrs.get("role") == value)
-    if kind == "id":
-        return root.find(lambda n: n.attrs.get("id") == value)
-    return root.find(lambda n: value in n.classes().split(" "))
+def _alive(n, removed: set) -> bool:
+    while n is not None:
+        if id(n) in removed:
+            return False
+        n = n.parent
+    return True
 
 
-def _content_root(root):
+def _candidate(root, idx, removed, kind, value):
+    if kind == "tag":
+        first, pred = idx.tag.get(value), (lambda n: n.tag == value)
+    elif kind == "role":
+        first, pred = idx.role.get(value), (lambda n: n.attrs.get("role") == value)
+    elif kind == "id":
+        first, pred = idx.id.get((None, value)), (lambda n: n.attrs.get("id") == value)
+    else:
+        first, pred = idx.cls.get(value), (lambda n: value in n.classes().split(" "))
+    if first is None:
+        return None
+    if _alive(first, removed):
+        return first
+    return root.find(pred)  # first match was removed as noise: search the pruned tree
+
+
+def _content_root(root, idx, removed):
     for kind, value in CONTENT_CANDIDATES:
-        el = _candidate(root, kind, value)
+        el = _candidate(root, idx, removed, kind, value)
         if el is not None and len(el.text()) > MIN_CONTENT_TEXT:
             return el
+    body = idx.tag.get("body")
+    if body is not None and _alive(body, removed):
+        return body
     body = root.find(lambda n: n.tag == "body")
     return body if body is not None else root
 
@@ -266,19 +289,18 @@ def to_markdown(node) -> str:
 
 
 def extract_one(url: str, doc: str) -> dict:
-    root = htmltree.parse(doc)
-    body = root.find(lambda n: n.tag == "body")
-    root_div = root.find(lambda n: n.tag == "div" and n.attrs.get("id") == "root") or \
-        root.find(lambda n: n.tag == "div" and n.attrs.get("id") == "app")
+    root, idx = htmltree.parse_indexed(doc)
+    body = idx.tag.get("body")
+    root_div = idx.id.get(("div", "root")) or idx.id.get(("div", "app"))
     links = [n.attrs["href"] for n in root.iter() if n.tag == "a" and "href" in n.attrs]
     out = {
         "url": url,
-        "title": _title(root),
-        "description": _description(root),
-        "og_title": _meta(root, "og:title"),
-        "og_description": _meta(root, "og:description"),
-        "og_type": _meta(root, "og:type"),
-        "og_image": _meta(root, "og:image"),
+        "title": _title(idx),
+        "description": _description(idx),
+        "og_title": _meta(idx, "og:title"),
+        "og_description": _meta(idx, "og:description"),
+        "og_type": _meta(idx, "og:type"),
+        "og_image": _meta(idx, "og:image"),
         "links": links,
         "has_body": body is not None,
         "body_text_len": len(body.text()) if body is not None else None,
@@ -287,12 +309,13 @@ def extract_one(url: str, doc: str) -> dict:
         "body_child_count": (sum(1 for c in body.children if isinstance(c, htmltree.Node)
                                  and c.tag not in ("script", "style", "link"))
                              if body is not None else None),
-        "has_next_div": root.find(lambda n: n.tag == "div" and n.attrs.get("id") == "__next") is not None,
+        "has_next_div": ("div", "__next") in idx.id,
         "root_text_len": len(root_div.text()) if root_div is not None else None,
-        "has_noscript": root.find(lambda n: n.tag == "noscript") is not None,
+        "has_noscript": "noscript" in idx.tag,
     }
-    _drop_noise(root)
-    out["markdown"] = to_markdown(_content_root(root))
+    removed: set = set()
+    _drop_noise(root, removed)
+    out["markdown"] = to_markdown(_content_root(root, idx, removed))
     return out
 
 
@@ -313,6 +336,17 @@ def _arrow_schema():
 _ARROW_SCHEMA = _arrow_schema()
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a CPU-heavy per-row stage at least one partition per core.
+
+    At scale the scan already yields far more partitions than cores and
+    this is a no-op; a small input stored as one row group would otherwise
+    run on a single core.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def extract_pages(snapshots: DataFrame) -> DataFrame:
     """``(url, html, ...)`` -> one row per page with fields and measures.
 
@@ -320,6 +354,7 @@ def extract_pages(snapshots: DataFrame) -> DataFrame:
     by a narrow re-join on the row position inside the same task: the Python
     pass sees only ``url`` and ``html``.
     """
+    snapshots = spread(snapshots)
     keys = [c for c in snapshots.columns if c not in ("url", "html")]
     if not keys:
         return snapshots.select("url", "html").mapInArrow(_extract_batches, EXTRACT_SCHEMA)

@@ -88,12 +88,41 @@ class Node:
         return " ".join((self.attrs.get("class") or "").split())
 
 
+class Index:
+    """First element per tag / id / class token / role, and all meta tags,
+    recorded while parsing so every lookup of the extraction rules is O(1)."""
+
+    __slots__ = ("tag", "id", "cls", "role", "meta")
+
+    def __init__(self):
+        self.tag: dict = {}
+        self.id: dict = {}
+        self.cls: dict = {}
+        self.role: dict = {}
+        self.meta: list = []
+
+    def add(self, node):
+        self.tag.setdefault(node.tag, node)
+        a = node.attrs
+        if "id" in a:
+            self.id.setdefault((node.tag, a["id"]), node)
+            self.id.setdefault((None, a["id"]), node)
+        if a.get("class"):
+            for c in a["class"].split():
+                self.cls.setdefault(c, node)
+        if "role" in a:
+            self.role.setdefault(a["role"], node)
+        if node.tag == "meta":
+            self.meta.append(node)
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("[document]", {}, None)
         self.stack = [self.root]
         self._in_title = False
+        self.index = Index()
 
     def handle_starttag(self, tag, attrs):
         if self._in_title:
@@ -102,6 +131,7 @@ class _Builder(HTMLParser):
         parent = self.stack[-1]
         node = Node(tag, {k: ("" if v is None else v) for k, v in attrs}, parent)
         parent.children.append(node)
+        self.index.add(node)
         if tag in VOID_ELEMENTS:
             return
         self.stack.append(node)
@@ -114,7 +144,9 @@ class _Builder(HTMLParser):
             self._text(self.get_starttag_text() or "")
             return
         parent = self.stack[-1]
-        parent.children.append(Node(tag, {k: ("" if v is None else v) for k, v in attrs}, parent))
+        node = Node(tag, {k: ("" if v is None else v) for k, v in attrs}, parent)
+        parent.children.append(node)
+        self.index.add(node)
 
     def handle_endtag(self, tag):
         if self._in_title:
@@ -143,10 +175,15 @@ class _Builder(HTMLParser):
 
 
 def parse(doc: str) -> Node:
+    return parse_indexed(doc)[0]
+
+
+def parse_indexed(doc: str):
+    """-> (root, Index).  The index reflects the document before any removal."""
     b = _Builder()
     try:
         b.feed(doc or "")
         b.close()
     except Exception:  # malformed markup: keep what was built
         pass
-    return b.root
+    return b.root, b.index

@@ -75,9 +75,13 @@ def fallback_section(path) -> Column:
     return F.when(first == "", F.lit(CATCH_ALL)).otherwise(name)
 
 
-def match_section(url, rules=DEFAULT_RULES) -> Column:
-    """E2 + E3: rule section in priority order, else the fallback name."""
-    path = lower_path(url)
+def match_section(url, rules=DEFAULT_RULES, path=None) -> Column:
+    """E2 + E3: rule section in priority order, else the fallback name.
+
+    ``path`` may be a precomputed lower-cased path column (computed once
+    instead of once per rule branch).
+    """
+    path = lower_path(url) if path is None else path
     expr = None
     for rule in _ordered(rules):
         cond = path.rlike(rule_regex(rule))
@@ -93,12 +97,14 @@ def is_excluded(url) -> Column:
 def drop_excluded(pages: DataFrame) -> DataFrame:
     """Error rows and auth/utility paths are removed."""
     err = F.col("error").isNull() if "error" in pages.columns else F.lit(True)
-    return pages.filter(err & ~is_excluded(F.col("url")))
+    staged = pages.withColumn("_lpath", lower_path(F.col("url")))
+    return staged.filter(err & ~F.col("_lpath").rlike(EXCLUDE_RE)).drop("_lpath")
 
 
 def with_section(pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """Add ``section`` (raw, before consolidation)."""
-    return pages.withColumn("section", match_section(F.col("url"), rules))
+    staged = pages.withColumn("_lpath", lower_path(F.col("url")))
+    return staged.withColumn("section", match_section(F.col("url"), rules, F.col("_lpath"))).drop("_lpath")
 
 
 def consolidate(pages: DataFrame, rules=DEFAULT_RULES, min_size: int = MIN_SECTION_SIZE) -> DataFrame:

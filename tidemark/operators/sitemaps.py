@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_ENTRIES = 500
 MAX_DEPTH = 3
 CACHE_TTL_S = 3600
@@ -80,7 +82,7 @@ def _kept_children(children: DataFrame, counts: DataFrame, keys: list, max_entri
 
 
 def expand_indexes(docs: DataFrame, roots: DataFrame, keys=("site",),
-                   max_entries: int = MAX_ENTRIES) -> DataFrame:
+                   max_entries: int = MAX_ENTRIES, materialize: bool = True) -> DataFrame:
     """Entries reachable from each root, depth-first in order.
 
     ``roots(keys..., cand_pos, sitemap_url)``; output
@@ -92,6 +94,9 @@ def expand_indexes(docs: DataFrame, roots: DataFrame, keys=("site",),
     urls = parse_urlsets(docs)
     kids = index_children(docs)
     bodies = docs.select("sitemap_url", is_index(F.col("body")).alias("idx"))
+    if materialize:
+        # each parsed form feeds two or three of the depth joins: parse once
+        urls, kids, bodies = cut_lineage(urls), cut_lineage(kids), cut_lineage(bodies)
 
     # depth 0
     r0 = roots.join(bodies, "sitemap_url")

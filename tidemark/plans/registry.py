@@ -43,11 +43,18 @@ def lines_text(c) -> Column:
     return F.array_join(c, "\n")
 
 
+HEAVY_TABLES = ("pages", "documents")
+
+
 def derive(spark: SparkSession, sf: str, name: str, exprs, where: str | None = None) -> DataFrame:
     df = table(spark, sf, name)
     if where:
         df = df.filter(where)
-    return D.apply(df, exprs)
+    out = D.apply(df, exprs)
+    if name in HEAVY_TABLES:
+        from ..operators.extract import spread
+        out = spread(out)
+    return out
 
 
 def derive_sql(name: str, exprs, where: str | None = None) -> str:

@@ -68,7 +68,12 @@ def extracted_pages(pages: DataFrame, max_urls: int = DEFAULT_MAX_URLS,
     ex = PS.flag_soft_404(ex, use_content=False)
     w = Window.partitionBy("site").orderBy("page_id")
     ex = ex.withColumn("rank", F.row_number().over(w)).drop("markdown")
-    return cut_lineage(ex) if materialize else ex
+    if not materialize:
+        return ex
+    # checkpoint files carry no partitioning: re-key once by site; every
+    # later window/aggregate keyed by (site, ...) reuses this exchange.  Each
+    # site holds at most max_urls rows here, so a hot site stays bounded.
+    return cut_lineage(ex).repartition("site")
 
 
 def seeds_for(pages: DataFrame) -> DataFrame:

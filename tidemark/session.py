@@ -63,9 +63,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never ``localCheckpoint``."""
+    """Reliable checkpoint (survives executor loss), never ``localCheckpoint``.
+
+    The frame is persisted first so the checkpoint write reads the computed
+    blocks instead of computing the plan a second time; the blocks are
+    released once the checkpoint files exist.
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
