@@ -48,18 +48,20 @@ def get_session(master: str | None = None, app: str = "tidemark") -> SparkSessio
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; a directory of our own
-    is set only when nothing is configured (local tests).
+    ``spark.checkpoint.dir`` (a static setting) is read from the session,
+    then the SparkContext's directory; a local directory of our own is
+    created only when neither is set (local tests and benches).
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        current = current.get() if current.isDefined() else None
+        jdir = sc._jsc.sc().getCheckpointDir()
+        current = jdir.get() if jdir.isDefined() else None
     if not current:
         current = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc.setCheckpointDir(current)
+    jdir = sc._jsc.sc().getCheckpointDir()
+    return jdir.get() if jdir.isDefined() else current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
