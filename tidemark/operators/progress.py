@@ -49,14 +49,15 @@ def route_events(events: DataFrame, jobs: DataFrame | None = None, tie: str | No
     """Events up to and including the first terminal one per job.
 
     ``kind`` = 'complete' for the terminal event (snapshot attached when a
-    job table is given), 'progress' before it; nothing after it.
+    job table is given), 'progress' before it; nothing after it.  The first
+    terminal event is an aggregate joined back (one row per job), not a
+    window, so AQE can split a hot job's partition.
     """
-    w = Window.partitionBy("job_id")
-    first_term = F.min(F.when(is_terminal("phase"), F.struct(*_event_order(tie)))).over(w)
-    staged = events.withColumn("_ft", first_term)
-    cur = F.struct(*_event_order(tie))
-    kept = staged.filter(F.col("_ft").isNull() | (cur <= F.col("_ft")))
-    out = kept.withColumn("kind", F.when(is_terminal("phase") & (cur == F.col("_ft")), F.lit("complete"))
+    order = F.struct(*_event_order(tie))
+    first = events.groupBy("job_id").agg(F.min(F.when(is_terminal("phase"), order)).alias("_ft"))
+    staged = events.join(first, "job_id")
+    kept = staged.filter(F.col("_ft").isNull() | (order <= F.col("_ft")))
+    out = kept.withColumn("kind", F.when(is_terminal("phase") & (order == F.col("_ft")), F.lit("complete"))
                           .otherwise(F.lit("progress"))).drop("_ft")
     if jobs is not None:
         snap = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("job_status"))
@@ -65,12 +66,34 @@ def route_events(events: DataFrame, jobs: DataFrame | None = None, tie: str | No
     return out
 
 
-def stalls(events: DataFrame, gap_s: int = STALL_GAP_S, tie: str | None = "event_id") -> DataFrame:
+def consecutive_pairs(events: DataFrame, tie: str | None = "event_id", bucket_s: int = 600) -> DataFrame:
+    """Every pair of consecutive events of a job: ``(job_id, ts, next_ts)``.
+
+    Skew-safe: ``lead`` runs inside ``(job, time bucket)`` partitions, and the
+    pairs that cross buckets come from a per-bucket summary (first and last
+    event of each non-empty bucket, one row per bucket) ordered per job.
+    A job with a third of all events is spread over its buckets.
+    """
+    order = _event_order(tie)
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(bucket_s * 1_000_000))
+    ev = events.select("job_id", *[c for c in ["ts", tie] if c], bucket.alias("_b"))
+    w = Window.partitionBy("job_id", "_b").orderBy(*order)
+    inner = (ev.withColumn("next_ts", F.lead("ts").over(w)).filter(F.col("next_ts").isNotNull())
+             .select("job_id", "ts", "next_ts"))
+    key = F.struct(*order)
+    summ = ev.groupBy("job_id", "_b").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    w2 = Window.partitionBy("job_id").orderBy("_b")
+    cross = (summ.withColumn("_next", F.lead("_first").over(w2)).filter(F.col("_next").isNotNull())
+             .select("job_id", F.col("_last.ts").alias("ts"), F.col("_next.ts").alias("next_ts")))
+    return inner.unionByName(cross)
+
+
+def stalls(events: DataFrame, gap_s: int = STALL_GAP_S, tie: str | None = "event_id",
+           bucket_s: int = 600) -> DataFrame:
     """I4: gaps longer than ``gap_s`` between consecutive events of a job."""
-    w = Window.partitionBy("job_id").orderBy(*_event_order(tie))
-    nxt = events.withColumn("next_ts", F.lead("ts").over(w))
-    gap_us = F.unix_micros("next_ts") - F.unix_micros("ts")
-    return (nxt.filter(F.col("next_ts").isNotNull() & (gap_us > gap_s * 1_000_000))
+    pairs = consecutive_pairs(events, tie, bucket_s)
+    gap_us = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return (pairs.filter(gap_us > gap_s * 1_000_000)
             .select("job_id", F.col("ts").alias("stall_start"), F.col("next_ts").alias("stall_end"),
                     gap_us.alias("gap_us")))
 
@@ -109,18 +132,51 @@ def reconcile(latest: DataFrame, jobs: DataFrame) -> DataFrame:
     return j.select("job_id", "event_phase", "table_status", resolved.alias("status"), source.alias("source"))
 
 
+def _us(c) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
+
+
 def job_sessions(events: DataFrame, gap_s: int = 3600, tie: str | None = "event_id") -> DataFrame:
     """Sessions of a job (a new session after a silence longer than ``gap_s``).
 
-    Output per session: start, end (last event), duration, event count and
-    number of distinct phases.
+    Output per session: number (from 1), start, end (last event), duration,
+    event count and number of distinct phases.
+
+    Skew-safe: no window ever holds all events of one job.  Session starts
+    come from the bucketed consecutive pairs; sessions pair up with the same
+    bucketed method; numbers come from per-bucket running counts; events
+    meet their session through an equi-join on ``(job, bucket)`` with
+    buckets as long as the gap, so a bucket overlaps at most two sessions.
     """
-    w = Window.partitionBy("job_id").orderBy(*_event_order(tie))
-    prev = F.lag("ts").over(w)
-    new = F.when(prev.isNull() | ((F.unix_micros("ts") - F.unix_micros(prev)) > gap_s * 1_000_000), 1).otherwise(0)
-    s = events.withColumn("_new", new).withColumn(
-        "session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    agg = s.groupBy("job_id", "session").agg(
+    gap_us = gap_s * 1_000_000
+    bucket_us = max(gap_us, 1_000_000)
+    pairs = consecutive_pairs(events, tie, bucket_s=bucket_us // 1_000_000)
+    cut = pairs.filter(_us("next_ts") - _us("ts") > gap_us).select("job_id", F.col("next_ts").alias("start"))
+    bounds = events.groupBy("job_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    starts = cut.unionByName(bounds.select("job_id", F.col("first").alias("start")))
+    # consecutive starts -> [start, next_start); the last session is open-ended
+    sp = consecutive_pairs(starts.withColumnRenamed("start", "ts"), None, bucket_s=bucket_us // 1_000_000)
+    last = starts.groupBy("job_id").agg(F.max("start").alias("start"))
+    sess = (sp.select("job_id", F.col("ts").alias("start"), F.col("next_ts").alias("next_start"))
+            .unionByName(last.withColumn("next_start", F.lit(None).cast(starts.schema["start"].dataType))))
+    # session numbers: starts in earlier buckets + rank inside the bucket
+    sb = F.floor(_us("start") / F.lit(bucket_us))
+    sess = sess.withColumn("_sb", sb)
+    per_b = sess.groupBy("job_id", "_sb").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy("job_id").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    per_b = per_b.withColumn("_before", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
+    wi = Window.partitionBy("job_id", "_sb").orderBy("start")
+    sess = (sess.join(per_b.select("job_id", "_sb", "_before"), ["job_id", "_sb"])
+            .withColumn("session", F.col("_before") + F.row_number().over(wi)).drop("_before"))
+    # expand each session over the buckets it covers, then equi-join events
+    sess = sess.join(bounds.select("job_id", "last"), "job_id")
+    end_us = F.coalesce(_us("next_start") - 1, _us("last"))
+    covered = sess.select("job_id", "session", "start", "next_start",
+                          F.explode(F.sequence(F.col("_sb"), F.floor(end_us / F.lit(bucket_us)))).alias("_b"))
+    ev = events.withColumn("_b", F.floor(_us("ts") / F.lit(bucket_us)))
+    j = (ev.join(covered, ["job_id", "_b"])
+         .filter((F.col("ts") >= F.col("start")) & (F.col("next_start").isNull() | (F.col("ts") < F.col("next_start")))))
+    agg = j.groupBy("job_id", "session").agg(
         F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
         F.count(F.lit(1)).alias("n_events"), F.countDistinct("phase").alias("n_phases"))
-    return agg.withColumn("duration_us", F.unix_micros("session_end") - F.unix_micros("session_start"))
+    return agg.withColumn("duration_us", _us("session_end") - _us("session_start"))
