@@ -181,7 +181,7 @@ FROM ({derive_sql('pages', EN_PAGES)}) WHERE error IS NULL AND coalesce(content_
 def q_clean_requests(spark, sf):
     r = FE.clean_requests(en_pages(spark, sf))
     return r.select("request_id", "site", "url", "title", "content",
-                    F.length("raw_content").alias("raw_chars"))
+                    F.length("raw_content").cast("bigint").alias("raw_chars"))
 
 
 _FENCED = D.case("page_id", [

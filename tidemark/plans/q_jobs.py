@@ -183,7 +183,7 @@ def q_job_upsert(spark, sf):
     return latest.select("id", "status", ts_text("updated_at").alias("updated_at"))
 
 
-@register("progress_pct", f"""SELECT event_id, phase, CASE phase {" ".join(f"WHEN {O.q(p)} THEN {i * 20.0}" for i, p in enumerate(J.PHASE_ORDER))} ELSE 0.0 END AS pct
+@register("progress_pct", f"""SELECT event_id, phase, CAST(CASE phase {" ".join(f"WHEN {O.q(p)} THEN {i * 20.0}" for i, p in enumerate(J.PHASE_ORDER))} ELSE 0.0 END AS DOUBLE) AS pct
 FROM ({derive_sql('events', D.PROGRESS)})""")
 def q_progress_pct(spark, sf):
     p = derive(spark, sf, "events", D.PROGRESS)

@@ -26,7 +26,7 @@ def q_index_doc(spark, sf):
 def q_scan_pages(spark, sf):
     p = table(spark, sf, "pages")
     return p.select("page_id", U.site_key(F.col("url")).alias("site"), "url",
-                    F.length("html").alias("html_chars"))
+                    F.length("html").cast("bigint").alias("html_chars"))
 
 
 @register("page_title", f"WITH {O.extracted_pages_sql(1 << 30)} SELECT page_id, title FROM ex0")

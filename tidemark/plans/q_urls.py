@@ -176,8 +176,20 @@ def q_link_targets(spark, sf):
         "page_id", "base", "href", "target", "target_scheme", "target_netloc", "target_path", "target_query")
 
 
-@register("page_links", None)
+_ABS = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) || " + O.unescape("href")
+_ABS_PATH = O.u_path("abs")
+_NP = f"regexp_replace({_ABS_PATH}, '/+$', '')"
+_PAGE_LINKS_SQL = f"""
+WITH l AS (SELECT page_id, url, generate_subscripts(hs, 1) - 1 AS pos, unnest(hs) AS href
+           FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages)),
+r AS (SELECT page_id, pos, {_ABS} AS abs FROM l WHERE starts_with(href, '/') AND NOT starts_with(href, '//'))
+SELECT page_id, pos, {O.u_scheme('abs')} || '://' || {O.u_netloc('abs')} || CASE WHEN {_NP} = '' THEN '/' ELSE {_NP} END
+  || CASE WHEN {O.u_query('abs')} <> '' THEN '?' || {O.u_query('abs')} ELSE '' END AS target
+FROM r WHERE NOT regexp_matches({_ABS_PATH}, {O.q('(?i)[.](' + '|'.join(U.ASSET_SUFFIXES) + ')$')})"""
+
+
+@register("page_links", _PAGE_LINKS_SQL)
 def q_page_links(spark, sf):
     pages = table(spark, sf, "pages")
     ex = X.extract_pages(pages.select("page_id", "url", "html"))
-    return C.page_links(ex, keys=("page_id",)).select("page_id", "pos", "target")
+    return C.page_links(ex, keys=("page_id",)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "target")
