@@ -21,8 +21,20 @@ ORACLES: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
+    """Register a query builder (and its DuckDB SQL).
+
+    Builders run with the session time zone pinned to UTC, so timestamp
+    arithmetic and the ISO text of results do not depend on the caller's
+    zone (DuckDB timestamps are zone-less).
+    """
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf)
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
