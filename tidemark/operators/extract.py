@@ -336,25 +336,29 @@ def _arrow_schema():
 _ARROW_SCHEMA = _arrow_schema()
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, current: int | None = None) -> DataFrame:
     """Give a CPU-heavy per-row stage at least one partition per core.
 
     At scale the scan already yields far more partitions than cores and
     this is a no-op; a small input stored as one row group would otherwise
-    run on a single core.
+    run on a single core.  ``current`` is the known input partition count
+    (take it from the raw scan: asking a plan with exchanges for its RDD
+    would execute those stages under AQE); without it the frame must be a
+    plain scan or projection.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    n = current if current is not None else df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df
 
 
-def extract_pages(snapshots: DataFrame) -> DataFrame:
+def extract_pages(snapshots: DataFrame, input_partitions: int | None = None) -> DataFrame:
     """``(url, html, ...)`` -> one row per page with fields and measures.
 
     Other input columns (keys such as ``site``, ``rank``) are carried through
     by a narrow re-join on the row position inside the same task: the Python
     pass sees only ``url`` and ``html``.
     """
-    snapshots = spread(snapshots)
+    snapshots = spread(snapshots, current=input_partitions)
     keys = [c for c in snapshots.columns if c not in ("url", "html")]
     if not keys:
         return snapshots.select("url", "html").mapInArrow(_extract_batches, EXTRACT_SCHEMA)

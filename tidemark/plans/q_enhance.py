@@ -305,3 +305,32 @@ def outline_reply(request: dict) -> str:
 def q_llm_stage(spark, sf):
     req = FE.section_requests(categorized(spark, sf))
     return FE.run_inference(req, outline_reply, parallelism=8, prompt_cols=["pages_block"])
+
+
+# -- G6 over derived pages with known content (value-checked form of full_doc) -------------------
+def _full_sql() -> str:
+    title = "coalesce(nullif(title, ''), nullif(og_title, ''), 'Untitled')"
+    desc = "coalesce(nullif(description, ''), nullif(og_description, ''), '')"
+    body = f"coalesce(nullif(content_text, ''), nullif({desc}, ''), '(No content available)')"
+    piece = f"'### ' || {title} || chr(10) || 'Source: ' || url || chr(10) || chr(10) || {body} || chr(10) || chr(10) || '---' || chr(10)"
+    order = "moved, CASE WHEN moved THEN first_rank ELSE 0 END, rank"
+    return f"""WITH {_EN_SQL},
+blocks AS (SELECT site, section, '## ' || section || chr(10) || chr(10) || string_agg({piece}, chr(10) ORDER BY {order}) || chr(10) AS block
+           FROM cat GROUP BY site, section),
+body AS (SELECT site, string_agg(block, chr(10) ORDER BY {O.section_key_sql('section')}) AS body FROM blocks GROUP BY site),
+sites AS (SELECT DISTINCT site FROM ex)
+SELECT s.site, {O.py_strip(f"'# ' || {O.site_name_sql(chr(39) + 'https://' + chr(39) + ' || s.site')} || chr(10) || chr(10) || coalesce(b.body, '')")} || chr(10) AS doc
+FROM sites s LEFT JOIN body b USING (site)"""
+
+
+@register("full_doc_derived", _full_sql())
+def q_full_doc_derived(spark, sf):
+    from ..functions import urls as U
+    from ..operators import assemble as G
+
+    pages = en_pages(spark, sf)
+    enhanced = FE.merge_enhanced(E.categorize(pages), None)
+    sites = pages.select("site").distinct().select(
+        "site", U.site_name(F.concat(F.lit("https://"), F.col("site"))).alias("name"),
+        F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("notes"))
+    return G.build_full(sites, enhanced)

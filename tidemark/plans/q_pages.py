@@ -52,7 +52,7 @@ SELECT page_id, title, {_desc_sql()} AS description, {_meta_sql('og:title')} AS
 FROM cap JOIN ex0 USING (site, page_id, rank, url)""")
 def q_page_og(spark, sf):
     p = derive(spark, sf, "pages", _META_PAGES)
-    ex = X.extract_pages(p)
+    ex = X.extract_pages(p, input_partitions=table(spark, sf, "pages").rdd.getNumPartitions())
     return ex.select("page_id", "title", "description", "og_title", "og_description", "og_type", "og_image")
 
 
@@ -91,7 +91,8 @@ def csr_sql(h: str = "html") -> str:
 
 @register("csr_flags", f"SELECT page_id, {csr_sql()} AS is_js_rendered FROM ({derive_sql('pages', _SHELL_PAGES)})")
 def q_csr_flags(spark, sf):
-    ex = X.with_csr(X.extract_pages(derive(spark, sf, "pages", _SHELL_PAGES)))
+    ex = X.with_csr(X.extract_pages(derive(spark, sf, "pages", _SHELL_PAGES),
+                                    input_partitions=table(spark, sf, "pages").rdd.getNumPartitions()))
     return ex.select("page_id", "is_js_rendered")
 
 
@@ -196,7 +197,8 @@ _RENDERED = [("url", "url"),
 
 def _http_rows(spark, sf):
     c = PS.classify_fetch(derive(spark, sf, "pages", _FETCHES))
-    ex = X.with_content(X.with_csr(X.extract_pages(c.select("page_id", "url", "html"))))
+    n = table(spark, sf, "pages").rdd.getNumPartitions()
+    ex = X.with_content(X.with_csr(X.extract_pages(c.select("page_id", "url", "html"), input_partitions=n)))
     ex = ex.join(c.select("page_id", "fetch_status", "error"), "page_id")
     good = PS.flag_soft_404(ex.filter(F.col("error").isNull()), use_content=False)
     bad = ex.filter(F.col("error").isNotNull()).withColumn("is_js_rendered", F.lit(False)) \
@@ -209,7 +211,8 @@ def _http_rows(spark, sf):
 def _rendered_rows(spark, sf, need):
     r = derive(spark, sf, "pages", _RENDERED).join(need.select("url"), "url", "left_semi")
     ok = r.filter(F.col("error").isNull())
-    ex = X.with_content(X.extract_pages(ok.select("url", "html")))
+    n = table(spark, sf, "pages").rdd.getNumPartitions()
+    ex = X.with_content(X.extract_pages(ok.select("url", "html"), input_partitions=n))
     ex = ex.join(ok.select("url", F.col("status").alias("fetch_status")), "url")
     ex = ex.withColumn("error", F.lit(None).cast("string"))
     ex = PS.flag_soft_404(ex, use_content=True)

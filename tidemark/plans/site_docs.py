@@ -61,8 +61,9 @@ def extracted_pages(pages: DataFrame, max_urls: int = DEFAULT_MAX_URLS,
     runs exactly once per page and the lineage is cut (executor loss after
     this point re-reads the checkpoint, not the HTML).
     """
+    scan_parts = pages.rdd.getNumPartitions()  # plain scan: no job runs
     capped = cap_per_site(site_pages(pages), max_urls)
-    ex = X.extract_pages(capped)
+    ex = X.extract_pages(capped, input_partitions=scan_parts)
     ex = X.with_content(X.with_csr(ex))
     ex = ex.withColumn("fetch_status", F.lit(200)).withColumn("error", F.lit(None).cast("string"))
     ex = PS.flag_soft_404(ex, use_content=False)

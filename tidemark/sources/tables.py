@@ -13,11 +13,19 @@ BROADCAST_MAX_ROWS = 2_000_000
 def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``small`` when its row count is proven below ``max_rows``.
 
-    Beyond the bound the frame is returned unhinted and Spark plans a
+    The frame is persisted while it is counted, so the join reads the
+    counted rows instead of computing them again.  Beyond the bound the
+    cache is dropped and the frame is returned unhinted: Spark plans a
     shuffle join (AQE may still convert it when runtime sizes allow).
     """
+    from pyspark import StorageLevel
+
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
     n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    if n <= max_rows:
+        return F.broadcast(small)
+    small.unpersist()
+    return small
 
 
 # -- A1 page snapshots -------------------------------------------------------
