@@ -68,7 +68,7 @@ def crawl_links(seeds: DataFrame, links: DataFrame, max_depth: int = DEFAULT_MAX
            .withColumn("order", F.struct(F.lit(0).alias("parent_rank"), F.lit(0).alias("pos")))
            .select("site", "url", "skip", "order"))
     emitted_all = None
-    visited = lvl.select("site", "url")
+    visited = None
     frontier = None
     for depth in range(0, max_depth + 1):
         if depth > 0:
@@ -82,7 +82,12 @@ def crawl_links(seeds: DataFrame, links: DataFrame, max_depth: int = DEFAULT_MAX
                    .withColumn("skip", _skip(F.col("url"), F.col("base_netloc"), F.col("disallowed")))
                    .withColumn("order", F.col("o"))
                    .select("site", "url", "skip", "order"))
-            visited = visited.unionByName(lvl.select("site", "url"))
+        if checkpoint:
+            # one materialized table per level: everything popped at this level
+            # (skipped ones included); visited = union of the levels so far
+            lvl = cut_lineage(lvl)
+        seen = lvl.select("site", "url")
+        visited = seen if visited is None else visited.unionByName(seen)
         w = Window.partitionBy("site").orderBy("order", "url")
         # row_number <= max_urls first: Spark plans a map-side WindowGroupLimit,
         # so a hot site never ships more than max_urls candidates per task
@@ -94,9 +99,6 @@ def crawl_links(seeds: DataFrame, links: DataFrame, max_depth: int = DEFAULT_MAX
                       .withColumn("rank", F.col("rank") + F.coalesce(F.col("_prev"), F.lit(0))).drop("_prev"))
         emitted = ranked.filter(F.col("rank") <= max_urls).select(
             "site", "rank", "url", F.lit(depth).alias("depth"))
-        if checkpoint:
-            emitted = cut_lineage(emitted)
-            visited = cut_lineage(visited)
         emitted_all = emitted if emitted_all is None else emitted_all.unionByName(emitted)
         frontier = emitted.select("site", "url", F.col("rank").alias("parent_rank"))
     return emitted_all.withColumn("source", F.lit("crawl"))

@@ -95,8 +95,22 @@ def expand_indexes(docs: DataFrame, roots: DataFrame, keys=("site",),
     kids = index_children(docs)
     bodies = docs.select("sitemap_url", is_index(F.col("body")).alias("idx"))
     if materialize:
-        # each parsed form feeds two or three of the depth joins: parse once
-        urls, kids, bodies = cut_lineage(urls), cut_lineage(kids), cut_lineage(bodies)
+        # each parsed form feeds two or three of the depth joins: parse once,
+        # as one materialized table with a kind column
+        null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+        parsed = cut_lineage(
+            urls.select(F.lit("u").alias("kind"), "sitemap_url", "pos", "url", "priority",
+                        null_i.alias("child_pos"), null_s.alias("child_url"), F.lit(None).cast("boolean").alias("idx"))
+            .unionByName(kids.select(F.lit("k").alias("kind"), F.col("parent_url").alias("sitemap_url"),
+                                     null_i.alias("pos"), null_s.alias("url"), F.lit(None).cast("double").alias("priority"),
+                                     "child_pos", "child_url", F.lit(None).cast("boolean").alias("idx")))
+            .unionByName(bodies.select(F.lit("b").alias("kind"), "sitemap_url", null_i.alias("pos"),
+                                       null_s.alias("url"), F.lit(None).cast("double").alias("priority"),
+                                       null_i.alias("child_pos"), null_s.alias("child_url"), "idx")))
+        urls = parsed.filter(F.col("kind") == "u").select("sitemap_url", "pos", "url", "priority")
+        kids = parsed.filter(F.col("kind") == "k").select(F.col("sitemap_url").alias("parent_url"),
+                                                          "child_pos", "child_url")
+        bodies = parsed.filter(F.col("kind") == "b").select("sitemap_url", "idx")
 
     # depth 0
     r0 = roots.join(bodies, "sitemap_url")
