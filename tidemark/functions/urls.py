@@ -48,7 +48,7 @@ def _c(col) -> Column:
 
 def _clean(url: Column) -> Column:
     # urllib drops tab/CR/LF anywhere and leading C0 controls / spaces.
-    return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
 def _group(url: Column, idx: int) -> Column:

@@ -143,13 +143,16 @@ def expand_indexes(docs: DataFrame, roots: DataFrame, keys=("site",),
     return e0.unionByName(out1).unionByName(out2)
 
 
-def first_source(entries: DataFrame, candidates: DataFrame, keys=("site",)) -> DataFrame:
+def first_source(entries: DataFrame, candidates: DataFrame, keys=("site",), materialize: bool = True) -> DataFrame:
     """C4: per key, the first candidate (by ``cand_pos``) that yields entries.
 
     Output ``(keys..., source, ord, url, priority)``; keys whose candidates
     all yield nothing get one row with ``source = 'sitemap'`` and NULL url.
     """
     keys = list(keys)
+    if materialize:
+        # read twice below (per-key minimum, then the join back): expand once
+        entries = cut_lineage(entries)
     first = entries.groupBy(*keys).agg(F.min("cand_pos").alias("cand_pos"))
     chosen = (entries.join(first, keys + ["cand_pos"])
               .join(candidates.select(*keys, "cand_pos", F.col("sitemap_url").alias("source")),

@@ -63,7 +63,8 @@ def derive(spark: SparkSession, sf: str, name: str, exprs, where: str | None = N
     if where:
         df = df.filter(where)
     out = D.apply(df, exprs)
-    if name in HEAVY_TABLES:
+    heavy = any(("html" in e or "text" in e) for _, e in exprs)
+    if name in HEAVY_TABLES and heavy:
         from ..operators.extract import spread
         out = spread(out)
     return out
