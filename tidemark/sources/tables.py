@@ -148,7 +148,10 @@ def parse_config(df: DataFrame, col: str = "config") -> DataFrame:
     p = F.from_json(F.col(col), CONFIG_SCHEMA)
     out = df.withColumn("_p", p)
     mode = F.coalesce(F.col("_p.mode"), F.lit(CONFIG_DEFAULTS["mode"]))
-    reason = F.when(F.col(col).isNotNull() & F.col("_p").isNull(), F.lit("config: not a JSON object"))
+    # a struct parse of invalid JSON yields NULL fields, not NULL: validate through a map
+    is_obj = F.from_json(F.col(col), T.MapType(T.StringType(), T.StringType())).isNotNull() & \
+        F.col(col).rlike(r"^\s*\{")
+    reason = F.when(F.col(col).isNotNull() & ~F.coalesce(is_obj, F.lit(False)), F.lit("config: not a JSON object"))
     reason = reason.when(~mode.isin(*MODES), F.concat(F.lit("mode: '"), mode, F.lit("' is not a valid choice")))
     fields = []
     for name, (lo, hi) in CONFIG_BOUNDS.items():
