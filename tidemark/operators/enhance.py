@@ -155,30 +155,46 @@ def attach_cleaned(enhanced: DataFrame, cleaned: DataFrame | None) -> DataFrame:
 
 
 def pick_homepage(pages: DataFrame, seeds: DataFrame) -> DataFrame:
-    """F8: homepage content and fallback description per site.
+    """F8: homepage choice and fallback description per site.
 
     First page equal to the seed (trailing '/' stripped); if none or its
     content is empty, the first page with content; its description (or og
     description) is the fallback.  With no content anywhere the homepage's
-    own description stays.
+    own description stays.  Only ``(rank, has content, description)``
+    travels through the per-site aggregate; the content itself is joined
+    back for the one chosen page when a summary request is built.
     """
-    strip = lambda c: F.regexp_replace(c, "/+$", "")
+    strip = lambda c: F.regexp_replace(c, "/+$", "")
     p = pages.join(seeds, "site")
     is_home = strip(F.col("url")) == strip(F.col("seed_url"))
     has_content = F.coalesce(F.col("content_text"), F.lit("")) != ""
     desc = F.coalesce(_blank(F.col("description")), _blank(F.col("og_description")))
     agg = p.groupBy("site", "seed_url").agg(
-        F.min_by(F.struct(F.coalesce(F.col("content_text"), F.lit("")).alias("c"), desc.alias("d")),
+        F.min_by(F.struct(has_content.alias("c"), desc.alias("d"), F.col("rank").alias("r")),
                  F.when(is_home, F.col("rank"))).alias("home"),
-        F.min_by(F.struct(F.col("content_text").alias("c"), desc.alias("d")),
+        F.min_by(F.struct(desc.alias("d"), F.col("rank").alias("r")),
                  F.when(has_content, F.col("rank"))).alias("first"))
-    use_first = (F.col("home").isNull() | (F.col("home.c") == "")) & F.col("first").isNotNull()
+    use_first = (F.col("home").isNull() | ~F.col("home.c")) & F.col("first").isNotNull()
     return agg.select(
         "site", "seed_url",
-        F.when(use_first, F.col("first.c")).otherwise(F.coalesce(F.col("home.c"), F.lit(""))).alias("homepage_content"),
+        F.when(use_first, F.col("first.r")).otherwise(F.col("home.r")).alias("homepage_rank"),
+        (use_first | F.coalesce(F.col("home.c"), F.lit(False))).alias("has_homepage_content"),
         F.when(use_first, F.col("first.d")).otherwise(F.col("home.d")).alias("fallback_description"))
 
 
+def summary_requests(home: DataFrame, pages: DataFrame, names: DataFrame, cap: int = CLEAN_CONTENT_CAP) -> DataFrame:
+    """F9 request side: one request per site with homepage content (cut at ``cap``).
+
+    ``names(site, name)``; the content of the single chosen page is joined
+    back by ``(site, rank)``.
+    """
+    h = home.filter(F.col("has_homepage_content")).join(names, "site")
+    content = pages.select("site", F.col("rank").alias("homepage_rank"), "content_text")
+    return (h.join(content, ["site", "homepage_rank"])
+            .select(F.col("site").alias("request_id"), "site", F.col("seed_url").alias("url"), "name",
+                    F.substring("content_text", 1, cap).alias("content")))
+
+
 _SUMMARY = T.StructType([T.StructField("description", T.StringType()),
                          T.StructField("notes", T.StringType())])
 
@@ -187,14 +203,14 @@ def site_info(home: DataFrame, replies: DataFrame | None) -> DataFrame:
     """description and notes from the summary reply; failure or no
     content -> fallback description, no notes.  ``notes`` must be a JSON
     list; non-blank strings kept; empty -> NULL."""
-    base = home.select("site", "seed_url", "homepage_content", "fallback_description")
+    base = home.select("site", "seed_url", "has_homepage_content", "fallback_description")
     if replies is None:
         return base.select("site", "seed_url", F.col("fallback_description").alias("description"),
                            F.lit(None).cast("array<string>").alias("notes"),
                            F.lit("fallback").alias("source"))
     j = base.join(replies.withColumnRenamed("request_id", "site"), "site", "left")
     p = F.from_json(F.col("reply"), _SUMMARY)
-    ok = (F.col("homepage_content") != "") & F.col("error").isNull() & p.isNotNull() \
+    ok = F.col("has_homepage_content") & F.col("error").isNull() & p.isNotNull() \
         & F.col("reply").rlike(r"^\s*\{")
     raw_notes = F.from_json(p["notes"], "array<string>")
     notes_ok = F.coalesce(p["notes"], F.lit("")).rlike(r"^\s*\[")

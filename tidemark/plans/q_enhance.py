@@ -254,7 +254,9 @@ def summary_replies(sites):
 
 
 @register("site_summary", f"""WITH {O.extracted_pages_sql()}, {O.site_info_sql()}, {_SUM_SQL},
-hc AS (SELECT site, first_rank IS NOT NULL OR home_rank IS NOT NULL AS has_home FROM home)
+hc AS (SELECT h.site, h.first_rank IS NOT NULL
+          OR coalesce((SELECT y.has_content FROM ex y WHERE y.site = h.site AND y.rank = h.home_rank), false) AS has_home
+        FROM home h)
 SELECT s.site,
   CASE WHEN hc.has_home AND r.error IS NULL AND coalesce(json_type(r.vj) = 'OBJECT', false)
        THEN json_extract_string(r.vj, '$.description') ELSE s.description END AS description,
