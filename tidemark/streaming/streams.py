@@ -71,7 +71,9 @@ def admit_stream(requests: DataFrame, limit: int, window_s: int, key: str = "key
             rows.append((rec.event_id, k[0], rec.ts, ok, rem,
                          None if rst is None else pd.Timestamp(rst * 1000, unit="ns")))
         state.update((json.dumps(list(adm.ts)),))
-        yield pd.DataFrame(rows, columns=["event_id", "key", "ts", "allowed", "remaining", "reset_at"])
+        out = pd.DataFrame(rows, columns=["event_id", "key", "ts", "allowed", "remaining", "reset_at"])
+        yield out.astype({"event_id": "int64", "allowed": "bool", "remaining": "int64",
+                          "ts": "datetime64[us]", "reset_at": "datetime64[us]"})
 
     return (requests.select(tie, F.col(key).alias("key"), "ts")
             .groupBy("key")
@@ -112,7 +114,8 @@ def route_stream(events: DataFrame) -> DataFrame:
                 out.append((k[0], rec.event_id, rec.phase, rec.ts, "progress"))
         state.update((bool(done),))
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 24 * 3600 * 1000)
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "phase", "ts", "kind"])
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "phase", "ts", "kind"]).astype(
+            {"event_id": "int64", "ts": "datetime64[us]"})
 
     return (events.withWatermark("ts", WATERMARK)
             .select("job_id", "event_id", "phase", "ts").groupBy("job_id")
@@ -145,7 +148,8 @@ def stall_stream(events: DataFrame, gap_s: int = 300) -> DataFrame:
             last = now
         state.update((int(last),))
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 7 * 24 * 3600 * 1000)
-        yield pd.DataFrame(out, columns=["job_id", "stall_start", "stall_end", "gap_us"])
+        yield pd.DataFrame(out, columns=["job_id", "stall_start", "stall_end", "gap_us"]).astype(
+            {"stall_start": "datetime64[us]", "stall_end": "datetime64[us]", "gap_us": "int64"})
 
     return (events.withWatermark("ts", WATERMARK).select("job_id", "event_id", "ts").groupBy("job_id")
             .applyInPandasWithState(fn, STALL_OUT, "last_us long", "append", GroupStateTimeout.EventTimeTimeout))
@@ -189,7 +193,8 @@ def timeout_stream(events: DataFrame, limit_s: int = 300) -> DataFrame:
                 done = True
         state.update((int(start_ms), bool(done)))
         state.setTimeoutTimestamp(start_ms + limit_ms + 1)
-        yield pd.DataFrame(out, columns=["job_id", "start_ts", "timed_out", "status"])
+        yield pd.DataFrame(out, columns=["job_id", "start_ts", "timed_out", "status"]).astype(
+            {"start_ts": "datetime64[us]", "timed_out": "bool"})
 
     return (events.withWatermark("ts", WATERMARK).select("job_id", "event_id", "phase", "ts").groupBy("job_id")
             .applyInPandasWithState(fn, TIMEOUT_OUT, "start_ms long, done boolean", "append",
