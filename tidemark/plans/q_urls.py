@@ -169,7 +169,62 @@ _HREFS = [("page_id", "page_id"), ("base", "url"),
                                       "'https:rel'", "'/'"]))]
 
 
-@register("link_targets", None)
+def _unparse_sql(sc, net, path, par, q, frag) -> str:
+    p = f"({path} || CASE WHEN {par} <> '' THEN ';' || {par} ELSE '' END)"
+    p2 = (f"(CASE WHEN {net} <> '' THEN '//' || {net} || CASE WHEN {p} <> '' AND NOT starts_with({p}, '/') THEN '/' ELSE '' END || {p} "
+          f"WHEN starts_with({p}, '//') THEN '//' || {p} "
+          f"WHEN {sc} <> '' AND {sc} IN {O.sql_list(U.NETLOC_SCHEMES)} AND ({p} = '' OR starts_with({p}, '/')) THEN '//' || {p} "
+          f"ELSE {p} END)")
+    return (f"(CASE WHEN {sc} <> '' THEN {sc} || ':' || {p2} ELSE {p2} END "
+            f"|| CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END || CASE WHEN {frag} <> '' THEN '#' || {frag} ELSE '' END)")
+
+
+def _parts_sql(x: str, pre: str) -> str:
+    c = f"regexp_replace({x}, '^[\\x00-\\x20]+|[\\t\\r\\n]', '', 'g')"
+    raw = f"regexp_extract({c}, {O.q(O.URL_RE)}, 3)"
+    sc = f"lower(regexp_extract({c}, {O.q(O.URL_RE)}, 1))"
+    par_ok = f"{sc} IN {O.sql_list(U.PARAM_SCHEMES)}"
+    return (f"{sc} AS {pre}s, regexp_extract({c}, {O.q(O.URL_RE)}, 2) AS {pre}n, "
+            f"CASE WHEN {par_ok} THEN regexp_replace({raw}, ';[^/]*$', '') ELSE {raw} END AS {pre}p, "
+            f"CASE WHEN {par_ok} THEN regexp_extract({raw}, ';([^/]*)$', 1) ELSE '' END AS {pre}par, "
+            f"regexp_extract({c}, {O.q(O.URL_RE)}, 4) AS {pre}q, regexp_extract({c}, {O.q(O.URL_RE)}, 5) AS {pre}f")
+
+
+_JOIN_SQL = f"""
+WITH d AS ({derive_sql('pages', _HREFS)}),
+p AS (SELECT *, {_parts_sql('base', '_b')}, {_parts_sql('href', '_h')} FROM d),
+q AS (SELECT *, CASE WHEN _hs = '' THEN _bs ELSE _hs END AS hs2,
+             CASE WHEN (CASE WHEN _hs = '' THEN _bs ELSE _hs END) IN {O.sql_list(U.NETLOC_SCHEMES)} AND _hn = '' THEN _bn ELSE _hn END AS net
+      FROM p),
+r AS (SELECT *,
+  CASE WHEN starts_with(_hp, '/') THEN string_split(_hp, '/')
+       ELSE (SELECT CASE WHEN len(z) > 2 THEN list_concat(z[1:1], list_filter(z[2:len(z) - 1], lambda e: e <> ''), z[len(z):len(z)]) ELSE z END
+             FROM (SELECT list_concat(CASE WHEN string_split(_bp, '/')[-1] <> '' THEN string_split(_bp, '/')[1:len(string_split(_bp, '/')) - 1]
+                                           ELSE string_split(_bp, '/') END, string_split(_hp, '/')) AS z)) END AS segs
+  FROM q),
+s AS (SELECT *, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(segs, lambda e: [e])),
+                  lambda acc, x: CASE WHEN x[1] = '..' THEN (CASE WHEN len(acc) = 0 THEN acc ELSE acc[1:len(acc) - 1] END)
+                                      WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END) AS popped FROM r),
+t AS (SELECT *, array_to_string(CASE WHEN segs[-1] IN ('.', '..') THEN list_append(popped, '') ELSE popped END, '/') AS j0 FROM s),
+u AS (SELECT *, CASE WHEN j0 = '' THEN '/' ELSE j0 END AS joined,
+        coalesce(base, '') = '' AS base_missing, coalesce(href, '') = '' AS href_missing,
+        hs2 <> _bs OR hs2 NOT IN {O.sql_list(U.RELATIVE_SCHEMES)} AS as_is,
+        hs2 IN {O.sql_list(U.NETLOC_SCHEMES)} AND _hn <> '' AS with_net,
+        _hp = '' AND _hpar = '' AS no_path FROM t)
+SELECT page_id, base, href,
+  CASE WHEN base_missing THEN href WHEN href_missing THEN base WHEN as_is THEN href
+       WHEN with_net THEN {_unparse_sql('hs2', '_hn', '_hp', '_hpar', '_hq', '_hf')}
+       WHEN no_path THEN {_unparse_sql('hs2', 'net', '_bp', '_bpar', "CASE WHEN _hq <> '' THEN _hq ELSE _bq END", '_hf')}
+       ELSE {_unparse_sql('hs2', 'net', 'joined', '_hpar', '_hq', '_hf')} END AS target,
+  CASE WHEN base_missing OR as_is THEN _hs WHEN href_missing THEN _bs ELSE hs2 END AS target_scheme,
+  CASE WHEN base_missing OR as_is THEN _hn WHEN href_missing THEN _bn WHEN with_net THEN _hn ELSE net END AS target_netloc,
+  CASE WHEN base_missing OR as_is OR with_net THEN _hp WHEN href_missing OR no_path THEN _bp ELSE joined END AS target_path,
+  CASE WHEN base_missing OR as_is OR with_net THEN _hq WHEN href_missing THEN _bq
+       WHEN no_path THEN CASE WHEN _hq <> '' THEN _hq ELSE _bq END ELSE _hq END AS target_query
+FROM u"""
+
+
+@register("link_targets", _JOIN_SQL)
 def q_link_targets(spark, sf):
     d = derive(spark, sf, "pages", _HREFS)
     return U.resolve_links(d, "base", "href", "target").select(
