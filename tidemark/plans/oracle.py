@@ -99,6 +99,27 @@ def section_key_sql(sec: str) -> str:
             f"coalesce({p}, 0), {sec}")
 
 
+def title_sql(h: str = "html") -> str:
+    raw_title = f"regexp_extract({h}, '(?s)<title>(.*?)</title>', 1)"
+    h1 = f"regexp_extract({h}, '(?s)<h1>(.*?)</h1>', 1)"
+    return (f"(CASE WHEN {raw_title} <> '' THEN {py_strip(unescape(raw_title))} "
+            f"WHEN strpos({h}, '<h1>') > 0 THEN {html_text(h1)} END)")
+
+
+def first_p_desc_sql(h: str = "html") -> str:
+    first_p = f"substr({h}, strpos({h}, '<p>'))"
+    close_p = f"strpos({first_p}, '</p>')"
+    close_art = f"strpos({first_p}, '</article>')"
+    inner = f"substr({first_p}, 1, {close_p} - 1)"
+    to_article = (f"(CASE WHEN {close_art} > 0 THEN substr({first_p}, 1, {close_art} - 1) "
+                  f"ELSE {first_p} END)")
+    seg = (f"(CASE WHEN strpos({h}, '<p>') = 0 THEN NULL "
+           f"WHEN {close_p} = 0 OR ({close_art} > 0 AND {close_art} < {close_p}) THEN {to_article} "
+           f"WHEN strpos(substr({inner}, 4), '<p>') > 0 THEN {to_article} ELSE {inner} END)")
+    ptext = html_text(seg)
+    return f"(CASE WHEN length({ptext}) > 20 THEN left({ptext}, 500) END)"
+
+
 def extracted_pages_sql(max_urls: int = 50) -> str:
     """CTE chain: capped pages with title, description, error (HTTP-path soft-404)."""
     first_p = "substr(html, strpos(html, '<p>'))"

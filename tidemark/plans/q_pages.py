@@ -223,7 +223,43 @@ def _rendered_rows(spark, sf, need):
     return ex.select(*cols).unionByName(failed.select(*cols))
 
 
-@register("rerender_merge")
+def _soft(cols) -> str:
+    return "(" + " OR ".join(f"regexp_matches(lower(coalesce({c}, '')), {_P})" for c in cols) + ")"
+
+
+_ART = "left(" + O.html_text("substr(html, strpos(html, '<article>'))") + ", 500)"
+_RERENDER_SQL = f"""
+WITH f AS ({derive_sql('pages', _FETCHES)}),
+c AS (SELECT page_id, url, html, CAST(CASE WHEN error IS NOT NULL THEN 0 ELSE status END AS INT) AS fetch_status,
+        CASE WHEN error IS NOT NULL THEN error
+             WHEN strpos(coalesce(content_type, ''), 'text/html') = 0 THEN 'Non-HTML content type: ' || coalesce(content_type, '')
+             WHEN status >= 400 THEN 'HTTP ' || CAST(status AS VARCHAR) END AS error FROM f),
+h AS (SELECT page_id, url, fetch_status, error,
+        CASE WHEN error IS NULL THEN {O.title_sql()} END AS title,
+        CASE WHEN error IS NULL THEN {O.first_p_desc_sql()} END AS description,
+        CASE WHEN error IS NULL THEN {csr_sql()} ELSE false END AS csr FROM c),
+h2 AS (SELECT *, error IS NULL AND {_soft(['trim(title)', 'trim(description)'])} AS s404 FROM h),
+http AS (SELECT page_id, url, fetch_status, CASE WHEN s404 THEN {O.q(PS.SOFT_404_HTTP)} ELSE error END AS error,
+           CASE WHEN s404 THEN NULL ELSE title END AS title, csr AND NOT s404 AS is_js_rendered FROM h2),
+need AS (SELECT url FROM http WHERE (is_js_rendered AND error IS NULL) OR fetch_status IN (403, 429)),
+r AS (SELECT x.* FROM ({derive_sql('pages', _RENDERED)}) x WHERE x.url IN (SELECT url FROM need)),
+rx AS (SELECT url, status, {O.title_sql()} AS title, {O.first_p_desc_sql()} AS description, {_ART} AS content
+       FROM r WHERE error IS NULL),
+rendered AS (
+  SELECT url, status AS fetch_status,
+         CASE WHEN {_soft(['trim(title)', 'trim(description)', 'content'])} THEN {O.q(PS.SOFT_404_RENDERED)} END AS error,
+         CASE WHEN {_soft(['trim(title)', 'trim(description)', 'content'])} THEN NULL ELSE title END AS title FROM rx
+  UNION ALL SELECT url, status, error, NULL FROM r WHERE error IS NOT NULL),
+j AS (SELECT h.*, rd.url AS r_url, rd.fetch_status AS r_status, rd.error AS r_error, rd.title AS r_title,
+        (h.url IN (SELECT url FROM need)) AND rd.url IS NOT NULL AND rd.error IS NULL AS take
+      FROM http h LEFT JOIN rendered rd ON rd.url = h.url)
+SELECT page_id, url, CASE WHEN take THEN r_status ELSE fetch_status END AS fetch_status,
+  CASE WHEN take THEN true ELSE is_js_rendered END AS is_js_rendered,
+  CASE WHEN take THEN r_error ELSE error END AS error, CASE WHEN take THEN r_title ELSE title END AS title
+FROM j"""
+
+
+@register("rerender_merge", _RERENDER_SQL)
 def q_rerender_merge(spark, sf):
     http = _http_rows(spark, sf)
     need = PS.needs_render(http)
