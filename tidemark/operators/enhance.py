@@ -110,9 +110,10 @@ def merge_enhanced(pages: DataFrame, parsed: DataFrame | None) -> DataFrame:
     hit = F.col("has_title").isNotNull()
     bad_entry = hit & ((F.col("has_title") & F.col("r_title").isNull())
                        | (F.col("has_description") & F.col("r_description").isNull()))
-    w = Window.partitionBy("site", "section")
-    section_bad = (F.coalesce(F.col("request_failed"), F.lit(True))
-                   | F.max(bad_entry.cast("int")).over(w).cast("boolean"))
+    # one failing entry fails the section: an aggregate joined back, not a window
+    bad = (j.groupBy("site", "section").agg(F.max(bad_entry.cast("int")).cast("boolean").alias("_any_bad")))
+    j = j.join(bad, ["site", "section"])
+    section_bad = F.coalesce(F.col("request_failed"), F.lit(True)) | F.coalesce(F.col("_any_bad"), F.lit(False))
     m_title = F.when(F.col("has_title"), F.col("r_title")).otherwise(
         F.coalesce(_blank(F.col("title")), F.lit(UNTITLED)))
     m_desc = F.when(F.col("has_description"), F.col("r_description")).otherwise(F.lit(""))
@@ -121,7 +122,7 @@ def merge_enhanced(pages: DataFrame, parsed: DataFrame | None) -> DataFrame:
             .withColumn("_t", F.when(~F.col("_bad") & hit, m_title).otherwise(fb_title))
             .withColumn("_d", F.when(~F.col("_bad") & hit, m_desc).otherwise(fb_desc))
             .drop("title", "description", "request_id", "request_failed", "has_title", "r_title",
-                  "has_description", "r_description", "_bad")
+                  "has_description", "r_description", "_bad", "_any_bad")
             .withColumnRenamed("_t", "title").withColumnRenamed("_d", "description"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -115,10 +115,10 @@ def consolidate(pages: DataFrame, rules=DEFAULT_RULES, min_size: int = MIN_SECTI
     order of pages inside the final section.
     """
     names = [r.name for r in rules]
-    w = Window.partitionBy("site", "section")
-    staged = (pages
-              .withColumn("_n", F.count(F.lit(1)).over(w))
-              .withColumn("_first", F.min("rank").over(w)))
+    # per-section size and first rank as an aggregate joined back (not a window):
+    # partial aggregation, and AQE can split a hot section's join partition
+    stats = pages.groupBy("site", "section").agg(F.count(F.lit(1)).alias("_n"), F.min("rank").alias("_first"))
+    staged = pages.join(stats, ["site", "section"])
     moved = ~F.col("section").isin(names) & (F.col("_n") < min_size)
     return (staged
             .withColumn("_moved", moved)
