@@ -102,3 +102,14 @@ def test_page_links(spark):
     got = [r.target for r in C.page_links(ex, keys=()).orderBy("pos").collect()]
     assert got == ["https://www.s.com/a/c", "https://www.s.com/d", "https://s.com/e", "https://www.s.com/c",
                    "https://www.s.com/c"]
+
+
+def test_number_within_matches_row_number(spark):
+    from pyspark.sql import Window
+
+    from tidemark.operators.numbering import number_within
+    rows = [("hot" if i % 3 else f"k{i % 7}", i * 7 + (i % 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "key string, o long")
+    got = {(r.key, r.o): r.r for r in number_within(df, "key", "o", "r", chunk=16).collect()}
+    exp = {(r.key, r.o): r.x for r in df.withColumn("x", F.row_number().over(Window.partitionBy("key").orderBy("o"))).collect()}
+    assert got == exp

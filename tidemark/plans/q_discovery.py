@@ -212,9 +212,9 @@ _NODES = [("site", D.SITE), ("page_id", "page_id")]
 
 
 def _graph(spark, sf):
-    nodes = derive(spark, sf, "pages", _NODES)
-    w = Window.partitionBy("site").orderBy("page_id")
-    nodes = nodes.withColumn("r", F.row_number().over(w))
+    from ..operators.numbering import number_within
+
+    nodes = number_within(derive(spark, sf, "pages", _NODES), "site", "page_id", "r")
     links = reduce(DataFrame.unionByName, [D.apply(nodes, e) for e in D.LINK_EXPRS]) \
         .withColumn("pos", F.col("pos").cast("int"))
     n = nodes.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
