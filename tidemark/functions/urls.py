@@ -222,10 +222,18 @@ def resolve_links(df, base: str, href: str, out: str = "resolved"):
     # will not inline a non-trivial expression that is referenced many times
     staged = df
     for pre, src in (("_b", base), ("_h", href)):
-        u = F.col(src)
-        staged = (staged.withColumn(pre + "s", url_scheme(u)).withColumn(pre + "n", url_netloc(u))
-                  .withColumn(pre + "p", url_path(u)).withColumn(pre + "par", url_params(u))
-                  .withColumn(pre + "q", url_query(u)).withColumn(pre + "f", url_fragment(u)))
+        # clean once, extract the raw groups from the cleaned column, and reuse
+        # the scheme for the params rule: small expressions, small generated code
+        cl = pre + "cl"
+        staged = staged.withColumn(cl, _clean(F.col(src)))
+        g = lambda i: F.regexp_extract(F.col(cl), _URL_RE, i)
+        staged = (staged.withColumn(pre + "s", F.lower(g(1))).withColumn(pre + "n", g(2))
+                  .withColumn(pre + "raw", g(3)).withColumn(pre + "q", g(4)).withColumn(pre + "f", g(5)))
+        params_ok = F.col(pre + "s").isin(PARAM_SCHEMES)
+        staged = (staged.withColumn(pre + "p", F.when(params_ok, F.regexp_replace(F.col(pre + "raw"), r";[^/]*$", ""))
+                                    .otherwise(F.col(pre + "raw")))
+                  .withColumn(pre + "par", F.when(params_ok, F.regexp_extract(F.col(pre + "raw"), r";([^/]*)$", 1))
+                              .otherwise(F.lit(""))))
     b, h = F.col(base), F.col(href)
     bs, bn, bp, bpar, bq = F.col("_bs"), F.col("_bn"), F.col("_bp"), F.col("_bpar"), F.col("_bq")
     hs = F.when(F.col("_hs") == "", bs).otherwise(F.col("_hs"))
@@ -292,6 +300,7 @@ def resolve_links(df, base: str, href: str, out: str = "resolved"):
         for cond, parts in branches:
             expr = F.when(cond, parts[i]) if expr is None else expr.when(cond, parts[i])
         staged = staged.withColumn(f"{out}_{name}", expr.otherwise(other[i]))
-    tmp = ["_bs", "_bn", "_bp", "_bpar", "_bq", "_bf", "_hs", "_hn", "_hp", "_hpar", "_hq", "_hf",
+    tmp = ["_bcl", "_braw", "_hcl", "_hraw",
+           "_bs", "_bn", "_bp", "_bpar", "_bq", "_bf", "_hs", "_hn", "_hp", "_hpar", "_hq", "_hf",
            "_hs2", "_rel", "_segs", "_pop", "_j0", "_joined", "_net"]
     return staged.withColumn(out, result).drop(*tmp)
