@@ -7,7 +7,6 @@ Reusable pieces are plain SQL macros/CTE texts kept here.
 
 from __future__ import annotations
 
-from ..functions import text as tx
 from ..functions import urls as U
 from ..operators import assemble as G
 from ..operators import pagestate as PS
