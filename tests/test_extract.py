@@ -98,3 +98,21 @@ def test_with_content_cleans(spark):
                                "url string, html string")
     r = X.with_content(X.extract_pages(df)).first()
     assert r.content_text.startswith("Body") and "Learn more" not in r.content_text
+
+
+def test_broken_html_fixtures():
+    # stray end tag is ignored; an end tag closes the nearest open element of that name
+    out = ex(page("<title>T</title>", "</div><div><p>alpha <b>beta</div> gamma</p><p>" + "x" * 30 + "</p>"))
+    assert out["description"] is None          # first <p> holds 'alphabeta' only (9 chars)
+    # a script holding '</p>' does not close a paragraph
+    out = ex(page('<script>var s = "</p><p>";</script>', "<p>" + "y" * 25 + "</p>"))
+    assert out["description"] == "y" * 25
+    # tags and entities inside <title> are text
+    out = ex(page("<title>A &lt;b&gt; <i>c</i> &amp; d</title>"))
+    assert out["title"] == "A <b> <i>c</i> & d"
+    # no body at all: no body measures, CSR by the no-body rule, content from the document
+    out = ex("<html><head><title>Only head</title></head></html>")
+    assert out["has_body"] is False and out["body_text_len"] is None
+    # void elements never nest: text after <br> stays in the paragraph
+    out = ex(page("", "<p>one<br>two<img src=x>three and more words here</p>"))
+    assert out["description"] == "onetwothree and more words here"
