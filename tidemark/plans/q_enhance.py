@@ -309,7 +309,17 @@ def outline_reply(request: dict) -> str:
     return json.dumps({"pages": [{"url": u, "title": u.rsplit("/", 1)[-1], "description": ""} for u in urls]})
 
 
-@register("llm_stage")
+_LLM_SQL = f"""WITH {_EN_SQL},
+req AS (SELECT site || chr(31) || section AS request_id,
+          bool_or(strpos(url, '/404') > 0) AS refused,
+          '{{"pages": [' || string_agg('{{"url": "' || url || '", "title": "' || regexp_extract(url, '[^/]*$', 0)
+                                       || '", "description": ""}}', ', ' ORDER BY i) || ']}}' AS body
+        FROM catk GROUP BY site, section)
+SELECT request_id, CASE WHEN refused THEN NULL ELSE body END AS reply,
+       CASE WHEN refused THEN 'RuntimeError: refused' END AS error FROM req"""
+
+
+@register("llm_stage", _LLM_SQL)
 def q_llm_stage(spark, sf):
     req = FE.section_requests(categorized(spark, sf))
     return FE.run_inference(req, outline_reply, parallelism=8, prompt_cols=["pages_block"])
