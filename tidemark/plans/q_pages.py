@@ -268,7 +268,13 @@ def q_rerender_merge(spark, sf):
 
 
 # -- A6: document sink, written to the shared checkpoint area and read back -----------------------
-@register("docs_sink")
+def _sink_sql() -> str:
+    from . import q_site
+    return (f"SELECT idx.site, length(idx.doc) AS doc_chars, m.meta FROM ({O.index_doc_sql()}) idx "
+            f"JOIN ({q_site.RUN_META_SQL}) m USING (site)")
+
+
+@register("docs_sink", _sink_sql())
 def q_docs_sink(spark, sf):
     import os
     import uuid
@@ -286,4 +292,4 @@ def q_docs_sink(spark, sf):
     path = os.path.join(ensure_checkpoint_dir(spark), "sink", uuid.uuid4().hex)
     TB.write_documents(docs, metrics, path)
     back = spark.read.parquet(f"{path}/docs").join(spark.read.parquet(f"{path}/meta"), "site")
-    return back.select("site", F.length("doc").alias("doc_chars"), "meta")
+    return back.select("site", F.length("doc").cast("bigint").alias("doc_chars"), "meta")

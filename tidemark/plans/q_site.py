@@ -78,10 +78,13 @@ def q_run_metrics(spark, sf):
     return G.run_metrics(ex, E.categorize(ex), None, "default")
 
 
-@register("run_meta_json", _METRICS_SQL + """
+RUN_META_SQL = _METRICS_SQL + """
 SELECT site, '{"total_pages":' || total_pages || ',"pages_processed":' || pages_processed
   || ',"pages_failed":' || pages_failed || ',"llm_calls_made":' || llm_calls_made
-  || ',"llm_cost_usd":' || CAST(llm_calls_made * 500 / 1000000.0 AS VARCHAR) || '}' AS meta FROM m""")
+  || ',"llm_cost_usd":' || CAST(llm_calls_made * 500 / 1000000.0 AS VARCHAR) || '}' AS meta FROM m"""
+
+
+@register("run_meta_json", RUN_META_SQL)
 def q_run_meta_json(spark, sf):
     pages = table(spark, sf, "pages")
     ex = SD.extracted_pages(pages)
