@@ -210,7 +210,18 @@ def q_job_sessions(spark, sf):
                     F.col("duration_us").cast("bigint"))
 
 
-@register("job_sessions_stream")
+_SESS_STREAM_SQL = f"""WITH {_PROG},
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= {SESSION_GAP_S * 1000000}
+                     THEN 1 ELSE 0 END AS new FROM prog WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g),
+a AS (SELECT job_id, min(ts) AS st, max(ts) AS en, count(*) AS n_events FROM s GROUP BY job_id, session),
+wm AS (SELECT epoch_us(max(ts)) - 600 * 1000000 AS wm FROM prog)
+SELECT job_id, {ts_sql('st')} AS session_start, {ts_sql('en')} AS session_end, n_events,
+       epoch_us(en) - epoch_us(st) AS duration_us
+FROM a WHERE epoch_us(en) + {SESSION_GAP_S * 1000000} <= (SELECT wm FROM wm)"""
+
+
+@register("job_sessions_stream", _SESS_STREAM_SQL)
 def q_job_sessions_stream(spark, sf):
     ev = progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     out = ST.run_available_now(ST.session_stream(ev, SESSION_GAP_S))
