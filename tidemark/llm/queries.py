@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, packing, pii
+from . import bpe, language_id, license_scan, main_text, packing, pii
 from .common import sf_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(sf_table(spark, sf_dir, "documents"))
+
+
 @register("op2_pii")
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(sf_table(spark, sf_dir, "documents"))
@@ -38,6 +43,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sf_table(spark, sf_dir, "documents"))
 
 
+@register("op6_main_text")
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_pages(sf_table(spark, sf_dir, "pages"))
+
+
 @register("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(sf_table(spark, sf_dir, "documents"))
