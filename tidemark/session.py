@@ -7,7 +7,7 @@ fills in settings that are still unset, so cluster-level configuration
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,22 +46,22 @@ def get_session(master: str | None = None, app: str = "tidemark") -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory named by the cluster.
+    """Folder for checkpoints and cut-off tables, shared by driver and executors.
 
-    ``spark.checkpoint.dir`` (a static setting) is read from the session,
-    then the SparkContext's directory; a local directory of our own is
-    created only when neither is set (local tests and benches).
+    ``spark.checkpoint.dir`` names it on a cluster; the context makes a folder
+    of its own below it, once.  Only a local master may go without the
+    setting (tests and benches): it then gets a temporary folder.
     """
     sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        jdir = sc._jsc.sc().getCheckpointDir()
-        current = jdir.get() if jdir.isDefined() else None
-    if not current:
-        current = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(current)
-    jdir = sc._jsc.sc().getCheckpointDir()
-    return jdir.get() if jdir.isDefined() else current
+    jsc = sc._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+        sc.setCheckpointDir(named)
+    return jsc.getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
