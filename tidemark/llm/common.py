@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["chunks", "cut_lineage", "ensure_checkpoint_dir", "sf_table", "single_user_column", "texts_of"]
+__all__ = ["chunks", "cut_lineage", "cut_to_table", "ensure_checkpoint_dir", "sf_table", "single_user_column", "texts_of"]
 
 
 def sf_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +52,21 @@ def single_user_column(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def cut_to_table(df: DataFrame, stem: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Like a checkpoint it cuts the lineage and survives the loss of
+    executors, but it is stored by column and compressed.  What the query
+    before it has shuffled isn't needed any more, so the driver is asked to
+    let go of it.
+    """
+    import gc
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)

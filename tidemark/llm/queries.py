@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, main_text, packing, pii
+from . import bpe, language_id, license_scan, main_text, nearest, packing, pii, suffix_dedup, topk_search
 from .common import sf_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sf_table(spark, sf_dir, "documents"))
 
 
+@register("op5_topk_search", """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(sf_table(spark, sf_dir, "embeddings"))
+
+
 @register("op6_main_text")
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_pages(sf_table(spark, sf_dir, "pages"))
@@ -51,3 +65,13 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(sf_table(spark, sf_dir, "documents"))
+
+
+@register("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(sf_table(spark, sf_dir, "documents"))
+
+
+@register("op10_nearest")
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(sf_table(spark, sf_dir, "embeddings"))
