@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, main_text, nearest, packing, pii, suffix_dedup, topk_search
+from . import bpe, language_id, license_scan, main_text, near_dedup, nearest, packing, pii, suffix_dedup, topk_search
 from .common import sf_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_pages(sf_table(spark, sf_dir, "pages"))
 
 
+@register("op7_near_dedup")
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(sf_table(spark, sf_dir, "documents"))
+
+
 @register("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(sf_table(spark, sf_dir, "documents"))
