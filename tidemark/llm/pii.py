@@ -30,6 +30,7 @@ from collections.abc import Iterable
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import chunks, single_user_column, texts_of
 
@@ -225,16 +226,18 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input with every span of ``text_col`` replaced by ``<KIND>``; null stays null."""
-    from pyspark.sql import functions as F
+def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """The input with every span of ``text_col`` replaced by ``<KIND>``; null stays null.
 
-    def run(series):
-        return series.map(lambda t: None if t is None else redact_text(t, find_spans(t)))
+    ``size_col`` (if given) becomes the new number of code points.
+    """
+    def run(column):
+        import pandas as pd
 
-    new = single_user_column(docs, "redacted")
-    import pandas as pd  # noqa: F401  (Arrow hands the column over as a pandas series)
+        return pd.Series([None if t is None else redact_text(t, find_spans(t)) for t in column], dtype="object")
 
+    new = single_user_column(docs, "redacted")
     udf = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)
-    return docs.withColumn(new, udf(docs[text_col])) \
-        .select(*(F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    redacted = docs.withColumn(new, udf(docs[text_col]))
+    out = {text_col: F.col(new)} | ({size_col: F.length(new).cast(docs.schema[size_col].dataType)} if size_col else {})
+    return redacted.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns))
