@@ -21,13 +21,14 @@ of the run.
    buckets that occur twice go on.
 2. Classes: anchors of one bucket and one context.  All strings of an anchor
    that isn't the first of its class start earlier too.
-3. Only a bucket with several contexts (the edge of a shared passage) needs
-   refinement to single strings.  The strings of the first anchor of each
-   class fall into four ranges by their distance to the anchor; all strings
-   of a range hold one stretch of 83 bytes, whose identifier is the next
-   refinement.  Ranges whose identifier occurs twice give their strings with
-   two independent b100 identifiers (128 bits); all but the first of equal
-   strings are removed.
+3. Only a bucket with several contexts (the edge of a shared passage) is
+   refined further, on the first anchor of each class alone.  Its strings fall
+   into four ranges by their distance to the anchor.  All strings of a range
+   hold one stretch of 83 bytes: the next bucket, with the bytes of the whole
+   range as its context, and the same rule as in step 2.
+4. The ranges that are firsts of a stretch with several contexts give their
+   strings, with two independent b100 identifiers (128 bits); all but the
+   first of equal strings are removed.
 
 Hot buckets (a passage in a third of all documents) are pre-aggregated and
 then joined, so adaptive skew splitting applies; no bucket is collected.
@@ -119,8 +120,9 @@ def _pieces(offsets: np.ndarray):
 def anchors(data: np.ndarray, offsets: np.ndarray):
     """Anchors of the documents ``data[offsets[i]:offsets[i + 1]]``.
 
-    Yields (document, start of the first string, strings of the run, bucket,
-    context, place of the anchor) as arrays, places counted inside the document.
+    Yields, piece by piece, (b32 of the piece, its first byte, document, start
+    of the first string, strings of the run, place of the anchor, context);
+    the last five are arrays, places count from the first byte of the piece.
     """
     for low, high, i, j in _pieces(offsets):
         if high - low < LENGTH:
@@ -152,44 +154,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
         shape = (run * 128 + anchor - start).astype(np.uint64)
         context = _refine(strings(b32, start), strings(b32, last) + shape, 0)
         owner = i + np.searchsorted(first, start, "right") - 1
-        inner = low - offsets[owner]
-        yield owner, start + inner, run, b32[anchor], context, anchor + inner
-
-
-def range_rows(text: bytes, starts: np.ndarray):
-    """Ranges of the strings of the anchors whose runs begin at ``starts``.
-
-    (identifier of the stretch, start, strings, bytes of the strings) each.
-    """
-    data = np.frombuffer(text, dtype=np.uint8)
-    for _, start, run, _, _, anchor in anchors(data, np.array([0, len(data)])):
-        mine = np.isin(start, starts)
-        start, run, anchor = start[mine], run[mine], anchor[mine]
-        if not len(start):
-            continue
-        low = max(0, int(start.min()) - GRAM)
-        b32 = buckets(data[low:int((start + run).max()) + LENGTH])
-        far, near = anchor - start, anchor - start - run + 1  # distance of the first and the last string
-        for j in range(-(-SPAN // RANGE)):
-            most, least = np.minimum(far, RANGE * j + RANGE - 1), np.maximum(near, RANGE * j)
-            has = np.flatnonzero(most >= least)
-            at = anchor[has] - RANGE * j - low
-            ids = _refine(_b64(b32, at, 0), _b64(b32, at + LENGTH - RANGE + 1 - 64, 0) + np.uint64(j), 0)
-            first = anchor[has] - most[has]
-            for i, s, n in zip(ids.view(np.int64).tolist(), first.tolist(),
-                               (most[has] - least[has] + 1).tolist(), strict=True):
-                yield i, s, n, text[s:s + n + LENGTH - 1]
-
-
-def string_ids(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent b100 identifiers of every string of the pieces, one piece after another."""
-    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    runs = lengths - LENGTH + 1
-    ends = np.cumsum(runs)
-    at = np.arange(ends[-1]) + np.repeat(np.cumsum(lengths) - lengths - (ends - runs), runs)
-    one, two = (strings(buckets(data, chain), at, chain) for chain in (0, 1))
-    return one, two
+        yield b32, low, owner, start, run, anchor, context
 
 
 def _text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -209,50 +174,76 @@ def _place(text_hash, start, run):
 
 def _bucket_counts(batches):
     for batch in batches:
-        for _, _, _, bucket, _, _ in anchors(*_text_buffer(batch.column("text"))):
-            values, n = np.unique(bucket.view(np.int64), return_counts=True)
+        for b32, _, _, _, _, anchor, _ in anchors(*_text_buffer(batch.column("text"))):
+            values, n = np.unique(b32[anchor].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["bucket", "n"])
 
 
+def _rows(bucket, context, doc, place):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(place)],
+        ["bucket", "context", "doc", "place"])
+
+
 def _anchor_rows(batches):
     for batch in batches:
-        doc = batch.column("doc").to_numpy()
-        text_hash = batch.column("text_hash").to_numpy()
-        for owner, start, run, bucket, context, _ in anchors(*_text_buffer(batch.column("text"))):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc[owner]),
-                 pa.array(_place(text_hash[owner], start, run))], ["bucket", "context", "doc", "place"])
+        doc, text_hash = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy()
+        data, offsets = _text_buffer(batch.column("text"))
+        for b32, low, owner, start, run, anchor, context in anchors(data, offsets):
+            yield _rows(b32[anchor], context, doc[owner],
+                        _place(text_hash[owner], start + low - offsets[owner], run))
+
+
+def _wanted(batch: pa.RecordBatch, offsets: np.ndarray):
+    """(document, first byte, strings) of the places of a batch, by first byte."""
+    places = batch.column("places")
+    owner = np.repeat(np.arange(len(places)), np.diff(np.asarray(places.offsets)))
+    place = places.flatten().to_numpy()
+    at = offsets[owner] + (place >> RUN_BITS & (1 << START_BITS) - 1)
+    order = np.argsort(at)
+    return owner[order], at[order], ((place & (1 << RUN_BITS) - 1) + 1)[order]
 
 
 def _range_rows(batches):
+    """Ranges of the anchors whose runs begin at the given places."""
     for batch in batches:
-        for d, h, text, places in zip(batch.column("doc").to_pylist(), batch.column("text_hash").to_pylist(),
-                                      batch.column("text").to_pylist(), batch.column("places").to_pylist(),
-                                      strict=True):
-            starts = np.array(places, dtype=np.int64) >> RUN_BITS & (1 << START_BITS) - 1
-            rows = list(range_rows(text.encode(), starts))
-            if rows:
-                ids, first, n, pieces = zip(*rows, strict=True)
-                place = _place(np.int64(h), np.array(first, dtype=np.int64), np.array(n, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.full(len(ids), d)), pa.array(place),
-                     pa.array(pieces, pa.binary())], ["stretch", "doc", "place", "piece"])
+        doc, text_hash = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy()
+        data, offsets = _text_buffer(batch.column("text"))
+        _, wanted, _ = _wanted(batch, offsets)
+        for b32, low, owner, start, run, anchor, _ in anchors(data, offsets):
+            mine = np.isin(start + low, wanted)
+            owner, start, run, anchor = owner[mine], start[mine], run[mine], anchor[mine]
+            far, near = anchor - start, anchor - start - run + 1  # distance of the first and the last string
+            for j in range(-(-SPAN // RANGE)):
+                most, least = np.minimum(far, RANGE * j + RANGE - 1), np.maximum(near, RANGE * j)
+                has = np.flatnonzero(most >= least)
+                at = anchor[has] - RANGE * j
+                stretch = _refine(_b64(b32, at, 0), _b64(b32, at + LENGTH - RANGE + 1 - 64, 0) + np.uint64(j), 0)
+                first, last = anchor[has] - most[has], anchor[has] - least[has]
+                n = last - first + 1
+                shape = (n * 128 + most[has]).astype(np.uint64)
+                context = _refine(strings(b32, first), strings(b32, last) + shape, 0)
+                yield _rows(stretch, context, doc[owner[has]],
+                            _place(text_hash[owner[has]], first + low - offsets[owner[has]], n))
 
 
 def _string_rows(batches):
+    """Every string of the given places, with two independent identifiers."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        place = batch.column("place").to_numpy()
-        run = (place & (1 << RUN_BITS) - 1) + 1
-        one, two = string_ids(batch.column("piece").to_pylist())
+        doc, text_hash = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy()
+        data, offsets = _text_buffer(batch.column("text"))
+        owner, at, run = _wanted(batch, offsets)
         ends = np.cumsum(run)
-        step = np.arange(ends[-1]) - np.repeat(ends - run, run)
-        # each string is a run of one: same hash and start moved by its step
-        own = np.repeat(place - (run - 1), run) + (step << RUN_BITS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-             pa.array(np.repeat(batch.column("doc").to_numpy(), run)), pa.array(own)], ["one", "two", "doc", "place"])
+        at = np.repeat(at - (ends - run), run) + np.arange(ends[-1] if len(ends) else 0)
+        owner = np.repeat(owner, run)
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        for low, high, _, _ in _pieces(offsets):
+            a, b = np.searchsorted(at, [low, high - LENGTH + 1])
+            if a < b:
+                part, who = data[low:high], owner[a:b]
+                one, two = (strings(buckets(part, chain), at[a:b] - low, chain) for chain in (0, 1))
+                yield _rows(one, two, doc[who], _place(text_hash[who], at[a:b] - offsets[who], 1))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -268,37 +259,42 @@ def removed_stretches(docs: DataFrame) -> DataFrame:
     scanned = docs.select("doc", "text_hash", "text")
     seen_twice = docs.select("text").mapInArrow(_bucket_counts, "bucket long, n long") \
         .groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("bucket")
+    schema = "bucket long, context long, doc long, place long"
     shared = cut_to_table(
-        scanned.mapInArrow(_anchor_rows, "bucket long, context long, doc long, place long")
-        .join(seen_twice.hint("merge"), "bucket"), "anchors")
-    classes = shared.groupBy("bucket", "context").agg(
+        scanned.mapInArrow(_anchor_rows, schema).join(seen_twice.hint("merge"), "bucket"), "anchors")
+    ranges = cut_to_table(scanned.join(_edges(shared).hint("merge"), ["doc", "text_hash"])
+                          .mapInArrow(_range_rows, schema), "ranges")
+    single = cut_to_table(scanned.join(_edges(ranges).hint("merge"), ["doc", "text_hash"])
+                          .mapInArrow(_string_rows, schema), "strings")
+    removed = _not_first(shared).unionByName(_not_first(ranges)).unionByName(_not_first(single))
+    return cut_to_table(_by_text(removed), "removed")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("bucket", "context").agg(
         F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("members"))
-    repeats = _not_first(shared, classes, ["bucket", "context"])
 
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """Firsts of the classes whose bucket has several contexts, by text."""
+    classes = _classes(rows)
     several = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > 1)
-    edges = classes.join(several.select("bucket").hint("merge"), "bucket") \
-        .select("first.*").select("doc", _text_hash("place"), "place") \
-        .groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))  # bounded by one text
-    ranges = cut_to_table(
-        scanned.join(edges.hint("merge"), ["doc", "text_hash"])
-        .mapInArrow(_range_rows, "stretch long, doc long, place long, piece binary"), "ranges")
-    twice = ranges.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("stretch")
-    single = ranges.join(twice.hint("merge"), "stretch").select("doc", "place", "piece") \
-        .mapInArrow(_string_rows, "one long, two long, doc long, place long")
-    same = single.groupBy("one", "two").agg(
-        F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("members"))
-    return repeats.unionByName(_not_first(single, same, ["one", "two"])) \
-        .select("doc", _text_hash("place"), "place") \
-        .groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))  # bounded by one text
+    return _by_text(classes.join(several.select("bucket").hint("merge"), "bucket").select("first.*"))
 
 
-def _not_first(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """doc, place of the rows that aren't the first of their group."""
-    found = groups.where(F.col("members") > 1).select(*keys, "first")
-    return rows.join(found.hint("merge"), keys) \
+def _not_first(rows: DataFrame) -> DataFrame:
+    """doc, place of the rows that aren't the first of their class."""
+    found = _classes(rows).where(F.col("members") > 1).select("bucket", "context", "first")
+    return rows.join(found.hint("merge"), ["bucket", "context"]) \
         .where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place"))).select("doc", "place")
 
 
+def _by_text(rows: DataFrame) -> DataFrame:
+    """doc, text_hash and its places; their number is bounded by the length of the text."""
+    return rows.select("doc", _text_hash("place"), "place") \
+        .groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
+
+
 def _text_hash(place: str) -> F.Column:
     return F.shiftrightunsigned(F.col(place), START_BITS + RUN_BITS).alias("text_hash")
 
