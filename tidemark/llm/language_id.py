@@ -21,9 +21,10 @@ sorts first.  Languages, sources and ids of scored rows are never read.
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,79 +38,119 @@ SAMPLE_PER_LANGUAGE = 1000
 KEPT_WORDS = 20_000
 KEPT_GRAMS = 5_000
 LONGEST = 5
-CHUNK_BYTES = 8 << 20
-CACHE_WORDS = 400_000
+CHUNK_BYTES = 4 << 20
+CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model:
-    """Scores words; rows of ``table`` are per-language log frequencies."""
+    """Log frequencies of words and n-grams, one row each with one column per language."""
 
     def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
         """Counts as (language, word or n-gram, occurrences)."""
         self.languages = sorted({lang for lang, _, _ in words} | {lang for lang, _, _ in grams})
-        at = {lang: i for i, lang in enumerate(self.languages)}
-        self.words = self._log_frequencies(words, at)
         by_length: dict[int, list] = defaultdict(list)
         for row in grams:
             by_length[len(row[1])].append(row)
-        self.grams = {n: self._log_frequencies(rows, at) for n, rows in by_length.items()}
-
-    def _log_frequencies(self, rows, at) -> dict[str, np.ndarray]:
-        """Add-one smoothed log frequency of each item in each language."""
-        counts: dict[str, np.ndarray] = {}
+        # kept in few large objects: the model is sent to every worker
+        self.counts = {n: self._counts(rows) for n, rows in [(0, words), *by_length.items()]}
+        self.name = hashlib.md5(repr([(n, x, c.tobytes()) for n, (x, c) in self.counts.items()]).encode()).hexdigest()
+
+    def _counts(self, rows) -> tuple[str, np.ndarray]:
+        """Items joined by line feeds, and their counts by language."""
+        at = {item: i for i, item in enumerate(dict.fromkeys(item for _, item, _ in rows))}
+        counts = np.zeros((len(at), len(self.languages)), dtype=np.int64)
         for lang, item, n in rows:
-            counts.setdefault(item, np.ones(len(at)))[at[lang]] += n
-        if not counts:
-            return {}
-        totals = sum(counts.values())
-        return {item: np.log(c / totals) for item, c in counts.items()}
+            counts[at[item], self.languages.index(lang)] += n
+        return "\n".join(at), counts
+
+
+class Scorer:
+    """Scores the words of texts by a model; remembers words it has met."""
+
+    def __init__(self, model: Model):
+        self.name, self.languages = model.name, model.languages
+        items, tables, first = {}, [], 0
+        for n, (joined, counts) in model.counts.items():
+            names = joined.split("\n") if joined else []
+            items[n] = {item: first + i for i, item in enumerate(names)}
+            tables.append(np.log((counts + 1) / (counts + 1).sum(axis=0)) if len(counts) else counts.astype(float))
+            first += len(names)
+        self.words = items.pop(0)
+        self.grams = sorted(items.items(), reverse=True)  # longest first
+        self.table = np.concatenate(tables) if tables else np.zeros((0, 0))
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.languages)))
+
+    def learn(self) -> None:
+        """Score the words that came up since the last call.
+
+        A known word scores by its own log frequencies; another by the mean of
+        its longest known n-grams; a word without a known letter by zeros.
+        """
+        fresh = list(islice(self.index, len(self.scores), None))
+        if not fresh:
+            return
+        rows, counts = [], []
+        for word in fresh:
+            known = self.words.get(word)
+            found = [known] if known is not None else ()
+            if not found:
+                for n, table in self.grams:
+                    found = [k for i in range(len(word) - n + 1) if (k := table.get(word[i:i + n])) is not None]
+                    if found:
+                        break
+            rows += found
+            counts.append(len(found))
+        counts = np.array(counts)
+        out = np.zeros((len(fresh), len(self.languages)))
+        if rows:
+            has = np.flatnonzero(counts)
+            starts = (np.cumsum(counts) - counts)[has]
+            out[has] = np.add.reduceat(self.table[rows], starts) / counts[has][:, None]
+        self.scores = np.concatenate([self.scores, out])
 
     def word_score(self, word: str) -> np.ndarray:
-        """Log frequency of a known word, else the mean of its longest known n-grams."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for n in range(min(LONGEST, len(word)), 0, -1):
-            table = self.grams.get(n, {})
-            found = [table[g] for i in range(len(word) - n + 1) if (g := word[i:i + n]) in table]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+        at = self.index.setdefault(word, len(self.index))
+        self.learn()
+        return self.scores[at]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        cache: dict[str, int] = getattr(self, "_cache", {})
-        rows: list[np.ndarray] = getattr(self, "_rows", [])
-        if len(cache) > CACHE_WORDS:
-            cache, rows = {}, []
-        langs, scores = [], []
-        table = np.array(rows).reshape(len(rows), len(self.languages))
-        for text in texts:
-            seen = Counter(_WORD.findall(text.lower())) if text and self.languages else None
-            if not seen:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            at = []
-            for w in seen:
-                k = cache.get(w)
-                if k is None:
-                    k = cache[w] = len(rows)
-                    rows.append(self.word_score(w))
-                at.append(k)
-            if len(rows) > len(table):
-                table = np.concatenate([table, np.array(rows[len(table):])])
-            n = np.fromiter(seen.values(), dtype=np.float64, count=len(seen))
-            total = n @ table[at]
-            # words of a text depend on one another: evidence grows with the root of their number
-            z = (total - total.max()) / math.sqrt(n.sum())
-            best = int(np.argmax(total))
-            langs.append(self.languages[best])
-            scores.append(float(1 / np.exp(z).sum()))
-        self._cache, self._rows = cache, rows
+        """Language and score of each text."""
+        if len(self.index) > CACHE_WORDS:
+            self.forget()
+        index = self.index
+        words = [[index.setdefault(w, len(index)) for w in _WORD.findall(t.lower())] if t and self.languages else []
+                 for t in texts]
+        self.learn()
+        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        has = np.flatnonzero(n)
+        if not len(has):
+            return langs, scores
+        flat = np.fromiter(chain.from_iterable(words), dtype=np.int64, count=int(n.sum()))
+        totals = np.add.reduceat(self.scores[flat], (np.cumsum(n) - n)[has])
+        # words of a text depend on one another: evidence grows with the root of their number
+        z = (totals - totals.max(axis=1, keepdims=True)) / np.sqrt(n[has])[:, None]
+        score = 1 / np.exp(z).sum(axis=1)
+        for i, best, s in zip(has.tolist(), totals.argmax(axis=1).tolist(), score.tolist(), strict=True):
+            langs[i], scores[i] = self.languages[best], s
         return langs, scores
 
 
+_last: list[Scorer] = []
+
+
+def scorer(model: Model) -> Scorer:
+    """The scorer of a worker process; only the last model's is kept."""
+    if not _last or _last[0].name != model.name:
+        _last[:] = [Scorer(model)]
+    return _last[0]
+
+
 def held_out(id_col) -> F.Column:
     """Rows kept from training: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -155,7 +196,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
+        m = scorer(shared.value)
         for whole in batches:
             for batch in chunks(whole, "text", CHUNK_BYTES):
                 langs, scores = m.predict(batch.column("text").to_pylist())
@@ -177,7 +218,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     def run(column):
         import pandas as pd
 
-        return pd.Series(shared.value.predict(column.tolist())[0], dtype="object")
+        return pd.Series(scorer(shared.value).predict(column.tolist())[0], dtype="object")
 
     udf = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)
     return docs.withColumn(verdict, udf(docs[text_col])).where(F.col(verdict) != UNKNOWN).drop(verdict)
