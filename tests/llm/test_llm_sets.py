@@ -266,14 +266,16 @@ def classes_by_brute_force(rows, idf):
     return {t: (texts[names[root(at[t])]][1] if texts[names[root(at[t])]][0] else None) for t in names}
 
 
-def test_near_duplicates_by_brute_force(spark):
+@pytest.mark.parametrize("pivots", [near_dedup.PIVOTS, (1, 2)])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, pivots):
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     base = [[rng.choice(words) for _ in range(rng.randrange(60, 160))] for _ in range(6)]
     rows = [(i, t) for i, t in enumerate(ODD)]
     for k in range(180):
         copy = list(base[min(5, k // 6)])  # the last base has a large group
-        for _ in range(rng.randrange(0, 6)):
+        for _ in range(rng.randrange(0, 8)):
             copy[rng.randrange(len(copy))] = rng.choice(words)
         rows.append((100 + k, " ".join(copy)))
     rows += [(500 + i, " ".join(rng.choice(words) for _ in range(80))) for i in range(40)]
@@ -300,6 +302,36 @@ def test_near_duplicates_by_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 é,\nÀ", max_size=40), max_size=8), st.integers(20, 200))
+def test_shingles_by_definition(texts, piece):
+    """Equal shingles of any two texts are equal tuples of words, wherever they stand."""
+    import re
+
+    def by_words(text):
+        words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.lower())
+        return Counter(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+    texts = [*texts, "a b " * 30, " ".join(texts)]
+    name, seen = {}, {}
+    old, near_dedup.PIECE = near_dedup.PIECE, piece
+    try:
+        got = [Counter() for _ in texts]
+        for i, _, row, ids, times in near_dedup.shingles(pa.array(texts)):
+            for r, s, n in zip(row.tolist(), ids.tolist(), times.tolist(), strict=True):
+                got[i + r][s] = n
+    finally:
+        near_dedup.PIECE = old
+    for g, text in zip(got, texts, strict=True):
+        want = by_words(text)
+        assert sorted(g.values()) == sorted(want.values())
+        if len(want) == 1:
+            (s, _), (w, _) = g.most_common(1)[0], want.most_common(1)[0]
+            assert name.setdefault(s, w) == w and seen.setdefault(w, s) == s
+    for (g, a), (h, b) in itertools.combinations(zip(got, texts, strict=True), 2):
+        assert len(g.keys() & h.keys()) == len(by_words(a).keys() & by_words(b).keys())
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     sampler = near_dedup.Sampler(np.full(near_dedup.BUCKETS, near_dedup.IDF_STEPS))

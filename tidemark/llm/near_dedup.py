@@ -80,8 +80,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     base = int(_ODD)
     inverse = pow(base, -1, 1 << 64)
-    up = np.cumprod(np.concatenate([[1], np.full(n, base, dtype=np.uint64)]).astype(np.uint64))
-    down = np.cumprod(np.concatenate([[1], np.full(n, inverse, dtype=np.uint64)]).astype(np.uint64))
+    one = np.ones(1, dtype=np.uint64)
+    up, down = (np.cumprod(np.concatenate([one, np.full(n, k, dtype=np.uint64)])) for k in (base, inverse))
     return up, down
 
 
@@ -332,7 +332,7 @@ def _roots(links: DataFrame) -> DataFrame:
     labels = cut_to_table(both.groupBy("a").agg(F.min("b").alias("b"))
                           .select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "labels")
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b", "root": "seen"}), "b") \
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("seen")), "b") \
             .groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         least = labels.join(near, "node").select("node", F.col("root").alias("old"),
                                                  F.least("root", "seen").alias("step"))
@@ -431,8 +431,8 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     lifted = links.join(a, "a", "left").join(b, "b", "left") \
         .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where(F.col("a") != F.col("b"))
     roots = _roots(lifted)
-    moved = labels.join(roots.withColumnsRenamed({"node": "root", "root": "up"}), "root", "left") \
-        .select("node", F.coalesce("up", "root").alias("root"))
+    up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    moved = labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     fresh = roots.join(labels.select("node"), "node", "left_anti")
     return cut_to_table(moved.union(fresh.select("node", "root")), "components")
 
