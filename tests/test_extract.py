@@ -1,7 +1,14 @@
-from pyspark.sql import functions as F
+import pytest
 
 from tidemark.operators import extract as X
 
+SESSION = []
+
+
+@pytest.fixture(autouse=True)
+def _session(spark):
+    SESSION[:] = [spark]
+
 
 def page(head="", body="", with_body=True):
     b = f"<body>{body}</body>" if with_body else ""
@@ -9,7 +16,8 @@ def page(head="", body="", with_body=True):
 
 
 def ex(html):
-    return X.extract_one("https://x.com/p", html)
+    df = SESSION[0].createDataFrame([("https://x.com/p", html)], "url string, html string")
+    return X.extract_pages(df).first().asDict()
 
 
 def test_title_rules():

@@ -1,9 +1,10 @@
 """Page extraction (D0-D7) as one Arrow-batched pass over ``(url, html)``.
 
 HTML crosses into Python exactly once per page; the task emits a narrow
-struct of fields and measures (no shuffle, output far smaller than input).
-Every *decision* that can be a column expression (CSR rule D4, Markdown
-cleaning D8-D10, soft-404 D12) is taken afterwards on the JVM side.
+struct of candidates and measures (no shuffle, output far smaller than
+input).  Every *decision* that can be a column expression (title,
+description and meta values D1-D3, CSR rule D4, Markdown cleaning D8-D10,
+soft-404 D12) is taken afterwards on the JVM side.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,14 +39,14 @@ CONTENT_CANDIDATES = (("tag", "main"), ("tag", "article"), ("role", "main"),
                       ("class", "article-content"), ("class", "entry-content"),
                       ("class", "page-content"), ("id", "content"), ("id", "main-content"))
 
-EXTRACT_SCHEMA = T.StructType([
+_META_TAG = T.StructType([T.StructField(a, T.StringType()) for a in ("property", "name", "content")])
+# What the pass over a page emits: candidates and measures, no choices.
+CANDIDATE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("og_title", T.StringType()),
-    T.StructField("og_description", T.StringType()),
-    T.StructField("og_type", T.StringType()),
-    T.StructField("og_image", T.StringType()),
+    T.StructField("title_string", T.StringType()),
+    T.StructField("h1_text", T.StringType()),
+    T.StructField("p_text", T.StringType()),
+    T.StructField("meta_tags", T.ArrayType(_META_TAG)),
     T.StructField("markdown", T.StringType()),
     T.StructField("links", T.ArrayType(T.StringType())),
     T.StructField("has_body", T.BooleanType()),
@@ -56,46 +57,42 @@ EXTRACT_SCHEMA = T.StructType([
     T.StructField("root_text_len", T.IntegerType()),
     T.StructField("has_noscript", T.BooleanType()),
 ])
+OG_FIELDS = {"og_title": "og:title", "og_description": "og:description", "og_type": "og:type", "og_image": "og:image"}
+_MEASURES = [f.name for f in CANDIDATE_SCHEMA.fields[5:]]
+PAGE_FIELDS = ["url", "title", "description", *OG_FIELDS, *_MEASURES]
 
 
 # ---------------------------------------------------------------------------
-# per-page rules (run inside the task)
+# choices among the candidates (D1-D3), as columns
 # ---------------------------------------------------------------------------
 
-def _meta(idx, value: str, name_attr: str = "property"):
-    tag = next((m for m in idx.meta if m.attrs.get(name_attr) == value), None)
-    if tag is None:
-        tag = next((m for m in idx.meta if m.attrs.get("name") == value), None)
-    if tag is not None and tag.attrs.get("content"):
-        return tag.attrs["content"].strip()
-    return None
-
-
-def _title(idx):
-    t = idx.tag.get("title")
-    if t is not None:
-        s = t.single_string()
-        if s:
-            return s.strip()
-    h1 = idx.tag.get("h1")
-    return h1.text() if h1 is not None else None
-
-
-def _description(idx):
-    d = _meta(idx, "description", name_attr="name")
-    if d:
-        return d[:MAX_DESCRIPTION_LENGTH]
-    d = _meta(idx, "og:description")
-    if d:
-        return d[:MAX_DESCRIPTION_LENGTH]
-    p = idx.tag.get("p")
-    if p is not None:
-        text = p.text()
-        if len(text) > MIN_PARAGRAPH_TEXT:
-            return text[:MAX_DESCRIPTION_LENGTH]
-    return None
+def meta_value(value: str, *attributes: str) -> Column:
+    """D3: content of the first meta tag whose attribute is ``value``; the
+    attributes are tried in order, and an empty content gives NULL."""
+    def first(attribute):
+        return F.get(F.filter("meta_tags", lambda tag: tag[attribute] == value), F.lit(0))
+
+    content = F.coalesce(*(first(a) for a in attributes))["content"]
+    return F.when(content != "", tx.py_strip(content))
+
+
+def with_page_fields(candidates: DataFrame) -> DataFrame:
+    """Title, description and Open Graph fields from the candidates."""
+    title = F.when(F.coalesce(F.col("title_string"), F.lit("")) != "", tx.py_strip(F.col("title_string"))) \
+        .otherwise(F.col("h1_text"))
+    description = F.coalesce(
+        F.nullif(meta_value("description", "name"), F.lit("")),
+        F.nullif(meta_value("og:description", "property", "name"), F.lit("")),
+        F.when(F.length("p_text") > MIN_PARAGRAPH_TEXT, F.col("p_text")))
+    fields = {"title": title, "description": F.substring(description, 1, MAX_DESCRIPTION_LENGTH)}
+    fields |= {c: meta_value(v, "property", "name") for c, v in OG_FIELDS.items()}
+    return candidates.withColumns(fields).drop("title_string", "h1_text", "p_text", "meta_tags")
 
 
+# ---------------------------------------------------------------------------
+# per-page rules (run inside the task)
+# ---------------------------------------------------------------------------
+
 def _is_noise(n) -> bool:
     if n.tag in NOISE_TAGS:
         return True
@@ -288,91 +285,62 @@ def to_markdown(node) -> str:
     return _Renderer().render(node)
 
 
-def extract_one(url: str, doc: str) -> dict:
+def candidates_of(url: str, doc: str) -> dict:
+    """Candidates and measures of one page."""
     root, idx = htmltree.parse_indexed(doc)
-    body = idx.tag.get("body")
-    root_div = idx.id.get(("div", "root")) or idx.id.get(("div", "app"))
-    links = [n.attrs["href"] for n in root.iter() if n.tag == "a" and "href" in n.attrs]
+    body, title = idx.tag.get("body"), idx.tag.get("title")
+    app = idx.id.get(("div", "root")) or idx.id.get(("div", "app"))
     out = {
         "url": url,
-        "title": _title(idx),
-        "description": _description(idx),
-        "og_title": _meta(idx, "og:title"),
-        "og_description": _meta(idx, "og:description"),
-        "og_type": _meta(idx, "og:type"),
-        "og_image": _meta(idx, "og:image"),
-        "links": links,
+        "title_string": title.single_string() if title is not None else None,
+        "meta_tags": [{a: m.attrs.get(a) for a in ("property", "name", "content")} for m in idx.meta],
+        "links": [n.attrs["href"] for n in root.iter() if n.tag == "a" and "href" in n.attrs],
         "has_body": body is not None,
-        "body_text_len": len(body.text()) if body is not None else None,
-        "body_link_count": (sum(1 for n in body.iter() if n.tag == "a" and "href" in n.attrs)
-                            if body is not None else None),
-        "body_child_count": (sum(1 for c in body.children if isinstance(c, htmltree.Node)
-                                 and c.tag not in ("script", "style", "link"))
-                             if body is not None else None),
         "has_next_div": ("div", "__next") in idx.id,
-        "root_text_len": len(root_div.text()) if root_div is not None else None,
+        "root_text_len": len(app.text()) if app is not None else None,
         "has_noscript": "noscript" in idx.tag,
+        **{f"{t}_text": n.text() for t in ("h1", "p") if (n := idx.tag.get(t)) is not None},
     }
+    if body is not None:
+        out["body_text_len"] = len(body.text())
+        out["body_link_count"] = sum(1 for n in body.iter() if n.tag == "a" and "href" in n.attrs)
+        out["body_child_count"] = sum(1 for c in body.children if isinstance(c, htmltree.Node)
+                                      and c.tag not in ("script", "style", "link"))
     removed: set = set()
     _drop_noise(root, removed)
     out["markdown"] = to_markdown(_content_root(root, idx, removed))
     return out
 
 
-def _extract_batches(batches):
-    names = [f.name for f in EXTRACT_SCHEMA.fields]
-    for batch in batches:
-        urls = batch.column("url").to_pylist()
-        docs = batch.column("html").to_pylist()
-        rows = [extract_one(u, d or "") for u, d in zip(urls, docs)]
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA).select(names)
-
-
 def _arrow_schema():
     from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(EXTRACT_SCHEMA)
+    return to_arrow_schema(CANDIDATE_SCHEMA)
 
 
 _ARROW_SCHEMA = _arrow_schema()
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, current: int | None = None) -> DataFrame:
-    """Give a CPU-heavy per-row stage at least one partition per core.
-
-    At scale the scan already yields far more partitions than cores and
-    this is a no-op; a small input stored as one row group would otherwise
-    run on a single core.  ``current`` is the known input partition count
-    (take it from the raw scan: asking a plan with exchanges for its RDD
-    would execute those stages under AQE); without it the frame must be a
-    plain scan or projection.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = current if current is not None else df.rdd.getNumPartitions()
-    return df.repartition(target) if n < target else df
-
-
-def extract_pages(snapshots: DataFrame, input_partitions: int | None = None) -> DataFrame:
+def extract_pages(snapshots: DataFrame) -> DataFrame:
     """``(url, html, ...)`` -> one row per page with fields and measures.
 
-    Other input columns (keys such as ``site``, ``rank``) are carried through
-    by a narrow re-join on the row position inside the same task: the Python
-    pass sees only ``url`` and ``html``.
+    Other input columns (keys such as ``site``, ``page_id``) travel through
+    the same task beside ``url`` and ``html``; nothing is shuffled.  Task
+    sizes follow the file splits of the scan.
     """
-    snapshots = spread(snapshots, current=input_partitions)
     keys = [c for c in snapshots.columns if c not in ("url", "html")]
-    if not keys:
-        return snapshots.select("url", "html").mapInArrow(_extract_batches, EXTRACT_SCHEMA)
-    packed = snapshots.select(F.struct(*keys).alias("_k"), "url", "html")
-    schema = T.StructType([T.StructField("_k", packed.schema["_k"].dataType)] + EXTRACT_SCHEMA.fields)
+    packed = snapshots.select(F.struct(*keys, F.lit(None).alias("_")).alias("_k"), "url", "html") if keys \
+        else snapshots.select(F.struct(F.lit(0).alias("_")).alias("_k"), "url", "html")
+    schema = T.StructType([T.StructField("_k", packed.schema["_k"].dataType), *CANDIDATE_SCHEMA.fields])
 
     def run(batches):
         for batch in batches:
-            k = batch.column("_k")
-            for out in _extract_batches([batch]):
-                yield pa.RecordBatch.from_arrays([k] + out.columns, schema=pa.schema(
-                    [pa.field("_k", k.type)] + list(out.schema)))
+            rows = [candidates_of(u, d or "") for u, d in
+                    zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+            found = pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), *found.columns], ["_k", *found.schema.names])
 
-    return packed.mapInArrow(run, schema).select("_k.*", *[f.name for f in EXTRACT_SCHEMA.fields])
+    raw = packed.mapInArrow(run, schema)
+    return with_page_fields(raw).select(*(F.col(f"_k.{k}").alias(k) for k in keys), *PAGE_FIELDS)
 
 
 def with_content(extracted: DataFrame) -> DataFrame:

@@ -119,8 +119,8 @@ def first_p_desc_sql(h: str = "html") -> str:
     return f"(CASE WHEN length({ptext}) > 20 THEN left({ptext}, 500) END)"
 
 
-def extracted_pages_sql(max_urls: int = 50) -> str:
-    """CTE chain: capped pages with title, description, error (HTTP-path soft-404)."""
+def extracted_pages_sql() -> str:
+    """CTE chain: pages with title, description, error (HTTP-path soft-404)."""
     first_p = "substr(html, strpos(html, '<p>'))"
     close_p = f"strpos({first_p}, '</p>')"
     close_art = f"strpos({first_p}, '</article>')"
@@ -141,8 +141,7 @@ def extracted_pages_sql(max_urls: int = 50) -> str:
     return f"""
 pg AS (SELECT page_id, url, html, {u_site('url')} AS site FROM pages),
 rk AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank FROM pg),
-cap AS (SELECT * FROM rk WHERE rank <= {max_urls}),
-ex0 AS (SELECT site, page_id, rank, url, {title} AS title, {desc} AS description FROM cap),
+ex0 AS (SELECT site, page_id, rank, url, {title} AS title, {desc} AS description FROM rk),
 ex AS (
   SELECT site, page_id, rank, url,
     CASE WHEN s404 THEN NULL ELSE title END AS title,
@@ -196,11 +195,11 @@ sites AS (
 )"""
 
 
-def index_doc_sql(max_urls: int = 50, k: int = 5) -> str:
+def index_doc_sql(k: int = 5) -> str:
     entry = ("'- [' || title || '](' || url || ')' || "
              "CASE WHEN description <> '' THEN ': ' || description ELSE '' END")
     return f"""
-WITH {extracted_pages_sql(max_urls)},
+WITH {extracted_pages_sql()},
 {categorized_sql()},
 {site_info_sql()},
 enh AS (

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -34,23 +33,17 @@ EN_PAGES = D.SECTION_PAGES + [("title", TITLE), ("og_title", OG_TITLE), ("descri
 SEP = "\u001f"
 
 
-MAX_URLS = SD.DEFAULT_MAX_URLS
-
-
 def en_pages(spark, sf):
-    """Pages of one run per site: the first ``max_urls`` (the product's per-run
-    page limit), so every per-section request and document is bounded."""
-    p = derive(spark, sf, "pages", EN_PAGES)
-    w = Window.partitionBy("site").orderBy("page_id")
-    return p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_URLS)
+    """Pages with their order in the site (that of ``page_id``)."""
+    return derive(spark, sf, "pages", EN_PAGES).withColumn("rank", F.col("page_id"))
 
 
 def categorized(spark, sf):
     return E.categorize(en_pages(spark, sf))
 
 
-_EN_SQL = f"""ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank
-                    FROM ({derive_sql('pages', EN_PAGES)})) WHERE rank <= {SD.DEFAULT_MAX_URLS}),
+_EN_SQL = f"""ex AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank
+                    FROM ({derive_sql('pages', EN_PAGES)})),
 {O.categorized_sql()},
 catk AS (SELECT *, row_number() OVER (PARTITION BY site, section
                    ORDER BY moved, CASE WHEN moved THEN first_rank ELSE 0 END, rank) AS i FROM cat)"""
@@ -179,8 +172,8 @@ def q_section_fallback(spark, sf):
 # -- F5-F7 ----------------------------------------------------------------------------------
 _CLEAN_REQ = f"""SELECT url AS request_id, site, url, coalesce(nullif(title, ''), nullif(og_title, ''), 'Untitled') AS title,
   left(content_text, {FE.CLEAN_CONTENT_CAP}) AS content, length(content_text) AS raw_chars
-FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank FROM ({derive_sql('pages', EN_PAGES)}))
-WHERE rank <= {SD.DEFAULT_MAX_URLS} AND error IS NULL AND coalesce(content_text, '') <> ''"""
+FROM ({derive_sql('pages', EN_PAGES)})
+WHERE error IS NULL AND coalesce(content_text, '') <> ''"""
 
 
 @register("clean_requests", _CLEAN_REQ)

@@ -46,13 +46,13 @@ def _desc_sql() -> str:
             f"WHEN coalesce({og}, '') <> '' THEN left({og}, 500) ELSE description END)")
 
 
-@register("page_og", f"""WITH {O.extracted_pages_sql(1 << 30).replace('FROM pages', 'FROM (' + derive_sql('pages', _META_PAGES) + ')')}
+@register("page_og", f"""WITH {O.extracted_pages_sql().replace('FROM pages', 'FROM (' + derive_sql('pages', _META_PAGES) + ')')}
 SELECT page_id, title, {_desc_sql()} AS description, {_meta_sql('og:title')} AS og_title,
   {_meta_sql('og:description')} AS og_description, {_meta_sql('og:type')} AS og_type, {_meta_sql('og:image')} AS og_image
-FROM cap JOIN ex0 USING (site, page_id, rank, url)""")
+FROM rk JOIN ex0 USING (site, page_id, rank, url)""")
 def q_page_og(spark, sf):
     p = derive(spark, sf, "pages", _META_PAGES)
-    ex = X.extract_pages(p, input_partitions=table(spark, sf, "pages").rdd.getNumPartitions())
+    ex = X.extract_pages(p)
     return ex.select("page_id", "title", "description", "og_title", "og_description", "og_type", "og_image")
 
 
@@ -91,8 +91,7 @@ def csr_sql(h: str = "html") -> str:
 
 @register("csr_flags", f"SELECT page_id, {csr_sql()} AS is_js_rendered FROM ({derive_sql('pages', _SHELL_PAGES)})")
 def q_csr_flags(spark, sf):
-    ex = X.with_csr(X.extract_pages(derive(spark, sf, "pages", _SHELL_PAGES),
-                                    input_partitions=table(spark, sf, "pages").rdd.getNumPartitions()))
+    ex = X.with_csr(X.extract_pages(derive(spark, sf, "pages", _SHELL_PAGES)))
     return ex.select("page_id", "is_js_rendered")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble as G
 from ..operators import sections as E
+from ..operators.numbering import number_within
 from ..sources import derived as D
 from . import oracle as O
 from .registry import derive, derive_sql, register
@@ -22,14 +23,9 @@ _SP = f"({derive_sql('pages', D.SECTION_PAGES)})"
 _PATH = f"lower({O.u_path('url')})"
 
 
-MAX_URLS = 50  # the product's per-run page limit
-
-
 def pages(spark, sf):
-    """One run's pages per site: the first ``max_urls`` (map-side group-limit)."""
-    p = derive(spark, sf, "pages", D.SECTION_PAGES)
-    w = Window.partitionBy("site").orderBy("page_id")
-    return p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_URLS)
+    """Section pages with their rank inside the site (numbered without a task per site)."""
+    return number_within(derive(spark, sf, "pages", D.SECTION_PAGES), "site", "page_id", "rank")
 
 
 @register("exclude_pages", f"SELECT page_id, url, regexp_matches({_PATH}, {O.q(O.EXCLUDE_SQL_RE)}) AS excluded FROM {_SP}")
@@ -60,8 +56,8 @@ def q_fallback_section(spark, sf):
     return p.select("page_id", path.alias("path"), E.fallback_section(path).alias("fallback"))
 
 
-_CAT_SQL = f"""WITH ex AS (SELECT * FROM (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank,
-                           CAST(NULL AS VARCHAR) AS error FROM {_SP}) WHERE rank <= {MAX_URLS}),
+_CAT_SQL = f"""WITH ex AS (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank,
+                           CAST(NULL AS VARCHAR) AS error FROM {_SP}),
 {O.categorized_sql()}"""
 
 

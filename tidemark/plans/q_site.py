@@ -29,15 +29,15 @@ def q_scan_pages(spark, sf):
                     F.length("html").cast("bigint").alias("html_chars"))
 
 
-@register("page_title", f"WITH {O.extracted_pages_sql(1 << 30)} SELECT page_id, title FROM ex0")
+@register("page_title", f"WITH {O.extracted_pages_sql()} SELECT page_id, title FROM ex0")
 def q_page_title(spark, sf):
-    ex = SD.extracted_pages(table(spark, sf, "pages"), max_urls=1 << 30, materialize=False)
+    ex = SD.extracted_pages(table(spark, sf, "pages"), materialize=False)
     return ex.select("page_id", "title")
 
 
-@register("page_description", f"WITH {O.extracted_pages_sql(1 << 30)} SELECT page_id, description FROM ex0")
+@register("page_description", f"WITH {O.extracted_pages_sql()} SELECT page_id, description FROM ex0")
 def q_page_description(spark, sf):
-    ex = SD.extracted_pages(table(spark, sf, "pages"), max_urls=1 << 30, materialize=False)
+    ex = SD.extracted_pages(table(spark, sf, "pages"), materialize=False)
     return ex.select("page_id", "description")
 
 

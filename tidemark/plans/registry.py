@@ -55,19 +55,9 @@ def lines_text(c) -> Column:
     return F.array_join(c, "\n")
 
 
-HEAVY_TABLES = ("pages", "documents")
-
-
 def derive(spark: SparkSession, sf: str, name: str, exprs, where: str | None = None) -> DataFrame:
     df = table(spark, sf, name)
-    if where:
-        df = df.filter(where)
-    out = D.apply(df, exprs)
-    heavy = any(("html" in e or "text" in e) for _, e in exprs)
-    if name in HEAVY_TABLES and heavy:
-        from ..operators.extract import spread
-        out = spread(out)
-    return out
+    return D.apply(df.filter(where) if where else df, exprs)
 
 
 def derive_sql(name: str, exprs, where: str | None = None) -> str:

@@ -1,22 +1,17 @@
 """Per-site document plan: snapshots -> extraction -> sections -> documents.
 
-Plan shape (what ``explain`` shows):
-
-1. ``cap_per_site`` reads only ``(page_id, url)``, ranks pages per site with
-   a partial/final ``WindowGroupLimit`` (map-side top-``max_urls`` per site,
-   so a hot site never ships more than ``max_urls`` rows per task), and
-   turns the survivors into one cut-off ``page_id`` per site.
-2. The snapshot table is filtered by that per-site cut-off through a
-   broadcast join whose side is size-checked (one row per site); ``html`` is
-   never shuffled.
-3. ``extract_pages`` runs once per kept page (Arrow batches, no shuffle).
-4. All later steps are keyed by ``site``; the single exchange on ``site``
-   feeds every window and aggregate after it.
+1. ``extract_pages`` runs once per page inside the scan's tasks (Arrow
+   batches, no shuffle of ``html``); its narrow result is checkpointed once
+   and feeds every consumer.
+2. Pages keep the order of ``page_id``, which serves as their rank; no row
+   numbers, so a site with a third of all pages is never sorted in one task.
+3. Later steps aggregate by ``(site, section)`` with partial sums, or rank
+   with a map-side group limit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -26,9 +21,7 @@ from ..operators import extract as X
 from ..operators import pagestate as PS
 from ..operators import sections as E
 from ..session import cut_lineage
-from ..sources.tables import checked_broadcast
 
-DEFAULT_MAX_URLS = 50
 DEFAULT_TOP_K = 5
 
 
@@ -37,44 +30,18 @@ def site_pages(pages: DataFrame) -> DataFrame:
     return pages.select(U.site_key(F.col("url")).alias("site"), "page_id", "url", "html")
 
 
-def cap_per_site(pages: DataFrame, max_urls: int = DEFAULT_MAX_URLS) -> DataFrame:
-    """Keep the first ``max_urls`` pages per site (order = ``page_id``).
-
-    The cap is the product's own limit (first N discovered pages per run),
-    not a sampling device: every site keeps its N first pages.
-    """
-    keys = pages.select("site", "page_id")
-    w = Window.partitionBy("site").orderBy("page_id")
-    cut = (keys.withColumn("_rn", F.row_number().over(w))
-           .filter(F.col("_rn") <= max_urls)
-           .groupBy("site").agg(F.max("page_id").alias("_cut")))
-    kept = pages.join(checked_broadcast(cut), "site").filter(F.col("page_id") <= F.col("_cut"))
-    return kept.drop("_cut")
-
-
-def extracted_pages(pages: DataFrame, max_urls: int = DEFAULT_MAX_URLS,
-                    materialize: bool = True) -> DataFrame:
-    """Capped, extracted pages with content, CSR flag and HTTP-path soft-404 errors.
+def extracted_pages(pages: DataFrame, materialize: bool = True) -> DataFrame:
+    """Extracted pages with content, CSR flag and HTTP-path soft-404 errors.
 
     The result feeds several consumers (sections, site info, metrics), so it
     is materialized once with a reliable checkpoint: the Python extraction
     runs exactly once per page and the lineage is cut (executor loss after
     this point re-reads the checkpoint, not the HTML).
     """
-    scan_parts = pages.rdd.getNumPartitions()  # plain scan: no job runs
-    capped = cap_per_site(site_pages(pages), max_urls)
-    ex = X.extract_pages(capped, input_partitions=scan_parts)
-    ex = X.with_content(X.with_csr(ex))
+    ex = X.with_content(X.with_csr(X.extract_pages(site_pages(pages))))
     ex = ex.withColumn("fetch_status", F.lit(200)).withColumn("error", F.lit(None).cast("string"))
-    ex = PS.flag_soft_404(ex, use_content=False)
-    w = Window.partitionBy("site").orderBy("page_id")
-    ex = ex.withColumn("rank", F.row_number().over(w)).drop("markdown")
-    if not materialize:
-        return ex
-    # checkpoint files carry no partitioning: re-key once by site; every
-    # later window/aggregate keyed by (site, ...) reuses this exchange.  Each
-    # site holds at most max_urls rows here, so a hot site stays bounded.
-    return cut_lineage(ex).repartition("site")
+    ex = PS.flag_soft_404(ex, use_content=False).withColumn("rank", F.col("page_id")).drop("markdown")
+    return cut_lineage(ex) if materialize else ex
 
 
 def seeds_for(pages: DataFrame) -> DataFrame:
@@ -93,19 +60,19 @@ def site_infos(extracted: DataFrame, seeds: DataFrame) -> DataFrame:
                        F.lit(None).cast("array<string>").alias("notes"))
 
 
-def index_documents(pages: DataFrame, max_urls: int = DEFAULT_MAX_URLS,
-                    k: int = DEFAULT_TOP_K, section_replies: DataFrame | None = None) -> DataFrame:
+def index_documents(pages: DataFrame, k: int = DEFAULT_TOP_K,
+                    section_replies: DataFrame | None = None) -> DataFrame:
     """Flagship: one llms.txt index per site (default mode, no polish reply)."""
-    ex = extracted_pages(pages, max_urls)
+    ex = extracted_pages(pages)
     cat = E.categorize(ex)
     enhanced = FE.merge_enhanced(cat, section_replies)
     sites = site_infos(ex, seeds_for(site_pages(pages)))
     return G.build_index(sites, enhanced, k)
 
 
-def full_documents(pages: DataFrame, max_urls: int = DEFAULT_MAX_URLS) -> DataFrame:
+def full_documents(pages: DataFrame) -> DataFrame:
     """Full document per site (detailed mode, cleaning replies absent -> raw content)."""
-    ex = extracted_pages(pages, max_urls)
+    ex = extracted_pages(pages)
     cat = E.categorize(ex)
     enhanced = FE.attach_cleaned(FE.merge_enhanced(cat, None), None)
     sites = site_infos(ex, seeds_for(site_pages(pages)))

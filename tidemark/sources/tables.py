@@ -1,4 +1,4 @@
-"""Sources and sinks (A1-A7) plus the size-checked broadcast helper."""
+"""Sources and sinks."""
 
 from __future__ import annotations
 
@@ -6,28 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Broadcast only below this many rows (checked with a count of the small side).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` when its row count is proven below ``max_rows``.
-
-    The frame is persisted while it is counted, so the join reads the
-    counted rows instead of computing them again.  Beyond the bound the
-    cache is dropped and the frame is returned unhinted: Spark plans a
-    shuffle join (AQE may still convert it when runtime sizes allow).
-    """
-    from pyspark import StorageLevel
-
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    if n <= max_rows:
-        return F.broadcast(small)
-    small.unpersist()
-    return small
-
-
 # -- A1 page snapshots -------------------------------------------------------
 FETCH_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
@@ -108,13 +86,14 @@ def read_progress(spark: SparkSession, path: str, stream: bool = False) -> DataF
 
 
 # -- A6 document sink ------------------------------------------------------------
-def write_documents(docs: DataFrame, metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_documents(docs: DataFrame, metrics: DataFrame, path: str, mode: str = "overwrite",
+                    buckets: int = 64) -> None:
     """Documents as Parquet ``(site, doc)`` and metrics as JSON text.
 
     Written per run directory; partitioned by a site hash bucket so one
     run with millions of sites does not produce millions of folders.
     """
-    bucket = (F.abs(F.xxhash64("site")) % 64).alias("bucket")
+    bucket = F.pmod(F.xxhash64("site"), F.lit(buckets)).alias("bucket")
     docs.select(bucket, "site", "doc").write.mode(mode).partitionBy("bucket").parquet(f"{path}/docs")
     meta = metrics.select("site", run_meta_json(metrics).alias("meta"))
     meta.write.mode(mode).parquet(f"{path}/meta")
