@@ -59,14 +59,17 @@ def cut_to_table(df: DataFrame, stem: str) -> DataFrame:
 
     Like a checkpoint it cuts the lineage and survives the loss of
     executors, but it is stored by column and compressed.  What the query
-    before it has shuffled isn't needed any more, so the driver is asked to
-    let go of it.
+    before it has shuffled isn't needed any more and would pile up on the
+    executors' disks until the driver happens to collect its garbage, so the
+    driver is asked to.  Spark holds on to the last job until the next one
+    has run, hence the tiny job.
     """
     import gc
 
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.range(2).groupBy("id").count().collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
