@@ -28,12 +28,17 @@ def test_parse_config_defaults_and_bounds(spark):
 
 def test_split_fresh(spark):
     as_of = dt.datetime(2024, 1, 1, 2, 0, 0)
-    df = spark.createDataFrame([("k1", "{}", as_of - dt.timedelta(seconds=100)),
-                                ("k2", "{}", as_of - dt.timedelta(seconds=3600)),
-                                ("k3", None, as_of), ("k4", "{}", None)], "key string, value string, parsed_at timestamp")
-    fresh, stale = SM.split_fresh(df, as_of)
-    assert [r.key for r in fresh.collect()] == ["k1"]
-    assert sorted(r.key for r in stale.collect()) == ["k2", "k3", "k4"]
+    good = '{"source": "/sitemap.xml", "entries": [{"url": "u", "priority": 0.5}, {"url": "v", "priority": null}]}'
+    young = as_of - dt.timedelta(seconds=100)
+    rows = [("k1", good, young), ("k2", good, as_of - dt.timedelta(seconds=3600)), ("k3", None, as_of), ("k4", good, None),
+            ("k5", '{"source": "robots.txt"}', young)]
+    bad = ["not json", '{"entries": [1]}', '{"source": "x", "entries": [1]}', "{}", "[]", '{"source": 1}', "",
+           '{"source": "x", "entries": [{"url": 1}]}', '{"source": "x", "entries": [{"url": "u", "priority": [1]}]}',
+           '{"source": "x", "entries": null}', '{"source": "x", "entries": {"url": "u"}}']
+    rows += [(f"bad{i}", v, young) for i, v in enumerate(bad)]
+    fresh, stale = SM.split_fresh(spark.createDataFrame(rows, "key string, value string, parsed_at timestamp"), as_of)
+    assert sorted(r.key for r in fresh.collect()) == ["k1", "k5"]
+    assert stale.count() == len(rows) - 2
 
 
 def test_sitemap_candidates(spark):

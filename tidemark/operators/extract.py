@@ -365,7 +365,6 @@ def with_csr(extracted: DataFrame) -> DataFrame:
 
 
 def crawl_needs_render(extracted: DataFrame) -> DataFrame:
-    """Link-crawl CSR rule (body present, < 3 links and < 500 text chars)."""
-    return extracted.withColumn(
-        "needs_render",
-        F.col("has_body") & (F.col("body_link_count") < 3) & (F.col("body_text_len") < 500))
+    """Link-crawl CSR rule (< 3 links and < 500 text chars; false without a body)."""
+    few = (F.col("body_link_count") < 3) & (F.col("body_text_len") < 500)
+    return extracted.withColumn("needs_render", F.col("has_body") & F.coalesce(few, F.lit(False)))

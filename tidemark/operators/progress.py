@@ -88,14 +88,34 @@ def consecutive_pairs(events: DataFrame, tie: str | None = "event_id", bucket_s:
     return inner.unionByName(cross)
 
 
+def until_terminal(events: DataFrame, tie: str | None = "event_id") -> DataFrame:
+    """Events up to and including the first terminal one of their job, with ``_ended``."""
+    order = F.struct(*_event_order(tie))
+    first = events.groupBy("job_id").agg(F.min(F.when(is_terminal("phase"), order)).alias("_end"))
+    kept = events.join(first, "job_id").filter(F.col("_end").isNull() | (order <= F.col("_end")))
+    return kept.withColumn("_ended", F.col("_end").isNotNull()).drop("_end")
+
+
 def stalls(events: DataFrame, gap_s: int = STALL_GAP_S, tie: str | None = "event_id",
-           bucket_s: int = 600) -> DataFrame:
-    """I4: gaps longer than ``gap_s`` between consecutive events of a job."""
-    pairs = consecutive_pairs(events, tie, bucket_s)
-    gap_us = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    return (pairs.filter(gap_us > gap_s * 1_000_000)
-            .select("job_id", F.col("ts").alias("stall_start"), F.col("next_ts").alias("stall_end"),
-                    gap_us.alias("gap_us")))
+           bucket_s: int = 600, as_of: Column | None = None) -> DataFrame:
+    """I4: silences of at least ``gap_s`` of a job that hasn't ended.
+
+    Events after the first terminal one don't count, and a job that ended
+    can't stall.  With ``as_of`` a job whose last event lies that far back is
+    reported as well, with an open end (``stall_end`` NULL).
+    """
+    seen = until_terminal(events, tie)
+    pairs = consecutive_pairs(seen, tie, bucket_s).select(
+        "job_id", F.col("ts").alias("stall_start"), F.col("next_ts").alias("stall_end"),
+        (_us("next_ts") - _us("ts")).alias("gap_us"))
+    out = pairs.filter(F.col("gap_us") >= gap_s * 1_000_000)
+    if as_of is not None:
+        last = seen.groupBy("job_id").agg(F.max("ts").alias("stall_start"), F.max("_ended").alias("_ended"))
+        silent = last.filter(~F.col("_ended")).select(
+            "job_id", "stall_start", F.lit(None).cast(events.schema["ts"].dataType).alias("stall_end"),
+            (_us(as_of) - _us("stall_start")).alias("gap_us"))
+        out = out.unionByName(silent.filter(F.col("gap_us") >= gap_s * 1_000_000))
+    return out
 
 
 def job_timeouts(events: DataFrame, limit_s: int = STREAM_TIMEOUT_S) -> DataFrame:
@@ -103,17 +123,20 @@ def job_timeouts(events: DataFrame, limit_s: int = STREAM_TIMEOUT_S) -> DataFram
 
     A job whose first terminal event arrives in time keeps that status.
     """
-    agg = events.groupBy("job_id").agg(
-        F.min("ts").alias("start_ts"),
-        F.min_by(F.when(is_terminal("phase"), F.col("phase")),
-                 F.when(is_terminal("phase"), F.col("ts"))).alias("terminal_phase"),
-        F.min(F.when(is_terminal("phase"), F.col("ts"))).alias("terminal_ts"))
+    ended = F.when(is_terminal("phase"), F.col("ts"))
+    return timed_out(events.groupBy("job_id").agg(
+        F.min("ts").alias("start_ts"), F.min(ended).alias("terminal_ts"),
+        F.min_by("phase", ended).alias("terminal_phase")), limit_s)
+
+
+def timed_out(jobs: DataFrame, limit_s: int = STREAM_TIMEOUT_S) -> DataFrame:
+    """Verdict on jobs with their ``start_ts``, ``terminal_ts`` and ``terminal_phase``."""
     deadline = F.col("start_ts") + _secs(limit_s)
-    timed_out = F.col("terminal_ts").isNull() | (F.col("terminal_ts") > deadline)
-    return agg.select(
-        "job_id", "start_ts", deadline.alias("deadline"), "terminal_ts", timed_out.alias("timed_out"),
-        F.when(timed_out, F.lit("failed")).otherwise(F.col("terminal_phase")).alias("status"),
-        F.when(timed_out, F.lit(TIMEOUT_ERROR)).alias("error_message"))
+    late = F.col("terminal_ts").isNull() | (F.col("terminal_ts") > deadline)
+    return jobs.select(
+        "job_id", "start_ts", deadline.alias("deadline"), "terminal_ts", late.alias("timed_out"),
+        F.when(late, F.lit("failed")).otherwise(F.col("terminal_phase")).alias("status"),
+        F.when(late, F.lit(TIMEOUT_ERROR)).alias("error_message"))
 
 
 def reconcile(latest: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -187,11 +187,30 @@ def sitemap_candidates(robots_parsed: DataFrame, bases: DataFrame, keys=("site",
     return j.select(*keys, F.posexplode(lst).alias("cand_pos", "sitemap_url"))
 
 
+def is_readable(value) -> Column:
+    """A cached result can be read back: a JSON object with a text ``source``
+    and, where there are ``entries``, a list of objects with a text ``url``
+    and a number or nothing as ``priority``."""
+    v = F.try_parse_json(value)
+
+    def kind(part, path):
+        return F.schema_of_variant(F.try_variant_get(part, path, "variant"))
+
+    number = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|VOID)$"
+    entry_ok = F.forall(
+        F.try_variant_get(v, "$.entries", "array<variant>"),
+        lambda e: F.coalesce((kind(e, "$.url") == "STRING") & F.coalesce(kind(e, "$.priority"), F.lit("VOID"))
+                             .rlike(number), F.lit(False)))
+    entries = kind(v, "$.entries")
+    return F.coalesce((kind(v, "$.source") == "STRING")
+                      & (entries.isNull() | (entries.startswith("ARRAY") & F.coalesce(entry_ok, F.lit(False)))),
+                      F.lit(False))
+
+
 def split_fresh(parsed: DataFrame, as_of, ttl_s: int = CACHE_TTL_S):
-    """(fresh rows to reuse, keys to recompute).  ``as_of`` is explicit."""
+    """(fresh rows to reuse, keys to recompute).  ``as_of`` is explicit;
+    a value that can't be read is computed again."""
     as_of_c = F.lit(as_of).cast("timestamp") if not isinstance(as_of, Column) else as_of
-    ok = F.col("value").isNotNull() & F.col("parsed_at").isNotNull() & \
-        (F.col("parsed_at") > as_of_c - F.make_dt_interval(secs=F.lit(ttl_s)))
-    fresh = parsed.filter(ok)
-    stale = parsed.filter(~F.coalesce(ok, F.lit(False)))
-    return fresh, stale
+    young = F.coalesce(F.col("parsed_at") > as_of_c - F.make_dt_interval(secs=F.lit(ttl_s)), F.lit(False))
+    ok = young & is_readable(F.col("value"))
+    return parsed.filter(ok), parsed.filter(~ok)

@@ -15,6 +15,7 @@ from ..operators import sitemaps as SM
 from ..session import table
 from ..sources import derived as D
 from . import oracle as O
+from .q_pages import SHELL_PAGES
 from .registry import derive, derive_sql, lines_text, register
 
 AGENT = "tidebot"
@@ -293,12 +294,20 @@ def q_discover(spark, sf):
 
 
 # -- C9 freshness --------------------------------------------------------------------
-_CACHE_VALUE = D.case("page_id", ["'{\"entries\": []}'", "'not json'", "NULL", "'{\"entries\": [1]}'"])
-
-
-@register("sitemap_fresh", f"""SELECT 'sitemap:' || url AS key,
-  ({_CACHE_VALUE}) IS NOT NULL AND TIMESTAMP '{BASE_TS}' + to_minutes(CAST(page_id AS BIGINT)) > TIMESTAMP '{AS_OF}' - INTERVAL {SM.CACHE_TTL_S} SECOND AS fresh
-FROM pages""")
+_CACHE_VALUE = D.case("page_id", [
+    "'{\"source\": \"/sitemap.xml\", \"entries\": []}'", "'not json'", "NULL", "'{\"source\": \"x\", \"entries\": [1]}'",
+    "'{\"source\": \"robots.txt\", \"entries\": [{\"url\": \"' || url || '\", \"priority\": 0.5}, {\"url\": \"u\"}]}'",
+    "'{\"entries\": []}'", "'{\"source\": \"x\", \"entries\": [{\"priority\": 1}]}'", "'{\"source\": 5}'", "'{\"source\": \"y\"}'",
+    "'[1, 2]'", "'{\"source\": \"z\", \"entries\": null}'"])
+
+
+@register("sitemap_fresh", f"""WITH c AS (SELECT 'sitemap:' || url AS key, page_id, {_CACHE_VALUE} AS value FROM pages),
+j AS (SELECT *, CASE WHEN json_valid(value) THEN value::JSON END AS v FROM c),
+k AS (SELECT *, json_type(v, '$.source') = 'VARCHAR' AND (NOT coalesce(json_exists(v, '$.entries'), false)
+        OR (json_type(v, '$.entries') = 'ARRAY' AND len(list_filter(json_extract(v, '$.entries[*]'),
+            lambda e: coalesce(json_type(e, '$.url'), '') <> 'VARCHAR')) = 0)) AS readable FROM j)
+SELECT key, coalesce(readable, false)
+  AND TIMESTAMP '{BASE_TS}' + to_minutes(CAST(page_id AS BIGINT)) > TIMESTAMP '{AS_OF}' - INTERVAL 3600 SECOND AS fresh FROM k""")
 def q_sitemap_fresh(spark, sf):
     p = derive(spark, sf, "pages", [("key", "'sitemap:' || url"), ("value", _CACHE_VALUE), ("page_id", "page_id")])
     p = p.withColumn("parsed_at", F.lit(BASE_TS).cast("timestamp") + F.make_dt_interval(mins=F.col("page_id").cast("int")))
@@ -314,14 +323,13 @@ def _body_sql() -> str:
     return clean
 
 
-@register("csr_crawl", f"""SELECT page_id,
-  length({O.html_text(_body_sql())}) AS body_text_len,
-  len(regexp_extract_all({_body_sql()}, '<a\\s[^>]*href')) AS body_link_count,
-  len(regexp_extract_all({_body_sql()}, '<a\\s[^>]*href')) < 3 AND length({O.html_text(_body_sql())}) < 500 AS needs_render
-FROM pages WHERE strpos(html, '<body') > 0""")
+@register("csr_crawl", f"""WITH p AS ({derive_sql('pages', SHELL_PAGES)}),
+m AS (SELECT page_id, strpos(html, '<body') > 0 AS has_body, length({O.html_text(_body_sql())}) AS body_text_len,
+        len(regexp_extract_all({_body_sql()}, '<a\\s[^>]*href')) AS body_link_count FROM p)
+SELECT page_id, CASE WHEN has_body THEN body_text_len ELSE -1 END AS body_text_len,
+  CASE WHEN has_body THEN body_link_count ELSE -1 END AS body_link_count,
+  has_body AND body_link_count < 3 AND body_text_len < 500 AS needs_render FROM m""")
 def q_csr_crawl(spark, sf):
-    pages = table(spark, sf, "pages")
-    ex = X.crawl_needs_render(X.extract_pages(pages.select("page_id", "url", "html")))
-    return ex.filter(F.col("has_body")).select("page_id", F.col("body_text_len").cast("bigint").alias("body_text_len"),
-                                               F.col("body_link_count").cast("bigint").alias("body_link_count"),
-                                               "needs_render")
+    ex = X.crawl_needs_render(X.extract_pages(derive(spark, sf, "pages", SHELL_PAGES)))
+    return ex.select("page_id", *(F.coalesce(F.col(c).cast("bigint"), F.lit(-1)).alias(c)
+                                  for c in ("body_text_len", "body_link_count")), "needs_render")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import admission as A
 from ..operators import jobs as J
@@ -19,11 +18,7 @@ LIMIT = 2          # low limit so the events table exercises rejections
 WINDOW_S = 86400   # one day, the product default window
 SESSION_GAP_S = 3600
 
-EVENTS_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
-])
+CLOSING_JOB = "(closing)"
 _TERM = O.sql_list(J.TERMINAL_STATUSES)
 
 
@@ -31,9 +26,20 @@ def progress(spark, sf):
     return derive(spark, sf, "events", D.PROGRESS)
 
 
-def progress_stream(spark, sf):
-    raw = ST.file_stream(spark, sf, "events", EVENTS_SCHEMA)
-    return D.apply(raw, D.PROGRESS)
+def progress_stream(spark, sf, closing_s: int | None = None):
+    """Progress events as a stream of six files in time order, in the shared folder.
+
+    ``closing_s`` adds a seventh file with one event of a job of its own, that
+    far behind the last one.
+    """
+    ev = progress(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    closing = None
+    if closing_s is not None:
+        closing = ev.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(closing_s))).alias("last")) \
+            .select(*(F.col("last").alias(c) if c == "ts" else
+                      F.lit(CLOSING_JOB if c == "job_id" else None).cast(ev.schema[c].dataType).alias(c) for c in ev.columns))
+    path = ST.split_by_time(ev, "ts", ST.shared_folder(spark, "events"), closing=closing)
+    return ST.file_stream(spark, path, ev.schema)
 
 
 _PROG = f"prog AS ({derive_sql('events', D.PROGRESS)})"
@@ -71,10 +77,31 @@ def q_rate_limit(spark, sf):
 
 @register("rate_limit_stream", RATE_SQL)
 def q_rate_limit_stream(spark, sf):
-    raw = ST.file_stream(spark, sf, "events", EVENTS_SCHEMA)
-    req = D.apply(raw, D.REQUESTS)
-    out = ST.run_available_now(ST.admit_stream(req, LIMIT, WINDOW_S, key="key", tie="event_id"))
-    return _rate_out(out)
+    req = derive(spark, sf, "events", D.REQUESTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = ST.split_by_time(req, "ts", ST.shared_folder(spark, "requests"))
+    stream = ST.file_stream(spark, path, req.schema)
+    return _rate_out(ST.admit_stream(stream, LIMIT, WINDOW_S, ST.shared_folder(spark, "admit")))
+
+
+# limits per user of one day: 10 for every third user, 25 for the others; and one request a second per domain
+MIXED_SQL = RATE_SQL.replace("len(f.s) < {LIMIT}".format(LIMIT=LIMIT), "len(f.s) < q.lim") \
+    .replace(f"greatest(0, {LIMIT} - len(f.s) - 1)", "greatest(0, q.lim - len(f.s) - 1)") \
+    .replace(f"len(f.s) >= {LIMIT}", "len(f.s) >= q.lim").replace(f"CAST({LIMIT} - 1 AS BIGINT)", "CAST(lim - 1 AS BIGINT)") \
+    .replace("SELECT *, row_number()", "SELECT *, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 3 END AS lim, row_number()")
+
+
+@register("rate_limit_mixed", MIXED_SQL)
+def q_rate_limit_mixed(spark, sf):
+    req = derive(spark, sf, "events", D.REQUESTS)
+    req = req.withColumn("lim", F.when(F.col("event_id") % 2 == 0, 1).otherwise(3))
+    return _rate_out(A.admit(req, window_s=WINDOW_S, tie="event_id", limit_col="lim"))
+
+
+@register("rate_limit_domain", RATE_SQL.replace(f"INTERVAL {WINDOW_S} SECOND", "INTERVAL 1 SECOND").replace(
+    derive_sql("events", D.REQUESTS), derive_sql("events", D.DOMAIN_REQUESTS)))
+def q_rate_limit_domain(spark, sf):
+    req = derive(spark, sf, "events", D.DOMAIN_REQUESTS)
+    return _rate_out(A.admit(req, limit=LIMIT, window_s=A.DOMAIN_WINDOW_S, tie="event_id"))
 
 
 # -- A5: progress messages as JSON text, parsed back (bad JSON dropped) ------------------------
@@ -100,8 +127,7 @@ l AS (SELECT job_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(phas
 SELECT job_id, event_id, phase, {ts_sql('ts')} AS ts, ts > (SELECT as_of FROM m) - INTERVAL {P.PROGRESS_TTL_S} SECOND AS live FROM l""")
 def q_latest_progress(spark, sf):
     ev = progress(spark, sf)
-    as_of = ev.agg(F.max("ts")).first()[0]
-    lp = P.latest_progress(ev, as_of=F.lit(as_of))
+    lp = P.latest_progress(ev, as_of=ev.agg(F.max("ts")).scalar())
     return lp.select("job_id", "event_id", "phase", ts_text("ts").alias("ts"), "live")
 
 
@@ -109,7 +135,7 @@ def q_latest_progress(spark, sf):
 SELECT job_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(phase, (ts, event_id)) AS phase,
        {ts_sql('max(ts)')} AS ts FROM prog GROUP BY job_id""")
 def q_latest_progress_stream(spark, sf):
-    out = ST.run_available_now(ST.latest_progress_stream(progress_stream(spark, sf)), mode="update")
+    out = ST.latest_progress_stream(progress_stream(spark, sf), ST.shared_folder(spark, "latest"))
     return out.select("job_id", "event_id", "phase", ts_text("ts").alias("ts"))
 
 
@@ -131,15 +157,20 @@ def q_event_route(spark, sf):
 
 @register("event_route_stream", f"WITH {_ROUTE} SELECT job_id, event_id, phase, {ts_sql('ts')} AS ts, kind FROM routed")
 def q_event_route_stream(spark, sf):
-    out = ST.run_available_now(ST.route_stream(progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))))
+    out = ST.route_stream(progress_stream(spark, sf), ST.shared_folder(spark, "route"))
     return out.select("job_id", "event_id", "phase", ts_text("ts").alias("ts"), "kind")
 
 
 # -- I4 -------------------------------------------------------------------------------------------
 _STALLS = f"""WITH {_PROG},
-n AS (SELECT job_id, ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next_ts FROM prog)
-SELECT job_id, {ts_sql('ts')} AS stall_start, {ts_sql('next_ts')} AS stall_end, epoch_us(next_ts) - epoch_us(ts) AS gap_us
-FROM n WHERE next_ts IS NOT NULL AND epoch_us(next_ts) - epoch_us(ts) > {P.STALL_GAP_S * 1000000}"""
+e AS (SELECT job_id, min((ts, event_id)) FILTER (WHERE phase IN ('completed', 'failed', 'cancelled')) AS fin FROM prog GROUP BY job_id),
+k AS (SELECT p.job_id, p.ts, p.event_id, e.fin FROM prog p JOIN e USING (job_id) WHERE e.fin IS NULL OR (p.ts, p.event_id) <= e.fin),
+n AS (SELECT job_id, ts, fin, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next_ts,
+             (SELECT max(ts) + INTERVAL 400 SECOND FROM prog) AS as_of FROM k),
+g AS (SELECT job_id, ts, next_ts, epoch_us(coalesce(next_ts, as_of)) - epoch_us(ts) AS gap_us FROM n
+      WHERE next_ts IS NOT NULL OR fin IS NULL)
+SELECT job_id, {ts_sql('ts')} AS stall_start, {ts_sql('next_ts')} AS stall_end, gap_us FROM g WHERE gap_us >= 300000000"""
+STALL_AS_OF_S = 400  # after the last event of the table
 
 
 def _stall_out(df):
@@ -149,35 +180,42 @@ def _stall_out(df):
 
 @register("stalls", _STALLS)
 def q_stalls(spark, sf):
-    return _stall_out(P.stalls(progress(spark, sf)))
+    ev = progress(spark, sf)
+    as_of = ev.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(STALL_AS_OF_S))).alias("as_of")).scalar()
+    return _stall_out(P.stalls(ev, as_of=as_of))
 
 
 @register("stalls_stream", _STALLS)
 def q_stalls_stream(spark, sf):
-    ev = progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _stall_out(ST.run_available_now(ST.stall_stream(ev)))
+    ev = progress(spark, sf)
+    as_of = ev.agg(F.max("ts") + F.make_dt_interval(secs=F.lit(STALL_AS_OF_S))).first()[0]
+    return _stall_out(ST.stall_stream(progress_stream(spark, sf), ST.shared_folder(spark, "stalls"), as_of=as_of))
 
 
 # -- I5 ---------------------------------------------------------------------------------------------
-@register("job_timeouts", f"""WITH {_PROG},
+_TIMEOUTS = f"""WITH {_PROG},
 a AS (SELECT job_id, min(ts) AS start_ts, min(ts) FILTER (WHERE phase IN {_TERM}) AS terminal_ts,
              arg_min(phase, ts) FILTER (WHERE phase IN {_TERM}) AS terminal_phase FROM prog GROUP BY job_id),
 b AS (SELECT *, start_ts + INTERVAL {P.STREAM_TIMEOUT_S} SECOND AS deadline FROM a),
 c AS (SELECT *, terminal_ts IS NULL OR terminal_ts > deadline AS timed_out FROM b)
 SELECT job_id, {ts_sql('start_ts')} AS start_ts, {ts_sql('deadline')} AS deadline, {ts_sql('terminal_ts')} AS terminal_ts,
   timed_out, CASE WHEN timed_out THEN 'failed' ELSE terminal_phase END AS status,
-  CASE WHEN timed_out THEN {O.q(P.TIMEOUT_ERROR)} END AS error_message FROM c""")
+  CASE WHEN timed_out THEN {O.q(P.TIMEOUT_ERROR)} END AS error_message FROM c"""
+
+
+@register("job_timeouts", _TIMEOUTS)
 def q_job_timeouts(spark, sf):
-    t = P.job_timeouts(progress(spark, sf))
+    return _timeouts_out(P.job_timeouts(progress(spark, sf)))
+
+
+def _timeouts_out(t):
     return t.select("job_id", ts_text("start_ts").alias("start_ts"), ts_text("deadline").alias("deadline"),
                     ts_text("terminal_ts").alias("terminal_ts"), "timed_out", "status", "error_message")
 
 
-@register("job_timeouts_stream")
+@register("job_timeouts_stream", _TIMEOUTS)
 def q_job_timeouts_stream(spark, sf):
-    ev = progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = ST.run_available_now(ST.timeout_stream(ev))
-    return out.select("job_id", ts_text("start_ts").alias("start_ts"), "timed_out", "status")
+    return _timeouts_out(ST.timeout_stream(progress_stream(spark, sf), ST.shared_folder(spark, "timeouts")))
 
 
 # -- I6 ------------------------------------------------------------------------------------------------
@@ -211,19 +249,16 @@ def q_job_sessions(spark, sf):
 
 
 _SESS_STREAM_SQL = f"""WITH {_PROG},
-g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= {SESSION_GAP_S * 1000000}
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > {SESSION_GAP_S * 1000000}
                      THEN 1 ELSE 0 END AS new FROM prog WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g),
-a AS (SELECT job_id, min(ts) AS st, max(ts) AS en, count(*) AS n_events FROM s GROUP BY job_id, session),
-wm AS (SELECT epoch_us(max(ts)) - 600 * 1000000 AS wm FROM prog)
-SELECT job_id, {ts_sql('st')} AS session_start, {ts_sql('en')} AS session_end, n_events,
-       epoch_us(en) - epoch_us(st) AS duration_us
-FROM a WHERE epoch_us(en) + {SESSION_GAP_S * 1000000} <= (SELECT wm FROM wm)"""
+s AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g)
+SELECT job_id, {ts_sql('min(ts)')} AS session_start, {ts_sql('max(ts)')} AS session_end, count(*) AS n_events,
+       epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us FROM s GROUP BY job_id, session"""
 
 
 @register("job_sessions_stream", _SESS_STREAM_SQL)
 def q_job_sessions_stream(spark, sf):
-    ev = progress_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = ST.run_available_now(ST.session_stream(ev, SESSION_GAP_S))
+    ev = progress_stream(spark, sf, closing_s=2 * SESSION_GAP_S)
+    out = ST.session_stream(ev, ST.shared_folder(spark, "sessions"), SESSION_GAP_S).filter(F.col("job_id") != CLOSING_JOB)
     return out.select("job_id", ts_text("session_start").alias("session_start"),
                       ts_text("session_end").alias("session_end"), "n_events", "duration_us")

@@ -67,7 +67,7 @@ _SHELL = D.case("page_id", [
     "'<html><body><div>a</div><p>b</p></body></html>'",
     "'<html><body><div id=\"app\">' || repeat('word ', 20) || '</div></body></html>'",
 ])
-_SHELL_PAGES = [("page_id", "page_id"), ("url", "url"), ("html", _SHELL)]
+SHELL_PAGES = [("page_id", "page_id"), ("url", "url"), ("html", _SHELL)]
 
 
 def csr_sql(h: str = "html") -> str:
@@ -89,9 +89,9 @@ def csr_sql(h: str = "html") -> str:
             f"WHEN {kids} <= 1 AND {tlen} < 50 THEN true ELSE false END)")
 
 
-@register("csr_flags", f"SELECT page_id, {csr_sql()} AS is_js_rendered FROM ({derive_sql('pages', _SHELL_PAGES)})")
+@register("csr_flags", f"SELECT page_id, {csr_sql()} AS is_js_rendered FROM ({derive_sql('pages', SHELL_PAGES)})")
 def q_csr_flags(spark, sf):
-    ex = X.with_csr(X.extract_pages(derive(spark, sf, "pages", _SHELL_PAGES)))
+    ex = X.with_csr(X.extract_pages(derive(spark, sf, "pages", SHELL_PAGES)))
     return ex.select("page_id", "is_js_rendered")
 
 

@@ -211,6 +211,13 @@ REQUESTS = [
     ("ts", "CAST(ts AS TIMESTAMP)"),
 ]
 
+# requests per domain at seconds that many share
+DOMAIN_REQUESTS = [
+    ("event_id", "event_id"),
+    ("key", "'domain:site' || CAST(user_id % 7 AS STRING) || '.example.com'"),
+    ("ts", "CAST(ts AS TIMESTAMP)"),
+]
+
 # -- documents with boilerplate lines (D8-D10, D12, F5) ------------------------------------
 BOILER_HEAD = case("doc_id", [
     "'Learn more.' || chr(10) || 'Acme Logo' || chr(10)",

@@ -1,212 +1,233 @@
-"""Structured Streaming forms of the admission and progress operators.
-
-* ``admit_stream``: ``applyInPandasWithState`` keyed by the admission key;
-  the state is the admitted timestamps inside the window (at most
-  ``limit`` of them), so state per key is bounded regardless of traffic.
-* ``latest_progress_stream``: ``max_by`` per job in update mode.
-* ``route_stream``: per-job flag state; events after the terminal one are
-  dropped, state expires with an event-time timeout after the watermark.
-* ``stall_stream`` / ``timeout_stream``: event-time timers in keyed state.
-* ``session_stream``: ``session_window`` aggregation (append mode).
-
-``run_available_now`` drives a stream over everything present to a memory
-sink, which is how batch = stream equality is tested.
+"""Structured Streaming forms of the admission and progress operators.
+
+Every operator but the sessions is a ``foreachBatch`` step over the batch
+operators: a micro-batch is joined with the operator's state, a small table
+with one row per key that only holds what later events can still need.  Both
+the state and the output are written under the number of the micro-batch, so
+a batch that is run again overwrites its own files and nothing is counted
+twice.  Nothing passes through the driver and no key's events are gathered
+in one Python call.
+
+State expires: a key whose last event lies more than ``KEEP`` behind the
+newest event is dropped.  A job that ended keeps its row that long, so late
+repeats don't start it again.
+
+Events of a key must arrive in time order across micro-batches (inside one
+any order will do); ``split_by_time`` makes such an input from a table.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.admission import Window as AdmitWindow
-from ..operators.jobs import TERMINAL_STATUSES
+from ..operators import admission as A
+from ..operators import progress as P
 from ..session import ensure_checkpoint_dir
 
 WATERMARK = "10 minutes"
+KEEP = "INTERVAL 30 DAYS"
 
 
-def file_stream(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
-    """Stream one table file of a directory (the driver keeps one file per table)."""
-    return (spark.readStream.format("parquet").schema(schema)
-            .option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).load(path))
+def shared_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
-def run_available_now(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run ``df`` with an availableNow trigger into a memory sink; return the result table."""
-    spark = df.sparkSession
-    name = "tm_" + uuid.uuid4().hex[:12]
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+def split_by_time(df: DataFrame, ts: str, path: str, parts: int = 6, closing: DataFrame | None = None) -> str:
+    """Write ``df`` as ``parts`` files in time order (and ``closing`` as the last file)."""
+    low, high = df.agg(F.min(ts), F.max(ts)).first()
+    step = (high - low) / parts if low is not None else None
+    for i in range(parts):
+        piece = df
+        if step is not None and i:
+            piece = piece.filter(F.col(ts) >= F.lit(low + step * i))
+        if step is not None and i < parts - 1:
+            piece = piece.filter(F.col(ts) < F.lit(low + step * (i + 1)))
+        piece.coalesce(1).write.mode("append").parquet(path)
+        if step is None:
+            break
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stream the Parquet files of a folder, one file per micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def run_steps(stream: DataFrame, step: Callable, state: str, out: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """Run ``step(batch, state) -> (output, next state)`` over all that is present.
+
+    ``state`` and ``out`` are schemas; both tables live below ``path``, one
+    folder per micro-batch.  Returns the output so far and the last state.
+    """
+    spark = stream.sparkSession
+    state_schema, out_schema = (T.StructType.fromDDL(s) for s in (state, out))
+
+    def state_at(batch_id: int) -> str:
+        return f"{path}/state/{batch_id}"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        before = s.read.schema(state_schema).parquet(state_at(batch_id - 1)) \
+            if batch_id and _exists(s, state_at(batch_id - 1)) else s.createDataFrame([], state_schema)
+        batch = batch.persist()
+        try:
+            output, after = step(batch, before)
+            if output is not None:
+                output.select(*out_schema.names).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+            after.select(*state_schema.names).write.mode("overwrite").parquet(state_at(batch_id))
+        finally:
+            batch.unpersist()
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint") \
+        .trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    last = query.lastProgress.batchId if query.lastProgress is not None else -1
+    while last >= 0 and not _exists(spark, state_at(last)):  # a trigger without data leaves no folder
+        last -= 1
+    empty_state, empty_out = (spark.createDataFrame([], s) for s in (state_schema, out_schema))
+    return (spark.read.schema(out_schema).parquet(f"{path}/out").select(*out_schema.names) if _exists(spark, f"{path}/out") else empty_out,
+            spark.read.schema(state_schema).parquet(state_at(last)) if last >= 0 else empty_state)
+
+
+def _kept(state: DataFrame, ts: str) -> DataFrame:
+    """State without the keys that have been silent for ``KEEP``."""
+    newest = state.agg(F.max(ts).alias("newest")).scalar()
+    return state.filter(F.col(ts) >= newest - F.expr(KEEP))
 
 
 # -- I1 -----------------------------------------------------------------------
 ADMIT_OUT = "event_id long, key string, ts timestamp, allowed boolean, remaining long, reset_at timestamp"
+ADMIT_STATE = "key string, ts timestamp"
 
 
-def admit_stream(requests: DataFrame, limit: int, window_s: int, key: str = "key",
-                 tie: str = "event_id") -> DataFrame:
-    """I1 stream: ``requests(event_id, key, ts)``; within a micro-batch a key's
-    requests are taken in ``(ts, tie)`` order, across batches in arrival order."""
-    window_us = window_s * 1_000_000
+def admit_stream(requests: DataFrame, limit: int, window_s: int, path: str, tie: str = "event_id") -> DataFrame:
+    """state = the admitted moments that still count (at most ``limit`` per key)."""
+    def step(batch, before):
+        out = A.admit(batch, limit, window_s, tie=tie, earlier=before)
+        after = A.records_after(out.filter("allowed").select("key", "ts").union(before), window_s)
+        return out, _kept(after, "ts")
 
-    def fn(k, pdfs, state):
-        adm = AdmitWindow(json.loads(state.get[0]) if state.exists else [])
-        rows = []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", tie], kind="mergesort")
-        for rec in pdf.itertuples(index=False):
-            now = int(pd.Timestamp(rec.ts).value // 1000)
-            ok, rem, rst = adm.check(now, limit, window_us)
-            rows.append((rec.event_id, k[0], rec.ts, ok, rem,
-                         None if rst is None else pd.Timestamp(rst * 1000, unit="ns")))
-        state.update((json.dumps(list(adm.ts)),))
-        out = pd.DataFrame(rows, columns=["event_id", "key", "ts", "allowed", "remaining", "reset_at"])
-        yield out.astype({"event_id": "int64", "allowed": "bool", "remaining": "int64",
-                          "ts": "datetime64[us]", "reset_at": "datetime64[us]"})
-
-    return (requests.select(tie, F.col(key).alias("key"), "ts")
-            .groupBy("key")
-            .applyInPandasWithState(fn, ADMIT_OUT, "admitted string", "append", GroupStateTimeout.NoTimeout))
+    return run_steps(requests.select(tie, "key", "ts"), step, ADMIT_STATE, ADMIT_OUT, path)[0]
 
 
 # -- I2 -----------------------------------------------------------------------
-def latest_progress_stream(events: DataFrame, tie: str = "event_id") -> DataFrame:
-    """I2 stream: latest event per job (update mode)."""
-    cols = [c for c in events.columns if c != "job_id"]
-    return (events.groupBy("job_id")
-            .agg(F.max_by(F.struct(*cols), F.struct("ts", tie)).alias("_e"))
-            .select("job_id", "_e.*"))
+LATEST_STATE = "job_id string, event_id long, phase string, message string, completed int, total int, ts timestamp"
+
+
+def latest_progress_stream(events: DataFrame, path: str, tie: str = "event_id") -> DataFrame:
+    """Latest event per job, upserted; the state is the result."""
+    names = T.StructType.fromDDL(LATEST_STATE).names
+
+    def step(batch, before):
+        both = batch.select(*names).unionByName(before)
+        return None, _kept(P.latest_progress(both, tie=tie).drop("live"), "ts")
+
+    return run_steps(events, step, LATEST_STATE, LATEST_STATE, path)[1]
 
 
 # -- I3 -----------------------------------------------------------------------
 ROUTE_OUT = "job_id string, event_id long, phase string, ts timestamp, kind string"
+ENDED_STATE = "job_id string, ended timestamp"
 
 
-def route_stream(events: DataFrame) -> DataFrame:
-    """I3 stream: progress rows until the first terminal event, then one complete row."""
-    terminal = set(TERMINAL_STATUSES)
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done = state.exists and state.get[0]
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-        out = []
-        for rec in pdf.itertuples(index=False):
-            if done:
-                break
-            if rec.phase in terminal:
-                out.append((k[0], rec.event_id, rec.phase, rec.ts, "complete"))
-                done = True
-            else:
-                out.append((k[0], rec.event_id, rec.phase, rec.ts, "progress"))
-        state.update((bool(done),))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 24 * 3600 * 1000)
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "phase", "ts", "kind"]).astype(
-            {"event_id": "int64", "ts": "datetime64[us]"})
-
-    return (events.withWatermark("ts", WATERMARK)
-            .select("job_id", "event_id", "phase", "ts").groupBy("job_id")
-            .applyInPandasWithState(fn, ROUTE_OUT, "done boolean", "append", GroupStateTimeout.EventTimeTimeout))
+def route_stream(events: DataFrame, path: str) -> DataFrame:
+    """Progress rows until a job's first terminal event, then one complete row."""
+    def step(batch, before):
+        routed = P.route_events(batch.join(before.select("job_id"), "job_id", "left_anti"))
+        over = routed.filter(F.col("kind") == "complete").select("job_id", F.col("ts").alias("ended"))
+        return routed, _kept(before.union(over), "ended")
+
+    return run_steps(events, step, ENDED_STATE, ROUTE_OUT, path)[0]
 
 
 # -- I4 -----------------------------------------------------------------------
 STALL_OUT = "job_id string, stall_start timestamp, stall_end timestamp, gap_us long"
+STALL_STATE = "job_id string, ts timestamp, event_id long, ended boolean"
 
 
-def stall_stream(events: DataFrame, gap_s: int = 300) -> DataFrame:
-    """I4 stream: a gap longer than ``gap_s`` between consecutive events.
+def stall_stream(events: DataFrame, path: str, gap_s: int = P.STALL_GAP_S, as_of=None) -> DataFrame:
+    """I4: state = the last event of a job and whether it ended.
 
-    State = last event time of the job; the stall is emitted when the next
-    event arrives (the batch definition), timers only drop idle state.
+    Silences between events are written as they end; those still open at
+    ``as_of`` come from the state.
     """
-    gap_us = gap_s * 1_000_000
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-        out = []
-        for rec in pdf.itertuples(index=False):
-            now = int(pd.Timestamp(rec.ts).value // 1000)
-            if last is not None and now - last > gap_us:
-                out.append((k[0], pd.Timestamp(last * 1000, unit="ns"), rec.ts, now - last))
-            last = now
-        state.update((int(last),))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 7 * 24 * 3600 * 1000)
-        yield pd.DataFrame(out, columns=["job_id", "stall_start", "stall_end", "gap_us"]).astype(
-            {"stall_start": "datetime64[us]", "stall_end": "datetime64[us]", "gap_us": "int64"})
-
-    return (events.withWatermark("ts", WATERMARK).select("job_id", "event_id", "ts").groupBy("job_id")
-            .applyInPandasWithState(fn, STALL_OUT, "last_us long", "append", GroupStateTimeout.EventTimeTimeout))
+    def step(batch, before):
+        running = batch.select("job_id", "ts", "event_id", "phase") \
+            .join(before.filter("ended").select("job_id"), "job_id", "left_anti")
+        last = before.filter(~F.col("ended")).select("job_id", "ts", "event_id", F.lit(None).cast("string").alias("phase"))
+        fresh = running.unionByName(last.join(running, "job_id", "left_semi"))
+        seen, silences = P.until_terminal(fresh), P.stalls(fresh, gap_s)
+        after = seen.groupBy("job_id").agg(F.max(F.struct("ts", "event_id")).alias("last"),
+                                           F.max("_ended").alias("ended")) \
+            .select("job_id", "last.ts", "last.event_id", "ended")
+        rest = before.join(after.select("job_id"), "job_id", "left_anti")
+        return silences, _kept(after.unionByName(rest), "ts")
+
+    found, state = run_steps(events, step, STALL_STATE, STALL_OUT, path)
+    if as_of is None:
+        return found
+    gap = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("stall_start")
+    still = state.filter(~F.col("ended")).select(
+        "job_id", F.col("ts").alias("stall_start"), F.lit(None).cast("timestamp").alias("stall_end")) \
+        .withColumn("gap_us", gap).filter(F.col("gap_us") >= gap_s * 1_000_000)
+    return found.select(*still.columns).unionByName(still)
 
 
 # -- I5 -----------------------------------------------------------------------
-TIMEOUT_OUT = "job_id string, start_ts timestamp, timed_out boolean, status string"
+TIMEOUT_STATE = "job_id string, start_ts timestamp, terminal_ts timestamp, terminal_phase string, ts timestamp"
 
 
-def timeout_stream(events: DataFrame, limit_s: int = 300) -> DataFrame:
-    """I5 stream: event-time timer from a job's first event.
+def timeout_stream(events: DataFrame, path: str, limit_s: int = P.STREAM_TIMEOUT_S) -> DataFrame:
+    """state = first event, first terminal event and last event of a job, the least of
+    what any micro-batch has shown; late events only move them back."""
+    terminal = P.is_terminal("phase")
 
-    A terminal event before the deadline emits the terminal status; the
-    timer firing (watermark past the deadline) emits ``failed``.
-    """
-    terminal = set(TERMINAL_STATUSES)
-    limit_ms = limit_s * 1000
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            start_ms, done = state.get
-            if not done:
-                yield pd.DataFrame([(k[0], pd.Timestamp(start_ms, unit="ms"), True, "failed")],
-                                   columns=["job_id", "start_ts", "timed_out", "status"])
-            state.remove()
-            return
-        start_ms, done = state.get if state.exists else (None, False)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-        out = []
-        for rec in pdf.itertuples(index=False):
-            t_ms = int(pd.Timestamp(rec.ts).value // 1_000_000)
-            if start_ms is None or t_ms < start_ms:
-                start_ms = t_ms if start_ms is None else start_ms
-            if done:
-                continue
-            if t_ms > start_ms + limit_ms:
-                out.append((k[0], pd.Timestamp(start_ms, unit="ms"), True, "failed"))
-                done = True
-            elif rec.phase in terminal:
-                out.append((k[0], pd.Timestamp(start_ms, unit="ms"), False, rec.phase))
-                done = True
-        state.update((int(start_ms), bool(done)))
-        state.setTimeoutTimestamp(start_ms + limit_ms + 1)
-        yield pd.DataFrame(out, columns=["job_id", "start_ts", "timed_out", "status"]).astype(
-            {"start_ts": "datetime64[us]", "timed_out": "bool"})
-
-    return (events.withWatermark("ts", WATERMARK).select("job_id", "event_id", "phase", "ts").groupBy("job_id")
-            .applyInPandasWithState(fn, TIMEOUT_OUT, "start_ms long, done boolean", "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    def step(batch, before):
+        new = batch.select("job_id", F.col("ts").alias("start_ts"), F.when(terminal, F.col("ts")).alias("terminal_ts"),
+                           F.when(terminal, F.col("phase")).alias("terminal_phase"), "ts")
+        after = new.unionByName(before).groupBy("job_id").agg(
+            F.min("start_ts").alias("start_ts"), F.min("terminal_ts").alias("terminal_ts"),
+            F.min_by("terminal_phase", "terminal_ts").alias("terminal_phase"), F.max("ts").alias("ts"))
+        return None, _kept(after, "ts")
+
+    return P.timed_out(run_steps(events, step, TIMEOUT_STATE, TIMEOUT_STATE, path)[1], limit_s)
 
 
 # -- I7 -----------------------------------------------------------------------
-def session_stream(events: DataFrame, gap_s: int = 3600) -> DataFrame:
-    """I7 stream: sessions per job with ``session_window`` (append mode)."""
-    return (events.withWatermark("ts", WATERMARK)
-            .groupBy("job_id", F.session_window("ts", f"{gap_s} seconds").alias("sw"))
-            .agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
-                 F.count(F.lit(1)).alias("n_events"))
-            .select("job_id", "session_start", "session_end", "n_events",
-                    (F.unix_micros("session_end") - F.unix_micros("session_start")).alias("duration_us")))
+SESSION_OUT = "job_id string, session_start timestamp, session_end timestamp, n_events long"
+
+
+def session_stream(events: DataFrame, path: str, gap_s: int = 3600) -> DataFrame:
+    """Sessions per job with ``session_window`` (append mode, file sink).
+
+    A silence of exactly ``gap_s`` doesn't end a session, hence the
+    microsecond.  A session is written once the watermark has passed it; an
+    event far ahead (a closing one) lets go of the last ones.
+    """
+    spark = events.sparkSession
+    sessions = events.withWatermark("ts", WATERMARK) \
+        .groupBy("job_id", F.session_window("ts", f"{gap_s} seconds 1 microseconds").alias("sw")) \
+        .agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("n_events")) \
+        .select("job_id", "session_start", "session_end", "n_events")
+    query = sessions.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out") \
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    found = spark.read.schema(SESSION_OUT).parquet(f"{path}/out")
+    return found.withColumn("duration_us", F.unix_micros("session_end") - F.unix_micros("session_start"))
