@@ -47,6 +47,14 @@ def test_sitemap_expansion_cap_and_dedup(spark):
     assert [(r.url, r.priority) for r in d] == [("https://x/1", 0.9), ("https://x/2&q", None)]
 
 
+def test_sitemap_markup(spark):
+    body = ("<sm:urlset><!-- <url><loc>https://x/gone</loc></url> --><sm:url><sm:loc> https://x/1?a=1&#38;b=&#x26;c&amp;d&#233; "
+            "</sm:loc><sm:priority>&#48;.5</sm:priority></sm:url><url><loc><![CDATA[https://x/&lt;2&gt;]]></loc></url></sm:urlset>")
+    docs = spark.createDataFrame([("s", body), ("none", None), ("empty", "")], "sitemap_url string, body string")
+    got = [(r.sitemap_url, r.pos, r.url, r.priority) for r in SM.parse_urlsets(docs).collect()]
+    assert got == [("s", 0, "https://x/1?a=1&b=&c&dé", 0.5), ("s", 1, "https://x/<2>", None)]
+
+
 def _py_bfs(seed, graph, skip, max_depth, max_urls):
     visited, out, q = set(), [], deque([(seed, 0)])
     while q and len(out) < max_urls:

@@ -33,10 +33,8 @@ def visible_jobs(jobs: DataFrame, callers: DataFrame) -> DataFrame:
     Hidden only when the job has a user, the caller has a user, and they
     differ; anonymous callers see every job.  Unknown ids are not found.
     """
-    j = callers.join(jobs.select(F.col("id").alias("job_id"), F.col("user_id").alias("owner_id")),
-                     "job_id", "left")
-    exists = jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("_exists"))
-    j = j.join(exists, "job_id", "left")
+    j = callers.join(jobs.select(F.col("id").alias("job_id"), F.col("user_id").alias("owner_id"),
+                                 F.lit(True).alias("_exists")), "job_id", "left")
     hidden = F.col("owner_id").isNotNull() & F.col("caller_user_id").isNotNull() & \
         (F.col("owner_id") != F.col("caller_user_id"))
     return j.select("request_id", "job_id", "caller_user_id",

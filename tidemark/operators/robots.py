@@ -1,15 +1,14 @@
-"""robots.txt rules (C1) as a line machine over exploded lines.
+"""robots.txt rules (C1) as a line machine inside the row.
 
-Each body is split into lines with their position; the "applies to us"
-state is the last ``User-agent`` decision before a line (a window
-``last(..., ignorenulls)`` over line order inside one body, so state is
-bounded by the body).  The per-key aggregate collects sitemap lines
-(global), disallowed paths and the first valid crawl delay while applying.
+A body is split into its lines and folded: the state is whether the last
+``User-agent`` line applies to us, the sitemap lines (global) and, while it
+applies, the disallowed paths and the first valid crawl delay.  One row in,
+one row out: nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
@@ -22,47 +21,41 @@ DISALLOW_RE = r"(?iU)^Disallow:\s*(.*)$"
 DELAY_RE = r"(?iU)^Crawl-delay:\s*(\d+\.?\d*)$"
 
 
-def robot_lines(robots: DataFrame, keys=("site",)) -> DataFrame:
-    """Bodies -> ``(keys..., pos, line)`` for non-blank, non-comment lines."""
-    keys = list(keys)
-    exploded = robots.select(*keys, F.posexplode(F.split(F.coalesce(F.col("body"), F.lit("")),
-                                                          LINE_BREAKS)).alias("pos", "raw"))
-    line = py_strip(F.col("raw"))
-    return (exploded.select(*keys, "pos", line.alias("line"))
-            .filter((F.col("line") != "") & ~F.col("line").startswith("#")))
-
-
 def parse_robots(robots: DataFrame, agent: str, keys=("site",)) -> DataFrame:
     """``robots(keys..., body)`` -> ``keys, sitemap_urls, crawl_delay, disallowed_paths``.
 
     ``agent`` is our own bot token (lower case); ``*`` always applies.  Each
     ``User-agent`` line overwrites the decision, so for stacked agents only
-    the last one counts.  Inline comments are not stripped.
+    the last one counts.  Blank and comment lines are skipped, inline comments
+    are not stripped.
     """
-    keys = list(keys)
-    lines = robot_lines(robots, keys)
-    ln = F.col("line")
-    is_sitemap = ln.rlike(SITEMAP_RE)
-    sitemap_url = py_strip(F.regexp_extract(ln, SITEMAP_RE, 1))
-    is_agent = ~is_sitemap & ln.rlike(AGENT_RE)
-    agent_val = F.lower(py_strip(F.regexp_extract(ln, AGENT_RE, 1)))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    applies = F.coalesce(F.last(F.when(is_agent, agent_val.isin("*", agent.lower())), ignorenulls=True).over(w),
-                         F.lit(False))
-    staged = lines.select(*keys, "pos", ln, is_sitemap.alias("is_sitemap"), sitemap_url.alias("sitemap_url"),
-                          is_agent.alias("is_agent"), applies.alias("applies"))
-    rule = F.col("applies") & ~F.col("is_sitemap") & ~F.col("is_agent")
-    dis = py_strip(F.regexp_extract(ln, DISALLOW_RE, 1))
-    is_dis = rule & ln.rlike(DISALLOW_RE)
-    is_delay = rule & ~ln.rlike(DISALLOW_RE) & ln.rlike(DELAY_RE)
-    delay = F.regexp_extract(ln, DELAY_RE, 1).cast("double")
-    agg = staged.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_sitemap") & (F.col("sitemap_url") != ""),
-                                           F.struct("pos", F.col("sitemap_url").alias("v"))))).alias("_s"),
-        F.array_sort(F.collect_list(F.when(is_dis & (dis != ""), F.struct("pos", dis.alias("v"))))).alias("_d"),
-        F.min_by(F.when(is_delay, delay), F.when(is_delay, F.col("pos"))).alias("crawl_delay"))
-    return agg.select(*keys, F.transform("_s", lambda x: x["v"]).alias("sitemap_urls"), "crawl_delay",
-                      F.transform("_d", lambda x: x["v"]).alias("disallowed_paths"))
+    texts = F.array().cast("array<string>")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col("body"), F.lit("")), LINE_BREAKS), py_strip),
+                     lambda ln: (ln != "") & ~ln.startswith("#"))
+
+    def value(ln, rx):
+        return F.when(ln.rlike(rx), py_strip(F.regexp_extract(ln, rx, 1)))
+
+    read = F.transform(lines, lambda ln: F.struct(
+        value(ln, SITEMAP_RE).alias("sitemap"), F.lower(value(ln, AGENT_RE)).alias("agent"),
+        value(ln, DISALLOW_RE).alias("path"), value(ln, DELAY_RE).cast("double").alias("delay")))
+
+    def step(state, ln):
+        def add(name, item, when):
+            return F.when(when & (item != ""), F.concat(state[name], F.array(item))).otherwise(state[name]).alias(name)
+
+        is_sitemap, is_agent = ln["sitemap"].isNotNull(), ln["agent"].isNotNull()
+        rule = state["applies"] & ~is_sitemap & ~is_agent
+        return F.struct(
+            F.when(is_agent & ~is_sitemap, ln["agent"].isin("*", agent.lower())).otherwise(state["applies"]).alias("applies"),
+            add("sitemaps", ln["sitemap"], is_sitemap), add("paths", ln["path"], rule),
+            F.when(rule & ln["path"].isNull() & state["delay"].isNull(), ln["delay"]).otherwise(state["delay"]).alias("delay"))
+
+    start = F.struct(F.lit(False).alias("applies"), texts.alias("sitemaps"), texts.alias("paths"),
+                     F.lit(None).cast("double").alias("delay"))
+    found = robots.select(*keys, read.alias("_lines")).select(*keys, F.aggregate("_lines", start, step).alias("_r"))
+    return found.select(*keys, F.col("_r.sitemaps").alias("sitemap_urls"), F.col("_r.delay").alias("crawl_delay"),
+                        F.col("_r.paths").alias("disallowed_paths"))
 
 
 def robots_for(sites: DataFrame, robots: DataFrame, agent: str, keys=("site",)) -> DataFrame:

@@ -19,19 +19,27 @@ MAX_ENTRIES = 500
 MAX_DEPTH = 3
 CACHE_TTL_S = 3600
 
-URL_BLOCK_RE = r"(?s)<url(?:\s[^>]*)?>(.*?)(?:</url>|$)"
-SITEMAP_BLOCK_RE = r"(?s)<sitemap(?:\s[^>]*)?>(.*?)(?:</sitemap>|$)"
-LOC_RE = r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc>"
-PRIORITY_RE = r"(?s)<priority(?:\s[^>]*)?>(.*?)</priority>"
-INDEX_RE = r"<sitemapindex[\s>/]"
+# a tag may carry a namespace prefix
+_NS = r"(?:[A-Za-z_][\w.-]*:)?"
+URL_BLOCK_RE = rf"(?s)<{_NS}url(?:\s[^>]*)?>(.*?)(?:</{_NS}url>|$)"
+SITEMAP_BLOCK_RE = rf"(?s)<{_NS}sitemap(?:\s[^>]*)?>(.*?)(?:</{_NS}sitemap>|$)"
+LOC_RE = rf"(?s)<{_NS}loc(?:\s[^>]*)?>(.*?)</{_NS}loc>"
+PRIORITY_RE = rf"(?s)<{_NS}priority(?:\s[^>]*)?>(.*?)</{_NS}priority>"
+INDEX_RE = rf"<{_NS}sitemapindex[\s>/]"
 
 
 def xml_text(c: Column) -> Column:
-    """Element text: CDATA markers dropped, the five XML entities decoded."""
+    """Element text: CDATA markers dropped, named and numeric references decoded."""
     t = F.regexp_replace(c, r"<!\[CDATA\[|\]\]>", "")
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         t = F.replace(t, F.lit(ent), F.lit(ch))
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+    refs = F.filter(F.regexp_extract_all(t, F.lit("&#(x[0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)),
+                    lambda r: ~F.lower(r).isin("38", "x26"))
+    code = lambda r: F.when(r.startswith("x"), F.lpad(F.substring(r, 2, 6), 8, "0")) \
+        .otherwise(F.lpad(F.hex(r.cast("long")), 8, "0"))
+    t = F.when(t.contains("&#"), F.aggregate(refs, t, lambda acc, r: F.replace(
+        acc, F.concat(F.lit("&#"), r, F.lit(";")), F.decode(F.unhex(code(r)), "UTF-32")))).otherwise(t)
+    return F.regexp_replace(t, "&(?:amp|#38|#[xX]26);", "&")
 
 
 def _strip(c: Column) -> Column:
@@ -42,35 +50,44 @@ def is_index(body) -> Column:
     return F.coalesce(body, F.lit("")).rlike(INDEX_RE)
 
 
-def parse_urlsets(docs: DataFrame) -> DataFrame:
-    """``docs(sitemap_url, body)`` -> ``(sitemap_url, pos, url, priority)``.
+def parse_documents(docs: DataFrame) -> DataFrame:
+    """``docs(sitemap_url, body)`` -> ``(sitemap_url, idx, entries, children)``.
 
-    Only documents that are not indexes; a ``<loc>`` must start with
-    http:// or https://; an invalid priority becomes NULL.
+    All of it is decided inside the row: ``entries`` are the ``(url,
+    priority)`` of a url set whose ``<loc>`` starts with http:// or https://
+    (an invalid priority is NULL), ``children`` the ``(child_pos, child_url)``
+    of an index.  Commented-out elements don't count.
     """
-    blocks = (docs.filter(~is_index(F.col("body")))
-              .select("sitemap_url", F.posexplode(F.regexp_extract_all(
-                  F.col("body"), F.lit(URL_BLOCK_RE), 1)).alias("pos", "blk")))
-    loc = _strip(xml_text(F.regexp_extract("blk", LOC_RE, 1)))
-    has_loc = F.col("blk").rlike(LOC_RE)
-    pr = _strip(xml_text(F.regexp_extract("blk", PRIORITY_RE, 1)))
-    entries = blocks.select("sitemap_url", "pos", F.when(has_loc, loc).alias("url"),
-                            F.when(F.col("blk").rlike(PRIORITY_RE), pr).try_cast("double").alias("priority"))
-    keep = entries.filter(F.col("url").startswith("http://") | F.col("url").startswith("https://"))
-    w = Window.partitionBy("sitemap_url").orderBy("pos")
-    return keep.withColumn("pos", F.row_number().over(w) - 1)
-
-
-def index_children(docs: DataFrame) -> DataFrame:
-    """``<sitemap><loc>`` children of index documents, in order."""
-    blocks = (docs.filter(is_index(F.col("body")))
-              .select("sitemap_url", F.posexplode(F.regexp_extract_all(
-                  F.col("body"), F.lit(SITEMAP_BLOCK_RE), 1)).alias("pos", "blk")))
-    loc = _strip(xml_text(F.regexp_extract("blk", LOC_RE, 1)))
-    raw = F.regexp_extract("blk", LOC_RE, 1)
-    return (blocks.filter(F.col("blk").rlike(LOC_RE) & (xml_text(raw) != ""))
-            .select(F.col("sitemap_url").alias("parent_url"), F.col("pos").alias("child_pos"),
-                    loc.alias("child_url")))
+    staged = docs.select("sitemap_url", F.regexp_replace("body", r"(?s)<!--.*?-->", "").alias("_b"))
+    staged = staged.withColumn("idx", is_index(F.col("_b")))
+
+    def text(block, rx):
+        return F.when(block.rlike(rx), _strip(xml_text(F.regexp_extract(block, rx, 1))))
+
+    def blocks(rx):
+        return F.regexp_extract_all("_b", F.lit(rx), F.lit(1))
+
+    entries = F.filter(
+        F.transform(blocks(URL_BLOCK_RE), lambda x: F.struct(
+            text(x, LOC_RE).alias("url"), text(x, PRIORITY_RE).try_cast("double").alias("priority"))),
+        lambda e: e["url"].startswith("http://") | e["url"].startswith("https://"))
+    children = F.filter(
+        F.transform(blocks(SITEMAP_BLOCK_RE), lambda x, i: F.struct(
+            i.alias("child_pos"), text(x, LOC_RE).alias("child_url"),
+            xml_text(F.regexp_extract(x, LOC_RE, 1)).alias("raw"))),
+        lambda c: c["child_url"].isNotNull() & (c["raw"] != ""))
+    return staged.select("sitemap_url", "idx", F.when(~F.col("idx"), entries).alias("entries"),
+                         F.when(F.col("idx"), children).alias("children"))
+
+
+def _entries(parsed: DataFrame) -> DataFrame:
+    return parsed.select("sitemap_url", F.posexplode("entries").alias("pos", "e")) \
+        .select("sitemap_url", "pos", "e.url", "e.priority")
+
+
+def parse_urlsets(docs: DataFrame) -> DataFrame:
+    """``docs(sitemap_url, body)`` -> ``(sitemap_url, pos, url, priority)``; no shuffle."""
+    return _entries(parse_documents(docs))
 
 
 def _kept_children(children: DataFrame, counts: DataFrame, keys: list, max_entries: int) -> DataFrame:
@@ -91,26 +108,12 @@ def expand_indexes(docs: DataFrame, roots: DataFrame, keys=("site",),
     """
     keys = list(keys)
     k = keys + ["cand_pos"]
-    urls = parse_urlsets(docs)
-    kids = index_children(docs)
-    bodies = docs.select("sitemap_url", is_index(F.col("body")).alias("idx"))
-    if materialize:
-        # each parsed form feeds two or three of the depth joins: parse once,
-        # as one materialized table with a kind column
-        null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
-        parsed = cut_lineage(
-            urls.select(F.lit("u").alias("kind"), "sitemap_url", "pos", "url", "priority",
-                        null_i.alias("child_pos"), null_s.alias("child_url"), F.lit(None).cast("boolean").alias("idx"))
-            .unionByName(kids.select(F.lit("k").alias("kind"), F.col("parent_url").alias("sitemap_url"),
-                                     null_i.alias("pos"), null_s.alias("url"), F.lit(None).cast("double").alias("priority"),
-                                     "child_pos", "child_url", F.lit(None).cast("boolean").alias("idx")))
-            .unionByName(bodies.select(F.lit("b").alias("kind"), "sitemap_url", null_i.alias("pos"),
-                                       null_s.alias("url"), F.lit(None).cast("double").alias("priority"),
-                                       null_i.alias("child_pos"), null_s.alias("child_url"), "idx")))
-        urls = parsed.filter(F.col("kind") == "u").select("sitemap_url", "pos", "url", "priority")
-        kids = parsed.filter(F.col("kind") == "k").select(F.col("sitemap_url").alias("parent_url"),
-                                                          "child_pos", "child_url")
-        bodies = parsed.filter(F.col("kind") == "b").select("sitemap_url", "idx")
+    # read by all depths: parsed once
+    parsed = parse_documents(docs)
+    parsed = cut_lineage(parsed) if materialize else parsed
+    urls, bodies = _entries(parsed), parsed.select("sitemap_url", "idx")
+    kids = parsed.select(F.col("sitemap_url").alias("parent_url"), F.explode("children").alias("c")) \
+        .select("parent_url", "c.child_pos", "c.child_url")
 
     # depth 0
     r0 = roots.join(bodies, "sitemap_url")

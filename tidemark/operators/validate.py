@@ -1,17 +1,17 @@
 """URL admission checks (B6 at scale, B7, B8).
 
-* ``drop_disallowed``: robots prefixes as an equi-join.  Every URL path
-  expands into its own prefixes (bounded by the path length) and is
+* ``drop_disallowed``: robots prefixes as an equi-join.  A URL path expands
+  into its prefixes of the lengths that occur among its site's rules and is
   semi-joined on ``(site, prefix)`` with the distinct rule table, so a
   site with many rules never turns into a per-row theta join.
 * ``flag_blocked_hosts``: host -> IPv4 through a ``dns(host, ip)`` table
-  (left join; missing = cannot resolve), then a range match against the
-  fixed blocked-network list, broadcast because it is a constant of 5 rows.
+  (left join; missing = cannot resolve), then one CASE over the fixed
+  blocked-network lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -35,16 +35,23 @@ def drop_disallowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     no wildcards, no Allow lines; empty prefixes never match.
     """
     r = rules.filter(F.col("prefix").isNotNull() & (F.col("prefix") != "")).select("site", "prefix").distinct()
-    path = U.url_path(F.col("url"))
-    pref = urls.select("site", "url", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))),
-                                                           lambda k: F.substring(path, 1, k))).alias("prefix"))
+    lengths = r.select("site", F.length("prefix").alias("_n")).distinct()
+    staged = urls.select("site", "url", U.url_path(F.col("url")).alias("_path")).join(lengths, "site")
+    pref = staged.filter(F.length("_path") >= F.col("_n")).select(
+        "site", "url", F.substring("_path", F.lit(1), F.col("_n")).alias("prefix"))
     hit = pref.join(r, ["site", "prefix"], "left_semi").select("site", "url").distinct()
     return urls.join(hit, ["site", "url"], "left_anti")
 
 
-def blocked_networks(spark) -> DataFrame:
-    return spark.createDataFrame([(i, c, lo, hi) for i, (c, lo, hi) in enumerate(BLOCKED_V4)],
-                                 "pos int, cidr string, lo long, hi long")
+def blocked_network(ip) -> Column:
+    """First blocked network in list order that holds the address, else NULL."""
+    n = U.ipv4_to_long(ip)
+    out = None
+    for cidr, low, high in BLOCKED_V4:
+        out = (F if out is None else out).when(n.between(low, high), F.lit(cidr))
+    for cidr, rx in BLOCKED_V6:
+        out = out.when(ip.rlike(rx), F.lit(cidr))
+    return out
 
 
 def flag_blocked_hosts(urls: DataFrame, dns: DataFrame) -> DataFrame:
@@ -53,18 +60,8 @@ def flag_blocked_hosts(urls: DataFrame, dns: DataFrame) -> DataFrame:
     First matching network in list order wins; 0/8, 100.64/10 and
     multicast are not blocked.
     """
-    spark = urls.sparkSession
-    j = urls.join(dns.select("host", "ip"), "host", "left").withColumn("_n", U.ipv4_to_long(F.col("ip")))
-    nets = F.broadcast(blocked_networks(spark))
-    hits = (j.select("host", "ip", "_n").distinct()
-            .join(nets, (F.col("_n") >= F.col("lo")) & (F.col("_n") <= F.col("hi")))
-            .groupBy("host", "ip").agg(F.min_by("cidr", "pos").alias("_cidr")))
-    v6 = None
-    for cidr, rx in BLOCKED_V6:
-        cond = F.col("ip").rlike(rx)
-        v6 = F.when(cond, F.lit(cidr)) if v6 is None else v6.when(cond, F.lit(cidr))
-    out = j.join(hits, ["host", "ip"], "left").withColumn("_cidr", F.coalesce(F.col("_cidr"), v6))
+    j = urls.join(dns.select("host", "ip"), "host", "left").withColumn("_cidr", blocked_network(F.col("ip")))
     reason = (F.when(F.col("ip").isNull(), F.concat(F.lit("Could not resolve hostname '"), F.col("host"), F.lit("'")))
               .when(F.col("_cidr").isNotNull(),
                     F.concat(F.lit("URL resolves to blocked IP range ("), F.col("_cidr"), F.lit(")"))))
-    return out.withColumn("reject_reason", reason).drop("_n", "_cidr")
+    return j.withColumn("reject_reason", reason).drop("_cidr")

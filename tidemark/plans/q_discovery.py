@@ -78,8 +78,14 @@ def q_robots_missing(spark, sf):
 
 # -- sitemaps ---------------------------------------------------------------------
 def _docs(spark, sf) -> DataFrame:
-    parts = [derive(spark, sf, "pages", D.sitemap_doc_exprs(k), D.SITEMAP_DOC_WHERE.get(k)) for k in D.SITEMAP_DOCS]
-    return reduce(DataFrame.unionByName, parts)
+    """All documents of a page from one scan."""
+    structs = []
+    for kind in D.SITEMAP_DOCS:
+        one = "named_struct(" + ", ".join(f"'{a}', {e}" for a, e in D.sitemap_doc_exprs(kind)) + ")"
+        where = D.SITEMAP_DOC_WHERE.get(kind)
+        structs.append(f"CASE WHEN {where} THEN {one} END" if where else one)
+    docs = table(spark, sf, "pages").selectExpr(f"explode(array({', '.join(structs)})) AS d")
+    return docs.filter("d IS NOT NULL").select("d.*")
 
 
 def _docs_sql() -> str:
@@ -145,8 +151,11 @@ expanded AS (
 
 
 def _roots(spark, sf, cands) -> DataFrame:
-    parts = [derive(spark, sf, "pages", D.CANDIDATE_KEYS + c) for c in cands]
-    return reduce(DataFrame.unionByName, parts).withColumn("cand_pos", F.col("cand_pos").cast("int"))
+    """The candidates of a page from one scan."""
+    rows = ", ".join("named_struct(" + ", ".join(f"'{a}', {e}" for a, e in c) + ")" for c in cands)
+    keys = [f"{e} AS {a}" for a, e in D.CANDIDATE_KEYS]
+    return table(spark, sf, "pages").selectExpr(*keys, f"inline(array({rows}))") \
+        .withColumn("cand_pos", F.col("cand_pos").cast("int"))
 
 
 def _roots_sql(cands) -> str:
