@@ -257,38 +257,46 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removed_stretches(docs: DataFrame) -> DataFrame:
     """doc, text_hash, starts and ends of removed stretches (they may overlap) of ``keyed`` rows."""
     scanned = docs.select("doc", "text_hash", "text")
-    seen_twice = docs.select("text").mapInArrow(_bucket_counts, "bucket long, n long") \
-        .groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("bucket")
     schema = "bucket long, context long, doc long, place long"
-    shared = cut_to_table(
+    seen_twice = cut_to_table(
+        docs.select("text").mapInArrow(_bucket_counts, "bucket long, n long")
+        .groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("bucket"), "twice")
+    rows = cut_to_table(
         scanned.mapInArrow(_anchor_rows, schema).join(seen_twice.hint("merge"), "bucket"), "anchors")
-    ranges = cut_to_table(scanned.join(_edges(shared).hint("merge"), ["doc", "text_hash"])
-                          .mapInArrow(_range_rows, schema), "ranges")
-    single = cut_to_table(scanned.join(_edges(ranges).hint("merge"), ["doc", "text_hash"])
-                          .mapInArrow(_string_rows, schema), "strings")
-    removed = _not_first(shared).unionByName(_not_first(ranges)).unionByName(_not_first(single))
+    classes = _classes(rows)
+    removed = _not_first(rows, classes)
+    for name, deal in (("ranges", _range_rows), ("strings", _string_rows)):
+        rows = cut_to_table(scanned.join(_edges(classes).hint("merge"), ["doc", "text_hash"])
+                            .mapInArrow(deal, schema), name)
+        classes = _classes(rows)
+        removed = removed.unionByName(_not_first(rows, classes))
     return cut_to_table(_by_text(removed), "removed")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("bucket", "context").agg(
-        F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("members"))
-
+    """First place and number of members of every class.
 
-def _edges(rows: DataFrame) -> DataFrame:
-    """Firsts of the classes whose bucket has several contexts, by text."""
-    classes = _classes(rows)
-    several = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > 1)
-    return _by_text(classes.join(several.select("bucket").hint("merge"), "bucket").select("first.*"))
+    Written, so that both sides of the joins below are plain exchanges and
+    a hot bucket can be split between tasks.
+    """
+    return cut_to_table(rows.groupBy("bucket", "context").agg(
+        F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("members")), "classes")
 
 
-def _not_first(rows: DataFrame) -> DataFrame:
+def _not_first(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """doc, place of the rows that aren't the first of their class."""
-    found = _classes(rows).where(F.col("members") > 1).select("bucket", "context", "first")
+    found = classes.where(F.col("members") > 1).select("bucket", "context", "first")
     return rows.join(found.hint("merge"), ["bucket", "context"]) \
         .where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place"))).select("doc", "place")
 
 
+def _edges(classes: DataFrame) -> DataFrame:
+    """Firsts of the classes whose bucket has several contexts, by text."""
+    several = cut_to_table(classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts"))
+                           .where(F.col("contexts") > 1).select("bucket"), "several")
+    return _by_text(classes.join(several.hint("merge"), "bucket").select("first.*"))
+
+
 def _by_text(rows: DataFrame) -> DataFrame:
     """doc, text_hash and its places; their number is bounded by the length of the text."""
     return rows.select("doc", _text_hash("place"), "place") \
