@@ -266,9 +266,10 @@ def classes_by_brute_force(rows, idf):
     return {t: (texts[names[root(at[t])]][1] if texts[names[root(at[t])]][0] else None) for t in names}
 
 
-@pytest.mark.parametrize("pivots", [near_dedup.PIVOTS, (1, 2)])
-def test_near_duplicates_by_brute_force(spark, monkeypatch, pivots):
+@pytest.mark.parametrize("pivots, block", [(near_dedup.PIVOTS, near_dedup.BLOCK), (1, 5)])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, pivots, block):
     monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     base = [[rng.choice(words) for _ in range(rng.randrange(60, 160))] for _ in range(6)]
@@ -332,6 +333,17 @@ def test_shingles_by_definition(texts, piece):
         assert len(g.keys() & h.keys()) == len(by_words(a).keys() & by_words(b).keys())
 
 
+def test_outlines_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    for n in (20, 3000):
+        a, b = (np.unique(rng.integers(0, 2 * n, n).astype(np.uint64)) for _ in range(2))
+        ua, ub = rng.integers(1, 100_000 if n == 20 else 40, len(a)), rng.integers(1, 40, len(b))
+        row = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
+        o = near_dedup.outlines(2, row, np.concatenate([a, b]), np.concatenate([ua, ub]))
+        _, i, j = np.intersect1d(a, b, return_indices=True)
+        assert near_dedup.overlap_bound(o[0], o[1:])[0] >= np.minimum(ua[i], ub[j]).sum()
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     sampler = near_dedup.Sampler(np.full(near_dedup.BUCKETS, near_dedup.IDF_STEPS))

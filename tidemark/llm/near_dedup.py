@@ -15,13 +15,16 @@ similarity.  Texts that agree in all samples of a band share a bucket.
 
 Verification is exact: the weighted Jaccard similarity of the full shingle
 vectors must reach ``LEAST_SIMILARITY``.  Classes are the connected
-components of verified links.  A bucket is not turned into all its pairs:
-its members are compared with a few pivots, then, where a bucket still holds
-members of several components, with more pivots, and at last the members
-outside the bucket's largest component with all members of other components.
+components of verified links.  A bucket is not turned into all its pairs.
+First its members are compared with ``PIVOTS`` pivots; pairs whose samples
+agree too rarely (``LEAST_AGREEING``; chance below one in 100,000 at the least
+similarity) aren't compared.  Where a larger bucket still holds members of
+several components, those outside its largest one are held against the members
+of other components, in blocks of ``BLOCK`` rows, by their outlines: weights
+summed in ``OUTLINE`` hashed slots, whose overlap is never below that of the
+vectors.  Only pairs that pass this exact bound become rows and are verified.
 So no two members of a bucket stay in different classes without having been
-compared.  Pairs whose samples agree too rarely (``LEAST_AGREEING``; chance
-below one in 100,000 at the least similarity) aren't compared.
+compared.
 
 Exact copies are joined first by their digest and carried by one node.
 
@@ -50,7 +53,9 @@ LEAST_AGREEING = 28  # of BANDS * ROWS samples
 IDF_RANGE = 0.25
 IDF_STEPS = 16  # weights are kept in this part of one
 BUCKETS = 1 << 16
-PIVOTS = (4, 32)  # of a bucket, in the first and in the second round
+PIVOTS = 4  # of a bucket
+BLOCK = 1024  # rows of a bucket in a block
+OUTLINE = 256  # slots
 ENTRIES = 14  # bits of the tables of random numbers
 PIECE = 1 << 18  # bytes of short texts worked on at a time
 SEED = 7_207
@@ -292,10 +297,54 @@ def _vector_rows(idf):
                 units = weights(shingle, times, idf.value)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node").slice(i, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(units))], ["node", "ids", "units"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(units)),
+                     pa.array([o.tobytes() for o in outlines(n, row, shingle, units)], pa.binary())],
+                    ["node", "ids", "units", "outline"])
     return run
 
 
+def outlines(n: int, row: np.ndarray, shingle: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Weights of each text summed in hashed slots, rounded up to 16 bits (beyond: the largest number)."""
+    slot = (_mixed(shingle) >> np.uint64(64 - OUTLINE.bit_length() + 1)).astype(np.int64)
+    sums = np.bincount(row * OUTLINE + slot, weights=units, minlength=n * OUTLINE).reshape(n, OUTLINE)
+    return np.minimum(sums, 65_535).astype("<u2")
+
+
+def overlap_bound(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Most that the vectors behind ``one`` and each of ``others`` can share.
+
+    A slot at its largest number may stand for any weight.
+    """
+    least = np.minimum(others, one)
+    bound = least.sum(axis=1, dtype=np.float64)
+    bound[(least == 65_535).any(axis=1)] = np.inf
+    return bound
+
+
+def _block_pairs(outside: pa.Table, members: pa.Table) -> pa.Table:
+    """Pairs of a block that can be similar enough and meet in no earlier bucket."""
+    def columns(t):
+        outline = np.frombuffer(b"".join(t.column("outline").to_pylist()), dtype="<u2").reshape(-1, OUTLINE)
+        bands = np.array(t.column("bands").to_pylist(), dtype=np.int64).reshape(-1, BANDS)
+        return *(t.column(c).to_numpy() for c in ("node", "root", "bucket", "out", "total")), outline, bands
+
+    found: list[tuple[int, int]] = []
+    if outside.num_rows and members.num_rows:
+        node, root, bucket, _, total, outline, bands = columns(outside)
+        others, other_root, _, other_out, other_total, other_outline, other_bands = columns(members)
+        share = LEAST_SIMILARITY / (1 + LEAST_SIMILARITY)  # of both weights, for the overlap
+        for i in range(len(node)):
+            ok = (other_root != root[i]) & (~other_out | (others > node[i]))
+            at = np.flatnonzero(ok)
+            same = other_bands[at] == bands[i]
+            at = at[bands[i][same.argmax(axis=1)] == bucket[i]]
+            bound = overlap_bound(outline[i], other_outline[at])
+            at = at[bound >= share * (total[i] + other_total[at]) - 1e-6]
+            found += [(min(node[i], o), max(node[i], o)) for o in others[at].tolist()]
+    return pa.table([pa.array([int(a) for a, _ in found], pa.int64()), pa.array([int(b) for _, b in found], pa.int64())],
+                    names=["a", "b"])
+
+
 def _agreeing(batches):
     """Pairs whose samples agree often enough."""
     for batch in batches:
@@ -353,11 +402,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of one bucket and different components."""
-    other = right.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"),
-                         F.col("samples").alias("other_samples"))
+    """Distinct pairs (a, b), a < b, of members of one bucket whose samples agree often."""
+    other = right.select("bucket", F.col("node").alias("other"), F.col("samples").alias("other_samples"))
     smaller = F.col("node") < F.col("other")
-    return left.join(other, "bucket").where(F.col("root") != F.col("other_root")).select(
+    return left.join(other, "bucket").where(F.col("node") != F.col("other")).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"),
         F.when(smaller, F.col("samples")).otherwise(F.col("other_samples")).alias("samples"),
         F.when(smaller, F.col("other_samples")).otherwise(F.col("samples")).alias("other_samples")) \
@@ -388,44 +436,60 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # a repeated row (same id and text) would give its vector twice
     vectors = cut_to_table(
         rows.join(active, ["digest", "doc"]).select("node", "text").mapInArrow(
-            _vector_rows(idf), "node long, ids array<long>, units array<long>").dropDuplicates(["node"]), "vectors")
+            _vector_rows(idf), "node long, ids array<long>, units array<long>, outline binary")
+        .dropDuplicates(["node"]), "vectors")
 
-    labels = None
-    state = members.withColumn("root", F.col("node"))
     order = Window.partitionBy("bucket").orderBy("turn", "node")
-    for pivots in (*PIVOTS, None):
-        if pivots:
-            chosen = state.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots)
-            pairs = _pairs(state, chosen)
-        else:
-            sizes = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-            main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-            outside = state.join(main, "bucket").where(F.col("root") != F.col("main")).drop("main")
-            pairs = _pairs(outside, state)
-        links = cut_to_table(_verified(cut_to_table(pairs, "pairs"), vectors), "verified")
-        if links.limit(1).count():
-            labels = _merged(labels, links)
-            state = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = state.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")) \
-            .where(F.col("least") != F.col("most")).select("bucket")
-        state = cut_to_table(state.join(mixed, "bucket"), "unresolved")
-        if not state.limit(1).count():
-            break
-    if labels is None:
-        rooted = nodes.select("node", "digest", "doc", F.col("node").alias("root"))
-    else:
-        rooted = nodes.select("node", "digest", "doc").join(labels, "node", "left") \
-            .withColumn("root", F.coalesce("root", "node"))
+    chosen = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    links = cut_to_table(_verified(cut_to_table(_pairs(members, chosen), "pairs"), vectors), "verified")
+    labels = cut_to_table(_roots(links), "components")
+    rest = _unresolved(members, labels, nodes, vectors)
+    if rest.limit(1).count():
+        more = cut_to_table(_verified(cut_to_table(_block_wise(rest), "pairs"), vectors), "verified")
+        labels = _merged(labels, more)
+    rooted = nodes.select("node", "digest", "doc").join(labels, "node", "left") \
+        .withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min(F.struct("doc", "digest")).alias("name"))
     named = rooted.join(named, "root").select(
         "digest", F.col("name.doc").alias("class_doc"), F.col("name.digest").alias("class_digest"))
     return signed.select("doc", "digest").join(named, "digest")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _unresolved(members: DataFrame, labels: DataFrame, nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Members of buckets in which the pivots left several components, with their outlines.
+
+    In a bucket of ``PIVOTS + 1`` members or fewer all pairs have met a pivot.
+    """
+    rooted = members.select("bucket", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = cut_to_table(rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")), "roots")
+    mixed = cut_to_table(by_root.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
+        .where((F.col("n") > F.col("most")) & (F.col("n") > PIVOTS + 1)), "mixed")
+    outline = vectors.select("node", "outline", F.aggregate("units", F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
+    return cut_to_table(
+        rooted.join(mixed, "bucket").withColumn("out", F.col("root") != F.col("main")).drop("main")
+        .join(outline, "node").join(nodes.select("node", "bands"), "node"), "unresolved")
+
+
+def _block_wise(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of members outside their bucket's main component with
+    members of other components, as far as their outlines allow them."""
+    def part(rows, seed):
+        return F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(rows / F.lit(BLOCK)))
+
+    def every(rows):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(rows / F.lit(BLOCK)) - 1))
+
+    columns = ["bucket", "node", "root", "out", "total", "outline", "bands"]
+    outside = F.col("n") - F.col("most")
+    left = members.where("out").select(*columns, part(outside, 1).alias("i"), every(F.col("n")).alias("j"))
+    right = members.select(*columns, every(outside).alias("i"), part(F.col("n"), 2).alias("j"))
+    cell = ["bucket", "i", "j"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_block_pairs, "a long, b long").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after the links (a, b) are added to the components so far."""
-    if labels is None:
-        return cut_to_table(_roots(links), "components")
     a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     lifted = links.join(a, "a", "left").join(b, "b", "left") \
