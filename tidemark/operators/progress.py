@@ -159,47 +159,25 @@ def _us(c) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
 
 
-def job_sessions(events: DataFrame, gap_s: int = 3600, tie: str | None = "event_id") -> DataFrame:
+def job_sessions(events: DataFrame, gap_s: int = 3600) -> DataFrame:
     """Sessions of a job (a new session after a silence longer than ``gap_s``).
 
     Output per session: number (from 1), start, end (last event), duration,
     event count and number of distinct phases.
 
-    Skew-safe: no window ever holds all events of one job.  Session starts
-    come from the bucketed consecutive pairs; sessions pair up with the same
-    bucketed method; numbers come from per-bucket running counts; events
-    meet their session through an equi-join on ``(job, bucket)`` with
-    buckets as long as the gap, so a bucket overlaps at most two sessions.
+    Time is cut into buckets as long as the gap.  Two events of one bucket
+    are always in one session, so a job's events shrink to one row per bucket
+    (partial sums before the shuffle) and the windows see only those rows.
     """
     gap_us = gap_s * 1_000_000
-    bucket_us = max(gap_us, 1_000_000)
-    pairs = consecutive_pairs(events, tie, bucket_s=bucket_us // 1_000_000)
-    cut = pairs.filter(_us("next_ts") - _us("ts") > gap_us).select("job_id", F.col("next_ts").alias("start"))
-    bounds = events.groupBy("job_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    starts = cut.unionByName(bounds.select("job_id", F.col("first").alias("start")))
-    # consecutive starts -> [start, next_start); the last session is open-ended
-    sp = consecutive_pairs(starts.withColumnRenamed("start", "ts"), None, bucket_s=bucket_us // 1_000_000)
-    last = starts.groupBy("job_id").agg(F.max("start").alias("start"))
-    sess = (sp.select("job_id", F.col("ts").alias("start"), F.col("next_ts").alias("next_start"))
-            .unionByName(last.withColumn("next_start", F.lit(None).cast(starts.schema["start"].dataType))))
-    # session numbers: starts in earlier buckets + rank inside the bucket
-    sb = F.floor(_us("start") / F.lit(bucket_us))
-    sess = sess.withColumn("_sb", sb)
-    per_b = sess.groupBy("job_id", "_sb").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy("job_id").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    per_b = per_b.withColumn("_before", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
-    wi = Window.partitionBy("job_id", "_sb").orderBy("start")
-    sess = (sess.join(per_b.select("job_id", "_sb", "_before"), ["job_id", "_sb"])
-            .withColumn("session", F.col("_before") + F.row_number().over(wi)).drop("_before"))
-    # expand each session over the buckets it covers, then equi-join events
-    sess = sess.join(bounds.select("job_id", "last"), "job_id")
-    end_us = F.coalesce(_us("next_start") - 1, _us("last"))
-    covered = sess.select("job_id", "session", "start", "next_start",
-                          F.explode(F.sequence(F.col("_sb"), F.floor(end_us / F.lit(bucket_us)))).alias("_b"))
-    ev = events.withColumn("_b", F.floor(_us("ts") / F.lit(bucket_us)))
-    j = (ev.join(covered, ["job_id", "_b"])
-         .filter((F.col("ts") >= F.col("start")) & (F.col("next_start").isNull() | (F.col("ts") < F.col("next_start")))))
-    agg = j.groupBy("job_id", "session").agg(
-        F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
-        F.count(F.lit(1)).alias("n_events"), F.countDistinct("phase").alias("n_phases"))
+    buckets = events.groupBy("job_id", F.floor(_us("ts") / F.lit(gap_us)).alias("_b")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"),
+        F.collect_set("phase").alias("phases"))
+    in_order = Window.partitionBy("job_id").orderBy("_b")
+    silence = _us("first") - _us(F.lag("last").over(in_order))
+    opened = buckets.withColumn("_new", F.when(silence <= gap_us, 0).otherwise(1))
+    numbered = opened.withColumn("session", F.sum("_new").over(in_order))
+    agg = numbered.groupBy("job_id", "session").agg(
+        F.min("first").alias("session_start"), F.max("last").alias("session_end"), F.sum("n").alias("n_events"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("phases")))).cast("long").alias("n_phases"))
     return agg.withColumn("duration_us", _us("session_end") - _us("session_start"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import enhance as FE
 from ..operators import sections as E
-from ..session import table
+from ..session import cut_lineage, table
 from ..sources import derived as D
 from . import oracle as O
 from . import site_docs as SD
@@ -154,7 +154,7 @@ FROM b"""
 
 
 def _merged(spark, sf):
-    cat = categorized(spark, sf)
+    cat = cut_lineage(categorized(spark, sf).drop("content_text"))  # read for the replies and for the merge
     parsed = FE.parse_section_replies(section_replies(cat))
     return FE.merge_enhanced(cat, parsed)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import extract as X
 from ..operators import pagestate as PS
-from ..session import table
+from ..session import cut_lineage, table
 from ..sources import derived as D
 from . import oracle as O
 from .registry import derive, derive_sql, register
@@ -194,32 +194,29 @@ _RENDERED = [("url", "url"),
              ("error", "CASE WHEN page_id % 4 = 1 THEN 'Timeout 30000ms exceeded' END")]
 
 
+_PAGE_COLS = ["title", "description", "content_text"]
+
+
+def _cleared(extracted, bad):
+    """Rows with an error keep only url, status and error."""
+    return extracted.withColumns({c: F.when(~bad, F.col(c)) for c in _PAGE_COLS})
+
+
 def _http_rows(spark, sf):
     c = PS.classify_fetch(derive(spark, sf, "pages", _FETCHES))
-    n = table(spark, sf, "pages").rdd.getNumPartitions()
-    ex = X.with_content(X.with_csr(X.extract_pages(c.select("page_id", "url", "html"), input_partitions=n)))
-    ex = ex.join(c.select("page_id", "fetch_status", "error"), "page_id")
-    good = PS.flag_soft_404(ex.filter(F.col("error").isNull()), use_content=False)
-    bad = ex.filter(F.col("error").isNotNull()).withColumn("is_js_rendered", F.lit(False)) \
-        .withColumn("title", F.lit(None).cast("string")).withColumn("description", F.lit(None).cast("string")) \
-        .withColumn("content_text", F.lit(None).cast("string"))
-    cols = ["page_id", "url", "title", "description", "content_text", "is_js_rendered", "fetch_status", "error"]
-    return good.select(*cols).unionByName(bad.select(*cols))
+    ex = X.extract_pages(c.select("page_id", "url", "html", "fetch_status", "error"))
+    bad = F.col("error").isNotNull()
+    ex = _cleared(X.with_content(X.with_csr(ex)), bad).withColumn("is_js_rendered", F.col("is_js_rendered") & ~bad)
+    ex = PS.flag_soft_404(ex, use_content=False)
+    return ex.select("page_id", "url", *_PAGE_COLS, "is_js_rendered", "fetch_status", "error")
 
 
 def _rendered_rows(spark, sf, need):
     r = derive(spark, sf, "pages", _RENDERED).join(need.select("url"), "url", "left_semi")
-    ok = r.filter(F.col("error").isNull())
-    n = table(spark, sf, "pages").rdd.getNumPartitions()
-    ex = X.with_content(X.extract_pages(ok.select("url", "html"), input_partitions=n))
-    ex = ex.join(ok.select("url", F.col("status").alias("fetch_status")), "url")
-    ex = ex.withColumn("error", F.lit(None).cast("string"))
-    ex = PS.flag_soft_404(ex, use_content=True)
-    failed = r.filter(F.col("error").isNotNull()).select(
-        "url", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"),
-        F.lit(None).cast("string").alias("content_text"), F.col("status").alias("fetch_status"), "error")
-    cols = ["url", "title", "description", "content_text", "fetch_status", "error"]
-    return ex.select(*cols).unionByName(failed.select(*cols))
+    failed = F.col("error").isNotNull()
+    r = r.select("url", F.when(~failed, F.col("html")).alias("html"), F.col("status").alias("fetch_status"), "error")
+    ex = PS.flag_soft_404(_cleared(X.with_content(X.extract_pages(r)), failed), use_content=True)
+    return ex.select("url", *_PAGE_COLS, "fetch_status", "error")
 
 
 def _soft(cols) -> str:
@@ -260,7 +257,7 @@ FROM j"""
 
 @register("rerender_merge", _RERENDER_SQL)
 def q_rerender_merge(spark, sf):
-    http = _http_rows(spark, sf)
+    http = cut_lineage(_http_rows(spark, sf))  # read for the need and for the merge
     need = PS.needs_render(http)
     merged = PS.merge_rendered(http, _rendered_rows(spark, sf, need))
     return merged.select("page_id", "url", "fetch_status", "is_js_rendered", "error", "title")
@@ -269,13 +266,12 @@ def q_rerender_merge(spark, sf):
 # -- A6: document sink, written to the shared checkpoint area and read back -----------------------
 def _sink_sql() -> str:
     from . import q_site
-    return (f"SELECT idx.site, length(idx.doc) AS doc_chars, m.meta FROM ({O.index_doc_sql()}) idx "
+    return (f"SELECT idx.site, idx.doc, m.meta FROM ({O.index_doc_sql()}) idx "
             f"JOIN ({q_site.RUN_META_SQL}) m USING (site)")
 
 
 @register("docs_sink", _sink_sql())
 def q_docs_sink(spark, sf):
-    import os
     import uuid
 
     from ..operators import assemble as G
@@ -286,9 +282,9 @@ def q_docs_sink(spark, sf):
 
     pages = table(spark, sf, "pages")
     ex = SD.extracted_pages(pages)
-    docs = SD.index_documents(pages)
+    docs = SD.index_of(pages, ex)
     metrics = G.run_metrics(ex, E.categorize(ex), None, "default")
-    path = os.path.join(ensure_checkpoint_dir(spark), "sink", uuid.uuid4().hex)
+    path = f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
     TB.write_documents(docs, metrics, path)
     back = spark.read.parquet(f"{path}/docs").join(spark.read.parquet(f"{path}/meta"), "site")
-    return back.select("site", F.length("doc").cast("bigint").alias("doc_chars"), "meta")
+    return back.select("site", "doc", "meta")

@@ -60,14 +60,16 @@ def site_infos(extracted: DataFrame, seeds: DataFrame) -> DataFrame:
                        F.lit(None).cast("array<string>").alias("notes"))
 
 
-def index_documents(pages: DataFrame, k: int = DEFAULT_TOP_K,
-                    section_replies: DataFrame | None = None) -> DataFrame:
+def index_documents(pages: DataFrame, k: int = DEFAULT_TOP_K, section_replies: DataFrame | None = None) -> DataFrame:
     """Flagship: one llms.txt index per site (default mode, no polish reply)."""
-    ex = extracted_pages(pages)
-    cat = E.categorize(ex)
-    enhanced = FE.merge_enhanced(cat, section_replies)
-    sites = site_infos(ex, seeds_for(site_pages(pages)))
-    return G.build_index(sites, enhanced, k)
+    return index_of(pages, extracted_pages(pages), k, section_replies)
+
+
+def index_of(pages: DataFrame, extracted: DataFrame, k: int = DEFAULT_TOP_K,
+             section_replies: DataFrame | None = None) -> DataFrame:
+    """The index documents of pages that are extracted already."""
+    enhanced = FE.merge_enhanced(E.categorize(extracted), section_replies)
+    return G.build_index(site_infos(extracted, seeds_for(site_pages(pages))), enhanced, k)
 
 
 def full_documents(pages: DataFrame) -> DataFrame:
