@@ -16,6 +16,7 @@ from ..session import table
 from ..sources import derived as D
 from . import oracle as O
 from .q_pages import SHELL_PAGES
+from .q_urls import PAGE_LINKS_SQL
 from .registry import derive, derive_sql, lines_text, register
 
 AGENT = "tidebot"
@@ -199,6 +200,31 @@ def q_sitemap_source(spark, sf):
     return fs.groupBy(*KEYS, "source").agg(F.count("url").alias("n_entries"))
 
 
+# -- C4 with the candidates that robots files list ---------------------------------
+_BASES = D.CANDIDATE_KEYS + [("base_url", "url")]
+_ROBOT_CANDS = f"""cand0 AS (SELECT b.site, b.page_id, coalesce(rr.sitemap_urls, '') AS listed,
+    regexp_extract(b.base_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) AS root
+  FROM ({derive_sql('pages', _BASES)}) b LEFT JOIN rr USING (site, page_id)),
+candl AS (SELECT site, page_id, CASE WHEN listed <> '' THEN string_split(listed, chr(10))
+    ELSE [root || '/sitemap.xml', root || '/sitemap_index.xml'] END AS l FROM cand0),
+cands AS (SELECT site, page_id, generate_subscripts(l, 1) - 1 AS cand_pos, unnest(l) AS sitemap_url FROM candl)"""
+
+
+@register("sitemap_robots", f"""WITH {robots_sql()}, {_ROBOT_CANDS}, {sitemap_sql()},
+{expand_sql("SELECT site, page_id, cand_pos, sitemap_url FROM cands")},
+firstc AS (SELECT site, page_id, min(cand_pos) AS cand_pos FROM expanded GROUP BY ALL),
+chosen AS (SELECT e.*, r.sitemap_url AS source FROM expanded e JOIN firstc USING (site, page_id, cand_pos)
+           JOIN roots r USING (site, page_id, cand_pos)),
+allkeys AS (SELECT DISTINCT site, page_id FROM roots)
+SELECT k.site, k.page_id, coalesce(c.source, 'sitemap') AS source, count(c.url) AS n_entries
+FROM allkeys k LEFT JOIN chosen c USING (site, page_id) GROUP BY ALL""")
+def q_sitemap_robots(spark, sf):
+    parsed = R.parse_robots(_robots(spark, sf), AGENT, KEYS)
+    cands = SM.sitemap_candidates(parsed, derive(spark, sf, "pages", _BASES), KEYS)
+    fs = SM.first_source(SM.expand_indexes(_docs(spark, sf), cands, KEYS), cands, KEYS)
+    return fs.groupBy(*KEYS, "source").agg(F.count("url").alias("n_entries"))
+
+
 _DEDUP_SQL = _FIRST_SQL + f""",
 dd AS (SELECT site, page_id, url, min(ord) AS ord, arg_max(priority, ord) AS priority FROM chosen GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY site, page_id ORDER BY ord) AS pos FROM dd)"""
@@ -252,7 +278,7 @@ def _skip_sql(t: str) -> str:
             f"OR EXISTS (SELECT 1 FROM dis WHERE dis.site = {t}.site AND starts_with({path}, dis.prefix)))")
 
 
-def crawl_sql(max_urls: int = 50) -> str:
+def crawl_sql(max_urls: int = 50, graph: str | None = None) -> str:
     def level(prev_emit: str, visited: str, name: str, depth: int, offset: str) -> str:
         return f"""
 {name}_c AS (SELECT e.site, e.rank AS parent_rank, l.pos, l.target AS url
@@ -263,7 +289,7 @@ def crawl_sql(max_urls: int = 50) -> str:
 {name}_e AS (SELECT site, url, {depth} AS depth, rank FROM (
   SELECT s.site, s.url, row_number() OVER (PARTITION BY s.site ORDER BY s.o, s.url) + coalesce(p.n, 0) AS rank
   FROM {name}_s s LEFT JOIN {offset} p USING (site) WHERE NOT s.skip) WHERE rank <= {max_urls})"""
-    return f"""{_graph_sql()},
+    return f"""{graph or _graph_sql()},
 l0_s AS (SELECT s.site, s.url, {_skip_sql('s')} AS skip FROM seeds s),
 l0_e AS (SELECT site, url, 0 AS depth, 1 AS rank FROM l0_s WHERE NOT skip),
 cv1 AS (SELECT site, url FROM l0_s),
@@ -275,33 +301,86 @@ cn2 AS (SELECT site, count(*) AS n FROM (SELECT site FROM l0_e UNION ALL SELECT
 crawled AS (SELECT * FROM l0_e UNION ALL SELECT * FROM l1_e UNION ALL SELECT * FROM l2_e)"""
 
 
-@register("crawl_bfs", f"WITH {crawl_sql()} SELECT site, CAST(rank AS INT) AS rank, url, depth FROM crawled")
-def q_crawl_bfs(spark, sf):
-    seeds, links = _graph(spark, sf)
-    out = C.crawl_links(seeds, links, max_depth=2, max_urls=50)
+def _crawl_out(out):
     return out.select("site", F.col("rank").cast("int").alias("rank"), "url", F.col("depth").cast("int").alias("depth"))
 
 
-@register("discover", f"""WITH {_DEDUP_SQL.removeprefix('WITH ')}, {crawl_sql()},
-firstp AS (SELECT site, min(page_id) AS page_id FROM ({derive_sql('pages', _NODES)}) GROUP BY site),
-sm AS (SELECT r.site, r.pos AS rank, r.url, 0 AS depth, 'sitemap' AS source FROM ranked r JOIN firstp USING (site, page_id)
-       WHERE r.pos <= {SM.MAX_ENTRIES} AND page_id % 2 = 0),
+@register("crawl_graph", f"WITH {crawl_sql()} SELECT site, CAST(rank AS INT) AS rank, url, depth FROM crawled")
+def q_crawl_graph(spark, sf):
+    """A made-up deeper graph: several levels, skipped and repeated URLs."""
+    seeds, links = _graph(spark, sf)
+    return _crawl_out(C.crawl_links(seeds, links, max_depth=2, max_urls=50))
+
+
+# the links of the pages themselves, from the first page of each site
+def _site_graph(spark, sf):
+    pages = table(spark, sf, "pages")
+    links = C.page_links(X.extract_pages(pages.select("url", "html")), keys=()) \
+        .withColumn("url", U.normalize_url(F.col("url")))
+    sites = pages.select(U.site_key(F.col("url")).alias("site"), "page_id", "url")
+    seeds = sites.groupBy("site").agg(F.min_by("url", "page_id").alias("seed_url")) \
+        .withColumn("disallowed", F.array(F.lit("/an"), F.lit("/de")))
+    return seeds, links
+
+
+def _norm_sql(u: str) -> str:
+    path = f"regexp_replace({O.u_path(u)}, '/+$', '')"
+    return (f"{O.u_scheme(u)} || '://' || {O.u_netloc(u)} || CASE WHEN {path} = '' THEN '/' ELSE {path} END "
+            f"|| CASE WHEN {O.u_query(u)} <> '' THEN '?' || {O.u_query(u)} ELSE '' END")
+
+
+_SITE_GRAPH_SQL = f"""pl AS ({PAGE_LINKS_SQL}),
+links AS (SELECT {_norm_sql('p.url')} AS url, pl.pos, pl.target FROM pl JOIN pages p USING (page_id)),
+first_page AS (SELECT {O.u_site('url')} AS site, arg_min(url, page_id) AS first_url FROM pages GROUP BY 1),
+seeds AS (SELECT site, {_norm_sql('first_url')} AS url FROM first_page),
+dis AS (SELECT site, '/an' AS prefix FROM seeds UNION ALL SELECT site, '/de' FROM seeds)"""
+
+
+@register("crawl_bfs", f"WITH {crawl_sql(graph=_SITE_GRAPH_SQL)} SELECT site, CAST(rank AS INT) AS rank, url, depth FROM crawled")
+def q_crawl_bfs(spark, sf):
+    return _crawl_out(C.crawl_links(*_site_graph(spark, sf), max_depth=2, max_urls=50))
+
+
+# a limit that bites: three pages per site
+@register("crawl_capped", f"WITH {crawl_sql(3, _SITE_GRAPH_SQL)} SELECT site, CAST(rank AS INT) AS rank, url, depth FROM crawled")
+def q_crawl_capped(spark, sf):
+    return _crawl_out(C.crawl_links(*_site_graph(spark, sf), max_depth=2, max_urls=3))
+
+
+# every sitemap entry of a site; sites whose name has a length divisible by 3 publish none
+_HAS_SITEMAP = "length(site) % 3 <> 0"
+
+
+@register("discover", f"""WITH {_DEDUP_SQL.removeprefix('WITH ')}, {crawl_sql(graph=_SITE_GRAPH_SQL)},
+se AS (SELECT site, url, list_concat([page_id], ord) AS ord, priority FROM chosen WHERE {_HAS_SITEMAP}),
+sd AS (SELECT site, url, min(ord) AS ord FROM se GROUP BY site, url),
+sm AS (SELECT * FROM (SELECT site, row_number() OVER (PARTITION BY site ORDER BY ord) AS rank, url, 0 AS depth,
+                             'sitemap' AS source FROM sd) WHERE rank <= 500),
 both_ AS (SELECT * FROM sm UNION ALL
           SELECT site, rank, url, depth, 'crawl' AS source FROM crawled WHERE site NOT IN (SELECT site FROM sm))
 SELECT site, CAST(rank AS INT) AS rank, url, CAST(depth AS INT) AS depth, source FROM (
   SELECT site, row_number() OVER (PARTITION BY site ORDER BY rank) AS rank, url, depth, source FROM both_)
 WHERE rank <= 50""")
 def q_discover(spark, sf):
-    dd = _dedup(spark, sf)
-    first = derive(spark, sf, "pages", _NODES).groupBy("site").agg(F.min("page_id").alias("page_id"))
-    entries = dd.join(first, ["site", "page_id"]).filter(F.col("page_id") % 2 == 0).select("site", "pos", "url")
-    seeds, links = _graph(spark, sf)
-    crawled = C.crawl_links(seeds, links, max_depth=2, max_urls=50)
-    out = C.discover(entries, crawled, 50)
+    cands = _roots(spark, sf, D.CANDIDATES)
+    found = SM.first_source(SM.expand_indexes(_docs(spark, sf), cands, KEYS), cands, KEYS).filter(_HAS_SITEMAP)
+    entries = SM.dedup_entries(found.select(
+        "site", F.lit("sitemap").alias("source"), "url", "priority",
+        F.concat(F.array(F.col("page_id").cast("int")), "ord").alias("ord")), ("site",))
+    crawled = C.crawl_links(*_site_graph(spark, sf), max_depth=2, max_urls=50)
+    out = C.discover(entries.select("site", "pos", "url"), crawled, 50)
     return out.select("site", F.col("rank").cast("int").alias("rank"), "url",
                       F.col("depth").cast("int").alias("depth"), "source")
 
 
+# -- C5 where the limit bites: at most three entries of a key --------------------------
+@register("sitemap_capped", _DEDUP_SQL + " SELECT site, page_id, pos, url, priority FROM ranked WHERE pos <= 3")
+def q_sitemap_capped(spark, sf):
+    cands = _roots(spark, sf, D.CANDIDATES)
+    fs = SM.first_source(SM.expand_indexes(_docs(spark, sf), cands, KEYS), cands, KEYS)
+    return SM.dedup_entries(fs, KEYS, cap=3).select(*KEYS, F.col("pos").cast("bigint").alias("pos"), "url", "priority")
+
+
 # -- C9 freshness --------------------------------------------------------------------
 _CACHE_VALUE = D.case("page_id", [
     "'{\"source\": \"/sitemap.xml\", \"entries\": []}'", "'not json'", "NULL", "'{\"source\": \"x\", \"entries\": [1]}'",

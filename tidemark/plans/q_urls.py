@@ -96,7 +96,7 @@ def q_url_validate(spark, sf):
 
 # Host per page, resolved through a derived dns table
 _DNS_IP = D.case("page_id", ["'93.184.216.34'", "'127.0.0.1'", "'10.1.2.3'", "'172.16.5.4'", "'192.168.1.1'",
-                             "'169.254.169.254'", "'100.64.0.1'", "'172.32.0.1'", "'8.8.8.8'", "NULL"])
+                             "'169.254.169.254'", "'100.64.0.1'", "'172.32.0.1'", "'8.8.8.8'", "'::1'", "'fd12:3456::1'", "'FE80::1'", "'2001:db8::1'", "NULL"])
 _HOSTS = [("page_id", "page_id"), ("url", "'https://h' || CAST(page_id AS STRING) || '.' || " + D.SITE + " || '/'"),
           ("host", "'h' || CAST(page_id AS STRING) || '.' || " + D.SITE)]
 _DNS = [("host", "'h' || CAST(page_id AS STRING) || '.' || " + D.SITE), ("ip", _DNS_IP)]
@@ -114,6 +114,9 @@ j AS (SELECT u.page_id, u.host, d.ip,
       FROM u LEFT JOIN d USING (host))
 SELECT page_id, host, ip,
   CASE WHEN ip IS NULL THEN 'Could not resolve hostname ''' || host || ''''
+       WHEN ip = '::1' THEN 'URL resolves to blocked IP range (::1/128)'
+       WHEN lower(ip) LIKE 'fd12:%' THEN 'URL resolves to blocked IP range (fd00::/8)'
+       WHEN lower(ip) LIKE 'fe80:%' THEN 'URL resolves to blocked IP range (fe80::/10)'
        ELSE (SELECT 'URL resolves to blocked IP range (' || cidr || ')' FROM c WHERE j.n BETWEEN c.lo AND c.hi
              ORDER BY pos LIMIT 1) END AS reject_reason
 FROM j""")
@@ -234,7 +237,7 @@ def q_link_targets(spark, sf):
 _ABS = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) || " + O.unescape("href")
 _ABS_PATH = O.u_path("abs")
 _NP = f"regexp_replace({_ABS_PATH}, '/+$', '')"
-_PAGE_LINKS_SQL = f"""
+PAGE_LINKS_SQL = f"""
 WITH l AS (SELECT page_id, url, generate_subscripts(hs, 1) - 1 AS pos, unnest(hs) AS href
            FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages)),
 r AS (SELECT page_id, pos, {_ABS} AS abs FROM l WHERE starts_with(href, '/') AND NOT starts_with(href, '//'))
@@ -243,7 +246,7 @@ SELECT page_id, pos, {O.u_scheme('abs')} || '://' || {O.u_netloc('abs')} || CASE
 FROM r WHERE NOT regexp_matches({_ABS_PATH}, {O.q('(?i)[.](' + '|'.join(U.ASSET_SUFFIXES) + ')$')})"""
 
 
-@register("page_links", _PAGE_LINKS_SQL)
+@register("page_links", PAGE_LINKS_SQL)
 def q_page_links(spark, sf):
     pages = table(spark, sf, "pages")
     ex = X.extract_pages(pages.select("page_id", "url", "html"))
