@@ -87,12 +87,3 @@ def strip_fence(reply, original, add_newline: bool = False) -> Column:
     no_last = F.regexp_replace(no_first, r"(^|\n)[ \t\x0B\f\r]*```[ \t\x0B\f\r]*$", "")
     out = py_strip(F.when(base.startswith("```"), no_last).otherwise(base))
     return F.concat(out, F.lit("\n")) if add_newline else out
-
-
-def html_unescape_basic(s) -> Column:
-    """Decode the named entities that occur in our inputs (oracle-friendly)."""
-    t = _c(s)
-    for ent, ch in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"),
-                    ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " ")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return F.regexp_replace(t, "&amp;?", "&")

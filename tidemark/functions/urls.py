@@ -201,16 +201,6 @@ def client_ip(forwarded, remote) -> Column:
     return F.when(fwd.isNotNull() & (fwd != ""), first).otherwise(F.coalesce(_c(remote), F.lit("unknown")))
 
 
-def _resolve_dots(segments: Column) -> Column:
-    popped = F.aggregate(
-        segments, F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(seg == ".", acc)
-        .otherwise(F.concat(acc, F.array(seg))))
-    last = F.element_at(segments, -1)
-    return F.when(last.isin(".", ".."), F.concat(popped, F.array(F.lit("")))).otherwise(popped)
-
-
 def resolve_links(df, base: str, href: str, out: str = "resolved"):
     """Add ``out`` = ``href`` resolved against ``base`` like ``urljoin``.
 

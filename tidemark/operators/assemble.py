@@ -1,9 +1,11 @@
 """Assembly of per-site documents.
 
-Per-site state is bounded before any collect: pages are capped per site
-upstream (``max_urls``), and the index keeps ``k`` entries per section.
-Documents are built by sorting a collected array of ``(order key, line)``
-structs and joining it: one aggregation per site, no driver round trip.
+The index keeps ``k`` entries per section, so its collects are bounded by the
+sections of a site.  Whatever grows with a site comes as rows: entries with
+their position (``section_entries``), full text as ordered parts of a bounded
+number of pages (``full_parts``).  ``build_sections`` without ``k`` and
+``build_full`` put a whole site into one value; they are for sites that the
+caller knows to be small.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import number_by
+
 # Preferred section order; others follow A-Z, Optional last.
 PREFERRED_ORDER = ["Documentation", "API Reference", "Guides", "Features", "Blog",
                    "Resources", "About", "Pricing", "Pages"]
@@ -122,12 +126,44 @@ def build_sections(pages: DataFrame, k: int | None = 5) -> DataFrame:
         F.transform(F.array_sort(F.collect_list("sec")), lambda x: x["s"]).alias("sections"))
 
 
+def positions(pages: DataFrame, out: str = "pos", chunk: int = 1 << 16) -> DataFrame:
+    """``out`` = 1, 2, ... per (site, section) by ``sec_order``, without a task per section."""
+    o = F.col("sec_order")
+    lead = F.when(o["moved"] == 1, o["first"]).otherwise(o["rank"])
+    step = F.struct(o["moved"].alias("m"), F.floor(lead / F.lit(chunk)).alias("c"))
+    return number_by(pages, ["site", "section"], step, ["sec_order"], out)
+
+
+def section_entries(pages: DataFrame) -> DataFrame:
+    """G5 without a limit, as rows: every entry with its position in its section."""
+    return positions(pages, "entry_pos").select(
+        "site", "section", (F.col("section") == OPTIONAL).alias("is_optional"), "entry_pos", "title", "url",
+        _blank(F.col("description")).alias("description"))
+
+
+def _full_piece() -> Column:
+    body = F.coalesce(_blank(F.col("content_text")), _blank(F.col("description")), F.lit(NO_CONTENT))
+    return F.concat(F.lit("### "), F.col("title"), F.lit("\nSource: "), F.col("url"), F.lit("\n\n"), body,
+                    F.lit("\n\n---\n"))
+
+
+def full_parts(pages: DataFrame, pages_per_part: int = 50) -> DataFrame:
+    """G6 as ordered parts ``(site, section, part, text)`` of at most ``pages_per_part`` pages.
+
+    The parts of a section, joined by a line feed, are its block of the full
+    document; the first one carries the heading.
+    """
+    numbered = positions(pages).withColumn("part", F.floor((F.col("pos") - 1) / F.lit(pages_per_part)).cast("int"))
+    parts = numbered.groupBy("site", "section", "part").agg(
+        F.array_sort(F.collect_list(F.struct("pos", _full_piece().alias("piece")))).alias("_p"))
+    text = F.array_join(F.transform("_p", lambda x: x["piece"]), "\n")
+    head = F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"))
+    return parts.select("site", "section", "part", F.when(F.col("part") == 0, F.concat(head, text)).otherwise(text).alias("text"))
+
+
 def build_full(sites: DataFrame, pages: DataFrame) -> DataFrame:
-    """Full document: per page H3, source, content or description, rule."""
-    d = _blank(F.col("description"))
-    body = F.coalesce(_blank(F.col("content_text")), d, F.lit(NO_CONTENT))
-    piece = F.concat(F.lit("### "), F.col("title"), F.lit("\nSource: "), F.col("url"),
-                     F.lit("\n\n"), body, F.lit("\n\n---\n"))
+    """G6 as one text per (small) site: per page H3, source, content or description, rule."""
+    piece = _full_piece()
     blocks = (pages.groupBy("site", "section")
               .agg(F.array_sort(F.collect_list(F.struct(F.col("sec_order").alias("o"),
                                                          piece.alias("l")))).alias("_e"))

@@ -11,11 +11,12 @@ from __future__ import annotations
 from typing import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .assemble import positions
 
 UNTITLED = "Untitled"
 SECTION_CONTENT_BUDGET = 500
@@ -35,12 +36,10 @@ def section_requests(pages: DataFrame, budget: int = SECTION_CONTENT_BUDGET) ->
 
     Each block reads ``Page i:\\nURL: u\\nContent: first budget chars``;
     blocks are joined by a blank line; ``max_tokens = max(300, 60 * n)``.
-    Per-request state is bounded by the per-site page cap.
+    One text per section: for sections known to be small; otherwise see
+    ``section_request_parts``.
     """
-    w = Window.partitionBy("site", "section").orderBy("sec_order")
-    numbered = pages.withColumn("_i", F.row_number().over(w))
-    block = F.format_string("Page %d:\nURL: %s\nContent: %s", F.col("_i"), F.col("url"),
-                            F.substring(F.coalesce(F.col("content_text"), F.lit("")), 1, budget))
+    numbered, block = _request_blocks(pages, budget)
     return (numbered.groupBy("site", "section")
             .agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), block.alias("b")))).alias("_b"),
                  F.count(F.lit(1)).alias("n_pages"))
@@ -50,6 +49,26 @@ def section_requests(pages: DataFrame, budget: int = SECTION_CONTENT_BUDGET) ->
                     F.greatest(F.lit(300), F.col("n_pages") * 60).cast("int").alias("max_tokens")))
 
 
+def _request_blocks(pages: DataFrame, budget: int) -> tuple[DataFrame, Column]:
+    block = F.format_string("Page %d:\nURL: %s\nContent: %s", F.col("_i"), F.col("url"),
+                            F.substring(F.coalesce(F.col("content_text"), F.lit("")), 1, budget))
+    return positions(pages, "_i"), block
+
+
+def section_request_parts(pages: DataFrame, budget: int = SECTION_CONTENT_BUDGET, pages_per_part: int = 50) -> DataFrame:
+    """F1 as ordered parts of at most ``pages_per_part`` pages: request_id, part, pages_block, n_pages.
+
+    The parts joined by a blank line are the request's ``pages_block``.
+    """
+    numbered, block = _request_blocks(pages, budget)
+    part = F.floor((F.col("_i") - 1) / F.lit(pages_per_part)).cast("int")
+    return (numbered.withColumn("part", part).groupBy("site", "section", "part")
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), block.alias("b")))).alias("_b"),
+                 F.count(F.lit(1)).alias("n_pages"))
+            .select(section_request_id("site", "section").alias("request_id"), "part",
+                    F.array_join(F.transform("_b", lambda x: x["b"]), "\n\n").alias("pages_block"), "n_pages"))
+
+
 _ENTRY = T.MapType(T.StringType(), T.StringType())
 
 

@@ -22,7 +22,7 @@ from . import site_docs as SD
 from .registry import derive, derive_sql, register
 
 S = D.S
-CONTENT = "'Content of page ' || " + S + " || '. ' || repeat('lorem ipsum ', CAST(page_id % 900 AS INT))"
+CONTENT = "'Content of page ' || " + S + " || '. ' || repeat('lorem ipsum ', CAST((page_id * 4) % 900 AS INT))"
 TITLE = D.case("page_id", ["'Page ' || " + S, "''", "'  '", "NULL"])
 OG_TITLE = "CASE WHEN page_id % 3 = 0 THEN 'OG ' || " + S + " END"
 DESC = D.case("page_id", ["'About page ' || " + S, "NULL", "''"])
@@ -59,6 +59,15 @@ def q_section_requests(spark, sf):
     return FE.section_requests(categorized(spark, sf))
 
 
+@register("section_request_parts", f"""WITH {_EN_SQL},
+b AS (SELECT site || chr(31) || section AS request_id, i, (i - 1) // 2 AS part,
+        format('Page {{}}:' || chr(10) || 'URL: {{}}' || chr(10) || 'Content: {{}}', i, url, left(coalesce(content_text, ''), 500)) AS block FROM catk)
+SELECT request_id, CAST(part AS INT) AS part, string_agg(block, chr(10) || chr(10) ORDER BY i) AS pages_block, count(*) AS n_pages
+FROM b GROUP BY request_id, part""")
+def q_section_request_parts(spark, sf):
+    return FE.section_request_parts(categorized(spark, sf), pages_per_part=2)
+
+
 # -- F2: replies per page -----------------------------------------------------------------
 _REPLY = D.case("page_id", [
     "'{\"pages\": [{\"url\": \"' || url || '\", \"title\": \"T' || " + S + " || '\", \"description\": \"D' || " + S + " || '\"}]}'",
@@ -345,3 +354,58 @@ def q_full_doc_derived(spark, sf):
         "site", U.site_name(F.concat(F.lit("https://"), F.col("site"))).alias("name"),
         F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("notes"))
     return G.build_full(sites, enhanced)
+
+
+# -- detailed mode: parts of the full text, entries without a limit, metrics ------------------------
+_TITLE_SQL = "coalesce(nullif(title, ''), nullif(og_title, ''), 'Untitled')"
+_DESC_SQL = "coalesce(nullif(description, ''), nullif(og_description, ''), '')"
+_PIECE_SQL = (f"'### ' || {_TITLE_SQL} || chr(10) || 'Source: ' || url || chr(10) || chr(10) || coalesce(nullif(content_text, ''), "
+              f"nullif({_DESC_SQL}, ''), '(No content available)') || chr(10) || chr(10) || '---' || chr(10)")
+
+
+@register("full_doc_parts", f"""WITH {_EN_SQL},
+p AS (SELECT site, section, (i - 1) // 2 AS part, i, {_PIECE_SQL} AS piece FROM catk)
+SELECT site, section, CAST(part AS INT) AS part,
+  CASE WHEN part = 0 THEN '## ' || section || chr(10) || chr(10) ELSE '' END || string_agg(piece, chr(10) ORDER BY i) AS text
+FROM p GROUP BY site, section, part""")
+def q_full_doc_parts(spark, sf):
+    from ..operators import assemble as G
+
+    return G.full_parts(FE.merge_enhanced(categorized(spark, sf), None), pages_per_part=2)
+
+
+@register("section_entries", f"""WITH {_EN_SQL}
+SELECT site, section, section = 'Optional' AS is_optional, CAST(i AS INT) AS entry_pos, {_TITLE_SQL} AS title, url,
+  nullif({_DESC_SQL}, '') AS description FROM catk""")
+def q_section_entries(spark, sf):
+    from ..operators import assemble as G
+
+    return G.section_entries(FE.merge_enhanced(categorized(spark, sf), None))
+
+
+@register("run_metrics_detailed", f"""WITH {_EN_SQL},
+pm AS (SELECT site, count(*) AS total_pages, count(*) FILTER (WHERE error IS NULL) AS pages_processed,
+              count(*) FILTER (WHERE error IS NOT NULL) AS pages_failed FROM ex GROUP BY site),
+sm AS (SELECT site, count(DISTINCT section) AS n FROM cat GROUP BY site),
+cm AS (SELECT site, count(*) AS n FROM ({_CLEAN_REQ}) GROUP BY site),
+m AS (SELECT pm.*, CAST(coalesce(sm.n, 0) + 1 + coalesce(cm.n, 0) AS BIGINT) AS llm_calls_made
+      FROM pm LEFT JOIN sm USING (site) LEFT JOIN cm USING (site))
+SELECT site, total_pages, pages_processed, pages_failed, llm_calls_made, llm_calls_made * 500 / 1000000.0 AS llm_cost_usd FROM m""")
+def q_run_metrics_detailed(spark, sf):
+    from ..operators import assemble as G
+
+    pages = en_pages(spark, sf)
+    return G.run_metrics(pages, E.categorize(pages), FE.clean_requests(pages), "detailed")
+
+
+@register("summary_requests", f"""WITH {O.extracted_pages_sql()}, {O.site_info_sql()},
+c AS (SELECT h.site, s.name, h.seed_url AS url FROM home h JOIN sites s USING (site)
+      WHERE h.first_rank IS NOT NULL
+         OR coalesce((SELECT y.has_content FROM ex y WHERE y.site = h.site AND y.rank = h.home_rank), false))
+SELECT site AS request_id, url, name FROM c""")
+def q_summary_requests(spark, sf):
+    pages = table(spark, sf, "pages")
+    ex = SD.extracted_pages(pages)
+    home = FE.pick_homepage(ex, SD.seeds_for(SD.site_pages(pages)))
+    names = SD.site_infos(ex, SD.seeds_for(SD.site_pages(pages))).select("site", "name")
+    return FE.summary_requests(home, ex, names).select("request_id", "url", "name")

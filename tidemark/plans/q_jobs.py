@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as ER
 from ..operators import jobs as J
+from ..operators import progress as P
 from ..sources import derived as D
 from ..sources import tables as T
 from . import oracle as O
@@ -36,8 +37,9 @@ c AS (SELECT id, config, coalesce(json_extract_string(config, '$.mode'), 'defaul
   coalesce(TRY_CAST(json_extract(config, '$.crawl.max_urls') AS BIGINT), 50) AS max_urls,
   coalesce(TRY_CAST(json_extract(config, '$.crawl.max_depth') AS BIGINT), 2) AS max_depth,
   coalesce(TRY_CAST(json_extract(config, '$.crawl.crawl_delay_ms') AS BIGINT), 300) AS crawl_delay_ms,
-  coalesce(TRY_CAST(json_extract(config, '$.crawl.timeout_seconds') AS BIGINT), 30) AS timeout_seconds FROM jobs)
-SELECT id, mode, max_urls, max_depth, crawl_delay_ms, timeout_seconds,
+  coalesce(TRY_CAST(json_extract(config, '$.crawl.timeout_seconds') AS BIGINT), 30) AS timeout_seconds,
+  coalesce(TRY_CAST(json_extract(config, '$.crawl.respect_robots_txt') AS BOOLEAN), true) AS respect_robots_txt FROM jobs)
+SELECT id, mode, max_urls, max_depth, crawl_delay_ms, timeout_seconds, respect_robots_txt,
   CASE WHEN mode NOT IN ('default', 'detailed') THEN 'mode: ''' || mode || ''' is not a valid choice'
        WHEN max_urls < 1 THEN 'max_urls: must be >= 1' WHEN max_urls > 100 THEN 'max_urls: must be <= 100'
        WHEN max_depth < 1 THEN 'max_depth: must be >= 1' WHEN max_depth > 3 THEN 'max_depth: must be <= 3'
@@ -46,7 +48,8 @@ SELECT id, mode, max_urls, max_depth, crawl_delay_ms, timeout_seconds,
   END AS reject_reason FROM c""")
 def q_config_defaults(spark, sf):
     c = T.parse_config(jobs(spark, sf).select("id", "config"))
-    return c.select("id", "mode", "max_urls", "max_depth", "crawl_delay_ms", "timeout_seconds", "reject_reason")
+    return c.select("id", "mode", "max_urls", "max_depth", "crawl_delay_ms", "timeout_seconds",
+                    "respect_robots_txt", "reject_reason")
 
 
 @register("job_history", f"""WITH {JOBS_SQL}
@@ -61,6 +64,27 @@ def q_job_history(spark, sf):
                     ts_text("completed_at").alias("completed_at"))
 
 
+@register("job_history_5", f"""WITH {JOBS_SQL}
+SELECT user_id, position, id, status FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS position FROM jobs
+  WHERE user_id IS NOT NULL) WHERE position <= 5""")
+def q_job_history_5(spark, sf):
+    """A history short enough to leave jobs out."""
+    return J.job_history(jobs(spark, sf), 5).select("user_id", F.col("position").cast("bigint"), "id", "status")
+
+
+@register("job_progress", f"""WITH {JOBS_SQL}, prog AS ({derive_sql('events', D.PROGRESS)}),
+l AS (SELECT job_id AS id, arg_max(phase, (ts, event_id)) AS progress_phase, arg_max(message, (ts, event_id)) AS progress_message
+      FROM prog GROUP BY job_id)
+SELECT j.id, j.status, l.progress_phase, l.progress_message, j.status = 'pending' AND l.progress_phase IS NULL AS waiting
+FROM jobs j LEFT JOIN l USING (id)""")
+def q_job_progress(spark, sf):
+    latest = P.latest_progress(derive(spark, sf, "events", D.PROGRESS))
+    s = J.job_snapshots(jobs(spark, sf), latest)
+    return s.select("id", "status", "progress_phase", "progress_message",
+                    J.is_waiting("status", "progress_phase").alias("waiting"))
+
+
 _CALLERS = [("request_id", "'q' || CAST(o_orderkey AS STRING)"),
             ("job_id", "CASE WHEN o_orderkey % 10 = 9 THEN 'job-x' ELSE 'job-' END || CAST(o_orderkey AS STRING)"),
             ("caller_user_id", D.case("o_orderkey", ["NULL", "'user-' || CAST(o_custkey AS STRING)",

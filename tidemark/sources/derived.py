@@ -179,7 +179,9 @@ JOBS = [
     ("url", "'https://site' || CAST(o_custkey % 97 AS STRING) || '.example.com/'"),
     ("mode", case("o_orderkey", ["'default'", "'detailed'", "'quick'", "'default'"])),
     ("status", JOB_STATUS),
-    ("config", "'{\"crawl\": {\"max_urls\": ' || CAST(o_orderkey % 120 AS STRING) || '}}'"),
+    ("config", "'{\"crawl\": {\"max_urls\": ' || CAST(o_orderkey % 120 AS STRING) || '"
+               + "' || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ', \"max_depth\": ' || CAST(o_orderkey % 5 AS STRING) "
+               + "WHEN 2 THEN ', \"respect_robots_txt\": false' ELSE ', \"timeout_seconds\": ' || CAST(o_orderkey % 70 AS STRING) END || '}}'"),
     ("result_llms_txt", "CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 <> 0 THEN '# Site ' || CAST(o_custkey AS STRING) || chr(10) END"),
     ("result_meta", "CASE WHEN o_orderstatus = 'F' THEN " + case("o_orderkey", [
         "'{\"total_pages\": ' || CAST(o_orderkey % 50 AS STRING) || ', \"pages_processed\": ' || CAST(o_orderkey % 40 AS STRING) || ', \"pages_failed\": 2, \"llm_calls_made\": 7, \"llm_cost_usd\": 0.0035}'",
@@ -244,9 +246,3 @@ FETCHES = [
     ("html", "html"),
     ("error", "CASE WHEN page_id % 9 = 6 THEN 'ConnectTimeout: timed out' END"),
 ]
-RENDERED = [
-    ("url", "url"),
-    ("status", "CASE WHEN page_id % 4 = 1 THEN 0 ELSE 200 END"),
-    ("html", "CASE WHEN page_id % 4 = 2 THEN replace(html, '<article>', '<article><p>Page not found</p>') ELSE html END"),
-    ("error", "CASE WHEN page_id % 4 = 1 THEN 'Timeout 30000ms exceeded' END"),
-]

@@ -112,11 +112,12 @@ CONFIG_SCHEMA = T.StructType([
     T.StructField("crawl", T.StructType([
         T.StructField("max_urls", T.LongType()), T.StructField("max_depth", T.LongType()),
         T.StructField("crawl_delay_ms", T.LongType()), T.StructField("timeout_seconds", T.LongType()),
+        T.StructField("respect_robots_txt", T.BooleanType()),
     ])),
 ])
 # Defaults and bounds of a run configuration.
 CONFIG_DEFAULTS = {"mode": "default", "max_urls": 50, "max_depth": 2, "crawl_delay_ms": 300,
-                   "timeout_seconds": 30}
+                   "timeout_seconds": 30, "respect_robots_txt": True}
 CONFIG_BOUNDS = {"max_urls": (1, 100), "max_depth": (1, 3), "crawl_delay_ms": (0, None),
                  "timeout_seconds": (5, 60)}
 MODES = ("default", "detailed")
@@ -140,4 +141,6 @@ def parse_config(df: DataFrame, col: str = "config") -> DataFrame:
         if hi is not None:
             reason = reason.when(v > hi, F.lit(f"{name}: must be <= {hi}"))
     return out.withColumn("mode", mode).select(
-        *[c for c in df.columns if c != "mode"], "mode", *fields, reason.alias("reject_reason"))
+        *[c for c in df.columns if c != "mode"], "mode", *fields,
+        F.coalesce(F.col("_p.crawl.respect_robots_txt"), F.lit(CONFIG_DEFAULTS["respect_robots_txt"])).alias("respect_robots_txt"),
+        reason.alias("reject_reason"))
