@@ -18,13 +18,16 @@ vectors must reach ``LEAST_SIMILARITY``.  Classes are the connected
 components of verified links.  A bucket is not turned into all its pairs.
 First its members are compared with ``PIVOTS`` pivots; pairs whose samples
 agree too rarely (``LEAST_AGREEING``; chance below one in 100,000 at the least
-similarity) aren't compared.  Where a larger bucket still holds members of
-several components, those outside its largest one are held against the members
-of other components, in blocks of ``BLOCK`` rows, by their outlines: weights
-summed in ``OUTLINE`` hashed slots, whose overlap is never below that of the
-vectors.  Only pairs that pass this exact bound become rows and are verified.
-So no two members of a bucket stay in different classes without having been
-compared.
+similarity) aren't compared; in buckets of more members than that a stricter
+choice (``LEAST_IN_LARGE``) does, as a second round follows.  Where such a
+larger bucket still holds members of several components, those outside its
+largest one are held against the members of other components, in blocks of
+``BLOCK`` rows.  A block compares outlines first: weights summed in
+``OUTLINE`` hashed slots, whose overlap is never below that of the vectors.
+Pairs that pass this exact bound are verified in the block, the likeliest
+first, and a found link joins the components at once, so a block returns the
+links of a spanning forest, not all its pairs.  No two members of a bucket
+stay in different classes without having been compared.
 
 Exact copies are joined first by their digest and carried by one node.
 
@@ -36,6 +39,7 @@ row is returned.
 
 from __future__ import annotations
 
+import itertools
 from functools import lru_cache
 
 import numpy as np
@@ -50,12 +54,15 @@ WORDS = 5
 LEAST_SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 LEAST_AGREEING = 28  # of BANDS * ROWS samples
+LEAST_IN_LARGE = 40  # in buckets that the second round holds against an exact bound anyway
 IDF_RANGE = 0.25
 IDF_STEPS = 16  # weights are kept in this part of one
+MOST_UNITS = (1 << 32) - 1
 BUCKETS = 1 << 16
+ALL_ROWS = -1  # stands for the number of rows beside the counters
 PIVOTS = 4  # of a bucket
 BLOCK = 1024  # rows of a bucket in a block
-OUTLINE = 256  # slots
+OUTLINE = 1024  # slots of 8 bits
 ENTRIES = 14  # bits of the tables of random numbers
 PIECE = 1 << 18  # bytes of short texts worked on at a time
 SEED = 7_207
@@ -174,12 +181,14 @@ def _piece_shingles(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _frequency_rows(batches):
-    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts, rows = np.zeros(BUCKETS, dtype=np.int64), 0
     for batch in batches:
+        rows += batch.num_rows
         for _, _, _, shingle, _ in shingles(batch.column("text")):
             counts += np.bincount((shingle % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
     used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.append(used, ALL_ROWS)), pa.array(np.append(counts[used], rows))], ["bucket", "n"])
 
 
 def idf_table(texts: DataFrame) -> np.ndarray:
@@ -189,9 +198,9 @@ def idf_table(texts: DataFrame) -> np.ndarray:
     """
     rows = texts.select("text").mapInArrow(_frequency_rows, "bucket long, n long") \
         .groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    total = max(1, texts.count())
+    total = max(1, sum(r["n"] for r in rows if r["bucket"] == ALL_ROWS))
     idf = np.full(BUCKETS, 1 + IDF_RANGE)
-    for r in rows:
+    for r in (r for r in rows if r["bucket"] != ALL_ROWS):
         share = np.log(max(1.0, total / r["n"])) / np.log(BUCKETS)
         idf[r["bucket"]] = 1 + IDF_RANGE * min(1.0, share)
     return np.rint(idf * IDF_STEPS).astype(np.int64)
@@ -293,21 +302,27 @@ def _vector_rows(idf):
     def run(batches):
         for batch in batches:
             for i, n, row, shingle, times in shingles(batch.column("text")):
-                ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-                units = weights(shingle, times, idf.value)
+                ends = np.searchsorted(row, np.arange(n + 1)).tolist()
+                units = np.minimum(weights(shingle, times, idf.value), MOST_UNITS).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(i, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(units)),
-                     pa.array([o.tobytes() for o in outlines(n, row, shingle, units)], pa.binary())],
-                    ["node", "ids", "units", "outline"])
+                    [batch.column("node").slice(i, n),
+                     pa.array([shingle[a:b].tobytes() + units[a:b].tobytes() for a, b in itertools.pairwise(ends)],
+                              pa.binary())], ["node", "vector"])
     return run
 
 
+def vector_of(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, weights) of a packed vector: 8 bytes a shingle, then 4 bytes a weight."""
+    n = len(packed) // 12
+    return (np.frombuffer(packed, dtype="<u8", count=n),
+            np.frombuffer(packed, dtype="<u4", count=n, offset=8 * n).astype(np.int64))
+
+
 def outlines(n: int, row: np.ndarray, shingle: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """Weights of each text summed in hashed slots, rounded up to 16 bits (beyond: the largest number)."""
+    """Weights of each text summed in hashed slots of 8 bits (beyond: the largest number)."""
     slot = (_mixed(shingle) >> np.uint64(64 - OUTLINE.bit_length() + 1)).astype(np.int64)
     sums = np.bincount(row * OUTLINE + slot, weights=units, minlength=n * OUTLINE).reshape(n, OUTLINE)
-    return np.minimum(sums, 65_535).astype("<u2")
+    return np.minimum(sums, 255).astype(np.uint8)
 
 
 def overlap_bound(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -317,31 +332,47 @@ def overlap_bound(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """
     least = np.minimum(others, one)
     bound = least.sum(axis=1, dtype=np.float64)
-    bound[(least == 65_535).any(axis=1)] = np.inf
+    bound[(least == 255).any(axis=1)] = np.inf
     return bound
 
 
-def _block_pairs(outside: pa.Table, members: pa.Table) -> pa.Table:
-    """Pairs of a block that can be similar enough and meet in no earlier bucket."""
-    def columns(t):
-        outline = np.frombuffer(b"".join(t.column("outline").to_pylist()), dtype="<u2").reshape(-1, OUTLINE)
-        bands = np.array(t.column("bands").to_pylist(), dtype=np.int64).reshape(-1, BANDS)
-        return *(t.column(c).to_numpy() for c in ("node", "root", "bucket", "out", "total")), outline, bands
+class _Rows:
+    """Members of one side of a block."""
+
+    def __init__(self, table: pa.Table):
+        self.node, self.root, self.bucket, self.out = (
+            table.column(c).to_numpy() for c in ("node", "root", "bucket", "out"))
+        self.bands = np.array(table.column("bands").to_pylist(), dtype=np.int64).reshape(-1, BANDS)
+        self.vectors = [vector_of(v) for v in table.column("vector").to_pylist()]
+        lengths = [len(ids) for ids, _ in self.vectors]
+        ids, units = (np.concatenate([v[k] for v in self.vectors]) for k in (0, 1))
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        self.total = np.bincount(row, weights=units, minlength=len(lengths))
+        self.outline = outlines(len(lengths), row, ids, units)
 
+
+def _block_links(outside: pa.Table, members: pa.Table) -> pa.Table:
+    """Links of a block that join components; a pair counts in its first common bucket."""
     found: list[tuple[int, int]] = []
     if outside.num_rows and members.num_rows:
-        node, root, bucket, _, total, outline, bands = columns(outside)
-        others, other_root, _, other_out, other_total, other_outline, other_bands = columns(members)
+        one, two = _Rows(outside), _Rows(members)
+        roots = {r: k for k, r in enumerate(np.unique(np.concatenate([one.root, two.root])).tolist())}
+        left, right = (np.array([roots[r] for r in x.root.tolist()]) for x in (one, two))
         share = LEAST_SIMILARITY / (1 + LEAST_SIMILARITY)  # of both weights, for the overlap
-        for i in range(len(node)):
-            ok = (other_root != root[i]) & (~other_out | (others > node[i]))
-            at = np.flatnonzero(ok)
-            same = other_bands[at] == bands[i]
-            at = at[bands[i][same.argmax(axis=1)] == bucket[i]]
-            bound = overlap_bound(outline[i], other_outline[at])
-            at = at[bound >= share * (total[i] + other_total[at]) - 1e-6]
-            found += [(min(node[i], o), max(node[i], o)) for o in others[at].tolist()]
-    return pa.table([pa.array([int(a) for a, _ in found], pa.int64()), pa.array([int(b) for _, b in found], pa.int64())],
+        for i in range(len(one.node)):
+            at = np.flatnonzero((right != left[i]) & (~two.out | (two.node > one.node[i])))
+            first = one.bands[i][(two.bands[at] == one.bands[i]).argmax(axis=1)]
+            at = at[first == one.bucket[i]]
+            bound = overlap_bound(one.outline[i], two.outline[at]) / (one.total[i] + two.total[at])
+            likely = np.argsort(-bound, kind="stable")
+            for j in at[likely[bound[likely] >= share - 1e-9]].tolist():
+                if right[j] != left[i] and weighted_jaccard(*one.vectors[i], *two.vectors[j]) >= LEAST_SIMILARITY:
+                    a, b = int(one.node[i]), int(two.node[j])
+                    found.append((min(a, b), max(a, b)))
+                    gone, kept = right[j], left[i]
+                    left[left == gone] = kept
+                    right[right == gone] = kept
+    return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
                     names=["a", "b"])
 
 
@@ -350,20 +381,16 @@ def _agreeing(batches):
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
                 for c in ("samples", "other_samples"))
-        keep = (a == b).sum(axis=1) >= LEAST_AGREEING
+        large = batch.column("n").to_numpy() > PIVOTS + 1
+        keep = (a == b).sum(axis=1) >= np.where(large, LEAST_IN_LARGE, LEAST_AGREEING)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
 def _similar(batches):
     """Pairs whose weighted Jaccard similarity is high enough."""
-    def lists(column):
-        ends, flat = np.asarray(column.offsets), np.asarray(column.flatten())
-        ends = ends - ends[0]
-        return [flat[ends[i]:ends[i + 1]] for i in range(len(column))]
-
     for batch in batches:
-        vectors = [lists(batch.column(c)) for c in ("ids", "units", "other_ids", "other_units")]
-        keep = [weighted_jaccard(*v) >= LEAST_SIMILARITY for v in zip(*vectors, strict=True)]
+        keep = [weighted_jaccard(*vector_of(v), *vector_of(w)) >= LEAST_SIMILARITY for v, w in zip(
+            batch.column("vector").to_pylist(), batch.column("other_vector").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]) \
             .filter(pa.array(keep, pa.bool_()))
 
@@ -408,13 +435,13 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, "bucket").where(F.col("node") != F.col("other")).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"),
         F.when(smaller, F.col("samples")).otherwise(F.col("other_samples")).alias("samples"),
-        F.when(smaller, F.col("other_samples")).otherwise(F.col("samples")).alias("other_samples")) \
+        F.when(smaller, F.col("other_samples")).otherwise(F.col("samples")).alias("other_samples"), "n") \
         .mapInArrow(_agreeing, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     one = vectors.withColumnRenamed("node", "a")
-    two = vectors.select(F.col("node").alias("b"), F.col("ids").alias("other_ids"), F.col("units").alias("other_units"))
+    two = vectors.select(F.col("node").alias("b"), F.col("vector").alias("other_vector"))
     return pairs.join(one, "a").join(two, "b").mapInArrow(_similar, "a long, b long")
 
 
@@ -430,13 +457,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                                      F.first("samples").alias("samples"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     every = nodes.select("node", "samples", F.explode("bands").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = cut_to_table(every.join(shared, "bucket").withColumn("turn", F.xxhash64("node", "bucket")), "members")
     active = members.select("node").distinct().join(nodes.select("node", "digest", "doc"), "node")
     # a repeated row (same id and text) would give its vector twice
     vectors = cut_to_table(
         rows.join(active, ["digest", "doc"]).select("node", "text").mapInArrow(
-            _vector_rows(idf), "node long, ids array<long>, units array<long>, outline binary")
+            _vector_rows(idf), "node long, vector binary")
         .dropDuplicates(["node"]), "vectors")
 
     order = Window.partitionBy("bucket").orderBy("turn", "node")
@@ -445,8 +472,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     labels = cut_to_table(_roots(links), "components")
     rest = _unresolved(members, labels, nodes, vectors)
     if rest.limit(1).count():
-        more = cut_to_table(_verified(cut_to_table(_block_wise(rest), "pairs"), vectors), "verified")
-        labels = _merged(labels, more)
+        labels = _merged(labels, cut_to_table(_block_wise(rest), "verified"))
     rooted = nodes.select("node", "digest", "doc").join(labels, "node", "left") \
         .withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min(F.struct("doc", "digest")).alias("name"))
@@ -456,7 +482,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _unresolved(members: DataFrame, labels: DataFrame, nodes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Members of buckets in which the pivots left several components, with their outlines.
+    """Members of buckets in which the pivots left several components, with their vectors.
 
     In a bucket of ``PIVOTS + 1`` members or fewer all pairs have met a pivot.
     """
@@ -465,27 +491,26 @@ def _unresolved(members: DataFrame, labels: DataFrame, nodes: DataFrame, vectors
     mixed = cut_to_table(by_root.groupBy("bucket").agg(
         F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
         .where((F.col("n") > F.col("most")) & (F.col("n") > PIVOTS + 1)), "mixed")
-    outline = vectors.select("node", "outline", F.aggregate("units", F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
     return cut_to_table(
         rooted.join(mixed, "bucket").withColumn("out", F.col("root") != F.col("main")).drop("main")
-        .join(outline, "node").join(nodes.select("node", "bands"), "node"), "unresolved")
+        .join(vectors, "node").join(nodes.select("node", "bands"), "node"), "unresolved")
 
 
 def _block_wise(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of members outside their bucket's main component with
-    members of other components, as far as their outlines allow them."""
+    """Links (a, b) of members outside their bucket's main component with members of
+    other components."""
     def part(rows, seed):
         return F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(rows / F.lit(BLOCK)))
 
     def every(rows):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(rows / F.lit(BLOCK)) - 1))
 
-    columns = ["bucket", "node", "root", "out", "total", "outline", "bands"]
+    columns = ["bucket", "node", "root", "out", "vector", "bands"]
     outside = F.col("n") - F.col("most")
     left = members.where("out").select(*columns, part(outside, 1).alias("i"), every(F.col("n")).alias("j"))
     right = members.select(*columns, every(outside).alias("i"), part(F.col("n"), 2).alias("j"))
     cell = ["bucket", "i", "j"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_block_pairs, "a long, b long").distinct()
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_block_links, "a long, b long")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
