@@ -60,7 +60,7 @@ IDF_STEPS = 16  # weights are kept in this part of one
 MOST_UNITS = (1 << 32) - 1
 BUCKETS = 1 << 16
 ALL_ROWS = -1  # stands for the number of rows beside the counters
-PIVOTS = 4  # of a bucket
+PIVOTS = 2  # of a bucket
 BLOCK = 1024  # rows of a bucket in a block
 OUTLINE = 1024  # slots of 8 bits
 ENTRIES = 14  # bits of the tables of random numbers
@@ -387,10 +387,23 @@ def _agreeing(batches):
 
 
 def _similar(batches):
-    """Pairs whose weighted Jaccard similarity is high enough."""
+    """Pairs whose weighted Jaccard similarity is high enough; of each batch a spanning forest."""
     for batch in batches:
-        keep = [weighted_jaccard(*vector_of(v), *vector_of(w)) >= LEAST_SIMILARITY for v, w in zip(
-            batch.column("vector").to_pylist(), batch.column("other_vector").to_pylist(), strict=True)]
+        above: dict[int, int] = {}
+
+        def root(x, above=above):
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        keep = []
+        for a, b, v, w in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "vector", "other_vector")), strict=True):
+            ra, rb = root(a), root(b)
+            joins = ra != rb and weighted_jaccard(*vector_of(v), *vector_of(w)) >= LEAST_SIMILARITY
+            if joins:
+                above[ra] = rb
+            keep.append(joins)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]) \
             .filter(pa.array(keep, pa.bool_()))
 
