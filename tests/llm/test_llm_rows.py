@@ -121,7 +121,7 @@ def test_language_odd_rows(spark):
 
 
 def test_language_backoff_by_hand():
-    m = language_id.scorer(language_id.Model([("a", "foo", 3), ("b", "bar", 1)],
+    m = language_id.Scorer(language_id.Model([("a", "foo", 3), ("b", "bar", 1)],
                           [("a", "fo", 2), ("b", "ba", 2), ("a", "f", 1), ("b", "b", 1), ("a", "o", 1)]))
     assert np.allclose(m.word_score("foo"), np.log([4 / 5, 1 / 3]))
     assert np.allclose(m.word_score("fox"), np.log([3 / 4, 1 / 4]))  # only "fo" is known

@@ -21,7 +21,6 @@ sorts first.  Languages, sources and ids of scored rows are never read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from itertools import chain, islice
@@ -39,7 +38,7 @@ KEPT_WORDS = 20_000
 KEPT_GRAMS = 5_000
 LONGEST = 5
 CHUNK_BYTES = 4 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -54,7 +53,6 @@ class Model:
             by_length[len(row[1])].append(row)
         # kept in few large objects: the model is sent to every worker
         self.counts = {n: self._counts(rows) for n, rows in [(0, words), *by_length.items()]}
-        self.name = hashlib.md5(repr([(n, x, c.tobytes()) for n, (x, c) in self.counts.items()]).encode()).hexdigest()
 
     def _counts(self, rows) -> tuple[str, np.ndarray]:
         """Items joined by line feeds, and their counts by language."""
@@ -66,10 +64,14 @@ class Model:
 
 
 class Scorer:
-    """Scores the words of texts by a model; remembers words it has met."""
+    """Scores the words of texts by a model; remembers words it has met.
+
+    Made for each task: quick, and a worker that goes on with another
+    operator doesn't keep it.
+    """
 
     def __init__(self, model: Model):
-        self.name, self.languages = model.name, model.languages
+        self.languages = model.languages
         items, tables, first = {}, [], 0
         for n, (joined, counts) in model.counts.items():
             names = joined.split("\n") if joined else []
@@ -141,16 +143,6 @@ class Scorer:
         return langs, scores
 
 
-_last: list[Scorer] = []
-
-
-def scorer(model: Model) -> Scorer:
-    """The scorer of a worker process; only the last model's is kept."""
-    if not _last or _last[0].name != model.name:
-        _last[:] = [Scorer(model)]
-    return _last[0]
-
-
 def held_out(id_col) -> F.Column:
     """Rows kept from training: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -196,7 +188,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = scorer(shared.value)
+        m = Scorer(shared.value)
         for whole in batches:
             for batch in chunks(whole, "text", CHUNK_BYTES):
                 langs, scores = m.predict(batch.column("text").to_pylist())
@@ -215,10 +207,12 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
     verdict = single_user_column(docs, "lang_pred")
 
-    def run(column):
+    def run(columns):
         import pandas as pd
 
-        return pd.Series(scorer(shared.value).predict(column.tolist())[0], dtype="object")
+        m = Scorer(shared.value)
+        for column in columns:
+            yield pd.Series(m.predict(column.tolist())[0], dtype="object")
 
-    udf = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)
+    udf = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn(verdict, udf(docs[text_col])).where(F.col(verdict) != UNKNOWN).drop(verdict)

@@ -87,7 +87,7 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     base = int(_ODD)
@@ -273,7 +273,7 @@ class Sampler:
 
 def _signature_rows(idf):
     def run(batches):
-        sampler = _sampler(idf.value.tobytes())
+        sampler = Sampler(idf.value)  # made anew: quick, and a worker that goes on doesn't keep its tables
         seeds = np.arange(1, BANDS + 1, dtype=np.uint64)
         for batch in batches:
             for i, n, row, shingle, times in shingles(batch.column("text")):
@@ -293,11 +293,6 @@ def _signature_rows(idf):
     return run
 
 
-@lru_cache(maxsize=1)
-def _sampler(idf: bytes) -> Sampler:
-    return Sampler(np.frombuffer(idf, dtype=np.int64))
-
-
 def _vector_rows(idf):
     def run(batches):
         for batch in batches:
