@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame
 from .common import chunks, texts_of
 
 CHUNK_BYTES = 8 << 20
-HELD_BYTES = 48 << 20  # of text whose new units are encoded together
-CACHE_WORDS = 800_000
+HELD_BYTES = 32 << 20  # of text whose new units are encoded together
+SLICE = 1 << 19  # symbols whose first pairs are looked up at once
+CACHE_WORDS = 250_000
 _DOUBLE_SPACE = re.compile(r"\s\s").search
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -63,6 +64,14 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order in which they come up."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -90,7 +99,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") \
             if self.special else None
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self._reset()
 
     def _reset(self) -> None:
@@ -100,7 +109,7 @@ class Codec:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 where there is none."""
-        key = left << 20 | right
+        key = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -108,12 +117,14 @@ class Codec:
         """Ids of all words in one array, and the number of ids of each word."""
         raw = [w.encode("utf-8") for w in words]
         lens = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        sym = self.first[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        sym = self.first[np.frombuffer(b"".join(raw), dtype=np.uint8)].astype(np.int32)
+        count = len(raw)
+        del raw
         n = len(sym)
         if n == 0:
             return np.zeros(0, dtype=np.uint32), lens
-        word = np.repeat(np.arange(len(raw)), lens)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(count, dtype=np.int32), lens)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(lens)
         ends = ends[lens > 0]
         nxt[ends - 1] = n  # n stands for none on the right, -1 on the left
@@ -142,7 +153,8 @@ class Codec:
                     lists[r] = [piece]
                     heapq.heappush(active, r)
 
-        enter(np.flatnonzero(nxt < n))
+        for low in range(0, n, SLICE):
+            enter(low + np.flatnonzero(nxt[low:low + SLICE] < n))
         while active:
             r = heapq.heappop(active)
             got = lists.pop(r)
@@ -169,13 +181,12 @@ class Codec:
             before = prv[pos]
             enter(np.concatenate([before[before >= 0], pos[has]]) if a != b
                   else np.unique(np.concatenate([before[before >= 0], pos[has]])))
-        return sym[alive].astype(np.uint32), np.bincount(word[alive], minlength=len(raw))
+        return sym[alive].astype(np.uint32), np.bincount(word[alive], minlength=count)
 
     def index_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of each text's units; unknown units are remembered for ``learn``."""
         index = self.index
-        return [np.fromiter([index.setdefault(w, len(index)) for w in self._units(text)], dtype=np.int32)
-                for text in texts]
+        return [np.array([index[u] for u in self._units(text)], dtype=np.int32) for text in texts]
 
     def _units(self, text: str) -> list[str]:
         """Whole pretokens, joined where a single space shows where the next one begins.
@@ -199,17 +210,22 @@ class Codec:
         known = len(self.starts) - 1
         if len(self.index) == known:
             return
-        words: dict[str, int] = {}
-        parts = []
+        words, of, sizes = _Numbers(), [], []
         for unit in islice(self.index, known, None):
-            found = [unit] if unit in self.special else self.pattern.findall(unit)
-            parts.append([words.setdefault(w, len(words)) for w in found])
+            # a run of ASCII letters, with or without a space before it, is one pretoken
+            if unit in self.special or unit.isascii() and (unit[1:] if unit[0] == " " else unit).isalpha():
+                of.append(words[unit])
+                sizes.append(1)
+            else:
+                found = self.pattern.findall(unit)
+                of += [words[w] for w in found]
+                sizes.append(len(found))
         flat, lens = self.encode_words([w for w in words if w not in self.special])
         if any(w in self.special for w in words):
             flat, lens = self._with_special(words, flat, lens)
         starts = np.concatenate([[0], np.cumsum(lens)])
-        of = np.fromiter((w for p in parts for w in p), dtype=np.int64)
-        unit_lens = np.add.reduceat(np.append(lens[of], 0), np.cumsum([0, *map(len, parts[:-1])]))
+        of, sizes = np.array(of, dtype=np.int64), np.array(sizes, dtype=np.int64)
+        unit_lens = np.add.reduceat(lens[of], np.cumsum(sizes) - sizes)
         self.flat = np.concatenate([self.flat, _take(flat, starts, of)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(unit_lens)])
 
@@ -299,6 +315,9 @@ def encoded(batches, vocabulary: str = VOCABULARY):
                 yield from out()
                 held, size = [], 0
     yield from out()
+    del held
+    c.forget()
+    pa.default_memory_pool().release_unused()  # the worker may go on with another operator
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
