@@ -94,6 +94,21 @@ def test_event_streams_over_several_batches(spark, tmp_path):
     assert same(ST.stall_stream(stream("stall"), f"{tmp_path}/stall", as_of=as_of), P.stalls(ev, as_of=F.lit(as_of)))
 
 
+def test_event_streams_forget_nothing_over_90_days(spark, tmp_path):
+    from tidemark.streaming import streams as ST
+    day = 86400
+    ev = _events(spark, [("silent", 0, "pending"), ("ended", 60, "pending"), ("ended", 120, "completed"),
+                         ("slow", day, "pending"), ("busy", 2 * day, "pending"), ("busy", 45 * day, "extracting"),
+                         ("slow", 70 * day, "extracting"), ("ended", 80 * day, "pending"), ("busy", 90 * day, "failed")])
+    stream = lambda name: _in_files(spark, ev, f"{tmp_path}/{name}-in", 6)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    as_of = T0 + dt.timedelta(days=91)
+    assert same(ST.latest_progress_stream(stream("latest"), f"{tmp_path}/latest"), P.latest_progress(ev))
+    assert same(ST.timeout_stream(stream("timeout"), f"{tmp_path}/timeout"), P.job_timeouts(ev))
+    assert same(ST.stall_stream(stream("stall"), f"{tmp_path}/stall", as_of=as_of), P.stalls(ev, as_of=F.lit(as_of)))
+    assert same(ST.route_stream(stream("route"), f"{tmp_path}/route"), P.route_events(ev))
+
+
 def test_stalls(spark):
     as_of = T0 + dt.timedelta(seconds=5400)
     got = sorted((r.job_id, (r.stall_start - T0).seconds, r.stall_end and (r.stall_end - T0).seconds)

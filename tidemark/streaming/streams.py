@@ -8,9 +8,9 @@ a batch that is run again overwrites its own files and nothing is counted
 twice.  Nothing passes through the driver and no key's events are gathered
 in one Python call.
 
-State expires: a key whose last event lies more than ``KEEP`` behind the
-newest event is dropped.  A job that ended keeps its row that long, so late
-repeats don't start it again.
+Job state (I2-I5) never expires: it is the result, or a silence and a late
+repeat of any age is decided by it, so it holds one small row per job ever
+seen.  Admitted moments (I1) more than ``KEEP`` behind the newest are dropped.
 
 Events of a key must arrive in time order across micro-batches (inside one
 any order will do); ``split_by_time`` makes such an input from a table.
@@ -105,7 +105,7 @@ def run_steps(stream: DataFrame, step: Callable, state: str, out: str, path: str
 
 
 def _kept(state: DataFrame, ts: str) -> DataFrame:
-    """State without the keys that have been silent for ``KEEP``."""
+    """State without the rows that lie more than ``KEEP`` behind the newest."""
     newest = state.agg(F.max(ts).alias("newest")).scalar()
     return state.filter(F.col(ts) >= newest - F.expr(KEEP))
 
@@ -135,7 +135,7 @@ def latest_progress_stream(events: DataFrame, path: str, tie: str = "event_id")
 
     def step(batch, before):
         both = batch.select(*names).unionByName(before)
-        return None, _kept(P.latest_progress(both, tie=tie).drop("live"), "ts")
+        return None, P.latest_progress(both, tie=tie).drop("live")
 
     return run_steps(events, step, LATEST_STATE, LATEST_STATE, path)[1]
 
@@ -150,7 +150,7 @@ def route_stream(events: DataFrame, path: str) -> DataFrame:
     def step(batch, before):
         routed = P.route_events(batch.join(before.select("job_id"), "job_id", "left_anti"))
         over = routed.filter(F.col("kind") == "complete").select("job_id", F.col("ts").alias("ended"))
-        return routed, _kept(before.union(over), "ended")
+        return routed, before.union(over)
 
     return run_steps(events, step, ENDED_STATE, ROUTE_OUT, path)[0]
 
@@ -176,7 +176,7 @@ def stall_stream(events: DataFrame, path: str, gap_s: int = P.STALL_GAP_S, as_of
                                            F.max("_ended").alias("ended")) \
             .select("job_id", "last.ts", "last.event_id", "ended")
         rest = before.join(after.select("job_id"), "job_id", "left_anti")
-        return silences, _kept(after.unionByName(rest), "ts")
+        return silences, after.unionByName(rest)
 
     found, state = run_steps(events, step, STALL_STATE, STALL_OUT, path)
     if as_of is None:
@@ -203,7 +203,7 @@ def timeout_stream(events: DataFrame, path: str, limit_s: int = P.STREAM_TIMEOUT
         after = new.unionByName(before).groupBy("job_id").agg(
             F.min("start_ts").alias("start_ts"), F.min("terminal_ts").alias("terminal_ts"),
             F.min_by("terminal_phase", "terminal_ts").alias("terminal_phase"), F.max("ts").alias("ts"))
-        return None, _kept(after, "ts")
+        return None, after
 
     return P.timed_out(run_steps(events, step, TIMEOUT_STATE, TIMEOUT_STATE, path)[1], limit_s)
 
