@@ -235,6 +235,28 @@ def test_license_wordings():
     assert [(f[0], f[2] > 0) for f in found(changed)] == [("MIT", True)]
 
 
+def test_license_every_notice_of_a_line():
+    s = license_scan.Scanner()
+
+    def names(text):
+        return [f[0] for f in s.scan(text)[1]]
+
+    notices = {"Released under the MIT License.": "MIT", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+               "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+               "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+               "Licensed under the BSD 3-Clause License.": "BSD-3-Clause"}
+    assert names(" ".join(notices)) == list(notices.values())
+    assert names(" and ".join(["Licensed under the MIT License."] * 3)) == ["MIT"] * 3
+    filler = "the board shall review any claim of the parties and report the outcome to the public within the year " * 30
+    for notice, name in notices.items():
+        assert names(filler + notice + " " + filler) == [name]
+        assert names(filler + "\n" + notice.replace(" under ", " under\n") + "\n" + filler) == [name]
+    long = license_scan.TEMPLATES["Apache-2.0"][1]
+    assert names(f"{long} Licensed under CC BY-NC 4.0. {long}") == ["Apache-2.0", "CC-BY-NC-4.0", "Apache-2.0"]
+    # the longest common run lies where the wording isn't
+    assert names("licensed under the bsd 2-clause rules or licensed under the bsd 3-clause license") == ["BSD-3-Clause"]
+
+
 def test_license_table(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(with_clashes(docs)).collect()}

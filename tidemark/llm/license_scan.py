@@ -2,12 +2,14 @@
 
 1. An Aho-Corasick pass finds cue words; the line around a cue, and the
    paragraph around it where that is longer, are candidate blocks.
-2. Each block is compressed alone and with every template as a raw zstandard
-   dictionary.  Templates are ranked by the bytes the dictionary saves.
-3. The best ``CONFIRMED`` templates are compared word by word with the block.
-   A template is confirmed if at least ``LEAST_KEPT`` of its words stand in
-   the block in order, and no more words than ``MOST_EXTRA`` of it are put in
-   between.  The differences are part of the result.
+2. Every template is compared word by word with each stretch of the block that
+   holds enough of its words, whatever their order.  A place is confirmed if
+   at least ``LEAST_KEPT`` of the template's words stand there in order, and no
+   more words than ``MOST_EXTRA`` of it are put in between.  The differences
+   are part of the result.  What the places taken leave is searched again until
+   nothing more is confirmed.
+3. The text of a place is compressed alone and with its template as a raw
+   zstandard dictionary; the bytes saved are the evidence given with it.
 
 Rows are independent; a hot line (one notice in a third of all documents) is
 decided once per task and remembered.
@@ -20,7 +22,9 @@ by template id; repeated rows give repeated results.
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import ahocorasick
@@ -32,7 +36,6 @@ from .common import chunks, texts_of
 
 CHUNK_BYTES = 8 << 20
 LONGEST_BLOCK = 6000  # characters of a paragraph that is tried as one block; longer ones are cut into such blocks
-CONFIRMED = 3
 LEAST_KEPT = 0.85
 MOST_EXTRA = 0.25
 REMEMBERED = 50_000
@@ -110,8 +113,8 @@ class Scanner:
         for name, wordings in sorted(templates.items()):
             for wording in wordings:
                 raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, [w.lower() for w in _WORD.findall(wording)],
-                                       zstandard.ZstdCompressor(level=9, dict_data=raw)))
+                wanted = [w.lower() for w in _WORD.findall(wording)]
+                self.templates.append((name, wanted, Counter(wanted), zstandard.ZstdCompressor(level=9, dict_data=raw)))
         self.plain = zstandard.ZstdCompressor(level=9)
         self.known: dict[str, list[tuple]] = {}
 
@@ -147,26 +150,82 @@ class Scanner:
         found = self.known.get(block)
         if found is not None:
             return found
-        raw = block.encode("utf-8", "surrogatepass")
-        alone = len(self.plain.compress(raw))
-        ranked = sorted(((alone - len(t[2].compress(raw)), i) for i, t in enumerate(self.templates)),
-                        key=lambda x: (-x[0], x[1]))
         spots = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         words = [block[s:e].lower() for s, e in spots]
-        found = []
-        for saved, i in ranked[:CONFIRMED]:
-            name, wanted, _ = self.templates[i]
-            if saved <= 0 or len(words) < LEAST_KEPT * len(wanted):
-                continue
-            got = self._compare(words, wanted)
-            if got:
-                first, last, missing, extra = got
-                found.append((name, spots[first][0], spots[last][1], 1000 * saved // alone, missing, extra, len(wanted)))
+        found, left = [], [(0, len(words))]
+        while left:
+            low, high = left.pop()
+            tried = sorted((2 * missing + extra - len(t[1]), i, first, last, missing, extra)
+                           for i, t in enumerate(self.templates)
+                           for first, last, missing, extra in self._places(words, low, high, t[1], t[2]))
+            taken: list[tuple] = []
+            for f in tried:
+                if all(f[3] < b[2] or f[2] > b[3] for b in taken):
+                    taken.append(f)
+            for _, i, first, last, missing, extra in taken:
+                start, end = spots[first][0], spots[last][1]
+                found.append((self.templates[i][0], start, end, self._saved(block[start:end], i), missing, extra,
+                              len(self.templates[i][1])))
+            if len(taken) < len(tried):  # a place that gave way may have another one beside it
+                taken.sort(key=lambda f: f[2])
+                left += zip([low, *(f[3] + 1 for f in taken)], [*(f[2] for f in taken), high])
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[block] = found
         return found
 
+    def _saved(self, text: str, i: int) -> int:
+        """Bytes that template ``i`` saves on a text, per mille."""
+        raw = text.encode("utf-8", "surrogatepass")
+        alone = len(self.plain.compress(raw))
+        return 1000 * (alone - len(self.templates[i][3].compress(raw))) // alone
+
+    def _places(self, words: list[str], low: int, high: int, wanted: list[str], counts: Counter) -> list[tuple]:
+        """All places of a wording in words[low:high], none over another: (first, last, missing, extra)."""
+        places, left = [], [(low, high)]
+        while left:
+            for starts, stop in self._dense(words, *left.pop(), counts, len(wanted)):
+                begin, longest = starts[0], math.floor((1 + MOST_EXTRA) * len(wanted))
+                tries = ((begin, stop), *((s, min(s + longest, stop)) for s in starts))
+                got = next(((s, g) for s, e in tries if (g := self._compare(words[s:e], wanted))), None)
+                if got:
+                    s, (first, last, missing, extra) = got
+                    places.append((s + first, s + last, missing, extra))
+                    left += (begin, s + first), (s + last + 1, stop)
+        return places
+
+    @staticmethod
+    def _dense(words: list[str], low: int, high: int, counts: Counter, size: int):
+        """Runs of the windows that hold enough words of a wording: (starts, end of the last one).
+
+        A place begins with a word of the wording and is no longer than a
+        window, so it lies whole in one of them.
+        """
+        need, longest = LEAST_KEPT * size, math.floor((1 + MOST_EXTRA) * size)
+        hits = [k for k in range(low, high) if words[k] in counts]
+        if len(hits) < need:
+            return
+        numbers = [w for w in counts if w[0].isdigit()]
+        held: Counter = Counter()
+        kept = j = stop = 0
+        starts: list[int] = []
+        for k in hits:
+            while j < len(hits) and hits[j] < k + longest:
+                w = words[hits[j]]
+                held[w] += 1
+                kept += held[w] <= counts[w]
+                j += 1
+            if kept >= need and all(held[w] for w in numbers):
+                if starts and k >= stop:
+                    yield starts, stop
+                    starts = []
+                starts.append(k)
+                stop = min(k + longest, high)
+            kept -= held[words[k]] <= counts[words[k]]
+            held[words[k]] -= 1
+        if starts:
+            yield starts, stop
+
     @staticmethod
     def _compare(words: list[str], wanted: list[str]) -> tuple | None:
         """(first, last word of the match, missing words, words put in), or None."""
@@ -179,15 +238,18 @@ class Scanner:
         high = min(len(words), anchor.a + len(wanted) - anchor.b + len(wanted) // 4 + 1)
         same = [m for m in difflib.SequenceMatcher(None, words[low:high], wanted, autojunk=False).get_matching_blocks()
                 if m.size]
-        kept = sum(m.size for m in same)
-        first, last = low + same[0].a, low + same[-1].a + same[-1].size - 1
-        extra = last - first + 1 - kept
-        if kept < LEAST_KEPT * len(wanted) or extra > MOST_EXTRA * len(wanted):
-            return None
-        # a number tells versions of a license apart
-        if any(w[0].isdigit() for w in set(wanted) - set(words[first:last + 1])):
-            return None
-        return first, last, len(wanted) - kept, extra
+        # words of the wording that stand by themselves beside the notice are left out, as few runs as will do
+        for n in range(len(same), 0, -1):
+            for run in (same[k:k + n] for k in range(len(same) - n + 1)):
+                kept = sum(m.size for m in run)
+                first, last = low + run[0].a, low + run[-1].a + run[-1].size - 1
+                extra = last - first + 1 - kept
+                if kept < LEAST_KEPT * len(wanted) or extra > MOST_EXTRA * len(wanted):
+                    continue
+                # a number tells versions of a license apart
+                if not any(w[0].isdigit() for w in set(wanted) - set(words[first:last + 1])):
+                    return first, last, len(wanted) - kept, extra
+        return None
 
     def scan(self, text: str) -> tuple[int, list[tuple]]:
         """(candidate blocks, finds in order: (name, start, end, saved per mille, missing, extra))."""
