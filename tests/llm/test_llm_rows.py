@@ -148,6 +148,22 @@ def test_main_text_cases(page, want):
     assert main_text.extract(page) == want
 
 
+def test_main_text_in_sections():
+    many = ["So the story, which is long, goes on " + "and on " * 36 + str(i) for i in range(5)]
+    more = "What came of it was told by those who stayed to see it, and it was little more than they had hoped for."
+    menu = "<div><b>Go to</b><ul>" + "".join(f"<li><a href={i}>Other page {i}</a>" for i in range(9)) + "</ul></div>"
+    first = "<section>" + "".join(f"<p>{t}</p>" for t in many) + "</section>"
+    second = f"<section><h2>After</h2><p>{more}</p></section>"
+    want = "\n".join([*many, "After", more])
+    assert main_text.extract(f"<div id=content>{first}{second}</div>") == want
+    assert main_text.extract(f"<body>{menu}<div><div>{first}</div></div><div><div>{second}</div></div>{menu}") == want
+    assert main_text.extract(f"<body><h1>Title</h1><div>{first}<div>Short end.</div></div><div class=footer>x</div>") == \
+        "\n".join(["Title", *many, "Short end."])
+    # a paragraph inside a menu stays, the menu goes; bare text of an ancestor stays
+    assert main_text.extract(f"<body>{menu.replace('</ul>', f'</ul><p>{more}</p><ul><li><a href=x>{more}</a></ul>')}"
+                             f"<div>Bare words<div>{first}</div></div>") == "\n".join([more, "Bare words", *many])
+
+
 def test_main_text_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = pages.collect()

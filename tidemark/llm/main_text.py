@@ -4,10 +4,12 @@ A page is cut into tags and texts; open elements form a tree.  Every block
 of text (a paragraph) earns points for its length and its commas and passes
 them to its ancestors, less with each level.  A container's points are
 discounted by its link density.  The best container is kept; an article or
-main element around it is taken whole; siblings with enough points of their
-own, or that read like paragraphs, are kept too.  Elements that are furniture
-by tag, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, comments) give neither points nor text.
+main element around it is taken whole.  What stands beside it or beside one of
+its ancestors is kept too, unless at least ``MOST_LINKED`` of its text is in
+links (an unnamed menu); of such an element, the parts under that share that
+are long enough for a paragraph stay.  Elements that are furniture by tag,
+role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, comments) give neither points nor text.
 
 Defined results: null or empty html gives an empty text; unclosed and stray
 tags are tolerated; character references are decoded once; white space inside
@@ -54,6 +56,7 @@ LEVELS = 5
 LEAST_PARAGRAPH = 25
 SIBLING_SHARE = 0.2
 LEAST_SIBLING = 10.0
+MOST_LINKED = 0.5
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -214,14 +217,19 @@ def extract(page: str | None) -> str:
             break
         around = around.parent
     best.kept = True
-    for node in nodes:
-        if node.parent is not None and node.parent is best.parent and not node.furniture and node is not best:
-            dense = node.links / max(node.size, 1)
-            node.kept = node.points >= max(LEAST_SIBLING, SIBLING_SHARE * best_points) \
-                or node.tag == "p" and node.size > 80 and dense < 0.25 or node.tag in ("h1", "h2") and dense < 0.25
-        if node.parent is not None and node.parent.kept:
-            node.kept = True
-    return "\n".join(text for holder, text, _ in blocks if holder.kept)
+    above, around = set(), best.parent
+    while around is not None:
+        above.add(around)
+        around = around.parent
+    for node in nodes:  # parents come before their children
+        if node.parent is None or node.furniture or node is best or node in above:
+            continue
+        beside = node.parent in above
+        node.kept = node.parent.kept \
+            or node.links < MOST_LINKED * node.size and (beside or node.size >= LEAST_PARAGRAPH) \
+            or node.parent is best.parent and node.points >= max(LEAST_SIBLING, SIBLING_SHARE * best_points)
+    return "\n".join(text for holder, text, links in blocks if holder.kept or links < MOST_LINKED * len(text)
+                     and (holder in above or len(text) >= LEAST_PARAGRAPH))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
