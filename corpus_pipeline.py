@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a frame that is
 written as Parquet to the shared folder and read again as the next stage's
 ``docs``:
 
-1. ``language_id``: documents of which no language can be identified go.
+1. ``language_id``: documents of which no language can be identified go (null,
+   without a letter, or without a word or letter that the model knows).
 2. ``near_dedup``: one document of each group of near duplicates stays.
 3. ``suffix_dedup``: passages of 100 bytes and more that occur earlier in the
    corpus are cut out of the texts.
@@ -30,7 +31,7 @@ def _size_column(docs: DataFrame) -> str | None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_identified(docs, language_id.train(docs))
+    return language_id.keep_identified(docs, language_id.train(docs), by_evidence=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

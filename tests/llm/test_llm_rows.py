@@ -120,6 +120,17 @@ def test_language_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == sum(r["lang_pred"] != "und" for r in out)
 
 
+def test_language_unknown_letters_go(spark):
+    rows = [(i, "the cat and the dog" if i % 2 else "die Katze und der Hund", "en" if i % 2 else "de") for i in range(40)]
+    odd = [(50, "สวัสดีชาวโลก", None), (51, "你好，世界", None), (52, "你好 dog", None), (53, "qqq the", None)]
+    df = frame(spark, rows + odd, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    import corpus_pipeline
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, "").collect()} == {*range(40), 52, 53}
+    assert language_id.keep_identified(df, model).count() == 44
+    assert {r["lang_pred"] for r in language_id.predict(df.where("doc_id in (50, 51)"), model).collect()} == {"de"}
+
+
 def test_language_backoff_by_hand():
     m = language_id.Scorer(language_id.Model([("a", "foo", 3), ("b", "bar", 1)],
                           [("a", "fo", 2), ("b", "ba", 2), ("a", "f", 1), ("b", "b", 1), ("a", "o", 1)]))

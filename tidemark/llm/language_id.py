@@ -17,6 +17,8 @@ sampled rows.
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; with no labelled row every text is ``und``.  Ties go to the language that
 sorts first.  Languages, sources and ids of scored rows are never read.
+``keep_identified(by_evidence=True)`` also drops texts of which the model knows
+neither a word nor a letter: all languages score alike there.
 """
 
 from __future__ import annotations
@@ -85,6 +87,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.known = np.zeros(0, dtype=bool)  # some of the word is in the model
         self.scores = np.zeros((0, len(self.languages)))
 
     def learn(self) -> None:
@@ -113,6 +116,7 @@ class Scorer:
             has = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[has]
             out[has] = np.add.reduceat(self.table[rows], starts) / counts[has][:, None]
+        self.known = np.concatenate([self.known, counts > 0])
         self.scores = np.concatenate([self.scores, out])
 
     def word_score(self, word: str) -> np.ndarray:
@@ -122,6 +126,11 @@ class Scorer:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
+        langs, scores, _ = self.judge(texts)
+        return langs, scores
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text, and whether the model knows any of it."""
         if len(self.index) > CACHE_WORDS:
             self.forget()
         index = self.index
@@ -129,18 +138,19 @@ class Scorer:
                  for t in texts]
         self.learn()
         n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        langs, scores, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         has = np.flatnonzero(n)
         if not len(has):
-            return langs, scores
+            return langs, scores, known
         flat = np.fromiter(chain.from_iterable(words), dtype=np.int64, count=int(n.sum()))
         totals = np.add.reduceat(self.scores[flat], (np.cumsum(n) - n)[has])
+        evidence = np.logical_or.reduceat(self.known[flat], (np.cumsum(n) - n)[has])
         # words of a text depend on one another: evidence grows with the root of their number
         z = (totals - totals.max(axis=1, keepdims=True)) / np.sqrt(n[has])[:, None]
         score = 1 / np.exp(z).sum(axis=1)
-        for i, best, s in zip(has.tolist(), totals.argmax(axis=1).tolist(), score.tolist(), strict=True):
-            langs[i], scores[i] = self.languages[best], s
-        return langs, scores
+        for i, best, s, e in zip(has.tolist(), totals.argmax(axis=1).tolist(), score.tolist(), evidence.tolist(), strict=True):
+            langs[i], scores[i], known[i] = self.languages[best], s, e
+        return langs, scores, known
 
 
 def held_out(id_col) -> F.Column:
@@ -202,8 +212,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return found.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of which some language could be identified (all columns kept)."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", by_evidence: bool = False) -> DataFrame:
+    """The rows of which some language could be identified (all columns kept).
+
+    ``by_evidence`` asks for a word or letter that the model knows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     verdict = single_user_column(docs, "lang_pred")
 
@@ -212,7 +225,8 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
         m = Scorer(shared.value)
         for column in columns:
-            yield pd.Series(m.predict(column.tolist())[0], dtype="object")
+            langs, _, known = m.judge(column.tolist())
+            yield pd.Series([lang if k or not by_evidence else UNKNOWN for lang, k in zip(langs, known, strict=True)], dtype="object")
 
     udf = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn(verdict, udf(docs[text_col])).where(F.col(verdict) != UNKNOWN).drop(verdict)
