@@ -333,6 +333,23 @@ def test_shingles_by_definition(texts, piece):
         assert len(g.keys() & h.keys()) == len(by_words(a).keys() & by_words(b).keys())
 
 
+def test_near_copies_beyond_ascii(spark):
+    def words(text):
+        ((_, _, _, ids, _),) = near_dedup.shingles(pa.array([text]))
+        return len(ids) + 4
+
+    assert words("“one” – two…three\u00a0four’s don’t five，six。") == 9
+    assert words("naïve Ärzte हिन्दी straße e\u0301te ٣٤") == 6
+    assert words("汉字 と仮名、ไทย") == 8
+    rng = random.Random(8)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) + ("，" if i % 9 == 8 else "") for i in range(300))
+    plain = " ".join(rng.choice(["house", "größe", "année", "river", "stone", "light", "mañana"]) + str(i) for i in range(80))
+    rows = [(1, chinese), (2, chinese[:150] + "改" + chinese[151:]), (3, plain),
+            (4, plain.replace(" ", "\u00a0", 30).replace(" ", " – ", 20)), (5, "全く別の文章です。ここには似た所がない。")]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_outlines_bound_the_overlap():
     rng = np.random.default_rng(1)
     for n in (20, 3000):

@@ -1,8 +1,8 @@
 """Near-duplicate classes by improved consistent weighted sampling (operator 7).
 
-Shingles are five consecutive words (runs of ASCII letters and digits and of
-all characters beyond ASCII, in lower case); a text of fewer words is one
-shingle.  A shingle's weight in a text is its frequency there times an
+Shingles are five consecutive words (runs of letters, marks and digits of any
+script, in lower case; of scripts written without spaces each character is a
+word); a text of fewer words is one shingle.  A shingle's weight in a text is its frequency there times an
 inverse document frequency between 1 and ``1 + IDF_RANGE``.  Document
 frequencies are counted over all rows in ``BUCKETS`` hashed counters, so
 their table has a fixed size; the narrow range keeps a group of copies
@@ -40,6 +40,7 @@ row is returned.
 from __future__ import annotations
 
 import itertools
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -69,7 +70,12 @@ SEED = 7_207
 FIRST_ID = -(1 << 63)
 
 _IS_WORD = np.zeros(256, dtype=bool)
-_IS_WORD[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = True
+_IS_WORD[[b for b in range(128) if chr(b).isalnum()]] = True
+# Unicode ranges of Thai and Lao, Burmese, Khmer, kana and ideographs, written without spaces.
+_UNSPACED = ((0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+             (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+             (0x1B000, 0x1B16F), (0x20000, 0x323AF))
+_CODES = 0x32400  # no letters beyond
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -82,6 +88,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def _code_kinds() -> np.ndarray:
+    """Per code point: 0 between words, 1 in a word, 2 a word by itself."""
+    kinds = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(_CODES)), np.uint8, _CODES)
+    for first, last in _UNSPACED:
+        kinds[first:last + 1] *= 2
+    return kinds
+
+
+def _mark_beyond_ascii(part: np.ndarray, word: np.ndarray, cut: np.ndarray) -> None:
+    """Mark the bytes of words beyond ASCII, and the cuts around words of one character."""
+    start = np.flatnonzero(part >= 0xC0)
+    if not len(start):
+        return
+    lead = part[start]
+    length = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = (lead & (0x7F >> length)).astype(np.int64)
+    for k in (1, 2, 3):
+        more = length > k
+        code[more] = code[more] << 6 | part[start[more] + k] & 0x3F
+    kind = np.where(code < _CODES, _code_kinds()[np.minimum(code, _CODES - 1)], 0)
+    for k in range(4):
+        word[start[(length > k) & (kind > 0)] + k] = True
+    alone = kind == 2
+    cut[start[alone]] = True
+    cut[(start + length)[alone]] = True
+
+
 @lru_cache(maxsize=1)
 def _byte_values() -> np.ndarray:
     return np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -147,6 +181,7 @@ def _piece_shingles(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     word = _IS_WORD[part]
     cut = np.zeros(n + 1, dtype=bool)
     cut[at] = True
+    _mark_beyond_ascii(part, word, cut)
     begins = word.copy()
     begins[1:] &= ~word[:-1] | cut[1:-1]
     ends = word.copy()
