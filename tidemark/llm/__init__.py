@@ -1,4 +1,4 @@
-"""Training-data operators (ten) and their queries.
+"""Training-data operators (thirteen) and their queries.
 
 Nothing outside this package imports it; ``__spark_entry__`` adds its
 queries when the package is present.
