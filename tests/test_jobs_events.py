@@ -59,7 +59,10 @@ def test_admission_by_the_rule(spark):
 def _in_files(spark, df, path, n):
     """``df`` as ``n`` files in time order, read one by one."""
     from tidemark.streaming import streams as ST
-    return ST.file_stream(spark, ST.split_by_time(df, "ts", path, n), df.schema)
+    dealt = ST.deal(df, "ts", path, slices=n, files=1)
+    for i in range(n):
+        dealt.deliver(i)
+    return ST.file_stream(spark, dealt.inbox, df.schema, files=1)
 
 
 def test_admission_stream_equals_batch(spark, tmp_path):

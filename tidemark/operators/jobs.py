@@ -14,6 +14,7 @@ from ..sources.tables import RESULT_META_SCHEMA
 # Job lifecycle.
 TERMINAL_STATUSES = ("completed", "failed", "cancelled")
 PHASE_ORDER = ["pending", "discovering", "extracting", "enhancing", "generating", "completed"]
+STATUSES = (*PHASE_ORDER, "failed", "cancelled")
 HISTORY_COLUMNS = ["id", "url", "mode", "status", "created_at", "updated_at", "completed_at"]
 HISTORY_SIZE = 50
 

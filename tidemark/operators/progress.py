@@ -144,15 +144,19 @@ def reconcile(latest: DataFrame, jobs: DataFrame) -> DataFrame:
     non-terminal event state (the terminal event was lost)."""
     t = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("table_status"))
     e = latest.select("job_id", F.col("phase").alias("event_phase"))
-    j = e.join(t, "job_id", "full_outer")
+    return resolved(e.join(t, "job_id", "full_outer")).select("job_id", "event_phase", "table_status", "status", "source")
+
+
+def resolved(states: DataFrame) -> DataFrame:
+    """``status`` and its ``source`` from ``event_phase`` and ``table_status``."""
     ev_term = F.coalesce(is_terminal("event_phase"), F.lit(False))
     tb_term = F.coalesce(is_terminal("table_status"), F.lit(False))
-    resolved = (F.when(ev_term, F.col("event_phase"))
-                .when(tb_term, F.col("table_status"))
-                .otherwise(F.coalesce(F.col("event_phase"), F.col("table_status"))))
+    status = (F.when(ev_term, F.col("event_phase"))
+              .when(tb_term, F.col("table_status"))
+              .otherwise(F.coalesce(F.col("event_phase"), F.col("table_status"))))
     source = (F.when(ev_term, F.lit("event")).when(tb_term, F.lit("table"))
               .when(F.col("event_phase").isNotNull(), F.lit("event")).otherwise(F.lit("table")))
-    return j.select("job_id", "event_phase", "table_status", resolved.alias("status"), source.alias("source"))
+    return states.withColumns({"status": status, "source": source})
 
 
 def _us(c) -> Column:
@@ -163,21 +167,29 @@ def job_sessions(events: DataFrame, gap_s: int = 3600) -> DataFrame:
     """Sessions of a job (a new session after a silence longer than ``gap_s``).
 
     Output per session: number (from 1), start, end (last event), duration,
-    event count and number of distinct phases.
+    event count, number of distinct phases and events per phase (a map).
 
     Time is cut into buckets as long as the gap.  Two events of one bucket
     are always in one session, so a job's events shrink to one row per bucket
-    (partial sums before the shuffle) and the windows see only those rows.
+    and phase (partial sums before the shuffle); the windows see one row per
+    bucket.  The counts by phase merge over the buckets of a session, still
+    by job, so they need no exchange of their own.
     """
     gap_us = gap_s * 1_000_000
-    buckets = events.groupBy("job_id", F.floor(_us("ts") / F.lit(gap_us)).alias("_b")).agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"),
-        F.collect_set("phase").alias("phases"))
+    by_phase = events.groupBy("job_id", F.floor(_us("ts") / F.lit(gap_us)).alias("_b"), "phase").agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
     in_order = Window.partitionBy("job_id").orderBy("_b")
+    buckets = by_phase.groupBy("job_id", "_b").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.collect_list(F.struct("phase", "n")).alias("counts"))
     silence = _us("first") - _us(F.lag("last").over(in_order))
     opened = buckets.withColumn("_new", F.when(silence <= gap_us, 0).otherwise(1))
     numbered = opened.withColumn("session", F.sum("_new").over(in_order))
-    agg = numbered.groupBy("job_id", "session").agg(
+    counts = numbered.select("job_id", "session", "first", "last", F.explode("counts").alias("c")) \
+        .groupBy("job_id", "session", F.col("c.phase").alias("phase")).agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("c.n").alias("n"))
+    named = F.filter(F.collect_list(F.struct("phase", "n")), lambda c: c["phase"].isNotNull())
+    agg = counts.groupBy("job_id", "session").agg(
         F.min("first").alias("session_start"), F.max("last").alias("session_end"), F.sum("n").alias("n_events"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("phases")))).cast("long").alias("n_phases"))
-    return agg.withColumn("duration_us", _us("session_end") - _us("session_start"))
+        F.map_from_entries(named).alias("phases"))
+    return agg.withColumn("n_phases", F.size("phases").cast("long")) \
+        .withColumn("duration_us", _us("session_end") - _us("session_start"))

@@ -71,18 +71,47 @@ PROGRESS_SCHEMA = T.StructType([
 ])
 
 
+def _message(col: str):
+    return F.from_json(F.col(col).cast("string"), PROGRESS_SCHEMA, {"mode": "PERMISSIVE"})
+
+
+def message_fault(col: str = "value"):
+    """Why a message can't be used: no JSON object, or one without job or phase; null if it can."""
+    is_object = F.from_json(F.col(col).cast("string"), T.MapType(T.StringType(), T.StringType())).isNotNull() & \
+        F.col(col).rlike(r"^\s*\{")
+    message = _message(col)
+    return (F.when(~F.coalesce(is_object, F.lit(False)), F.lit("not a JSON object"))
+            .when(message["job_id"].isNull(), F.lit("no job_id")).when(message["phase"].isNull(), F.lit("no phase")))
+
+
 def parse_progress(raw: DataFrame, col: str = "value") -> DataFrame:
     """A5: JSON messages -> typed events; bad JSON (or no job/phase) dropped."""
-    p = F.from_json(F.col(col).cast("string"), PROGRESS_SCHEMA, {"mode": "PERMISSIVE"})
-    return (raw.select(p.alias("e")).select("e.*")
+    return (raw.select(_message(col).alias("e")).select("e.*")
             .filter(F.col("job_id").isNotNull() & F.col("phase").isNotNull()))
 
 
+def _lines(spark: SparkSession, path: str, stream: bool) -> DataFrame:
+    reader = spark.readStream if stream else spark.read
+    return reader.format("text").load(path)
+
+
 def read_progress(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A5: JSON-lines progress messages from files, batch or stream."""
-    reader = spark.readStream if stream else spark.read
-    raw = reader.format("text").load(path)
-    return parse_progress(raw, "value")
+    return parse_progress(_lines(spark, path, stream), "value")
+
+
+def progress_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """A5 in the form of the event operators: messages have no number, so a hash of the line settles ties."""
+    raw = _lines(spark, path, stream)
+    return raw.select(F.xxhash64("value").alias("event_id"), _message("value").alias("e")) \
+        .select("e.job_id", "event_id", "e.phase", "e.message", "e.completed", "e.total", F.col("e.timestamp").alias("ts")) \
+        .where("job_id IS NOT NULL AND phase IS NOT NULL")
+
+
+def unreadable_progress(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """A5: the lines that ``read_progress`` leaves out, ``(file, line, reason)``."""
+    return _lines(spark, path, stream).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"),
+                                              message_fault().alias("reason")).where("reason IS NOT NULL")
 
 
 # -- A6 document sink ------------------------------------------------------------

@@ -1,95 +1,110 @@
-"""Structured Streaming forms of the admission and progress operators.
-
-Every operator but the sessions is a ``foreachBatch`` step over the batch
-operators: a micro-batch is joined with the operator's state, a small table
-with one row per key that only holds what later events can still need.  Both
-the state and the output are written under the number of the micro-batch, so
-a batch that is run again overwrites its own files and nothing is counted
-twice.  Nothing passes through the driver and no key's events are gathered
-in one Python call.
-
-Job state (I2-I5) never expires: it is the result, or a silence and a late
-repeat of any age is decided by it, so it holds one small row per job ever
-seen.  Admitted moments (I1) more than ``KEEP`` behind the newest are dropped.
-
-Events of a key must arrive in time order across micro-batches (inside one
-any order will do); ``split_by_time`` makes such an input from a table.
+"""Streams whose steps are batch operators (I1, I3, I6, I7) and the ordering buffer before them.
+
+I2, I4 and I5, which wait for moments to pass, live in ``clocks``.
+
+``run_steps`` runs a batch operator over each micro-batch (``foreachBatch``).
+Admission and routing depend on the order of events, and no source delivers
+them in order: events wait in a buffer until the low mark (the latest time
+seen, less ``delay``) has passed them, and a step gets what the mark has
+released.  Across micro-batches the steps therefore see events in time order,
+whatever order they came in within the delay.  An event from before the mark
+comes too late; it is written to the side table ``late`` with its reason, as
+are events without a time.
+
+Buffer, mark and state are small tables in the shared folder under the number
+of the micro-batch, so a batch that runs again overwrites its own files and
+nothing counts twice; copies older than the last two are removed.  The buffer
+holds ``delay`` of events, the state what later events can still need.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import admission as A
 from ..operators import progress as P
-from ..session import ensure_checkpoint_dir
-
-WATERMARK = "10 minutes"
-KEEP = "INTERVAL 30 DAYS"
-
-
-def shared_folder(spark: SparkSession, stem: str) -> str:
-    """A new folder that driver and executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+from ..operators.jobs import STATUSES
+from ..session import path_exists, remove_path
+from ..sources import tables as TB
+from ..sources.keyed import KeyedTable
+from .arrivals import arrive, deal, file_stream, shared_folder
+from .clocks import latest_progress_stream, stall_stream, timeout_stream
 
+__all__ = ["Step", "admit_stream", "arrive", "deal", "file_stream", "late_events", "latest_progress_stream",
+           "quarantine_stream", "reconcile_stream",
+           "route_stream", "run_steps", "session_stream", "shared_folder", "stall_stream", "timeout_stream"]
 
-def split_by_time(df: DataFrame, ts: str, path: str, parts: int = 6, closing: DataFrame | None = None) -> str:
-    """Write ``df`` as ``parts`` files in time order (and ``closing`` as the last file)."""
-    low, high = df.agg(F.min(ts), F.max(ts)).first()
-    step = (high - low) / parts if low is not None else None
-    for i in range(parts):
-        piece = df
-        if step is not None and i:
-            piece = piece.filter(F.col(ts) >= F.lit(low + step * i))
-        if step is not None and i < parts - 1:
-            piece = piece.filter(F.col(ts) < F.lit(low + step * (i + 1)))
-        piece.coalesce(1).write.mode("append").parquet(path)
-        if step is None:
-            break
-    if closing is not None:
-        closing.coalesce(1).write.mode("append").parquet(path)
-    return path
+WATERMARK = "10 minutes"
+DELAY_S = 600
+LATE = "reason string, batch int"
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Stream the Parquet files of a folder, one file per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+class Step(NamedTuple):
+    """What a step is given: released events, its state, the output of earlier micro-batches, and the low mark."""
+    events: DataFrame
+    state: DataFrame
+    written: DataFrame
+    low_us: int | None
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def _stored(spark, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def run_steps(stream: DataFrame, step: Callable, state: str, out: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """Run ``step(batch, state) -> (output, next state)`` over all that is present.
+def run_steps(stream: DataFrame, step: Callable[[Step], tuple[DataFrame, DataFrame | None]], out: str, path: str,
+              state: str = "none int", ts: str = "ts", delay_s: int = DELAY_S) -> DataFrame:
+    """Run ``step`` over all that is present; the output so far.
 
-    ``state`` and ``out`` are schemas; both tables live below ``path``, one
-    folder per micro-batch.  Returns the output so far and the last state.
+    ``step`` gives the output rows and the next state.  ``out`` and ``state``
+    are schemas.  What still waits in the buffer is decided as it stands, in
+    the returned frame only.
     """
     spark = stream.sparkSession
-    state_schema, out_schema = (T.StructType.fromDDL(s) for s in (state, out))
+    events = stream.schema
+    state_schema, out_schema = T.StructType.fromDDL(state), T.StructType.fromDDL(out)
+    with_batch = T.StructType([*out_schema.fields, T.StructField("batch", T.IntegerType())])
+    us = F.unix_micros(F.col(ts))
+
+    def at(name: str, batch_id: int) -> str:
+        return f"{path}/{name}/{batch_id}"
 
-    def state_at(batch_id: int) -> str:
-        return f"{path}/state/{batch_id}"
+    def low_of(s, batch_id: int) -> int | None:
+        rows = _stored(s, at("low", batch_id), T.StructType.fromDDL("low long")).collect() if batch_id >= 0 else []
+        return rows[0].low if rows else None
+
+    def given(s, held: DataFrame, batch_id: int, low: int | None) -> Step:
+        written = _stored(s, f"{path}/out", with_batch).where(F.col("batch") < batch_id).drop("batch")
+        return Step(held, _stored(s, at("state", batch_id - 1), state_schema), written, low)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        before = s.read.schema(state_schema).parquet(state_at(batch_id - 1)) \
-            if batch_id and _exists(s, state_at(batch_id - 1)) else s.createDataFrame([], state_schema)
+        low = low_of(s, batch_id - 1)
         batch = batch.persist()
         try:
-            output, after = step(batch, before)
-            if output is not None:
-                output.select(*out_schema.names).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
-            after.select(*state_schema.names).write.mode("overwrite").parquet(state_at(batch_id))
+            high = batch.agg(F.max(us)).first()[0]
+            mark = low if high is None else max(high - delay_s * 1_000_000, low if low is not None else high - delay_s * 1_000_000)
+            reason = F.when(F.col(ts).isNull(), F.lit("no time"))
+            if low is not None:
+                reason = reason.when(us < low, F.lit("late"))
+            sorted_out = batch.withColumn("reason", reason)
+            sorted_out.where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            held = sorted_out.where("reason IS NULL").drop("reason").unionByName(_stored(s, at("held", batch_id - 1), events))
+            before = (us < mark) if mark is not None else F.lit(False)
+            output, after = step(given(s, held.where(before), batch_id, mark))
+            output.select(*out_schema.names).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+            if after is not None:
+                after.select(*state_schema.names).write.mode("overwrite").parquet(at("state", batch_id))
+            held.where(~before).write.mode("overwrite").parquet(at("held", batch_id))
+            s.createDataFrame([(mark,)], "low long").write.mode("overwrite").parquet(at("low", batch_id))
         finally:
             batch.unpersist()
+        for name in ("state", "held", "low"):
+            remove_path(s, at(name, batch_id - 2))
 
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint") \
         .trigger(availableNow=True).start()
@@ -97,17 +112,17 @@ def run_steps(stream: DataFrame, step: Callable, state: str, out: str, path: str
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     last = query.lastProgress.batchId if query.lastProgress is not None else -1
-    while last >= 0 and not _exists(spark, state_at(last)):  # a trigger without data leaves no folder
+    while last >= 0 and not path_exists(spark, at("low", last)):  # a trigger without data leaves no folder
         last -= 1
-    empty_state, empty_out = (spark.createDataFrame([], s) for s in (state_schema, out_schema))
-    return (spark.read.schema(out_schema).parquet(f"{path}/out").select(*out_schema.names) if _exists(spark, f"{path}/out") else empty_out,
-            spark.read.schema(state_schema).parquet(state_at(last)) if last >= 0 else empty_state)
+    if last < 0:
+        return _stored(spark, f"{path}/out", with_batch).drop("batch")
+    rest = given(spark, _stored(spark, at("held", last), events), last + 1, low_of(spark, last))
+    return rest.written.unionByName(step(rest)[0].select(*out_schema.names))
 
 
-def _kept(state: DataFrame, ts: str) -> DataFrame:
-    """State without the rows that lie more than ``KEEP`` behind the newest."""
-    newest = state.agg(F.max(ts).alias("newest")).scalar()
-    return state.filter(F.col(ts) >= newest - F.expr(KEEP))
+def late_events(spark, path: str, events: T.StructType) -> DataFrame:
+    """Side table of ``run_steps``: events that came too late or without a time, with reason and micro-batch."""
+    return _stored(spark, f"{path}/late", T.StructType([*events.fields, *T.StructType.fromDDL(LATE).fields]))
 
 
 # -- I1 -----------------------------------------------------------------------
@@ -115,101 +130,96 @@ ADMIT_OUT = "event_id long, key string, ts timestamp, allowed boolean, remaining
 ADMIT_STATE = "key string, ts timestamp"
 
 
-def admit_stream(requests: DataFrame, limit: int, window_s: int, path: str, tie: str = "event_id") -> DataFrame:
-    """state = the admitted moments that still count (at most ``limit`` per key)."""
-    def step(batch, before):
-        out = A.admit(batch, limit, window_s, tie=tie, earlier=before)
-        after = A.records_after(out.filter("allowed").select("key", "ts").union(before), window_s)
-        return out, _kept(after, "ts")
-
-    return run_steps(requests.select(tie, "key", "ts"), step, ADMIT_STATE, ADMIT_OUT, path)[0]
+def admit_stream(requests: DataFrame, limit: int, window_s: int, path: str, tie: str = "event_id",
+                 delay_s: int = DELAY_S) -> DataFrame:
+    """state = the admitted moments that can still count, at most ``limit`` per key of the last window."""
+    def step(given: Step):
+        out = A.admit(given.events, limit, window_s, tie=tie, earlier=given.state)
+        after = A.records_after(out.filter("allowed").select("key", "ts").union(given.state), window_s)
+        if given.low_us is not None:
+            after = after.where(F.unix_micros("ts") > given.low_us - window_s * 1_000_000)
+        return out, after
 
+    return run_steps(requests.select(tie, "key", "ts"), step, ADMIT_OUT, path, ADMIT_STATE, delay_s=delay_s)
 
-# -- I2 -----------------------------------------------------------------------
-LATEST_STATE = "job_id string, event_id long, phase string, message string, completed int, total int, ts timestamp"
 
+# -- I3 -----------------------------------------------------------------------
+ROUTE_OUT = "job_id string, event_id long, phase string, ts timestamp, kind string, job_status string"
 
-def latest_progress_stream(events: DataFrame, path: str, tie: str = "event_id") -> DataFrame:
-    """Latest event per job, upserted; the state is the result."""
-    names = T.StructType.fromDDL(LATEST_STATE).names
-
-    def step(batch, before):
-        both = batch.select(*names).unionByName(before)
-        return None, P.latest_progress(both, tie=tie).drop("live")
 
-    return run_steps(events, step, LATEST_STATE, LATEST_STATE, path)[1]
+def route_stream(events: DataFrame, path: str, jobs: Callable[[], DataFrame] | None = None, delay_s: int = DELAY_S) -> DataFrame:
+    """Progress rows until a job's first terminal event, then one complete row.
 
+    ``jobs`` reads the job table; it is called anew in each micro-batch, so a
+    complete row carries the status that the table has when it is routed.
+    Which jobs have ended is known from the complete rows written before.
+    """
+    def step(given: Step):
+        ended = given.written.where("kind = 'complete'").select("job_id")
+        routed = P.route_events(given.events.join(ended, "job_id", "left_anti"), jobs() if jobs else None)
+        return (routed if jobs else routed.withColumn("job_status", F.lit(None).cast("string"))), None
 
-# -- I3 -----------------------------------------------------------------------
-ROUTE_OUT = "job_id string, event_id long, phase string, ts timestamp, kind string"
-ENDED_STATE = "job_id string, ended timestamp"
+    routed = run_steps(events, step, ROUTE_OUT, path, delay_s=delay_s)
+    return routed if jobs else routed.drop("job_status")
 
 
-def route_stream(events: DataFrame, path: str) -> DataFrame:
-    """Progress rows until a job's first terminal event, then one complete row."""
-    def step(batch, before):
-        routed = P.route_events(batch.join(before.select("job_id"), "job_id", "left_anti"))
-        over = routed.filter(F.col("kind") == "complete").select("job_id", F.col("ts").alias("ended"))
-        return routed, before.union(over)
+# -- I6 -----------------------------------------------------------------------
+RECONCILED = ("job_id string, event_id long, event_phase string, event_ts timestamp, table_status string, "
+              "table_ts timestamp, status string, source string")
 
-    return run_steps(events, step, ENDED_STATE, ROUTE_OUT, path)[0]
 
+def reconcile_stream(events: DataFrame, jobs: Callable[[], DataFrame], path: str, buckets: int = 64) -> DataFrame:
+    """I6 over a stream of events and a job table that changes beside it.
 
-# -- I4 -----------------------------------------------------------------------
-STALL_OUT = "job_id string, stall_start timestamp, stall_end timestamp, gap_us long"
-STALL_STATE = "job_id string, ts timestamp, event_id long, ended boolean"
+    Each micro-batch reads the job table anew, but only the rows updated since
+    the newest one seen (``updated_at``).  These and the jobs that the
+    micro-batch has events of are merged into a stored table with one row per
+    job, of which only the touched buckets are rewritten; what changed is
+    written as a feed under the number of the micro-batch.  Returns the table.
+    """
+    spark = events.sparkSession
+    table = KeyedTable(spark, f"{path}/jobs", RECONCILED, ("job_id",), buckets)
+    names = table.schema.names
 
+    def merged(rows: DataFrame) -> DataFrame:
+        event, row = F.struct("event_ts", "event_id"), F.col("table_ts")
+        one = rows.groupBy("job_id").agg(
+            F.max_by(F.struct("event_id", "event_phase", "event_ts"), F.when(F.col("event_ts").isNotNull(), event)).alias("e"),
+            F.max_by(F.struct("table_status", "table_ts"), row).alias("t"))
+        return P.resolved(one.select("job_id", "e.*", "t.*")).select(*names)
 
-def stall_stream(events: DataFrame, path: str, gap_s: int = P.STALL_GAP_S, as_of=None) -> DataFrame:
-    """I4: state = the last event of a job and whether it ended.
+    def each(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        seen = _stored(s, f"{path}/low/{batch_id - 1}", T.StructType.fromDDL("low timestamp")).collect() if batch_id else []
+        mark = seen[0].low if seen else None
+        now = jobs()
+        fresh = now if mark is None else now.where(F.col("updated_at") >= F.lit(mark))
+        newest = now.agg(F.max("updated_at").alias("low"))
+        of_events = P.latest_progress(batch.where("ts IS NOT NULL").select("job_id", "event_id", "phase", "ts")).select(
+            "job_id", "event_id", F.col("phase").alias("event_phase"), F.col("ts").alias("event_ts"))
+        of_table = fresh.select(F.col("id").alias("job_id"), F.col("status").alias("table_status"),
+                                F.col("updated_at").alias("table_ts"))
+        rows = of_events.unionByName(of_table, allowMissingColumns=True) \
+            .withColumns({c: F.lit(None).cast("string") for c in ("status", "source")}).persist()
+        try:
+            table.merge(rows, merged)
+            table.near(rows).join(rows.select("job_id").distinct(), "job_id", "left_semi") \
+                .write.mode("overwrite").parquet(f"{path}/feed/batch={batch_id}")
+            newest.write.mode("overwrite").parquet(f"{path}/low/{batch_id}")
+        finally:
+            rows.unpersist()
+        remove_path(s, f"{path}/low/{batch_id - 2}")
 
-    Silences between events are written as they end; those still open at
-    ``as_of`` come from the state.
-    """
-    def step(batch, before):
-        running = batch.select("job_id", "ts", "event_id", "phase") \
-            .join(before.filter("ended").select("job_id"), "job_id", "left_anti")
-        last = before.filter(~F.col("ended")).select("job_id", "ts", "event_id", F.lit(None).cast("string").alias("phase"))
-        fresh = running.unionByName(last.join(running, "job_id", "left_semi"))
-        seen, silences = P.until_terminal(fresh), P.stalls(fresh, gap_s)
-        after = seen.groupBy("job_id").agg(F.max(F.struct("ts", "event_id")).alias("last"),
-                                           F.max("_ended").alias("ended")) \
-            .select("job_id", "last.ts", "last.event_id", "ended")
-        rest = before.join(after.select("job_id"), "job_id", "left_anti")
-        return silences, after.unionByName(rest)
-
-    found, state = run_steps(events, step, STALL_STATE, STALL_OUT, path)
-    if as_of is None:
-        return found
-    gap = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("stall_start")
-    still = state.filter(~F.col("ended")).select(
-        "job_id", F.col("ts").alias("stall_start"), F.lit(None).cast("timestamp").alias("stall_end")) \
-        .withColumn("gap_us", gap).filter(F.col("gap_us") >= gap_s * 1_000_000)
-    return found.select(*still.columns).unionByName(still)
-
-
-# -- I5 -----------------------------------------------------------------------
-TIMEOUT_STATE = "job_id string, start_ts timestamp, terminal_ts timestamp, terminal_phase string, ts timestamp"
-
-
-def timeout_stream(events: DataFrame, path: str, limit_s: int = P.STREAM_TIMEOUT_S) -> DataFrame:
-    """state = first event, first terminal event and last event of a job, the least of
-    what any micro-batch has shown; late events only move them back."""
-    terminal = P.is_terminal("phase")
-
-    def step(batch, before):
-        new = batch.select("job_id", F.col("ts").alias("start_ts"), F.when(terminal, F.col("ts")).alias("terminal_ts"),
-                           F.when(terminal, F.col("phase")).alias("terminal_phase"), "ts")
-        after = new.unionByName(before).groupBy("job_id").agg(
-            F.min("start_ts").alias("start_ts"), F.min("terminal_ts").alias("terminal_ts"),
-            F.min_by("terminal_phase", "terminal_ts").alias("terminal_phase"), F.max("ts").alias("ts"))
-        return None, after
-
-    return P.timed_out(run_steps(events, step, TIMEOUT_STATE, TIMEOUT_STATE, path)[1], limit_s)
+    query = events.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint") \
+        .trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return table.read()
 
 
 # -- I7 -----------------------------------------------------------------------
-SESSION_OUT = "job_id string, session_start timestamp, session_end timestamp, n_events long"
+SESSION_OUT = "job_id string, session_start timestamp, session_end timestamp, n_events long, phases map<string,long>"
 
 
 def session_stream(events: DataFrame, path: str, gap_s: int = 3600) -> DataFrame:
@@ -217,13 +227,19 @@ def session_stream(events: DataFrame, path: str, gap_s: int = 3600) -> DataFrame
 
     A silence of exactly ``gap_s`` doesn't end a session, hence the
     microsecond.  A session is written once the watermark has passed it; an
-    event far ahead (a closing one) lets go of the last ones.
+    event far ahead (a closing one) lets go of the last ones.  ``phases``
+    counts the events of each job status; other phases count as ``other``.
     """
     spark = events.sparkSession
+    names = [*STATUSES, "other"]
+    phase = F.when(F.col("phase").isin(*STATUSES), F.col("phase")).otherwise(F.lit("other"))
+    counts = [F.count(F.when(phase == n, 1)).alias(f"_n_{n}") for n in names]
+    per_phase = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(f"_n_{n}") for n in names))),
+                             lambda _, n: n > 0)
     sessions = events.withWatermark("ts", WATERMARK) \
         .groupBy("job_id", F.session_window("ts", f"{gap_s} seconds 1 microseconds").alias("sw")) \
-        .agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("n_events")) \
-        .select("job_id", "session_start", "session_end", "n_events")
+        .agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("n_events"), *counts) \
+        .select("job_id", "session_start", "session_end", "n_events", per_phase.alias("phases"))
     query = sessions.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out") \
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -231,3 +247,17 @@ def session_stream(events: DataFrame, path: str, gap_s: int = 3600) -> DataFrame
         raise RuntimeError(str(query.exception()))
     found = spark.read.schema(SESSION_OUT).parquet(f"{path}/out")
     return found.withColumn("duration_us", F.unix_micros("session_end") - F.unix_micros("session_start"))
+
+
+# -- A5 -----------------------------------------------------------------------
+QUARANTINE = "file string, line string, reason string"
+
+
+def quarantine_stream(spark, source: str, path: str) -> DataFrame:
+    """A5: unreadable messages of a folder of JSON lines, written to a side table of their own."""
+    query = TB.unreadable_progress(spark, source, stream=True).writeStream.format("parquet").outputMode("append") \
+        .option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return spark.read.schema(QUARANTINE).parquet(f"{path}/out")
