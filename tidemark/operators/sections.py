@@ -1,9 +1,12 @@
 """Categorization of pages into sections.
 
-Rules are data: a list of ``Rule`` (name, patterns, priority).  The default
-list compiles into one ``CASE WHEN path RLIKE ...`` in priority order, so
-matching is a pure projection (no join, no shuffle).  Consolidation (E4) is
-a window over ``(site, section)`` on data already capped per site.
+Rules are data.  A list of ``Rule`` (name, patterns, priority) that holds for
+all sites compiles into one ``CASE WHEN path RLIKE ...`` in priority order, so
+matching is a pure projection (no join, no shuffle).  A *table* of rules by
+site is indexed by the literal words that its patterns begin with, so a path
+meets only the rules of its site of which it holds the first word
+(``match_rules``).  Consolidation (E4) is an aggregate by ``(site, section)``
+joined back.
 """
 
 from __future__ import annotations
@@ -107,9 +110,76 @@ def with_section(pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     return staged.withColumn("section", match_section(F.col("url"), rules, F.col("_lpath"))).drop("_lpath")
 
 
+#: What a path must hold after a slash for the pattern to match: letters and the like that no quantifier follows.
+_LITERAL = r"^/((?:[A-Za-z0-9_~%-](?![?*{+]))*)"
+
+
+def rule_word(pattern) -> Column:
+    """Literal text, lower-cased, that begins a segment of every path the pattern matches; '' if it names none.
+
+    Only patterns that begin with a slash and have no alternative outside
+    brackets name one.
+    """
+    p = F.col(pattern) if isinstance(pattern, str) else pattern
+    bare = F.regexp_replace(p, r"\\.", "")  # escaped characters
+    for _ in range(3):  # brackets in brackets
+        bare = F.regexp_replace(bare, r"\([^()]*\)|\[[^\]]*\]", "")
+    plain = ~bare.contains("|") & ~bare.contains("(") & ~p.contains("\\Q")
+    return F.when(plain, F.lower(F.regexp_extract(p, _LITERAL, 1))).otherwise(F.lit(""))
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(site, word, pattern, rank, name) from ``rules(site, name, pattern, priority, position)``.
+
+    Rules are tried by descending priority, equal ones in order of position.
+    """
+    rank = F.struct((-F.coalesce("priority", F.lit(0))).alias("priority"), "position", "name")
+    return rules.where("site IS NOT NULL AND pattern IS NOT NULL AND name IS NOT NULL") \
+        .select("site", rule_word("pattern").alias("word"), "pattern", rank.alias("rank"))
+
+
+def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(site, path, section): the first of its site's rules that matches each distinct lower-cased path.
+
+    ``pages(site, path)``.  A segment of the path expands into its beginnings
+    of the lengths that occur among its site's words and meets the rules by
+    ``(site, word)``; patterns that name no word are tried on every path of
+    their site.  Paths that no rule matches have no row.
+    """
+    index = rule_index(rules)
+    lengths = index.select("site", F.length("word").alias("_n")).distinct()
+    paths = pages.select("site", "path").where("path IS NOT NULL").distinct()
+    segments = F.array_distinct(F.concat(F.array(F.lit("")), F.slice(F.split("path", "/"), 2, 1 << 20)))
+    words = paths.join(lengths, "site") \
+        .withColumn("word", F.explode(F.array_distinct(F.transform(segments, lambda s: F.substring(s, F.lit(1), F.col("_n")))))) \
+        .where(F.length("word") == F.col("_n"))
+    met = words.select("site", "path", "word").join(index, ["site", "word"])
+    hit = met.where(F.expr("path RLIKE concat('(?iu)', pattern)"))
+    return hit.groupBy("site", "path").agg(F.min("rank").alias("rank")).select("site", "path", F.col("rank.name").alias("section"))
+
+
+def with_site_sections(pages: DataFrame, rules: DataFrame, default=DEFAULT_RULES) -> DataFrame:
+    """E2 with a rules table: ``section`` and ``is_rule`` (a rule of the page's site bears that name).
+
+    Sites that have rules of their own use these alone, the others ``default``.
+    """
+    staged = pages.withColumn("path", lower_path(F.col("url")))
+    own = rules.select("site").where("site IS NOT NULL").distinct().withColumn("_own", F.lit(True))
+    names = rules.select("site", F.col("name").alias("section")).where("site IS NOT NULL AND section IS NOT NULL") \
+        .distinct().withColumn("_named", F.lit(True))
+    found = match_rules(staged, rules).withColumnRenamed("section", "_found")
+    joined = staged.join(found, ["site", "path"], "left").join(own, "site", "left")
+    section = F.coalesce("_found", F.when(F.col("_own"), fallback_section("path")).otherwise(match_section(None, default, F.col("path"))))
+    named = joined.withColumn("section", section).join(names, ["site", "section"], "left")
+    is_rule = F.when(F.col("_own"), F.coalesce("_named", F.lit(False))).otherwise(F.col("section").isin([r.name for r in default]))
+    return named.withColumn("is_rule", is_rule).drop("path", "_found", "_own", "_named")
+
+
 def consolidate(pages: DataFrame, rules=DEFAULT_RULES, min_size: int = MIN_SECTION_SIZE) -> DataFrame:
     """Small non-rule sections move to ``Pages``.
 
+    A column ``is_rule`` says which sections are rules'; else the names of ``rules`` do.
+
     Input: ``site, rank, section, ...``.  Output adds ``section`` (final) and
     ``sec_order`` = (moved, first rank of the original section, rank), the
     order of pages inside the final section.
@@ -119,7 +189,8 @@ def consolidate(pages: DataFrame, rules=DEFAULT_RULES, min_size: int = MIN_SECTI
     # partial aggregation, and AQE can split a hot section's join partition
     stats = pages.groupBy("site", "section").agg(F.count(F.lit(1)).alias("_n"), F.min("rank").alias("_first"))
     staged = pages.join(stats, ["site", "section"])
-    moved = ~F.col("section").isin(names) & (F.col("_n") < min_size)
+    is_rule = F.col("is_rule") if "is_rule" in pages.columns else F.col("section").isin(names)
+    moved = ~is_rule & (F.col("_n") < min_size)
     return (staged
             .withColumn("_moved", moved)
             .withColumn("section", F.when(moved, F.lit(CATCH_ALL)).otherwise(F.col("section")))

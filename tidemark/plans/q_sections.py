@@ -92,3 +92,36 @@ def q_topk_section(spark, sf):
     top = G.top_per_section(c, 5)
     w = Window.partitionBy("site", "section").orderBy("sec_order")
     return top.withColumn("pos", F.row_number().over(w)).select("site", "section", "page_id", F.col("pos").cast("bigint"))
+
+
+# E2 and E4 with a table of rules by site: three pages in four give their site a rule
+_RULE_WHERE = "page_id % 4 <> 0 AND length(url) % 5 <> 0"
+_RULES = [("site", D.SITE), ("name", "'Zone ' || CAST(page_id % 6 AS STRING)"), ("pattern", D.case("page_id", [
+    "'/docs?(/|$)'", "'/api(/|$)'", "'/(blog|news|posts)(/|$)'", "'/my-'", "'/[0-9]+$'", "'^/en(/|$)'", "'/3d|/x_y'", "'/LEARN(/|$)'",
+    "'/pric[a-z]+/'", "'/tutorials?(/|$)'", "'/v2/api'", "'s/'", "'/sol+utions'"])),
+    ("priority", "page_id % 4"), ("position", "page_id")]
+_RULES_CTE = f"""r AS ({derive_sql('pages', _RULES, _RULE_WHERE)}),
+p AS (SELECT site, page_id, url, {_PATH} AS path, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank FROM {_SP}),
+own AS (SELECT DISTINCT site, true AS own FROM r),
+m AS (SELECT p.site, p.page_id, arg_min(r.name, (-r.priority, r.position)) AS name FROM p JOIN r USING (site)
+      WHERE regexp_matches(p.path, r.pattern, 'i') GROUP BY p.site, p.page_id),
+s AS (SELECT p.*, own, CASE WHEN m.name IS NOT NULL THEN m.name WHEN own THEN
+        CASE WHEN {_FIRST} = '' THEN 'Pages' ELSE {O.py_title(f"translate({_FIRST}, '-_', '  ')")} END
+        ELSE {O.rule_case(_PATH)} END AS section FROM p LEFT JOIN m USING (site, page_id) LEFT JOIN own USING (site)),
+t AS (SELECT s.*, CASE WHEN own THEN EXISTS (SELECT 1 FROM r WHERE r.site = s.site AND r.name = s.section)
+        ELSE s.section IN {O.sql_list([r.name for r in E.DEFAULT_RULES])} END AS is_rule FROM s)"""
+
+
+@register("url_section_rules", f"WITH {_RULES_CTE} SELECT page_id, site, url, section, is_rule FROM t")
+def q_url_section_rules(spark, sf):
+    rules = derive(spark, sf, "pages", _RULES, _RULE_WHERE)
+    p = derive(spark, sf, "pages", D.SECTION_PAGES)
+    return E.with_site_sections(p, rules).select("page_id", "site", "url", "section", "is_rule")
+
+
+@register("sections_final_rules", f"""WITH {_RULES_CTE},
+n AS (SELECT *, count(*) OVER (PARTITION BY site, section) AS n FROM t)
+SELECT site, page_id, CASE WHEN NOT is_rule AND n < 2 THEN 'Pages' ELSE section END AS section FROM n""")
+def q_sections_final_rules(spark, sf):
+    rules = derive(spark, sf, "pages", _RULES, _RULE_WHERE)
+    return E.consolidate(E.with_site_sections(pages(spark, sf), rules)).select("site", "page_id", "section")

@@ -251,3 +251,44 @@ def q_page_links(spark, sf):
     pages = table(spark, sf, "pages")
     ex = X.extract_pages(pages.select("page_id", "url", "html"))
     return C.page_links(ex, keys=("page_id",)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "target")
+
+
+# B8 against a table of networks: one network per order, IPv4 and IPv6, in the order of their keys
+_O = "o_orderkey"
+_NETWORKS = [("position", _O), ("cidr", D.case(_O, [
+    f"CAST({_O} % 223 + 1 AS STRING) || '.' || CAST({_O} * 7 % 256 AS STRING) || '.' || CAST({_O} * 3 % 256 AS STRING) || '.0/' || CAST(8 + {_O} % 17 AS STRING)",
+    f"'10.' || CAST({_O} % 256 AS STRING) || '.' || CAST({_O} * 5 % 256 AS STRING) || '.' || CAST({_O} % 251 AS STRING) || '/' || CAST(12 + {_O} % 21 AS STRING)",
+    f"'2001:' || CAST({_O} % 50 AS STRING) || ':' || CAST({_O} % 9 AS STRING) || '::/' || CAST(16 * (2 + {_O} % 2) AS STRING)",
+]))]
+_ADDRESSES = [("host", "'h' || CAST(page_id AS STRING) || '.' || " + D.SITE), ("ip", D.case("page_id", [
+    "CAST(page_id % 223 + 1 AS STRING) || '.' || CAST(page_id * 7 % 256 AS STRING) || '.' || CAST(page_id * 3 % 256 AS STRING) || '.9'",
+    "'10.' || CAST(page_id % 256 AS STRING) || '.' || CAST(page_id * 11 % 256 AS STRING) || '.' || CAST(page_id % 256 AS STRING)",
+    "'2001:' || CAST(page_id % 60 AS STRING) || ':' || CAST(page_id % 11 AS STRING) || '::' || CAST(page_id % 13 + 1 AS STRING)",
+    "'240.0.0.' || CAST(page_id % 256 AS STRING)",
+    "NULL",
+]))]
+
+
+def _v4_sql(x: str) -> str:
+    part = [f"CAST(split_part({x}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
+    return f"({part[0]} * 16777216 + {part[1]} * 65536 + {part[2]} * 256 + {part[3]})"
+
+
+@register("blocked_networks", f"""
+WITH u AS ({derive_sql('pages', _HOSTS)}), d AS ({derive_sql('pages', _ADDRESSES)}), n AS ({derive_sql('orders', _NETWORKS)}),
+n4 AS (SELECT position, cidr, {_v4_sql("split_part(cidr, '/', 1)")} AS a, CAST(split_part(cidr, '/', 2) AS INT) AS len
+       FROM n WHERE NOT contains(cidr, ':')),
+r4 AS (SELECT position, cidr, a - a % (1::BIGINT << (32 - len)) AS lo, a - a % (1::BIGINT << (32 - len)) + (1::BIGINT << (32 - len)) - 1 AS hi FROM n4),
+d4 AS (SELECT host, {_v4_sql('ip')} AS n FROM d WHERE NOT contains(ip, ':')),
+n6 AS (SELECT position, cidr, split_part(cidr, ':', 2) AS g2, split_part(cidr, ':', 3) AS g3, split_part(cidr, '/', 2) = '48' AS long FROM n WHERE contains(cidr, ':')),
+d6 AS (SELECT host, split_part(ip, ':', 2) AS g2, split_part(ip, ':', 3) AS g3 FROM d WHERE contains(ip, ':')),
+hit AS (SELECT host, position, cidr FROM d4 JOIN r4 ON n BETWEEN lo AND hi
+        UNION ALL SELECT host, position, cidr FROM d6 JOIN n6 ON d6.g2 = n6.g2 AND (NOT long OR d6.g3 = n6.g3)),
+f AS (SELECT host, arg_min(cidr, position) AS cidr FROM hit GROUP BY host)
+SELECT page_id, host, ip, CASE WHEN ip IS NULL THEN 'Could not resolve hostname ''' || host || ''''
+  WHEN cidr IS NOT NULL THEN 'URL resolves to blocked IP range (' || cidr || ')' END AS reject_reason
+FROM u LEFT JOIN d USING (host) LEFT JOIN f USING (host)""")
+def q_blocked_networks(spark, sf):
+    networks = derive(spark, sf, "orders", _NETWORKS)
+    out = V.flag_blocked_hosts(derive(spark, sf, "pages", _HOSTS), derive(spark, sf, "pages", _ADDRESSES), networks)
+    return out.select("page_id", "host", "ip", "reject_reason")
