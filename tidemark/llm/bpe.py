@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index (operator 8).
 
-Texts of a task are split into pretokens; each distinct pretoken of the task
-is encoded once.  All new pretokens of a chunk are laid out in one symbol
-array.  An index maps every mergeable pair, by its merge rank, to all its
+Texts of a task are taken ``HELD_BYTES`` at a time.  They are cut at spaces,
+the pieces are numbered by Arrow's dictionary, and each distinct pretoken of
+such a stretch is encoded once; nothing is kept for the next one.  All
+pretokens of a stretch are laid out in one symbol array.  An index maps every mergeable pair, by its merge rank, to all its
 positions in that array.  Active ranks are applied in ascending order: a
 rank merges all its positions at once (vectorised), then the pairs to the
 left and right of the merged symbols are looked up and entered in the lists
@@ -22,22 +23,25 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 from functools import lru_cache
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import chunks, texts_of
+from .common import chunks
 
 CHUNK_BYTES = 8 << 20
 HELD_BYTES = 32 << 20  # of text whose new units are encoded together
 SLICE = 1 << 19  # symbols whose first pairs are looked up at once
-CACHE_WORDS = 250_000
-_DOUBLE_SPACE = re.compile(r"\s\s").search
+#: Two white-space characters, or more than these: where none meet, a space always begins a pretoken.
+_DOUBLE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]{2}"
+#: One run of letters, with or without a space before it and one sign after it: one or two pretokens.
+_WORD_AND_SIGN = r"^(?P<word> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<sign>[.,;:!?]?)$"
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -72,6 +76,15 @@ class _Numbers(dict):
         return number
 
 
+_SIGNS = ["", ".", ",", ";", ":", "!", "?"]
+
+
+class Units(NamedTuple):
+    """Distinct units: pieces that may be several pretokens, and whole pretokens."""
+    cut: pa.Array
+    whole: list[str]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -99,13 +112,6 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") \
             if self.special else None
-        self.index = _Numbers()
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index.clear()
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.starts = np.zeros(1, dtype=np.int64)  # one more than words
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 where there is none."""
@@ -113,13 +119,14 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the number of ids of each word."""
-        raw = [w.encode("utf-8") for w in words]
-        lens = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        sym = self.first[np.frombuffer(b"".join(raw), dtype=np.uint8)].astype(np.int32)
-        count = len(raw)
-        del raw
+        count = len(words)
+        lens = np.asarray(pc.binary_length(words), dtype=np.int64)
+        raw = pa.concat_arrays([words.cast(pa.large_binary())])  # values from the first one on
+        begin = int(np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset]) if count else 0
+        data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[begin:begin + int(lens.sum())]
+        sym = self.first[data].astype(np.int32)
         n = len(sym)
         if n == 0:
             return np.zeros(0, dtype=np.uint32), lens
@@ -183,78 +190,93 @@ class Codec:
                   else np.unique(np.concatenate([before[before >= 0], pos[has]])))
         return sym[alive].astype(np.uint32), np.bincount(word[alive], minlength=count)
 
-    def index_texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Numbers of each text's units; unknown units are remembered for ``learn``."""
-        index = self.index
-        return [np.array([index[u] for u in self._units(text)], dtype=np.int32) for text in texts]
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        return list(self.encode_texts(pa.array(texts, pa.string())))
+
+    def encode_texts(self, texts: pa.Array):
+        """Ids of each text (null: none), one after the other."""
+        numbers, units = self._numbered(pc.fill_null(texts.cast(pa.string()), ""))
+        flat, starts = self._encode_units(units)
+        return (_take(flat, starts, n) for n in numbers)
 
-    def _units(self, text: str) -> list[str]:
-        """Whole pretokens, joined where a single space shows where the next one begins.
+    def _numbered(self, texts: pa.Array) -> tuple[list[np.ndarray], "Units"]:
+        """Numbers of each text's units, and the units.
 
-        Where no two white-space characters meet, a space always starts a
-        pretoken, so the text can be cut there at no cost; the pattern then
-        runs once per distinct unit.  Other texts go through the pattern.
+        Where no two white-space characters meet, a space always begins a
+        pretoken, so the text can be cut there.  Other texts, and those with
+        special tokens, go through the pattern.
         """
-        if any(s in text for s in self.special):
-            return [u for part in self.special_split.split(text)
-                    for u in ([part] if part in self.special else self.pattern.findall(part))]
-        if _DOUBLE_SPACE(text):
-            return self.pattern.findall(text)
-        units = text.split(" ")
-        out = [" " + u for u in units]
-        out[0] = units[0]
-        return out if units[0] else out[1:]
-
-    def learn(self) -> None:
-        """Encode the units that came up since the last call."""
-        known = len(self.starts) - 1
-        if len(self.index) == known:
-            return
-        words, of, sizes = _Numbers(), [], []
-        for unit in islice(self.index, known, None):
-            # a run of ASCII letters, with or without a space before it, is one pretoken
-            if unit in self.special or unit.isascii() and (unit[1:] if unit[0] == " " else unit).isalpha():
-                of.append(words[unit])
-                sizes.append(1)
+        odd = pc.match_substring_regex(texts, _DOUBLE_SPACE)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        pieces = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        ends = np.cumsum(np.asarray(pc.list_value_length(pieces), dtype=np.int64))
+        coded = pieces.flatten().dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
+        first = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        bare, place = np.unique(codes[first], return_inverse=True)  # the first piece has no space before it
+        codes[first] = len(names) + place
+        cut = iter(np.split(codes, ends[:-1])) if len(ends) else iter(())
+        own, out = _Numbers(), []
+        offset = len(names) + len(bare)
+        for is_odd, text in zip(odd.to_pylist(), texts, strict=True):
+            if is_odd:
+                out.append(np.array([offset + own[w] for w in self._pretokens(text.as_py())], dtype=np.int64))
             else:
-                found = self.pattern.findall(unit)
-                of += [words[w] for w in found]
-                sizes.append(len(found))
-        flat, lens = self.encode_words([w for w in words if w not in self.special])
-        if any(w in self.special for w in words):
-            flat, lens = self._with_special(words, flat, lens)
-        starts = np.concatenate([[0], np.cumsum(lens)])
-        of, sizes = np.array(of, dtype=np.int64), np.array(sizes, dtype=np.int64)
-        unit_lens = np.add.reduceat(lens[of], np.cumsum(sizes) - sizes)
-        self.flat = np.concatenate([self.flat, _take(flat, starts, of)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(unit_lens)])
+                out.append(next(cut))
+        spaced = pc.binary_join_element_wise(" ", names, "")
+        return out, Units(pa.concat_arrays([spaced, names.take(pa.array(bare))]), list(own))
 
-    def ids_of(self, units: np.ndarray) -> np.ndarray:
-        return _take(self.flat, self.starts, units)
+    def _pretokens(self, text: str) -> list[str]:
+        if any(s in text for s in self.special):
+            return [w for part in self.special_split.split(text)
+                    for w in ([part] if part in self.special else self.pattern.findall(part))]
+        return self.pattern.findall(text)
+
+    def _encode_units(self, units: "Units") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after another, and where each one's begin (and the last one's end)."""
+        split = pc.extract_regex(units.cut, _WORD_AND_SIGN)
+        simple = np.asarray(split.is_valid())
+        fields = split.filter(pa.array(simple))
+        word = fields.field("word").dictionary_encode()
+        others = _Numbers()
+        parts = [[others[w] for w in self.pattern.findall(u)] for u in units.cut.filter(pa.array(~simple)).to_pylist()]
+        parts += [[others[w]] for w in units.whole]
+        signs = fields.field("sign")
+        sign = np.array([others[x] if x else -1 for x in _SIGNS], dtype=np.int64)[
+            np.asarray(pc.index_in(signs, pa.array(_SIGNS)))] if len(signs) else np.empty(0, dtype=np.int64)
+        known = len(word.dictionary)
+
+        sizes = np.zeros(len(units.cut) + len(units.whole), dtype=np.int64)
+        at_simple = np.flatnonzero(simple)
+        at_other = np.concatenate([np.flatnonzero(~simple), np.arange(len(units.cut), len(sizes))])
+        sizes[at_simple] = 1 + (sign >= 0)
+        sizes[at_other] = [len(p) for p in parts]
+        ends = np.cumsum(sizes)
+        of = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        begin = ends - sizes
+        of[begin[at_simple]] = word.indices.to_numpy()
+        of[begin[at_simple][sign >= 0] + 1] = known + sign[sign >= 0]
+        flat_others = np.array([known + w for p in parts for w in p], dtype=np.int64)
+        mine = sizes[at_other]
+        of[np.arange(len(flat_others)) + np.repeat(begin[at_other] - (np.cumsum(mine) - mine), mine)] = flat_others
+
+        words = pa.concat_arrays([word.dictionary.cast(pa.string()), pa.array(list(others), pa.string())])
+        flat, lens = self.encode_words(words)
+        if any(w in self.special for w in others):
+            flat, lens = self._with_special(words.to_pylist(), flat, lens)
+        starts = np.concatenate([[0], np.cumsum(lens)])
+        total = np.concatenate([[0], np.cumsum(lens[of])])
+        return _take(flat, starts, of), np.concatenate([[0], total[ends]])
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        self.forget()
-        units = self.index_texts(texts)
-        self.learn()
-        return [self.ids_of(u) for u in units]
-
-    def forget(self) -> None:
-        """Start afresh when the store of units has grown large."""
-        if len(self.index) > CACHE_WORDS:
-            self._reset()
-
-    def _with_special(self, fresh, flat, lens):
-        parts, out_lens, at, k = [], [], 0, 0
-        for w in fresh:
+    def _with_special(self, words: list[str], flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Special tokens, encoded like ordinary text so far, become their own id."""
+        parts = np.split(flat, np.cumsum(lens)[:-1])
+        for i, w in enumerate(words):
             if w in self.special:
-                parts.append(np.array([self.special[w]], dtype=np.uint32))
-                out_lens.append(1)
-            else:
-                parts.append(flat[at:at + lens[k]])
-                out_lens.append(lens[k])
-                at, k = at + lens[k], k + 1
-        return np.concatenate(parts), np.array(out_lens, dtype=np.int64)
+                parts[i] = np.array([self.special[w]], dtype=np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
@@ -293,30 +315,26 @@ def codec(name: str = VOCABULARY) -> Codec:
 def encoded(batches, vocabulary: str = VOCABULARY):
     """(id column, ids of each row) of the batches of a task.
 
-    Unit numbers of up to ``HELD_BYTES`` of text are held, then their new
-    units are encoded together and the ids of each batch are given out.
+    Up to ``HELD_BYTES`` of text are held and encoded together.
     """
     c = codec(vocabulary)
     held, size = [], 0
 
     def out():
-        c.learn()
-        for column, units in held:
-            yield column, (c.ids_of(u) for u in units)
+        rows = iter(c.encode_texts(pa.concat_arrays([texts for _, texts in held])) if held else ())
+        for column, texts in held:
+            yield column, islice(rows, len(texts))
 
     for whole in batches:
         for batch in chunks(whole, "text", CHUNK_BYTES):
-            if not held:
-                c.forget()
-            texts = texts_of(batch.column("text"))
-            held.append((batch.column("id"), c.index_texts(texts)))
-            size += sum(map(len, texts))
+            texts = batch.column("text").cast(pa.string())
+            held.append((batch.column("id"), texts))
+            size += pc.sum(pc.binary_length(texts)).as_py() or 0
             if size >= HELD_BYTES:
                 yield from out()
                 held, size = [], 0
     yield from out()
     del held
-    c.forget()
     pa.default_memory_pool().release_unused()  # the worker may go on with another operator
 
 
