@@ -1,11 +1,13 @@
 """Operators that work row by row: 1, 2, 3, 6, 8."""
 
 import hashlib
+import random
 import re
 import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -234,11 +236,17 @@ def test_bpe_table(spark):
     assert lists[7] == tok.encode("a" * 5000, add_special_tokens=False).ids
 
 
-def test_bpe_drops_its_store_when_large(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
-    c, tok = bpe.codec(), _library()
-    for t in ("one two three four five six", "seven  eight nine\n ten", "one two"):
-        assert c.encode_batch([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+def test_bpe_stretch_by_stretch(monkeypatch):
+    """Texts shared out over many stretches, with and without double spaces and special tokens, one long text among them."""
+    monkeypatch.setattr(bpe, "HELD_BYTES", 64)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 32)
+    tok = _library()
+    texts = ["one two three four five six", "seven  eight nine\n ten", None, "one two", "", "a<|endoftext|> b", "x " * 500, " lead", "trail ",
+             "don't, won't. 3.5%", "À la carte; ok: yes!", "日本語。 テスト", "a\u00a0 b", "x\u2003y z", "tab\there"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    got = [r.tolist() for _, rows in bpe.encoded([batch.slice(0, 20), batch.slice(20)]) for r in rows]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(bpe.encoded([])) == []
 
 
 # ---- 1: licenses
@@ -262,6 +270,101 @@ def test_license_wordings():
     assert [(f[0], f[2] > 0) for f in found(changed)] == [("MIT", True)]
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_TEXT = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """ *
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+APACHE_TEXT = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GNU_TEXT = """# This %s is free software%s you can redistribute it and/or modify
+# it under the terms of the GNU %s as published by
+# the Free Software Foundation%s either version %s of the License, or
+# (at your option) any later version."""
+PUBLISHED = {
+    MIT_TEXT: "MIT", BSD_TEXT: "BSD-2-Clause", BSD_TEXT + BSD_THIRD: "BSD-3-Clause", APACHE_TEXT: "Apache-2.0",
+    GNU_TEXT % ("program", ";", "General Public License", ";", "2"): "GPL-2.0",
+    GNU_TEXT % ("program", ":", "General Public License", ",", "3"): "GPL-3.0",
+    GNU_TEXT % ("library", ";", "Lesser General Public License", ";", "2.1"): "LGPL-2.1",
+    GNU_TEXT % ("program", ":", "Affero General Public License", ",", "3"): "AGPL-3.0",
+    "// SPDX-License-Identifier: MIT": "MIT", "/* SPDX-License-Identifier: GPL-3.0-or-later */": "GPL-3.0",
+    "Licensed under the GNU General Public License v3.0": "GPL-3.0",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "Licensed under the EUPL, Version 1.2": "EUPL-1.2",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0"}
+
+
+def test_license_texts_as_published():
+    s = license_scan.Scanner()
+    prose = "The council met in the town hall and spoke about the harbour, the school and the road to the north. "
+    for text, name in PUBLISHED.items():
+        for around in ("", prose * 60):
+            finds = s.scan(around + "\n\n" + text + "\n\n" + around)[1]
+            assert [f[0] for f in finds] == [name], (text, around[:5], finds)
+    both = list(PUBLISHED.items())
+    assert [f[0] for f in s.scan("\n\n".join(t for t, _ in both[:4]))[1]] == [n for _, n in both[:4]]
+
+
+def test_license_exact_wordings_by_brute_force():
+    """Every place where all words of a wording stand in a row lies in a find that differs no more."""
+    s = license_scan.Scanner()
+    rnd = random.Random(4)
+    noise = "the license of a public permission and under which software may be used by any person or by the board".split()
+    for _ in range(25):
+        chosen = [rnd.choice(s.templates) for _ in range(3)]
+        text = "\n\n".join(" ".join(rnd.choices(noise, k=rnd.randrange(80))) + "\n" + " ".join(t.words) for t in chosen) + "\n\nend"
+        spots = [(m.start(), m.end()) for m in license_scan._WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in spots]
+        finds = s.scan(text)[1]
+        for t in s.templates:
+            for i in range(len(words) - len(t.words) + 1):
+                if words[i:i + len(t.words)] == t.words:
+                    a, b = spots[i][0], spots[i + len(t.words) - 1][1]
+                    assert any(f[1] < b and f[2] > a for f in finds), (t.name, text)
+        for t in chosen:
+            assert t.name in {f[0] for f in finds}, (t.name, finds, text)
+
+
+def test_license_long_lines():
+    s = license_scan.Scanner()
+    notice = license_scan.TEMPLATES["Apache-2.0"][1]
+    for before in range(0, 4 * s.reach, s.reach // 3):  # wherever the notice lies to the border of a piece
+        text = ("license " * 2000)[:before] + " " + notice + " " + "license " * 1500
+        assert "Apache-2.0" in [f[0] for f in s.scan(text)[1]], before
+
+
 def test_license_every_notice_of_a_line():
     s = license_scan.Scanner()
 

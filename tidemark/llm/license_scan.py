@@ -1,22 +1,30 @@
 """License scan by conditional compression (operator 1).
 
-1. An Aho-Corasick pass finds cue words; the line around a cue, and the
-   paragraph around it where that is longer, are candidate blocks.
-2. Every template is compared word by word with each stretch of the block that
-   holds enough of its words, whatever their order.  A place is confirmed if
-   at least ``LEAST_KEPT`` of the template's words stand there in order, and no
-   more words than ``MOST_EXTRA`` of it are put in between.  The differences
-   are part of the result.  What the places taken leave is searched again until
-   nothing more is confirmed.
-3. The text of a place is compressed alone and with its template as a raw
-   zstandard dictionary; the bytes saved are the evidence given with it.
-
-Rows are independent; a hot line (one notice in a third of all documents) is
-decided once per task and remembered.
-
-Defined results: a null or empty text has no block; offsets are code points,
-end exclusive; overlapping finds keep the one that explains most words, ties
-by template id; repeated rows give repeated results.
+1. An Aho-Corasick pass finds cue words.  The text around a cue, far enough on
+   either side for the longest template, is a candidate block, over line ends
+   and blank lines; blocks that meet are one.
+2. A block's words are compressed alone and with every template as a raw
+   zstandard dictionary.  Templates are ranked by the bytes they save, templates that
+   save none are out.
+3. In that order the templates are confirmed by exact wording differences: a
+   place counts if at least ``LEAST_KEPT`` of the template's words stand there
+   in order with no more words than ``MOST_EXTRA`` of it put in between, and
+   no number of the template is missing.  The first one confirmed wins; of
+   those whose savings come near its own (``NEAR``: neighbours in the block
+   move the sizes by a few bytes) the one with fewest differences.  The
+   differences are part of the result.
+4. What the winner's place leaves on either side is ranked again, until
+   nothing more is confirmed.  No number of templates or finds is fixed.
+
+Every template holds a cue (checked when a scanner is made), so none is out of
+reach.  A block longer than ``PIECE`` times the reach is searched in pieces
+that overlap by the reach, so no notice is cut in all of them.
+
+Rows are independent.  Defined results: a null or empty text has no block; an
+empty table gives an empty result; very long texts and lines are searched
+whole; offsets are code points, end exclusive; overlapping finds of two
+pieces keep the one that explains most words, ties by template id; repeated
+rows give repeated results; other columns, of whatever name, are left alone.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -35,10 +44,12 @@ from pyspark.sql import DataFrame
 from .common import chunks, texts_of
 
 CHUNK_BYTES = 8 << 20
-LONGEST_BLOCK = 6000  # characters of a paragraph that is tried as one block; longer ones are cut into such blocks
 LEAST_KEPT = 0.85
 MOST_EXTRA = 0.25
-REMEMBERED = 50_000
+MARKUP = 1.5  # room for comment signs, indents and line ends in a notice, times its own length
+PIECE = 4
+LEVEL = 3
+NEAR = 0.9, 8  # savings of at least this share of the winner's, less so many bytes
 
 # Names and customary wording of public licenses.
 TEMPLATES = {
@@ -97,88 +108,179 @@ TEMPLATES = {
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, '
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+        "Software is furnished to do so",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "EUPL-1.2": ("Licensed under the EUPL, Version 1.2",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
+    "Zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions",
+    ),
+}
+# Further customary wordings, longer forms of those above and the notices of the GNU licenses.
+_BSD_2 = TEMPLATES["BSD-2-Clause"][1]
+_GNU = ("This {work} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} as "
+        "published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.")
+MORE = {
+    "BSD-3-Clause": (
+        _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+    ),
+    "GPL-2.0": (_GNU.format(work="program", stop=";", name="General Public License", comma=";", version="2"),),
+    "LGPL-2.1": (_GNU.format(work="library", stop=";", name="Lesser General Public License", comma=";", version="2.1"),),
+    "LGPL-3.0": (_GNU.format(work="library", stop=":", name="Lesser General Public License", comma=",", version="3"),),
+    "AGPL-3.0": (_GNU.format(work="program", stop=":", name="Affero General Public License", comma=",", version="3"),),
 }
+# Names of the licenses in statements like "under the ...".
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License v3.0", "GNU AGPL v3"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "EUPL-1.2": ("European Union Public Licence 1.2",),
+    "GPL-2.0": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GNU GPL v2"),
+    "GPL-3.0": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GNU GPL v3"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+}
+
+
+def wordings(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> dict[str, tuple[str, ...]]:
+    """All wordings by license: the templates, statements by name, and the identifier line."""
+    out = {name: list(texts) for name, texts in templates.items()}
+    for name, texts in MORE.items():
+        out.setdefault(name, []).extend(texts)
+    for name, known in NAMES.items():
+        out.setdefault(name, []).extend(f"licensed under the {n}" for n in known)
+        out[name].extend(f"under the {n}" for n in known if "licen" in n.lower() and len(n.split()) > 1)
+    for name in out:
+        out[name].append(f"SPDX-License-Identifier: {name}")
+        if "GPL-" in name:
+            out[name] += [f"SPDX-License-Identifier: {name}-{kind}" for kind in ("only", "or-later")]
+    return {name: tuple(dict.fromkeys(texts)) for name, texts in out.items()}
+
+
 CUES = ("license", "licence", "licensed", "permission", "redistribution", "public domain", "creative commons", "cc by")
 
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
+def _packed(words: list[str]) -> bytes:
+    """What is compressed: the words alone, so that line ends, comment signs and case don't count."""
+    return " ".join(words).encode("utf-8", "surrogatepass")
+
+
+class Template(NamedTuple):
+    name: str
+    words: list[str]
+    counts: Counter
+    need: float
+    packer: zstandard.ZstdCompressor
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
+    def __init__(self, templates: dict[str, tuple[str, ...]] | None = None):
+        templates = wordings() if templates is None else templates
         self.cues = ahocorasick.Automaton()
         for cue in {v for c in CUES for v in (c, c.upper(), c.title(), c.capitalize())}:
             self.cues.add_word(cue, len(cue))
         self.cues.make_automaton()
-        self.templates = []
-        for name, wordings in sorted(templates.items()):
-            for wording in wordings:
-                raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                wanted = [w.lower() for w in _WORD.findall(wording)]
-                self.templates.append((name, wanted, Counter(wanted), zstandard.ZstdCompressor(level=9, dict_data=raw)))
-        self.plain = zstandard.ZstdCompressor(level=9)
-        self.known: dict[str, list[tuple]] = {}
+        self.templates: list[Template] = []
+        longest = 0
+        for name, texts in sorted(templates.items()):
+            for wording in texts:
+                if not any(c in wording.lower() for c in CUES):
+                    raise ValueError(f"a wording of {name} holds no cue: {wording[:60]}")
+                words = [w.lower() for w in _WORD.findall(wording)]
+                raw = zstandard.ZstdCompressionDict(_packed(words), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(level=LEVEL)
+                self.templates.append(Template(name, words, Counter(words), LEAST_KEPT * len(words),
+                                               zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)))
+                longest = max(longest, len(wording))
+        self.plain = zstandard.ZstdCompressor(level=LEVEL)
+        self.reach = math.ceil(longest * (1 + MOST_EXTRA) * MARKUP)
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Lines with a cue, and their paragraphs in blocks of at most LONGEST_BLOCK characters."""
-        lines, paragraphs = {}, {}
-        end_line = end_par = -1
+        """The text within reach of a cue, long stretches as overlapping pieces."""
+        stretches: list[list[int]] = []
         for last, _ in self.cues.iter(text):
-            if last < end_line:
-                continue
-            start = text.rfind("\n", 0, last + 1) + 1
-            end_line = text.find("\n", last)
-            end_line = len(text) if end_line < 0 else end_line
-            lines[start, end_line] = None
-            if last >= end_par:
-                p = text.rfind("\n\n", 0, start + 1)
-                p = 0 if p < 0 else p + 2
-                end_par = text.find("\n\n", last)
-                end_par = len(text) if end_par < 0 else end_par
-            if (p, end_par) != (start, end_line):
-                first = max(p, start - LONGEST_BLOCK // 4)
-                paragraphs[first, min(end_par, first + LONGEST_BLOCK)] = None
-        return [*self._pieces(lines), *paragraphs]
-
-    def _pieces(self, lines):
-        """Lines; a longer one as overlapping pieces, so that no wording is cut in all of them."""
-        for s, e in lines:
-            for at in range(s, max(s + 1, e - LONGEST_BLOCK // 2), LONGEST_BLOCK // 2):
-                yield at, min(e, at + LONGEST_BLOCK)
+            start, end = max(0, last - self.reach), min(len(text), last + self.reach)
+            if stretches and start <= stretches[-1][1]:
+                stretches[-1][1] = end
+            else:
+                stretches.append([start, end])
+        out = []
+        for start, end in stretches:
+            at = start
+            while end - at > PIECE * self.reach:
+                out.append((at, at + PIECE * self.reach))
+                at += (PIECE - 1) * self.reach
+            out.append((at, end))
+        return out
+
+    def ranked(self, raw: bytes) -> list[tuple[int, int]]:
+        """(bytes saved, template) of all templates that save any, best first."""
+        alone = len(self.plain.compress(raw))
+        saved = ((alone - len(t.packer.compress(raw)), i) for i, t in enumerate(self.templates))
+        return sorted((s for s in saved if s[0] > 0), key=lambda s: (-s[0], s[1]))
 
     def judge(self, block: str) -> list[tuple]:
         """Confirmed templates of a block: (name, start, end, saved per mille, missing, extra, words)."""
-        found = self.known.get(block)
-        if found is not None:
-            return found
         spots = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         words = [block[s:e].lower() for s, e in spots]
         found, left = [], [(0, len(words))]
         while left:
             low, high = left.pop()
-            tried = sorted((2 * missing + extra - len(t[1]), i, first, last, missing, extra)
-                           for i, t in enumerate(self.templates)
-                           for first, last, missing, extra in self._places(words, low, high, t[1], t[2]))
-            taken: list[tuple] = []
-            for f in tried:
-                if all(f[3] < b[2] or f[2] > b[3] for b in taken):
-                    taken.append(f)
-            for _, i, first, last, missing, extra in taken:
+            if low >= high:
+                continue
+            held = Counter(words[low:high])
+            best, best_saved = None, 0
+            for saved, i in self.ranked(_packed(words[low:high])):
+                if best and saved < NEAR[0] * best_saved - NEAR[1]:
+                    break
+                t = self.templates[i]
+                if sum(min(n, held[w]) for w, n in t.counts.items()) < t.need:
+                    continue  # not confirmed: too few of its words are there at all
+                for first, last, missing, extra in self._places(words, low, high, t.words, t.counts):
+                    key = (2 * missing + extra - len(t.words), i, first)
+                    best_saved = best_saved or saved
+                    if best is None or key < best[0]:
+                        best = key, i, first, last, missing, extra
+            if best:
+                _, i, first, last, missing, extra = best
                 start, end = spots[first][0], spots[last][1]
-                found.append((self.templates[i][0], start, end, self._saved(block[start:end], i), missing, extra,
-                              len(self.templates[i][1])))
-            if len(taken) < len(tried):  # a place that gave way may have another one beside it
-                taken.sort(key=lambda f: f[2])
-                left += zip([low, *(f[3] + 1 for f in taken)], [*(f[2] for f in taken), high])
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[block] = found
+                t = self.templates[i]
+                found.append((t.name, start, end, self._saved(words[first:last + 1], t), missing, extra, len(t.words)))
+                left += (low, first), (last + 1, high)
         return found
 
-    def _saved(self, text: str, i: int) -> int:
-        """Bytes that template ``i`` saves on a text, per mille."""
-        raw = text.encode("utf-8", "surrogatepass")
+    def _saved(self, words: list[str], t: Template) -> int:
+        """Bytes that a template saves on the words of its place, per mille."""
+        raw = _packed(words)
         alone = len(self.plain.compress(raw))
-        return 1000 * (alone - len(self.templates[i][3].compress(raw))) // alone
+        return 1000 * (alone - len(t.packer.compress(raw))) // alone
 
     def _places(self, words: list[str], low: int, high: int, wanted: list[str], counts: Counter) -> list[tuple]:
         """All places of a wording in words[low:high], none over another: (first, last, missing, extra)."""
