@@ -177,6 +177,49 @@ def test_main_text_in_sections():
                              f"<div>Bare words<div>{first}</div></div>") == "\n".join([more, "Bare words", *many])
 
 
+PARAGRAPH = ("<p>The council met in the town hall, and it spoke about the harbour, the school, and the road to the north of "
+             "the town at length.</p>")
+MENU = "<ul class=menu><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
+SIDEBAR = "<div class=sidebar><p>Buy our things, they are cheap.</p></div>"
+WHOLE_ARTICLES = {  # page -> paragraphs of the article
+    f'<body>{MENU}<div class="content has-sidebar">{PARAGRAPH * 4}{SIDEBAR}</div></body>': 4,
+    f'<body>{MENU}<div id="page" class="no-sidebar">{PARAGRAPH * 4}</div></body>': 4,
+    f'<body>{MENU}<div class="share-price-report">{PARAGRAPH * 4}</div></body>': 4,
+    f'<body>{MENU}<div class="promo">{PARAGRAPH * 4}</div></body>': 4,
+    f'<body><form id="aspnetForm"><input type=text name=q><select><option>one</select>{MENU}<div>{PARAGRAPH * 4}</div>'
+    '<button>Go</button></form></body>': 4,
+    f'<article>{PARAGRAPH * 4}<div class="related-work"><h2>Related work</h2>{PARAGRAPH * 2}</div></article>': 6,
+    f'<article>{PARAGRAPH * 3}<fieldset><legend>Terms</legend>{PARAGRAPH}</fieldset></article>': 4,
+    f'<body><div id=post>{PARAGRAPH * 3}</div><div id="comments">{PARAGRAPH * 20}</div>'
+    '<form class="comment-form"><p>Leave a reply</p><textarea></textarea></form></body>': 3,
+    f'<body><form class=search><label>Search</label><input></form><div>{PARAGRAPH * 3}</div><div class="site-footer">{PARAGRAPH}</div></body>': 3,
+    f'<body><header>{MENU}</header><div>{PARAGRAPH * 3}</div></body>': 3,
+    '<body><div class="footer">Copyright by us. All rights.</div></body>': 0,
+}
+
+
+@pytest.mark.parametrize("page,paragraphs", WHOLE_ARTICLES.items())
+def test_main_text_loses_no_article(page, paragraphs):
+    text = main_text.extract(page)
+    assert text.count("The council met") == paragraphs
+    for furniture in ("Home", "Buy our", "one", "Go", "Leave a reply", "Search", "Copyright"):
+        assert furniture not in text
+
+
+def test_main_text_keeps_formulas():
+    page = f"<article>{PARAGRAPH}<p>We have <math><mi>a</mi><mo>=</mo><mn>2</mn></math> here, as shown before.</p></article>"
+    assert main_text.extract(page).endswith("We have a=2 here, as shown before.")
+
+
+def test_main_text_of_odd_rows(spark):
+    schema = "page_id long, url string, html string"
+    rows = [(1, "u", None), (None, None, f"<article>{PARAGRAPH}</article>"), (2, "v", ""), (2, "v", ""), (3, "w", "<p>" * 5000 + "x")]
+    got = main_text.extract_pages(with_clashes(frame(spark, rows, schema))).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in got) == [
+        (0, "", len(PARAGRAPH) - 7), (1, "u", 0), (2, "v", 0), (2, "v", 0), (3, "w", 1)]
+    assert main_text.extract_pages(frame(spark, [], schema)).count() == 0
+
+
 def test_main_text_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = pages.collect()

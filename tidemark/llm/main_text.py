@@ -7,14 +7,25 @@ discounted by its link density.  The best container is kept; an article or
 main element around it is taken whole.  What stands beside it or beside one of
 its ancestors is kept too, unless at least ``MOST_LINKED`` of its text is in
 links (an unnamed menu); of such an element, the parts under that share that
-are long enough for a paragraph stay.  Elements that are furniture by tag,
-role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments) give neither points nor text.
+are long enough for a paragraph stay.
+
+Furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+comments) gives neither points nor text.  Some tags and roles are furniture
+whatever they hold.  Names only mark a candidate: a class or id token that is
+a furniture name, alone or with words for boxes or at its end, marks it
+strongly, one that merely holds such a name (``share-price-report``) weakly,
+``has-sidebar`` and the like not at all.  A strongly marked element, a header,
+a form and a fieldset with controls are furniture unless they hold most of
+the page's unlinked text; a weakly marked one is furniture if it is short or
+mostly links.  A form around the page thus loses its controls, not its
+paragraphs.  Comments stay furniture however long they are.
 
 Defined results: null or empty html gives an empty text; unclosed and stray
 tags are tolerated; character references are decoded once; white space inside
-a block is one space; blocks are joined in page order by a line feed.
-Rows are independent, so no shuffle.
+a block is one space; blocks are joined in page order by a line feed.  Very
+long pages are read whole; repeated rows give repeated results; an empty table
+gives an empty result; other columns, of whatever name, are left alone.  Rows
+are independent, so no shuffle.
 """
 
 from __future__ import annotations
@@ -32,12 +43,14 @@ CHUNK_BYTES = 8 << 20
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg annotation".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split())
+    "span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover "
+    "munder munderover semantics mstyle mspace mpadded".split())
 FURNITURE_TAGS = frozenset(
-    "nav footer aside form button select dialog menu header head object audio video canvas fieldset".split())
+    "nav footer aside button select dialog menu head object audio video canvas".split())
+CONTROLS = frozenset("input select textarea button".split())
 FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 FURNITURE_NAMES = frozenset(
@@ -46,6 +59,12 @@ FURNITURE_NAMES = frozenset(
     "disqus respond replies cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social related recommended recommendations widget widgets "
     "pagination pager toolbar skip".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies".split())
+# Words for boxes beside a name, and words that turn a name round.
+BOX_WORDS = frozenset(
+    "area bar block bottom box buttons container content entry fixed form group holder inline inner item items left links list "
+    "main outer page panel posts right row section site slot small sticky text top unit wrap wrapper".split())
+TURNING_WORDS = frozenset("has no not non with without hide show is".split())
 NEVER_BY_NAME = frozenset("html body article main".split())
 CLOSED_BY = {  # an open element of the key is closed by the start of these
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -57,6 +76,8 @@ LEAST_PARAGRAPH = 25
 SIBLING_SHARE = 0.2
 LEAST_SIBLING = 10.0
 MOST_LINKED = 0.5
+MOST_OF_PAGE, LEAST_OF_PAGE = 0.5, 250  # share of the page's unlinked text, and characters, that show a marked element holds the text
+SHORT, LINKED = 120, 0.3  # a weakly marked element up to this size, or with this share of links, is furniture
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -67,38 +88,86 @@ _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Node:
-    __slots__ = ("commas", "furniture", "kept", "links", "parent", "points", "size", "tag")
+    __slots__ = ("commas", "controls", "furniture", "kept", "links", "mark", "parent", "points", "size", "tag")
+
+    def __init__(self, tag: str, parent: _Node | None, mark: str):
+        self.tag, self.parent, self.mark = tag, parent, mark
+        self.furniture = mark == "always" or parent is not None and parent.furniture
+        self.points, self.size, self.links, self.commas, self.controls, self.kept = 0.0, 0, 0, 0, 0, False
 
-    def __init__(self, tag: str, parent: _Node | None, furniture: bool):
-        self.tag, self.parent, self.furniture = tag, parent, furniture
-        self.points, self.size, self.links, self.commas, self.kept = 0.0, 0, 0, 0, False
 
+def _mark_of_names(value: str, in_article: bool) -> str:
+    found = ""
+    for token in value.split():
+        words = [w.lower() for w in _NAMES.findall(token)]
+        if in_article:
+            words = [w for w in words if w != "header"]
+        if not FURNITURE_NAMES.intersection(words) or TURNING_WORDS.intersection(words):
+            continue
+        if words[-1] not in FURNITURE_NAMES and not all(w in FURNITURE_NAMES or w in BOX_WORDS for w in words):
+            found = found or "weak"
+        elif COMMENT_NAMES.intersection(words):
+            return "comments"
+        else:
+            found = "strong"
+    return found
 
-def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
+
+def _mark(tag: str, attrs: str, in_article: bool) -> str:
+    """always, comments, strong, controls, weak, or nothing."""
     if tag in FURNITURE_TAGS:
-        return not (tag == "header" and in_article)
-    if not attrs:
-        return False
+        return "always"
+    found = "controls" if tag == "fieldset" else "strong" if tag == "form" or tag == "header" and not in_article else ""
     for m in _ATTR.finditer(attrs):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "always"
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return "always"
         if name == "role" and value.lower() in FURNITURE_ROLES:
-            return True
+            if value.lower() != "form":
+                return "always"
+            found = "strong"
         if name in ("class", "id") and tag not in NEVER_BY_NAME:
-            words = {w.lower() for w in _NAMES.findall(value)}
-            if in_article:
-                words.discard("header")
-            if words & FURNITURE_NAMES:
-                return True
-    return False
+            named = _mark_of_names(value, in_article)
+            if named == "comments" or named and not found or named == "strong":
+                found = named
+    return found
+
+
+def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Decide which marked elements are furniture."""
+    if not any(n.mark not in ("", "always") for n in nodes):
+        return
+    size, links = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0)
+    for holder, text, linked in blocks:
+        size[holder] += len(text)
+        links[holder] += linked
+    aside = 0
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent is not None:
+            size[node.parent] += size[node]
+            links[node.parent] += links[node]
+            node.parent.controls += node.controls
+    for node in nodes:
+        if node.mark == "comments" and not node.furniture:
+            node.furniture = True
+            aside += size[node] - links[node]
+        node.furniture = node.furniture or node.parent is not None and node.parent.furniture
+    whole = size[nodes[0]] - links[nodes[0]] - aside
+    for node in nodes:  # parents come before their children
+        if node.parent is not None and node.parent.furniture:
+            node.furniture = True
+        elif node.mark == "weak":
+            node.furniture = size[node] <= SHORT or links[node] >= LINKED * size[node]
+        elif node.mark == "strong" or node.mark == "controls" and node.controls:
+            own = size[node] - links[node]
+            node.furniture = own < LEAST_OF_PAGE or own <= MOST_OF_PAGE * whole
 
 
 def _tree(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     """Nodes in page order, and blocks: (element, text, characters inside links)."""
-    root = _Node("html", None, False)
+    root = _Node("html", None, "")
     nodes, blocks, stack, open_tags = [root], [], [root], Counter()
     parts: list[str] = []
     held_links = articles = anchors = 0
@@ -148,13 +217,15 @@ def _tree(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                 pop_to(tag)
             continue
         if tag in RAW:
-            if not attrs.endswith("/") or tag not in ("svg", "math"):
+            stack[-1].controls += tag == "textarea"
+            if not attrs.endswith("/") or tag != "svg":
                 shut = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
                 at = shut.end() if shut else end if tag in ("script", "style", "textarea", "xmp") else at
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
+            stack[-1].controls += tag == "input"
             continue
         if tag not in INLINE:
             flush()
@@ -168,7 +239,8 @@ def _tree(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             if tag in ("html", "body") and len(nodes) < 3 and tag == "html":
                 continue
         above = stack[-1]
-        node = _Node(tag, above, above.furniture or _is_furniture(tag, attrs, articles > 0))
+        node = _Node(tag, above, _mark(tag, attrs, articles > 0))
+        node.controls += tag in CONTROLS
         nodes.append(node)
         stack.append(node)
         open_tags[tag] += 1
@@ -183,6 +255,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     nodes, blocks = _tree(page)
+    _settle(nodes, blocks)
     blocks = [b for b in blocks if not b[0].furniture]
     if not blocks:
         return ""
