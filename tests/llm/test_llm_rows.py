@@ -133,6 +133,31 @@ def test_language_unknown_letters_go(spark):
     assert {r["lang_pred"] for r in language_id.predict(df.where("doc_id in (50, 51)"), model).collect()} == {"de"}
 
 
+def test_language_numerals_are_no_letters():
+    scorer = language_id.Scorer(language_id.Model([("de", "und", 3), ("en", "and", 3)], [("de", "u", 3), ("en", "a", 3)]))
+    langs, scores = scorer.predict(["½", "² ½", "Ⅷ", "12 _ ٣", "and ½", "ªnd"])
+    assert langs[:4] == ["und"] * 4 and scores[:4] == [0.0] * 4 and langs[4] == "en" and langs[5] != "und"
+
+
+def test_language_ranks_in_parts(spark):
+    """Ranked inside parts first: the same rows as by one window over a language with most of the rows."""
+    rows = [("de" if i % 5 else "en", f"w{i % 97}", i % 11) for i in range(700)]
+    counts = frame(spark, rows, "lang string, item string, n long").groupBy("lang", "item").agg({"n": "sum"}).toDF("lang", "item", "n")
+    got = sorted(map(tuple, language_id._most_frequent(counts, ["lang"], 20).collect()))
+    all_rows = list(map(tuple, counts.collect()))
+    want = [r for lang in ("de", "en") for r in sorted((r for r in all_rows if r[0] == lang), key=lambda r: (-r[2], r[1]))[:20]]
+    assert got == sorted(want)
+    assert language_id._most_frequent(counts, ["lang"], None).count() == len(all_rows)
+
+
+def test_language_limits_change_no_prediction(spark):
+    docs = documents(spark)
+    texts = [r.text for r in docs.select("text").collect()]
+    one = language_id.Scorer(language_id.train(docs)).predict(texts)[0]
+    two = language_id.Scorer(language_id.train(docs, kept_words=None, kept_grams=None)).predict(texts)[0]
+    assert one == two
+
+
 def test_language_backoff_by_hand():
     m = language_id.Scorer(language_id.Model([("a", "foo", 3), ("b", "bar", 1)],
                           [("a", "fo", 2), ("b", "ba", 2), ("a", "f", 1), ("b", "b", 1), ("a", "o", 1)]))

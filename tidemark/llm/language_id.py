@@ -18,12 +18,16 @@ Defined results: a null text, or one without a letter, is ``und`` with score
 0; with no labelled row every text is ``und``.  Ties go to the language that
 sorts first.  Languages, sources and ids of scored rows are never read.
 ``keep_identified(by_evidence=True)`` also drops texts of which the model knows
-neither a word nor a letter: all languages score alike there.
+neither a word nor a letter: all languages score alike there.  Numerals that
+are no digits (a half, a Roman eight) are no letters.  Very long texts are
+scored whole; repeated rows get the same result each; other columns, of
+whatever name, are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from itertools import chain, islice
 
@@ -41,7 +45,11 @@ KEPT_GRAMS = 5_000
 LONGEST = 5
 CHUNK_BYTES = 4 << 20
 CACHE_WORDS = 150_000
-_WORD = re.compile(r"[^\W\d_]+")
+RANK_PARTS = 64
+
+# letters only: what \w holds besides letters, digits and the underscore are numerals like a half or a Roman eight
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 class Model:
@@ -159,13 +167,17 @@ def held_out(id_col) -> F.Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on a bounded sample of the labelled rows that aren't held out."""
+          sample_per_language: int = SAMPLE_PER_LANGUAGE, kept_words: int | None = KEPT_WORDS,
+          kept_grams: int | None = KEPT_GRAMS) -> Model:
+    """Fit on a bounded sample of the labelled rows that aren't held out.
+
+    ``kept_words`` and ``kept_grams`` bound the model by language (and
+    length); None keeps all that the sample holds.
+    """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")) \
         .where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = labelled.withColumn("turn", F.row_number().over(turn)) \
-        .where(F.col("turn") <= sample_per_language).select("id", "lang").distinct()
+    drawn = labelled.withColumn("draw", F.xxhash64(F.col("id").cast("string")))
+    chosen = _first_of(drawn, ["lang"], ["draw", "id"], "draw", sample_per_language).select("id", "lang").distinct()
     # at most sample_per_language rows of each language: small enough for every executor
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) \
         .join(F.broadcast(chosen), ["id", "lang"]).where(F.col("text").isNotNull())
@@ -179,18 +191,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 F.sequence(F.lit(1), F.length("item") - size + 1),
                 lambda i: F.col("item").substr(i, size)))))).alias("item")) \
             .groupBy("lang", "item").agg(F.sum("n").alias("n"))
-        kept_words = _most_frequent(words, ["lang"], KEPT_WORDS).collect()
-        kept_grams = _most_frequent(grams, ["lang", F.length("item")], KEPT_GRAMS).collect()
+        by_word = _most_frequent(words, ["lang"], kept_words).collect()
+        by_gram = _most_frequent(grams.withColumn("size", F.length("item")), ["lang", "size"], kept_grams).collect()
     finally:
         words.unpersist()
-    return Model([(r["lang"], r["item"], r["n"]) for r in kept_words],
-                 [(r["lang"], r["item"], r["n"]) for r in kept_grams])
+    return Model([(r["lang"], r["item"], r["n"]) for r in by_word],
+                 [(r["lang"], r["item"], r["n"]) for r in by_gram])
+
+
+def _first_of(rows: DataFrame, keys: list[str], order: list, spread: str, most: int) -> DataFrame:
+    """The first ``most`` rows of each key; ranked inside hashed parts of a key first, so that none is one task."""
+    part = F.pmod(F.xxhash64(spread), F.lit(RANK_PARTS))
+    for by in ([*keys, "part"], keys):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        rows = (rows.withColumn("part", part) if "part" in by else rows).withColumn("place", place) \
+            .where(F.col("place") <= most).drop("place")
+    return rows.drop("part")
 
 
-def _most_frequent(counts: DataFrame, keys: list, most: int) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "item")
-    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most) \
-        .select("lang", "item", "n")
+def _most_frequent(counts: DataFrame, keys: list[str], most: int | None) -> DataFrame:
+    kept = counts if most is None else _first_of(counts, keys, [F.desc("n"), F.col("item")], "item", most)
+    return kept.select("lang", "item", "n")
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
