@@ -56,7 +56,18 @@ def crawl_links(seeds: DataFrame, links: DataFrame, max_depth: int = DEFAULT_MAX
     ``seeds(site, seed_url, disallowed ARRAY<STRING>)``; ``links(url, pos,
     target)`` keyed by the *normalized* page URL (a missing page has no
     links).  Output ``(site, rank, url, depth, source='crawl')``.
+
+    Columns ``max_depth`` and ``max_urls`` of the seeds set a site's own
+    limits; a site goes on to the next level only below its depth and while
+    it has room.  The arguments hold where there is no such column.
     """
+    own = [c for c in ("max_depth", "max_urls") if c in seeds.columns]
+    if own:
+        seeds = seeds.withColumns({c: F.col(c).cast("int") if c in own else F.lit(v)
+                                   for c, v in (("max_depth", max_depth), ("max_urls", max_urls))})
+        most = seeds.agg(F.max("max_depth").alias("depth"), F.max("max_urls").alias("urls")).first()
+        max_depth, max_urls = most.depth or 0, most.urls or 0
+    limits = seeds.select("site", F.col("max_depth").alias("_most_depth"), F.col("max_urls").alias("_most_urls")) if own else None
     if checkpoint:
         # the link table is read once per level: materialize it once
         links = cut_lineage(links.select("url", "pos", "target"))
@@ -99,14 +110,24 @@ def crawl_links(seeds: DataFrame, links: DataFrame, max_depth: int = DEFAULT_MAX
                       .withColumn("rank", F.col("rank") + F.coalesce(F.col("_prev"), F.lit(0))).drop("_prev"))
         emitted = ranked.filter(F.col("rank") <= max_urls).select(
             "site", "rank", "url", F.lit(depth).alias("depth"))
+        goes_on = emitted
+        if limits is not None:
+            emitted = emitted.join(limits, "site").filter((F.col("rank") <= F.col("_most_urls")) & (F.col("depth") <= F.col("_most_depth")))
+            emitted = cut_lineage(emitted) if checkpoint else emitted
+            full = emitted.filter(F.col("rank") >= F.col("_most_urls")).select("site").distinct()
+            goes_on = emitted.filter(F.col("depth") < F.col("_most_depth")).join(full, "site", "left_anti")
+            emitted = emitted.select("site", "rank", "url", "depth")
         emitted_all = emitted if emitted_all is None else emitted_all.unionByName(emitted)
-        frontier = emitted.select("site", "url", F.col("rank").alias("parent_rank"))
+        frontier = goes_on.select("site", "url", F.col("rank").alias("parent_rank"))
     return emitted_all.withColumn("source", F.lit("crawl"))
 
 
-def discover(entries: DataFrame, crawled: DataFrame, max_urls: int = DEFAULT_MAX_URLS) -> DataFrame:
+def discover(entries: DataFrame, crawled: DataFrame, max_urls: int = DEFAULT_MAX_URLS,
+             limits: DataFrame | None = None) -> DataFrame:
     """Sitemap entries when a site has any, else the crawl; first ``max_urls``.
 
+    ``limits(site, max_urls)`` sets a site's own limit, at most ``max_urls``.
+
     ``entries(site, pos, url)`` (deduplicated sitemap), ``crawled(site, rank,
     url, depth)``.  Sitemap pages get no skip/disallow/same-site filter.
     """
@@ -116,4 +137,8 @@ def discover(entries: DataFrame, crawled: DataFrame, max_urls: int = DEFAULT_MAX
         "site", "rank", "url", "depth", F.lit("crawl").alias("source"))
     both = sm.unionByName(cr)
     w = Window.partitionBy("site").orderBy("rank")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_urls)
+    first = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_urls)
+    if limits is None:
+        return first
+    return first.join(limits.select("site", F.col("max_urls").alias("_most")), "site") \
+        .filter(F.col("rank") <= F.col("_most")).drop("_most")

@@ -270,35 +270,38 @@ seeds AS (SELECT site, 'https://' || site || '/n/1' AS url, count(*) AS n FROM n
 dis AS (SELECT site, '/n/3' AS prefix FROM seeds UNION ALL SELECT site, '/n' FROM seeds WHERE n % 4 = 0)"""
 
 
-def _skip_sql(t: str) -> str:
+def _skip_sql(t: str, host: str = "{t}.site") -> str:
     path = O.u_path(f"{t}.url")
     asset = O.q("(?i)[.](" + "|".join(U.ASSET_SUFFIXES) + ")$")
     acct = O.q("(?i)(" + "|".join(U.ACCOUNT_WORDS) + ")")
-    return (f"({O.u_site(f'{t}.url')} <> {t}.site OR regexp_matches({path}, {asset}) OR regexp_matches({path}, {acct}) "
+    return (f"({O.u_site(f'{t}.url')} <> {host.format(t=t)} OR regexp_matches({path}, {asset}) OR regexp_matches({path}, {acct}) "
             f"OR EXISTS (SELECT 1 FROM dis WHERE dis.site = {t}.site AND starts_with({path}, dis.prefix)))")
 
 
-def crawl_sql(max_urls: int = 50, graph: str | None = None) -> str:
-    def level(prev_emit: str, visited: str, name: str, depth: int, offset: str) -> str:
+def crawl_levels_sql(depth: int, max_urls: str | int, host: str = "{t}.site") -> str:
+    """The crawl level by level over ``seeds``, ``links`` and ``dis``; ``max_urls`` and ``host`` may be expressions."""
+    def level(d: int) -> str:
+        emitted = " UNION ALL ".join(f"SELECT site FROM l{i}_e" for i in range(d))
+        popped = " UNION ALL ".join(f"SELECT site, url FROM l{i}_s" for i in range(d))
         return f"""
-{name}_c AS (SELECT e.site, e.rank AS parent_rank, l.pos, l.target AS url
-             FROM {prev_emit} e JOIN links l ON l.url = e.url),
-{name}_m AS (SELECT site, url, min((parent_rank, pos)) AS o FROM {name}_c c
-             WHERE NOT EXISTS (SELECT 1 FROM {visited} v WHERE v.site = c.site AND v.url = c.url) GROUP BY site, url),
-{name}_s AS (SELECT m.*, {_skip_sql('m')} AS skip FROM {name}_m m),
-{name}_e AS (SELECT site, url, {depth} AS depth, rank FROM (
+cv{d} AS ({popped}),
+cn{d} AS (SELECT site, count(*) AS n FROM ({emitted}) GROUP BY site),
+l{d}_c AS (SELECT e.site, e.rank AS parent_rank, l.pos, l.target AS url
+           FROM l{d - 1}_e e JOIN links l ON l.url = e.url),
+l{d}_m AS (SELECT site, url, min((parent_rank, pos)) AS o FROM l{d}_c c
+           WHERE NOT EXISTS (SELECT 1 FROM cv{d} v WHERE v.site = c.site AND v.url = c.url) GROUP BY site, url),
+l{d}_s AS (SELECT m.*, {_skip_sql('m', host)} AS skip FROM l{d}_m m),
+l{d}_e AS (SELECT site, url, {d} AS depth, rank FROM (
   SELECT s.site, s.url, row_number() OVER (PARTITION BY s.site ORDER BY s.o, s.url) + coalesce(p.n, 0) AS rank
-  FROM {name}_s s LEFT JOIN {offset} p USING (site) WHERE NOT s.skip) WHERE rank <= {max_urls})"""
-    return f"""{graph or _graph_sql()},
-l0_s AS (SELECT s.site, s.url, {_skip_sql('s')} AS skip FROM seeds s),
-l0_e AS (SELECT site, url, 0 AS depth, 1 AS rank FROM l0_s WHERE NOT skip),
-cv1 AS (SELECT site, url FROM l0_s),
-cn1 AS (SELECT site, count(*) AS n FROM l0_e GROUP BY site),
-{level('l0_e', 'cv1', 'l1', 1, 'cn1')},
-cv2 AS (SELECT site, url FROM cv1 UNION ALL SELECT site, url FROM l1_s),
-cn2 AS (SELECT site, count(*) AS n FROM (SELECT site FROM l0_e UNION ALL SELECT site FROM l1_e) GROUP BY site),
-{level('l1_e', 'cv2', 'l2', 2, 'cn2')},
-crawled AS (SELECT * FROM l0_e UNION ALL SELECT * FROM l1_e UNION ALL SELECT * FROM l2_e)"""
+  FROM l{d}_s s LEFT JOIN cn{d} p USING (site) WHERE NOT s.skip) WHERE rank <= {max_urls})"""
+    levels = ",".join(level(d) for d in range(1, depth + 1))
+    return f"""l0_s AS (SELECT s.site, s.url, {_skip_sql('s', host)} AS skip FROM seeds s),
+l0_e AS (SELECT site, url, 0 AS depth, 1 AS rank FROM l0_s WHERE NOT skip),{levels},
+crawled AS ({" UNION ALL ".join(f"SELECT * FROM l{d}_e" for d in range(depth + 1))})"""
+
+
+def crawl_sql(max_urls: int = 50, graph: str | None = None) -> str:
+    return f"{graph or _graph_sql()},\n{crawl_levels_sql(2, max_urls)}"
 
 
 def _crawl_out(out):
@@ -323,16 +326,16 @@ def _site_graph(spark, sf):
     return seeds, links
 
 
-def _norm_sql(u: str) -> str:
+def norm_sql(u: str) -> str:
     path = f"regexp_replace({O.u_path(u)}, '/+$', '')"
     return (f"{O.u_scheme(u)} || '://' || {O.u_netloc(u)} || CASE WHEN {path} = '' THEN '/' ELSE {path} END "
             f"|| CASE WHEN {O.u_query(u)} <> '' THEN '?' || {O.u_query(u)} ELSE '' END")
 
 
 _SITE_GRAPH_SQL = f"""pl AS ({PAGE_LINKS_SQL}),
-links AS (SELECT {_norm_sql('p.url')} AS url, pl.pos, pl.target FROM pl JOIN pages p USING (page_id)),
+links AS (SELECT {norm_sql('p.url')} AS url, pl.pos, pl.target FROM pl JOIN pages p USING (page_id)),
 first_page AS (SELECT {O.u_site('url')} AS site, arg_min(url, page_id) AS first_url FROM pages GROUP BY 1),
-seeds AS (SELECT site, {_norm_sql('first_url')} AS url FROM first_page),
+seeds AS (SELECT site, {norm_sql('first_url')} AS url FROM first_page),
 dis AS (SELECT site, '/an' AS prefix FROM seeds UNION ALL SELECT site, '/de' FROM seeds)"""
 
 

@@ -73,3 +73,4 @@ from . import q_sections  # noqa: E402,F401
 from . import q_enhance  # noqa: E402,F401
 from . import q_jobs  # noqa: E402,F401
 from . import q_events  # noqa: E402,F401
+from . import q_runs  # noqa: E402,F401
