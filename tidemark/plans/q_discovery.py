@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import crawl as C
 from ..operators import extract as X
+from ..operators import reuse as RU
 from ..operators import robots as R
 from ..operators import sitemaps as SM
 from ..session import table
 from ..sources import derived as D
+from ..streaming.arrivals import shared_folder
 from . import oracle as O
 from .q_pages import SHELL_PAGES
 from .q_urls import PAGE_LINKS_SQL
@@ -23,6 +25,7 @@ AGENT = "tidebot"
 KEYS = ("site", "page_id")
 BASE_TS = "2024-01-01 00:00:00"
 AS_OF = "2024-01-01 03:00:00"
+LATER_TS = "2024-01-01 00:30:00"  # within the time to live of what was parsed at BASE_TS
 
 
 # -- robots ---------------------------------------------------------------------
@@ -424,3 +427,20 @@ def q_csr_crawl(spark, sf):
     ex = X.crawl_needs_render(X.extract_pages(derive(spark, sf, "pages", SHELL_PAGES)))
     return ex.select("page_id", *(F.coalesce(F.col(c).cast("bigint"), F.lit(-1)).alias(c)
                                   for c in ("body_text_len", "body_link_count")), "needs_render")
+
+
+# -- C9 over a store: the second run parses only what is stale or unreadable ---------------
+@register("sitemap_reuse", _DEDUP_SQL + f"""
+SELECT site, page_id, pos, url, priority, page_id % 3 <> 0 AND page_id % 5 <> 0 AS reused FROM ranked WHERE pos <= {SM.MAX_ENTRIES}""")
+def q_sitemap_reuse(spark, sf):
+    """One run fills the store; some of what it kept grows old or is damaged; the result is the next run's."""
+    store = RU.sitemap_store(spark, shared_folder(spark, "sitemap-store"), {"site": "string", "page_id": "bigint"})
+    docs, cands = _docs(spark, sf), _roots(spark, sf, D.CANDIDATES)
+    RU.refresh_sitemaps(store, cands, docs, BASE_TS)
+    kept = store.read()
+    old = F.when(F.col("page_id") % 3 == 0, F.lit(BASE_TS).cast("timestamp") - F.expr("INTERVAL 2 HOURS")).otherwise(F.col("parsed_at"))
+    worn = kept.select(*KEYS, F.when(F.col("page_id") % 5 == 0, F.lit("not json")).otherwise(F.col("value")).alias("value"), old.alias("parsed_at"))
+    store.merge(worn, lambda both: both.groupBy(*KEYS).agg(F.max_by(F.struct("value", "parsed_at"), F.struct(
+        F.col("parsed_at") < F.lit(BASE_TS).cast("timestamp"), F.col("value") == "not json")).alias("r")).select(*KEYS, "r.*"))
+    second = RU.refresh_sitemaps(store, cands, docs, LATER_TS)
+    return second.entries.select(*KEYS, F.col("pos").cast("bigint").alias("pos"), "url", "priority", "reused")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import errors as ER
 from ..operators import jobs as J
 from ..operators import progress as P
+from ..operators import reuse as RU
 from ..sources import derived as D
+from ..streaming.arrivals import shared_folder
 from ..sources import tables as T
 from . import oracle as O
 from .registry import derive, derive_sql, register, ts_sql, ts_text
@@ -199,14 +201,28 @@ def _updates(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
-@register("job_upsert", f"""WITH {JOBS_SQL},
+_UPSERT_SQL = f"""WITH {JOBS_SQL},
 u AS ({" UNION ALL ".join(f"SELECT id, {O.q(st) if st else 'status'} AS status, created_at + INTERVAL {k} MINUTE AS updated_at FROM jobs" for st, k in _STEPS)})
-SELECT id, arg_max(status, (updated_at, status)) AS status, {ts_sql('max(updated_at)')} AS updated_at FROM u GROUP BY id""")
+SELECT id, arg_max(status, (updated_at, status)) AS status, {ts_sql('max(updated_at)')} AS updated_at FROM u GROUP BY id"""
+
+
+@register("job_upsert", _UPSERT_SQL)
 def q_job_upsert(spark, sf):
     latest = J.latest_jobs(_updates(spark, sf))
     return latest.select("id", "status", ts_text("updated_at").alias("updated_at"))
 
 
+@register("job_upsert_stored", _UPSERT_SQL)
+def q_job_upsert_stored(spark, sf):
+    """The updates reach a stored table in two parts, the later ones first."""
+    store = RU.job_store(spark, shared_folder(spark, "job-store"), "id string, status string, updated_at timestamp")
+    updates = _updates(spark, sf).select("id", "status", "updated_at")
+    late = F.pmod(F.unix_seconds("updated_at"), F.lit(120)) >= 60
+    RU.upsert_jobs(store, updates.where(late))
+    RU.upsert_jobs(store, updates.where(~late))
+    return store.read().select("id", "status", ts_text("updated_at").alias("updated_at"))
+
+
 @register("progress_pct", f"""SELECT event_id, phase, CAST(CASE phase {" ".join(f"WHEN {O.q(p)} THEN {i * 20.0}" for i, p in enumerate(J.PHASE_ORDER))} ELSE 0.0 END AS DOUBLE) AS pct
 FROM ({derive_sql('events', D.PROGRESS)})""")
 def q_progress_pct(spark, sf):
