@@ -139,6 +139,31 @@ def test_topk_stops_early_and_stays_exact():
         assert at.tolist() == want.tolist() and scores.tolist() == exact[want].astype(int).tolist()
 
 
+@pytest.mark.parametrize("n,d,k,seed", [(700, 6, 5, 0), (60, 3, 5, 1), (21, 4, 5, 2), (3, 2, 5, 3), (500, 1, 1, 4), (400, 8, 3, 5)])
+def test_topk_reads_lists_in_step(n, d, k, seed):
+    """Partial sums over the stretches, rows dropped between them: the same as brute force, ties and own rows included."""
+    rng = np.random.default_rng(seed)
+    x = np.floor(rng.standard_normal((n, d)) ** 3 * 4)
+    q = np.concatenate([x[:20], np.floor(rng.standard_normal((10, d)) * 9), np.zeros((1, d))])
+    ids, q_ids = np.arange(n) * 3, np.concatenate([np.arange(len(x[:20])) * 3, np.arange(10 + 1) + 10_000])
+    for i, at, scores in topk_search.top_inner_products(q_ids, q / 256, ids, x / 256, k):
+        exact = x @ q[i]
+        want = [r for r in np.lexsort([ids, -exact]) if ids[r] != q_ids[i]][:k]
+        assert at.tolist() == want and scores.tolist() == exact[want].astype(int).tolist()
+
+
+def test_topk_share_of_lists_read():
+    """Where few rows stand out, queries stop before the lists end."""
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.standard_normal((3000, 3)) ** 5 * 10)
+    order = np.argsort(x, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, axis=0)
+    place = np.argsort(order, axis=0).astype(np.int32)
+    q = np.abs(rng.standard_normal((40, 3)))
+    read = [share for _, _, _, share in topk_search.read_lists(q, x, lists, place, np.full(40, -1), 5)]
+    assert len(read) == 40 and np.mean(np.array(read) < 1) > 0.5
+
+
 def test_topk_beyond_double_precision():
     x = np.array([[2.0 ** 40, 1.0], [2.0 ** 40, 2.0], [1.0, 1.0]])
     (_, at, scores), = topk_search.top_inner_products(np.array([9]), x[:1], np.arange(3), x, 2)

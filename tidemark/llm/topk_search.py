@@ -2,16 +2,18 @@
 
 Per block of candidates every dimension has a list sorted by its value; a
 query reads it from the top where its own component is positive and from the
-bottom where it is negative.  All lists are read in step, a stretch at a time.
-After each stretch every candidate has a lower bound (unread lists count with
-their worst value) and an upper bound (they count with the value at the
-reading position; for a row that no list has shown this is the bound of all
-outsiders).  A candidate whose upper bound is below the k-th best lower bound
-is out.  A query stops when no outsider can qualify any more and few rows are
-left; their final scores are then resolved.
-
-Bounds of all queries of a block are computed together, as matrix products of
-the queries' positive and negative parts with the bounded lists.
+bottom where it is negative.  All lists are read in step, a stretch at a time,
+and what has been read of a row is held as its partial sum.  After each
+stretch a row's upper bound counts its unread entries with the values at the
+reading positions (for a row that no list has shown this is the bound of all
+outsiders), its lower bound with the lists' worst values.  A row whose upper
+bound is below the k-th best lower bound is out and is read no further.  A
+query stops when few enough rows are left; their final scores are then
+resolved.  Where the bounds never part the rows, the lists are read to their
+ends and the partial sums are the scores.
+
+The partial sums and bounds of many queries are computed together, as matrix
+products of the queries' positive and negative parts with the stretch read.
 
 Scores are integers below 2**53 in double precision, hence exact; where a
 block's values could go beyond, its products use Python integers.  A score
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from . import vector_blocks
 
-STRETCHES = (1 / 8, 1 / 2)  # shares of a list read before a look at the bounds; then the rest
-FEW = 1 / 16  # share of the rows that may be left when the final scores are resolved
+STRETCHES = (1 / 8, 1 / 2, 7 / 8)  # shares of the lists read before a look at the bounds; then the rest
+FEW = 4  # times k: so many rows may be left when the final scores are resolved
 TOGETHER = 256  # queries whose bounds are held at once
 LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -43,39 +45,57 @@ def top_inner_products(q_ids, queries, ids, rows, k):
     if x.shape[1] and np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] >= 2.0 ** 53:
         yield from _by_integers(q, x, own, ids, k)
         return
-    lists = np.sort(x, axis=0)  # ascending; read backwards from the top
+    order = np.argsort(x, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, axis=0)  # ascending; read backwards from the top
+    place = np.empty(x.shape, dtype=np.int32)
+    np.put_along_axis(place, order, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
     for at in range(0, len(q), TOGETHER):
         piece = np.arange(at, min(at + TOGETHER, len(q)))
-        yield from _read(q, x, lists, own, ids, k, piece)
+        for i, rows, scores, _ in read_lists(q[piece], x, lists, place, own[piece], k):
+            yield _resolved(piece[i], rows, scores, ids, k)
+
 
+def read_lists(q, x, lists, place, own, k):
+    """(query, rows left, their scores, share of the lists read) of every query, as they stop.
 
-def _read(q, x, lists, own, ids, k, waiting):
+    ``place`` is the position of each entry in its ascending list.
+    """
     n = len(x)
-    for share in STRETCHES:
-        if not len(waiting) or n <= 8 * k:
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    part = np.zeros((len(q), n))
+    alive = np.ones((len(q), n), dtype=bool)
+    alive[np.flatnonzero(own >= 0), own[own >= 0]] = False
+    waiting, read = np.arange(len(q)), 0
+    for share in (*STRETCHES, 1.0):
+        if not len(waiting):
+            return
+        depth = n if n <= FEW * k else max(read, int(n * share))
+        rows = np.flatnonzero(alive[waiting].any(axis=0))
+        at, values = place[rows], x[rows]
+        top, bottom = at >= n - depth, at < depth
+        u, d = up[waiting], down[waiting]
+        part[np.ix_(waiting, rows)] += u @ np.where(top & (at < n - read), values, 0).T + d @ np.where(bottom & (at >= read), values, 0).T
+        read = depth
+        if depth >= n:
             break
-        depth = max(1, int(n * share))
-        high, low = lists[n - depth], lists[depth - 1]  # reading positions from the top and from the bottom
-        up, down = np.maximum(q[waiting], 0), np.minimum(q[waiting], 0)
-        sides = np.hstack([up, down])
-        upper = sides @ np.hstack([np.maximum(x, high), np.minimum(x, low)]).T
-        lower = sides @ np.hstack([np.where(x >= high, x, lists[0]), np.where(x <= low, x, lists[-1])]).T
-        for i, p in enumerate(own[waiting]):
-            if p >= 0:
-                upper[i, p] = lower[i, p] = -np.inf
-        bar = np.partition(lower, n - k, axis=1)[:, n - k]
-        outsider = up @ high + down @ low
-        left = upper >= bar[:, None]
-        done = (outsider < bar) & (left.sum(axis=1) <= max(4 * k, FEW * n))
+        if not depth:
+            continue
+        held = part[np.ix_(waiting, rows)]
+        upper = held + u @ np.where(top, 0, lists[n - depth]).T + d @ np.where(bottom, 0, lists[depth - 1]).T
+        lower = held + u @ np.where(top, 0, lists[0]).T + d @ np.where(bottom, 0, lists[-1]).T
+        left = alive[np.ix_(waiting, rows)]
+        lower[~left] = -np.inf
+        bar = np.partition(lower, max(0, len(rows) - k), axis=1)[:, max(0, len(rows) - k)]
+        left &= upper >= bar[:, None]
+        alive[np.ix_(waiting, rows)] = left
+        done = left.sum(axis=1) <= FEW * k
         for i in np.flatnonzero(done):
-            rows = np.flatnonzero(left[i])
-            yield _resolved(waiting[i], rows, x[rows] @ q[waiting[i]], ids, k)
+            few = rows[left[i]]
+            yield waiting[i], few, x[few] @ q[waiting[i]], read / n
         waiting = waiting[~done]
-    if len(waiting):
-        scores = q[waiting] @ x.T  # every list read to its end
-        for i, w in enumerate(waiting):
-            rows = np.delete(np.arange(n), own[w]) if own[w] >= 0 else np.arange(n)
-            yield _resolved(w, rows, scores[i, rows], ids, k)
+    for w in waiting:
+        rows = np.flatnonzero(alive[w])
+        yield w, rows, part[w, rows], 1.0
 
 
 def _resolved(query, rows, scores, ids, k):
