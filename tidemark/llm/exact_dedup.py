@@ -11,10 +11,10 @@ before it left together:
 Two scans read the texts.  The first takes length and prefix hash, a narrow
 table on which steps 1 and 2 run; the second reads the full content of the
 rows whose length and prefix are shared.  Which rows those are is carried by
-a bitmap over the hashed pairs, 8 to 16 bits a row and never more than
-``MOST_BITS``, so its broadcast has a fixed bound and no text is shuffled.  A
-bit that two pairs share (or a full bitmap) costs hashes that weren't needed
-and changes no result.
+a ``KeySet``, a bitmap of 8 to 16 bits a row and never more than ``MOST_BITS``,
+so its broadcast has a fixed bound and no text is shuffled.  A bit that two
+pairs share (or a full bitmap) costs hashes that weren't needed and changes no
+result.
 
 Groups are pre-aggregated before they are exchanged.  Group sizes are written
 and joined back, so that a group that holds a third of all rows can be split
@@ -34,10 +34,10 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keyset import LEAST_BITS, MOST_BITS, KeySet, bits_for
 from .common import cut_to_table
 
 PREFIX_CHARS = 256
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def normalised(text) -> F.Column:
@@ -54,27 +54,6 @@ def _length_and_prefix(prefix_chars: int) -> list[F.Column]:
     return [F.octet_length("text").alias("n_bytes"), F.xxhash64(prefix).alias("prefix")]
 
 
-def _bit(bits: int, *key: str) -> F.Column:
-    return F.pmod(F.xxhash64(*key), F.lit(bits))
-
-
-def _bitmap(keys: DataFrame, bits: int, *key: str) -> DataFrame:
-    """Words of 64 bits in which the hashed ``key`` of each row is set."""
-    at = _bit(bits, *key)
-    return keys.select(at.alias("at")) \
-        .groupBy(F.shiftright("at", 6).alias("word")) \
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
-
-
-def _with_hit(rows: DataFrame, bitmap: DataFrame, bits: int, *key: str) -> DataFrame:
-    """Column ``hit``: the row's key may be among those of the bitmap."""
-    at = _bit(bits, *key)
-    marked = rows.withColumn("at", at).withColumn("word", F.shiftright("at", 6)) \
-        .join(F.broadcast(bitmap), "word", "left")
-    hit = F.expr("bits IS NOT NULL AND getbit(bits, cast(at & 63 AS int)) = 1")
-    return marked.withColumn("hit", hit).drop("at", "word", "bits")
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = PREFIX_CHARS,
             digest_all: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, digest, and ``data`` with the carried columns.
@@ -83,16 +62,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     step 3; with ``digest_all`` it is given for all rows, which decides nothing.
     """
     sketch = cut_to_table(_filled(docs, id_col, text_col).select(*_length_and_prefix(prefix_chars)), "exact-sketch")
-    bits = min(max(LEAST_BITS, 1 << (8 * sketch.count()).bit_length()), MOST_BITS)
+    bits = bits_for(sketch.count(), LEAST_BITS, MOST_BITS)
 
     many = F.col("n") > 1
     lengths = sketch.groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n")).where(many)
-    by_length = _with_hit(sketch, _bitmap(lengths, bits, "n_bytes"), bits, "n_bytes").where("hit")
+    by_length = KeySet(lengths, ["n_bytes"], bits).possible(sketch, ["n_bytes"])
     prefixes = by_length.groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("n")).where(many)
 
     data = [F.struct(*(docs[c] for c in carry)).alias("data")] if carry else []
     read = _filled(docs, id_col, text_col, *data).select("*", *_length_and_prefix(prefix_chars))
-    found = _with_hit(read, _bitmap(prefixes, bits, "n_bytes", "prefix"), bits, "n_bytes", "prefix")
+    found = KeySet(prefixes, ["n_bytes", "prefix"], bits).mark(read, ["n_bytes", "prefix"], "hit")
     digest = F.when(F.col("hit") | F.lit(digest_all), F.sha2(normalised("text"), 256))
     rows = cut_to_table(
         found.select("id", "n_bytes", "hit", digest.alias("digest"), *(["data"] if carry else []),
