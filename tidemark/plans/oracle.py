@@ -1,8 +1,10 @@
 """DuckDB reference SQL for the registered queries.
 
-The SQL restates each operator's rule independently of the Spark code (RE2
-regex, list lambdas, window functions), over the same parquet tables.
-Reusable pieces are plain SQL macros/CTE texts kept here.
+The SQL restates each operator's rule (RE2 regex, list lambdas, window
+functions) over the same parquet tables.  Regular expressions, phrases and
+fixed lists come from the modules under test, so the SQL checks the plans
+around them, not these constants; tests by example check those.  Reusable
+pieces are plain SQL macros/CTE texts kept here.
 """
 
 from __future__ import annotations
