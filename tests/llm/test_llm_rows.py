@@ -150,6 +150,18 @@ def test_language_ranks_in_parts(spark):
     assert language_id._most_frequent(counts, ["lang"], None).count() == len(all_rows)
 
 
+def test_language_sample_by_ranges(spark):
+    """The same rows as by one ranking of a language."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 7 == 0, "en").otherwise("de").alias("lang")) \
+        .withColumn("draw", F.xxhash64(F.col("id").cast("string")))
+    for most in (1, 40, 3000):
+        got = sorted((r.lang, r.id) for r in language_id._sample(rows, most).collect())
+        of = {lang: sorted((r.draw, r.id) for r in rows.collect() if r.lang == lang)[:most] for lang in ("de", "en")}
+        assert got == sorted((lang, i) for lang, found in of.items() for _, i in found)
+
+
 def test_language_limits_change_no_prediction(spark):
     docs = documents(spark)
     texts = [r.text for r in docs.select("text").collect()]

@@ -47,9 +47,20 @@ CHUNK_BYTES = 4 << 20
 CACHE_WORDS = 150_000
 RANK_PARTS = 64
 
-# letters only: what \w holds besides letters, digits and the underscore are numerals like a half or a Roman eight
+# runs of letters, and of the numerals that are no digits (a half, a Roman eight), which _words cuts out again
+_WORD = re.compile(r"[^\W\d_]+")
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+# a text without any of these holds no such numeral: those of Latin-1, and all characters from the first one beyond
+_MAY_HOLD_NUMERALS = re.compile(f"[{''.join(c for c in _NUMERALS if c <= chr(255))}{min(c for c in _NUMERALS if c > chr(255))}-{chr(sys.maxunicode)}]")
+
+
+def _words(text: str) -> list[str]:
+    """Maximal runs of letters."""
+    found = _WORD.findall(text)
+    if _MAY_HOLD_NUMERALS.search(text) is None:
+        return found
+    return [run for word in found for run in ((word,) if word.isalpha() else _LETTERS.findall(word))]
 
 
 class Model:
@@ -142,7 +153,7 @@ class Scorer:
         if len(self.index) > CACHE_WORDS:
             self.forget()
         index = self.index
-        words = [[index.setdefault(w, len(index)) for w in _WORD.findall(t.lower())] if t and self.languages else []
+        words = [[index.setdefault(w, len(index)) for w in _words(t.lower())] if t and self.languages else []
                  for t in texts]
         self.learn()
         n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -177,7 +188,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")) \
         .where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
     drawn = labelled.withColumn("draw", F.xxhash64(F.col("id").cast("string")))
-    chosen = _first_of(drawn, ["lang"], ["draw", "id"], "draw", sample_per_language).select("id", "lang").distinct()
+    chosen = _sample(drawn, sample_per_language).select("id", "lang").distinct()
     # at most sample_per_language rows of each language: small enough for every executor
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) \
         .join(F.broadcast(chosen), ["id", "lang"]).where(F.col("text").isNotNull())
@@ -199,6 +210,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                  [(r["lang"], r["item"], r["n"]) for r in by_gram])
 
 
+def _sample(drawn: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of each language with the smallest ``draw``.
+
+    Rows are counted by ranges of the draw first, 4,096 to a language; the
+    ranges that can hold one of the smallest go on, so a language's last
+    ranking sees ``most`` rows and one range at most.
+    """
+    ranged = drawn.withColumn("part", F.shiftright("draw", 52))
+    counts = ranged.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).select("lang", "part")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    return ranged.join(first, ["lang", "part"]).withColumn("turn", turn).where(F.col("turn") <= most)
+
+
 def _first_of(rows: DataFrame, keys: list[str], order: list, spread: str, most: int) -> DataFrame:
     """The first ``most`` rows of each key; ranked inside hashed parts of a key first, so that none is one task."""
     part = F.pmod(F.xxhash64(spread), F.lit(RANK_PARTS))
