@@ -188,29 +188,6 @@ def _cosine(a, b):
     return float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
 
 
-def test_nearest_recall_and_share_verified_on_embeddings(monkeypatch):
-    import pyarrow.parquet as pq
-
-    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"]).to_pylist()
-    kept = {r["vec_id"]: r["embedding"] for r in table if r["embedding"] and len(r["embedding"]) == 64
-            and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])}
-    ids = np.array(sorted(kept))
-    x = np.array([kept[i] for i in ids], dtype=np.float64)
-    q_ids = ids[ids % 50 == 0]
-    q = x[np.searchsorted(ids, q_ids)]
-    verified, exact = [], nearest.cosines
-    monkeypatch.setattr(nearest, "cosines", lambda a, rows: verified.append(len(rows)) or exact(a, rows))
-    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-    hits = total = 0
-    for i, at, _ in nearest.nearest_in_block(q_ids, q, ids, x, 5):
-        cos = unit @ q[i]
-        cos[ids == q_ids[i]] = -np.inf
-        hits += len(set(at.tolist()) & set(np.argsort(-cos)[:5].tolist()))
-        total += 5
-    assert total >= 100 and hits >= 0.9 * total
-    assert sum(verified) <= 0.5 * len(q_ids) * len(x)
-
-
 def test_nearest_odd_rows(spark):
     rows = ODD_VECTORS + [(i, [0.5] * 8) for i in range(400, 460)] + [(5, [1e-300] * 8), (6, [1e300] * 8)]
     df = with_clashes(frame(spark, rows + rows[:1] + rows[-3:-2], "vec_id long, embedding array<double>"))
