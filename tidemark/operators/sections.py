@@ -138,15 +138,33 @@ def rule_index(rules: DataFrame) -> DataFrame:
         .select("site", rule_word("pattern").alias("word"), "pattern", rank.alias("rank"))
 
 
+#: Rules of a site and word that travel in one row.
+RULES_A_ROW = 256
+
+
+def rule_rows(rules: DataFrame, most: int = RULES_A_ROW) -> DataFrame:
+    """(site, word, rules): the index in rows of about ``most`` rules ``struct(rank, pattern)``.
+
+    Of rules of a site with the same pattern only the first can win, so the
+    others are left out.
+    """
+    index = rule_index(rules).groupBy("site", "word", "pattern").agg(F.min("rank").alias("rank"))
+    sizes = index.groupBy("site", "word").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("_rows"))
+    dealt = index.join(sizes, ["site", "word"]).withColumn("_row", F.expr("pmod(xxhash64(pattern), _rows)"))
+    return dealt.groupBy("site", "word", "_row").agg(F.collect_list(F.struct("rank", "pattern")).alias("rules")).drop("_row")
+
+
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(site, path, section): the first of its site's rules that matches each distinct lower-cased path.
 
     ``pages(site, path)``.  A segment of the path expands into its beginnings
     of the lengths that occur among its site's words and meets the rules by
     ``(site, word)``; patterns that name no word are tried on every path of
-    their site.  Paths that no rule matches have no row.
+    their site.  Rules come many to a row and are tried inside it, so what is
+    sorted and sent is a row per path and word, not one per path and rule.
+    Paths that no rule matches have no row.
     """
-    index = rule_index(rules)
+    index = rule_rows(rules)
     lengths = index.select("site", F.length("word").alias("_n")).distinct()
     paths = pages.select("site", "path").where("path IS NOT NULL").distinct()
     segments = F.array_distinct(F.concat(F.array(F.lit("")), F.slice(F.split("path", "/"), 2, 1 << 20)))
@@ -154,7 +172,8 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumn("word", F.explode(F.array_distinct(F.transform(segments, lambda s: F.substring(s, F.lit(1), F.col("_n")))))) \
         .where(F.length("word") == F.col("_n"))
     met = words.select("site", "path", "word").join(index, ["site", "word"])
-    hit = met.where(F.expr("path RLIKE concat('(?iu)', pattern)"))
+    first = F.expr("array_min(filter(rules, r -> path RLIKE concat('(?iu)', r.pattern))).rank")
+    hit = met.select("site", "path", first.alias("rank")).where("rank IS NOT NULL")
     return hit.groupBy("site", "path").agg(F.min("rank").alias("rank")).select("site", "path", F.col("rank.name").alias("section"))
 
 
