@@ -31,3 +31,31 @@ def test_rules_of_a_site_travel_in_few_rows(spark):
     order = sorted((-(p or 0), i, n, s, w) for s, n, w, p, i in rules + [("a", f"n{i}", f"x{i}", 1, i) for i in range(1000)])
     want = {(s, p): next((n for _, _, n, t, w in order if t == s and w in p), None) for s, p in [("a", "/w1s/x77"), ("a", "/w0"), ("b", "/x"), ("b", "/y")]}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_pages_are_parsed_in_slices():
+    texts = ["x" * n for n in (10, 500, 600, 2000, 1)] + [None]
+    batch = pa.RecordBatch.from_pydict({"html": pa.array(texts, pa.string()), "k": list(range(6))})
+    parts = list(X.slices(batch, "html", 1000))
+    assert [p.num_rows for p in parts] == [2, 1, 1, 2]
+    assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(6))
+    assert list(X.slices(batch.slice(0, 0), "html")) == []
+
+
+def test_trees_go_without_the_collector(monkeypatch):
+    class Seen(htmltree.Node):
+        __slots__ = ("__weakref__",)
+
+        def __init__(self, *args):
+            super().__init__(*args)
+            alive.add(self)
+
+    alive = weakref.WeakSet()
+    monkeypatch.setattr(htmltree, "Node", Seen)
+    gc.disable()
+    try:
+        page = X.candidates_of("u", "<body><nav><ul><li>menu</li></ul></nav><main><p>" + "word " * 50 + "</p><a href='/a'>b</a></main></body>")
+        assert "word word" in page["markdown"] and "menu" not in page["markdown"] and page["links"] == ["/a"]
+        assert len(alive) == 0
+    finally:
+        gc.enable()
