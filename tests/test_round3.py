@@ -59,3 +59,17 @@ def test_trees_go_without_the_collector(monkeypatch):
         assert len(alive) == 0
     finally:
         gc.enable()
+
+
+def test_silences_need_no_join(spark):
+    schema = "job_id string, event_id long, phase string, ts timestamp"
+    at = lambda s: None if s is None else T0 + dt.timedelta(seconds=s)
+    rows = [("a", 0, "pending"), ("a", 299, "pending"), ("a", 600, "pending"), ("a", 600, "completed"), ("a", 600, "pending"), ("a", 2000, "pending"),
+            ("b", 0, None), ("b", 300, "pending"), ("b", 300, "pending"), (None, 0, "pending"),
+            ("c", None, "completed"), ("c", 0, "pending"), ("c", 900, "pending"), ("d", None, "pending"), ("d", 10, "pending"), ("d", 310, "pending")]
+    df = spark.createDataFrame([(j, i, p, at(s)) for i, (j, s, p) in enumerate(rows)], schema)
+    out = P.stalls(df, as_of=F.lit(at(605)).cast("timestamp"))
+    seconds = lambda t: None if t is None else (t - T0).total_seconds()
+    got = sorted((r.job_id, seconds(r.stall_start), seconds(r.stall_end) or -1, r.gap_us // 1_000_000) for r in out.collect())
+    assert got == [("a", 299, 600, 301), ("b", 0, 300, 300), ("b", 300, -1, 305), ("d", 10, 310, 300)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -88,34 +88,30 @@ def consecutive_pairs(events: DataFrame, tie: str | None = "event_id", bucket_s:
     return inner.unionByName(cross)
 
 
-def until_terminal(events: DataFrame, tie: str | None = "event_id") -> DataFrame:
-    """Events up to and including the first terminal one of their job, with ``_ended``."""
-    order = F.struct(*_event_order(tie))
-    first = events.groupBy("job_id").agg(F.min(F.when(is_terminal("phase"), order)).alias("_end"))
-    kept = events.join(first, "job_id").filter(F.col("_end").isNull() | (order <= F.col("_end")))
-    return kept.withColumn("_ended", F.col("_end").isNotNull()).drop("_end")
-
-
-def stalls(events: DataFrame, gap_s: int = STALL_GAP_S, tie: str | None = "event_id",
-           bucket_s: int = 600, as_of: Column | None = None) -> DataFrame:
+def stalls(events: DataFrame, gap_s: int = STALL_GAP_S, as_of: Column | None = None) -> DataFrame:
     """I4: silences of at least ``gap_s`` of a job that hasn't ended.
 
     Events after the first terminal one don't count, and a job that ended
     can't stall.  With ``as_of`` a job whose last event lies that far back is
     reported as well, with an open end (``stall_end`` NULL).
+
+    Two events of one bucket as long as the gap are no silence apart, so a
+    job's events shrink to one row per bucket (first, last and whether it
+    ended; plain numbers, summed in a hash table before the shuffle), and the
+    window sees these.  Nothing is joined back: the bucket in which a job ends
+    opens no silence, and the later ones are left out.
     """
-    seen = until_terminal(events, tie)
-    pairs = consecutive_pairs(seen, tie, bucket_s).select(
-        "job_id", F.col("ts").alias("stall_start"), F.col("next_ts").alias("stall_end"),
-        (_us("next_ts") - _us("ts")).alias("gap_us"))
-    out = pairs.filter(F.col("gap_us") >= gap_s * 1_000_000)
-    if as_of is not None:
-        last = seen.groupBy("job_id").agg(F.max("ts").alias("stall_start"), F.max("_ended").alias("_ended"))
-        silent = last.filter(~F.col("_ended")).select(
-            "job_id", "stall_start", F.lit(None).cast(events.schema["ts"].dataType).alias("stall_end"),
-            (_us(as_of) - _us("stall_start")).alias("gap_us"))
-        out = out.unionByName(silent.filter(F.col("gap_us") >= gap_s * 1_000_000))
-    return out
+    gap_us = gap_s * 1_000_000
+    seen = events.where("job_id IS NOT NULL").groupBy("job_id", F.floor(_us("ts") / F.lit(gap_us)).alias("_b")).agg(
+        F.min("ts").alias("_first"), F.max("ts").alias("stall_start"),
+        F.coalesce(F.max(is_terminal("phase")), F.lit(False)).alias("_ends"))
+    in_order = Window.partitionBy("job_id").orderBy("_b")
+    before = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = seen.withColumn("stall_end", F.lead("_first").over(in_order)).withColumn("_ended", F.max("_ends").over(before)) \
+        .where(~F.col("_ended"))
+    until = F.col("stall_end") if as_of is None else F.coalesce("stall_end", as_of.cast(events.schema["ts"].dataType))
+    return rows.select("job_id", "stall_start", "stall_end", (_us(until) - _us("stall_start")).alias("gap_us")) \
+        .where(F.col("gap_us") >= gap_us)
 
 
 def job_timeouts(events: DataFrame, limit_s: int = STREAM_TIMEOUT_S) -> DataFrame:
