@@ -4,6 +4,7 @@ import datetime as dt
 import gc
 import weakref
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tidemark.operators import extract as X
 from tidemark.operators import htmltree
 from tidemark.operators import progress as P
 from tidemark.operators import sections as E
+from tidemark.streaming import clocks as CK
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -73,3 +75,43 @@ def test_silences_need_no_join(spark):
     got = sorted((r.job_id, seconds(r.stall_start), seconds(r.stall_end) or -1, r.gap_us // 1_000_000) for r in out.collect())
     assert got == [("a", 299, 600, 301), ("b", 0, 300, 300), ("b", 300, -1, 305), ("d", 10, 310, 300)]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+class State:
+    """A job's state as Spark hands it to a step."""
+    hasTimedOut, exists, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, ms):
+        self.due = ms
+
+
+def test_steps_of_a_job_take_rows_as_they_are(monkeypatch):
+    def no(*_, **__):
+        raise AssertionError("a frame operation per job")
+
+    latest = pd.DataFrame({"job_id": ["j"] * 4, "event_id": [1, 2, 4, 3], "phase": ["a", "b", "c", None], "message": [None, "m", "n", "o"],
+                           "completed": [1.0, None, 2.0, 3.0], "total": [2] * 4, "us": [4, 3, 9, 9]})
+    spans = pd.DataFrame({"start_us": [5, 3], "end_us": [None, 8.0], "phase": [None, "failed"]})
+    points = pd.DataFrame({"first_us": [0, 900], "last_us": [10, 950], "end_us": [None, None]})
+    for name in ("sort_values", "itertuples", "to_dict"):
+        monkeypatch.setattr(pd.DataFrame, name, no)
+    monkeypatch.setattr(pd.DataFrame, "__getitem__", lambda self, c, get=pd.DataFrame.__getitem__: no() if isinstance(c, list) else get(self, c))
+    state = State()
+    rows = list(CK._latest_step(5)(("j",), iter([latest, latest[latest["event_id"] < 3]]), state))
+    assert state.get == (4, "c", "n", 2, 2, 9)
+    assert [[r[c].tolist()[0] for c in r.columns] for r in rows] == [["j", 4, "c", "n", 2, 2, 9, False]]
+    state = State()
+    assert list(CK._verdict_step(5)(("j",), iter([spans]), state)) == [] and state.get == (3, 8, "failed")
+    state.hasTimedOut = True
+    assert [[r[c].tolist()[0] for c in r.columns] for r in CK._verdict_step(5)(("j",), iter([]), state)] == [["j", 3, 8, "failed", False]]
+    state = State()
+    assert list(CK._silence_step(300)(("j",), iter([points]), state)) == [] and state.get == (None, [0, 10, 900, 950], None)

@@ -25,7 +25,6 @@ or job take no part; ``unusable`` gives them as a stream of their own.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -112,10 +111,10 @@ def _latest_step(ttl_us: int):
             return
         before = held
         for pdf in frames:
-            for row in pdf[_LATEST].sort_values(["us", "event_id"]).tail(1).to_dict("records"):
-                row = {c: v if isinstance(v, str) else _whole(v) for c, v in row.items()}
-                if held is None or _moment(row) > _moment(held):
-                    held = row
+            rows = [{c: v if isinstance(v, str) else _whole(v) for c, v in zip(_LATEST, row, strict=True)} for row in _tuples(pdf, _LATEST)]
+            newest = max(reversed(rows), key=lambda r: (r["us"], r["event_id"] is None, r["event_id"] or 0))
+            if held is None or _moment(newest) > _moment(held):
+                held = newest
         state.update(tuple(held[c] for c in _LATEST))
         _wait(state, held["us"] + ttl_us)
         if held is not before:
@@ -123,13 +122,16 @@ def _latest_step(ttl_us: int):
     return step
 
 
+def _tuples(pdf: pd.DataFrame, names: list[str]) -> Iterable[tuple]:
+    """Rows as plain tuples: a step runs once per job, on a few rows, where frame operations cost more than the rows."""
+    return zip(*(pdf[c].tolist() for c in names), strict=True)
+
+
 def _row(schema: str, key: tuple, values: dict) -> pd.DataFrame:
-    # Spark joins these one-row frames; that some columns are all null there is meant
-    warnings.filterwarnings("ignore", category=FutureWarning, message=".*DataFrame concatenation")
-    names = {c.split()[0]: c.split()[1] for c in schema.split(", ")}
-    dtypes = {"long": "Int64", "int": "Int32", "boolean": "boolean", "string": "object"}
+    """A frame of one row; columns of objects, as Spark joins the frames of many jobs and then casts to the schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
     row = {"job_id": key[0], **values}
-    return pd.DataFrame({n: pd.Series([row[n]], dtype=dtypes[t]) for n, t in names.items()})
+    return pd.DataFrame([[row[n] for n in names]], columns=names, dtype=object)
 
 
 def latest_progress_stream(events: DataFrame, path: str, ttl_s: int = P.PROGRESS_TTL_S, delay_s: int = DELAY_S,
@@ -165,7 +167,7 @@ def _verdict_step(limit_us: int):
         start, end, phase = state.get if state.exists else (None, None, None)
         if not state.hasTimedOut:
             for pdf in frames:
-                for s, e, p in pdf[["start_us", "end_us", "phase"]].itertuples(index=False):
+                for s, e, p in _tuples(pdf, ["start_us", "end_us", "phase"]):
                     s, e = _whole(s), _whole(e)
                     start = s if start is None else min(start, s)
                     if e is not None and (end is None or e < end):
@@ -219,7 +221,7 @@ def _silence_step(gap: int):
         points, rows = list(points), []
         if not state.hasTimedOut:
             for pdf in frames:
-                for a, b, e in pdf[["first_us", "last_us", "end_us"]].itertuples(index=False):
+                for a, b, e in _tuples(pdf, ["first_us", "last_us", "end_us"]):
                     points += [int(a), int(b)]
                     e = _whole(e)
                     end = e if end is None else end if e is None else min(end, e)
