@@ -252,10 +252,11 @@ def q_reconcile_stream(spark, sf):
     folder = ST.shared_folder(spark, "job-table")
     table = ST.deal(first.unionByName(final), "updated_at", folder)
 
-    def now():
-        return J.latest_jobs(spark.read.schema(table.schema).parquet(table.inbox), key="id", order="updated_at")
+    def now(since=None):
+        rows = spark.read.schema(table.schema).parquet(table.inbox)
+        return J.latest_jobs(rows if since is None else rows.where(F.col("updated_at") >= F.lit(since)), key="id", order="updated_at")
 
-    out = progress_slices(spark, sf, "reconcile", lambda stream, path: ST.reconcile_stream(stream, now, path), before=table.deliver)
+    out = progress_slices(spark, sf, "reconcile", lambda stream, path: ST.reconcile_stream(stream, now, path, since=now), before=table.deliver)
     return out.select("job_id", "event_phase", "table_status", "status", "source")
 
 

@@ -2,22 +2,21 @@
 
 Keys are hashed into buckets, each a folder.  ``merge`` reads the buckets
 that the new rows fall into, merges and puts these buckets in place of the
-old ones (dynamic partition overwrite); all others stay as they are.  The
-merged rows are staged in a table of their own first, so the overwrite never
-reads what it replaces, and a merge that is run again gives the same table as
-long as merging the same rows twice changes nothing.  One writer at a time.
+old ones (dynamic partition overwrite); all others stay as they are.  Such an
+overwrite replaces a bucket only when all of its tasks are done, so it may
+read the old ones, and a merge that is run again gives the same table as long
+as merging the same rows twice changes nothing.  One writer at a time.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import path_exists, remove_path
+from ..session import path_exists
 
 BUCKET = "_bucket"
 
@@ -55,9 +54,6 @@ class KeyedTable:
             return 0
         stored = self._rows().where(F.col(BUCKET).isin(touched)).drop(BUCKET)
         merged = combine(stored.unionByName(rows)).select(*self.schema.names).withColumn(BUCKET, self.bucket())
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        merged.write.parquet(staged)
-        self.spark.read.schema(self._stored).parquet(staged).repartition(BUCKET) \
+        merged.repartition(BUCKET) \
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.path}/rows")
-        remove_path(self.spark, staged)
         return len(touched)

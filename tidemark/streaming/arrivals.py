@@ -14,6 +14,7 @@ from ..session import ensure_checkpoint_dir
 
 Result = TypeVar("Result")
 _SLICE = "_slice"
+ROWS_A_TASK = 500_000
 
 
 def shared_folder(spark: SparkSession, stem: str) -> str:
@@ -55,10 +56,12 @@ def deal(df: DataFrame, ts: str, folder: str, slices: int = 4, files: int = 4, d
     A row arrives at its time plus a delay below ``delay_s``, drawn from a
     hash of ``tie``, so that rows come out of order, across slices too.  Rows
     without a time come first.  With the format ``text`` the time isn't sent.
+    A large table is dealt by more than ``files`` tasks, ``ROWS_A_TASK`` each.
     """
     delay = F.pmod(F.xxhash64(tie), F.lit(delay_s)) if delay_s and tie else F.lit(0).cast("long")
     us = F.unix_micros(F.col(ts).cast("timestamp")) + delay * 1_000_000
-    low, high = df.agg(F.min(us), F.max(us)).first()
+    low, high, n = df.agg(F.min(us), F.max(us), F.count(F.lit(1))).first()
+    files = max(files, -(-n // ROWS_A_TASK))
     width = max(1, -(-(high - low + 1) // slices)) if low is not None else 1
     number = F.coalesce(F.floor((us - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("int")
     sent = df.drop(ts) if fmt == "text" else df

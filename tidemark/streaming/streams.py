@@ -20,6 +20,7 @@ holds ``delay`` of events, the state what later events can still need.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -168,43 +169,49 @@ RECONCILED = ("job_id string, event_id long, event_phase string, event_ts timest
               "table_ts timestamp, status string, source string")
 
 
-def reconcile_stream(events: DataFrame, jobs: Callable[[], DataFrame], path: str, buckets: int = 64) -> DataFrame:
+def reconcile_stream(events: DataFrame, jobs: Callable[[], DataFrame], path: str, buckets: int = 64,
+                     since: Callable[[datetime], DataFrame] | None = None) -> DataFrame:
     """I6 over a stream of events and a job table that changes beside it.
 
     Each micro-batch reads the job table anew, but only the rows updated since
-    the newest one seen (``updated_at``).  These and the jobs that the
-    micro-batch has events of are merged into a stored table with one row per
-    job, of which only the touched buckets are rewritten; what changed is
-    written as a feed under the number of the micro-batch.  Returns the table.
+    the newest one seen (``updated_at``); ``since`` reads just these where the
+    table can do better than all rows and a filter.  These and the jobs that
+    the micro-batch has events of are merged into a stored table with one row
+    per job, of which only the touched buckets are rewritten.  A row keeps the
+    number of the micro-batch that changed it last; so what changed, written
+    as a feed under that number, needs no join.  Returns the table.
     """
     spark = events.sparkSession
-    table = KeyedTable(spark, f"{path}/jobs", RECONCILED, ("job_id",), buckets)
-    names = table.schema.names
+    table = KeyedTable(spark, f"{path}/jobs", f"{RECONCILED}, batch long", ("job_id",), buckets)
 
     def merged(rows: DataFrame) -> DataFrame:
         event, row = F.struct("event_ts", "event_id"), F.col("table_ts")
-        one = rows.groupBy("job_id").agg(
+        # few rows a job: sums before the shuffle would only sort them once more
+        one = rows.repartition("job_id").groupBy("job_id").agg(
             F.max_by(F.struct("event_id", "event_phase", "event_ts"), F.when(F.col("event_ts").isNotNull(), event)).alias("e"),
-            F.max_by(F.struct("table_status", "table_ts"), row).alias("t"))
-        return P.resolved(one.select("job_id", "e.*", "t.*")).select(*names)
+            F.max_by(F.struct("table_status", "table_ts"), row).alias("t"), F.max("batch").alias("batch"))
+        return P.resolved(one.select("job_id", "e.*", "t.*", "batch")).select(*table.schema.names)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         seen = _stored(s, f"{path}/low/{batch_id - 1}", T.StructType.fromDDL("low timestamp")).collect() if batch_id else []
         mark = seen[0].low if seen else None
-        now = jobs()
-        fresh = now if mark is None else now.where(F.col("updated_at") >= F.lit(mark))
-        newest = now.agg(F.max("updated_at").alias("low"))
+        if mark is None:
+            fresh = jobs()
+        else:
+            fresh = since(mark) if since else jobs().where(F.col("updated_at") >= F.lit(mark))
         of_events = P.latest_progress(batch.where("ts IS NOT NULL").select("job_id", "event_id", "phase", "ts")).select(
             "job_id", "event_id", F.col("phase").alias("event_phase"), F.col("ts").alias("event_ts"))
         of_table = fresh.select(F.col("id").alias("job_id"), F.col("status").alias("table_status"),
                                 F.col("updated_at").alias("table_ts"))
         rows = of_events.unionByName(of_table, allowMissingColumns=True) \
-            .withColumns({c: F.lit(None).cast("string") for c in ("status", "source")}).persist()
+            .withColumns({c: F.lit(None).cast("string") for c in ("status", "source")}) \
+            .withColumn("batch", F.lit(batch_id).cast("long")).persist()
         try:
             table.merge(rows, merged)
-            table.near(rows).join(rows.select("job_id").distinct(), "job_id", "left_semi") \
+            table.read().where((F.col("batch") == batch_id) & F.col("job_id").isNotNull()).drop("batch") \
                 .write.mode("overwrite").parquet(f"{path}/feed/batch={batch_id}")
+            newest = rows.agg(F.coalesce(F.max("table_ts"), F.lit(mark).cast("timestamp")).alias("low"))
             newest.write.mode("overwrite").parquet(f"{path}/low/{batch_id}")
         finally:
             rows.unpersist()
@@ -215,7 +222,7 @@ def reconcile_stream(events: DataFrame, jobs: Callable[[], DataFrame], path: str
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    return table.read()
+    return table.read().drop("batch")
 
 
 # -- I7 -----------------------------------------------------------------------
